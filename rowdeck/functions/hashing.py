@@ -6,15 +6,23 @@ how rows are partitioned, survives task retries and can be recomputed elsewhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def draw(seed: int, *key: Column | str) -> Column:
-    """Signed 64-bit draw for a row. Integer keys are widened so INT and BIGINT agree."""
+    """Signed 64-bit draw for a row."""
     columns = [F.col(k) if isinstance(k, str) else k for k in key]
     return F.xxhash64(F.lit(seed).cast("bigint"), *columns)
 
 
+def row_draw(df: DataFrame, seed: int, keys: list[str]) -> Column:
+    """Draw for the rows of a table. Integer keys are widened, so that the same keys draw
+    the same whether they are stored as INT or BIGINT."""
+    kinds = {field.name: field.dataType for field in df.schema.fields}
+    narrow = (T.ByteType, T.ShortType, T.IntegerType)
+    return draw(seed, *[F.col(k).cast("bigint") if isinstance(kinds[k], narrow) else F.col(k) for k in keys])
+
+
 def slice_of(value: Column, slices: int) -> Column:
     """Which of ``slices`` equal parts of the 64-bit range a draw falls in.
 

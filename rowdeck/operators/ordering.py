@@ -8,7 +8,7 @@ from rowdeck.functions import digit, digit_count, reversed_digits
 from rowdeck.operators.lanes import Lanes
 from rowdeck.operators.ranking import LANE, rank_by_value, rank_in_lanes
 from rowdeck.operators.shuffles import _keys
-from rowdeck.functions import draw as hash_draw
+from rowdeck.functions.hashing import row_draw
 
 
 def stable_sort(
@@ -38,7 +38,8 @@ def radix_order(
     found by one aggregate.
     """
     if digits is None:
-        digits = max_digits(df, value).first()[0] or 1
+        found = df.agg(F.count(F.lit(1)).alias("rows"), digit_count(F.max(value)).alias("digits")).first()
+        rows, digits = found["rows"], found["digits"] or 1
     return stable_sort(df, reversed_digits(F.col(value), digits), pos, out, rows)
 
 
@@ -85,7 +86,7 @@ def concat_in_order(
     else:
         keys = _keys(shuffle_key)
         ranked = rank_in_lanes(
-            df, lanes.lane(F.col(pos)), lanes.count, lanes.largest, hash_draw(seed, *keys), keys, "_rank"
+            df, lanes.lane(F.col(pos)), lanes.count, lanes.largest, row_draw(df, seed, keys), keys, "_rank"
         )
     table = F.broadcast(offsets.select(F.col("lane").alias(LANE), F.col("offset").alias("_offset")))
     return (

@@ -9,7 +9,7 @@ to tasks in order, so the result is also laid out in order, one exchange in all.
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from rowdeck.functions import idiv
 from rowdeck.functions.hashing import slice_of
@@ -104,11 +104,14 @@ def rank_by_value(
     return placed.drop("_value", "_tie", CELL, TASK)
 
 
+LIMIT = 1.7976931348623157e308  # the largest finite double
+
+
 def _as_number(value: Column) -> Column:
-    """The value as a finite double; never decreases when the value grows."""
-    wide = value.cast("double")
-    limit = F.lit(1.7976931348623157e308)
-    return F.least(F.greatest(wide, -limit), limit)
+    """The value as a finite double; never decreases when the value grows. NaN and NULL,
+    which sort last, get the largest one."""
+    wide = F.nanvl(value.cast("double"), F.lit(LIMIT))
+    return F.coalesce(F.least(F.greatest(wide, F.lit(-LIMIT)), F.lit(LIMIT)), F.lit(LIMIT))
 
 
 def _kind(value: Column) -> Column:
@@ -116,65 +119,72 @@ def _kind(value: Column) -> Column:
 
 
 def _cut(df: DataFrame, rows: int, cells: int) -> DataFrame:
-    """Add ``_cell``: how many sampled borders are at or before the row's (value, tie).
+    """Add ``_cell``: how many sampled borders are at or before the row.
 
-    Only the borders, fewer than ``cells`` pairs, reach the driver.
+    Only the borders, fewer than ``cells`` of them, reach the driver.
     """
     every = max(1, rows // (SAMPLES_PER_CELL * cells))
     sample = df.select(
         _kind(F.col("_value")).alias("kind"),
-        F.when(_kind(F.col("_value")) == 0, _as_number(F.col("_value"))).alias("number"),
+        _as_number(F.col("_value")).alias("number"),
         F.col("_tie").alias("tie"),
     ).filter(F.pmod(F.xxhash64("tie", "number"), F.lit(every)) == 0)
     # the sample holds about SAMPLES_PER_CELL * cells rows, whatever the table holds
-    by_order = Window.orderBy("kind", F.col("number").asc_nulls_last(), "tie")
-    size = Window.partitionBy()
+    by_order = Window.orderBy("kind", "number", "tie")
     borders = (
         sample.withColumn("at", F.row_number().over(by_order).cast("bigint"))
-        .withColumn("size", F.count(F.lit(1)).over(size))
+        .withColumn("size", F.count(F.lit(1)).over(Window.partitionBy()))
         .withColumn("slot", idiv(F.col("at") * F.lit(cells), F.col("size") + 1))
         .groupBy("slot")
         .agg(F.min(F.struct("at", "kind", "number", "tie")).alias("border"))
         .filter("slot > 0")
         .select("border.*")
-        .orderBy("at")
         .collect()
     )
     numbers = sorted({b["number"] for b in borders if b["kind"] == 0})
-    place = {number: index for index, number in enumerate(numbers)}
-    span = float(max((b["tie"] for b in borders), default=0) + 2)
+    if len(numbers) == len(borders):
+        # no value fills a cell: borders between values are enough
+        tagged = _bucket(df.withColumn("_number", _as_number(F.col("_value"))), "_number", numbers, "_slot")
+        tagged = tagged.drop("_number")
+    else:
+        tagged = _cut_along_tie(df, borders, numbers)
+    # never NULL, and said so: else the join on the cell filters the scan by all this
+    return tagged.withColumn(CELL, F.coalesce(F.col("_slot").cast("bigint"), F.lit(0).cast("bigint"))).drop("_slot")
 
-    def code(kind: int, number: float | None, tie: int) -> float:
-        return (place[number] if kind == 0 else len(numbers) + kind - 1) * span + tie
 
-    codes = sorted({code(b["kind"], b["number"], b["tie"]) for b in borders})
+def _cut_along_tie(df: DataFrame, borders: list[Row], numbers: list[float]) -> DataFrame:
+    """Add ``_slot`` where some value, NaN or NULL fills whole cells by itself.
 
-    # index of the last border number at or below the row's number, -1 if there is none
-    number = F.coalesce(F.when(_kind(F.col("_value")) == 0, _as_number(F.col("_value"))), F.lit(0.0))
-    tagged = _bucket(df.withColumn("_number", number), "_number", numbers, "_below")
-    below = F.col("_below") - 1
-    exact, under = F.lit(False), F.lit(False)
+    Value and tie become one number, ``place of the value * span + tie``, compared with
+    the borders' numbers.
+    """
+    place = {number: index for index, number in enumerate(numbers)}
+    span = float(max(b["tie"] for b in borders) + 2)
+    spots = {
+        (place[b["number"]] if b["kind"] == 0 else len(numbers) + b["kind"] - 1) * span + b["tie"]
+        for b in borders
+    }
+    tagged = _bucket(df.withColumn("_number", _as_number(F.col("_value"))), "_number", numbers, "_below")
+    tagged = tagged.withColumn("_below", F.col("_below") - 1)  # last border at or below, -1 if none
+    below, last = F.col("_below"), F.lit(span - 1)
+    listed = F.split(F.lit(",".join(repr(n) for n in numbers)), ",").cast("array<double>")
     if numbers:
-        listed = F.split(F.lit(",".join(repr(n) for n in numbers)), ",").cast("array<double>")
-        border = F.get(listed, F.greatest(below, F.lit(0)).cast("int"))
-        kind_of = df.schema["_value"].dataType
-        native = border.try_cast(kind_of)
-        same = (F.col("_number") == border) & (below >= 0)
-        # several long integers can share one double: only the one equal to the border
-        # is cut along the tie, smaller ones stay before it and larger ones after it
-        exact = same & F.col("_value").eqNullSafe(native)
-        under = same & (F.col("_value") < native)
-    last = F.lit(span - 1)
+        tagged = tagged.withColumn("_border", F.get(listed, F.greatest(below, F.lit(0.0)).cast("int")))
+    else:
+        tagged = tagged.withColumn("_border", F.lit(None).cast("double"))
+    tagged = tagged.withColumn("_exact", F.col("_border").try_cast(df.schema["_value"].dataType))
+    # several long integers can share one double: only the one equal to the border is cut
+    # along the tie, smaller ones stay before it and larger ones after it
+    same = (below >= 0) & (F.col("_number") == F.col("_border"))
     tie = F.least(F.col("_tie").cast("double"), last)
-    kind = _kind(F.col("_value"))
     spot = (
-        F.when(kind > 0, (F.lit(len(numbers) - 1) + kind) * F.lit(span) + tie)
-        .when(exact, below * F.lit(span) + tie)
-        .when(F.coalesce(under, F.lit(False)), (below - 1) * F.lit(span) + last)
+        F.when(_kind(F.col("_value")) > 0, (F.lit(len(numbers) - 1) + _kind(F.col("_value"))) * F.lit(span) + tie)
+        .when(same & (F.col("_value") == F.col("_exact")), below * F.lit(span) + tie)
+        .when(same & (F.col("_value") < F.col("_exact")), (below - 1) * F.lit(span) + last)
         .otherwise(below * F.lit(span) + last)
     )
-    tagged = _bucket(tagged.withColumn("_spot", spot.cast("double")), "_spot", codes, "_slot")
-    return tagged.withColumn(CELL, F.col("_slot").cast("bigint")).drop("_number", "_below", "_spot", "_slot")
+    tagged = _bucket(tagged.withColumn("_spot", spot), "_spot", sorted(spots), "_slot")
+    return tagged.drop("_number", "_below", "_border", "_exact", "_spot")
 
 
 def _bucket(df: DataFrame, column: str, borders: list[float], out: str) -> DataFrame:

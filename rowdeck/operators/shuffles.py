@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowdeck.functions import draw as hash_draw
+from rowdeck.functions.hashing import row_draw
 from rowdeck.operators import ranking
 from rowdeck.operators.lanes import Lanes, Pairs, Strided, ceil_chunks, merge_blocks
 from rowdeck.operators.ranking import BASE, CELL, DRAW, LANE, TASK, place_in_lanes, rank_by_value, rank_in_lanes
@@ -30,7 +30,7 @@ def keyed_shuffle(
     keys = _keys(key)
     total = row_count(df, rows)
     lane = F.lit(0).cast("bigint")
-    return rank_in_lanes(df, lane, 1, total, hash_draw(seed, *keys), keys, out).drop(LANE)
+    return rank_in_lanes(df, lane, 1, total, row_draw(df, seed, keys), keys, out).drop(LANE)
 
 
 def rand_shuffle(df: DataFrame, seed: int | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def shuffle_order(df: DataFrame, key: str | list[str], seed: int, draw: str = "d
     """Columns to sort by for the order of ``keyed_shuffle``, for sinks that only need
     the rows in that order and no position."""
     keys = _keys(key)
-    return df.withColumn(draw, hash_draw(seed, *keys)), [draw, *keys]
+    return df.withColumn(draw, row_draw(df, seed, keys)), [draw, *keys]
 
 
 def lane_shuffle(
@@ -62,7 +62,7 @@ def lane_shuffle(
         lanes.lane(F.col(pos)),
         lanes.count,
         lanes.largest,
-        hash_draw(seed, *keys) if draw is None else draw,
+        row_draw(df, seed, keys) if draw is None else draw,
         keys,
         _RANK,
     )
@@ -75,7 +75,7 @@ def lane_shuffle_in_place(
     """Permute the rows of each lane among the positions the lane already holds."""
     keys = _keys(key)
     ranked = rank_in_lanes(
-        df, lanes.lane(F.col(pos)), lanes.count, lanes.largest, hash_draw(seed, *keys), keys, _RANK
+        df, lanes.lane(F.col(pos)), lanes.count, lanes.largest, row_draw(df, seed, keys), keys, _RANK
     )
     return ranked.withColumn(out, lanes.member(F.col(LANE), F.col(_RANK))).drop(LANE, _RANK)
 
@@ -91,7 +91,7 @@ def column_lane_shuffle(
     """Lane shuffle where the lane is a numeric data column of any skew: lanes follow
     one another in ascending order, rows inside a lane are in random order."""
     keys = _keys(key)
-    drawn = df.withColumn("_order", hash_draw(seed, *keys))
+    drawn = df.withColumn("_order", row_draw(df, seed, keys))
     tie = F.shiftright(F.col("_order"), 1) + F.lit(1 << 62)
     return rank_by_value(drawn, F.col(lane), tie, ["_order", *keys], out, rows).drop("_order")
 
@@ -160,7 +160,7 @@ def cyclic_shuffle(
     keys = _keys(key)
     lanes = ceil_chunks(row_count(df, rows), count)
     placed, tagged, _ = place_in_lanes(
-        df, lanes.lane(F.col(pos)), lanes.count, lanes.largest, hash_draw(seed, *keys)
+        df, lanes.lane(F.col(pos)), lanes.count, lanes.largest, row_draw(df, seed, keys)
     )
     order = Window.partitionBy(TASK, CELL).orderBy(DRAW, *keys)
     placed = placed.withColumn(out, F.lead(pos).over(order))

@@ -87,6 +87,12 @@ def _shuffled(relation: str, key: str = "pos", seed: int = SEED, out: str = "new
     return f"(SELECT * EXCLUDE (h), (row_number() OVER (ORDER BY h, {key}) - 1)::BIGINT AS {out} FROM {ranked})"
 
 
+def _significant(x: str, digits: int) -> str:
+    places = f"(floor(log10({x})) - {digits - 1})"
+    return f"""CASE WHEN {places} >= 0 THEN round_even({x} / pow(10.0, {places}), 0) * pow(10.0, {places})
+        ELSE round_even({x} * pow(10.0, -{places}), 0) / pow(10.0, -{places}) END"""
+
+
 STRIDED, DIAGONAL, CHUNKS = "pos % {k}", "(pos + pos // {k}) % {k}", f"pos // ceil({N} / {{k}}::DOUBLE)::BIGINT"
 ROOT = f"floor(sqrt({N}))::BIGINT"
 HEAD = f"CASE WHEN pos < {N} * 30 // 100 THEN 0 ELSE 1 END"
@@ -117,8 +123,8 @@ ORACLES: dict[str, str] = {
         (floor((o_custkey - 500) / 10.0)::BIGINT % 10 + 10) % 10 AS digit1,
         (floor((o_custkey - 500) / 100.0)::BIGINT % 10 + 10) % 10 AS digit2 FROM orders""",
     "max_digits": "SELECT length(max(o_orderkey)::VARCHAR)::BIGINT AS max_digits FROM orders",
-    "round_sig": """SELECT o_orderkey AS pos, printf('%.1e', o_totalprice)::DOUBLE AS two,
-        printf('%.2e', o_totalprice / 1000000)::DOUBLE AS three FROM orders""",
+    "round_sig": f"""SELECT o_orderkey AS pos, {_significant('o_totalprice', 2)} AS two,
+        {_significant('(o_totalprice / 1000000)', 3)} AS three FROM orders""",
     "readable_size": """SELECT doc_id, CASE WHEN n_chars * 1000003 / 1073741824.0 >= 1
         THEN printf('%.2f GB', (n_chars * 1000003)::DOUBLE / 1073741824.0)
         ELSE printf('%.2f MB', (n_chars * 1000003)::DOUBLE / 1048576.0) END AS size FROM documents""",
