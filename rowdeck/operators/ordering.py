@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowdeck.functions import digit, digit_count, reversed_digits
 from rowdeck.operators.lanes import Lanes
-from rowdeck.operators.ranking import LANE, rank_by_value, rank_in_lanes
+from rowdeck.operators.ranking import LANE, position_by_value, position_in_lanes
 from rowdeck.operators.shuffles import _keys
 from rowdeck.functions.hashing import row_draw
 
@@ -16,7 +16,7 @@ def stable_sort(
 ) -> DataFrame:
     """Ascending order of a numeric value; equal values keep their order."""
     column = F.col(value) if isinstance(value, str) else value
-    return rank_by_value(df, column, F.col(pos), [pos], out, rows)
+    return position_by_value(df, column, F.col(pos), [pos], out, rows)
 
 
 def max_digits(df: DataFrame, value: str) -> DataFrame:
@@ -85,9 +85,8 @@ def concat_in_order(
         ranked = df.withColumn(LANE, lanes.lane(F.col(pos))).withColumn("_rank", lanes.rank(F.col(pos)))
     else:
         keys = _keys(shuffle_key)
-        ranked = rank_in_lanes(
-            df, lanes.lane(F.col(pos)), lanes.count, lanes.largest, row_draw(df, seed, keys), keys, "_rank"
-        )
+        ranked = position_in_lanes(df, lanes, F.col(pos), row_draw(df, seed, keys), keys, "_rank")
+        ranked = ranked.withColumn("_rank", F.col("_rank") - lanes.start(F.col(LANE)))
     table = F.broadcast(offsets.select(F.col("lane").alias(LANE), F.col("offset").alias("_offset")))
     return (
         ranked.join(table, LANE)

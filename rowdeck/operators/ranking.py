@@ -1,9 +1,10 @@
-"""Dense ranks without a single-partition window.
+"""Dense positions without a single-partition window.
 
 Rows are cut into *cells*: ordered, non-overlapping slices of the wanted order, about as
-many as there are reduce tasks. A row's rank is the number of rows in earlier cells
-(one small table, broadcast) plus its ``row_number`` inside its own cell. Cells are sent
-to tasks in order, so the result is also laid out in order, one exchange in all.
+many as there are reduce tasks. Contiguous runs of cells go to tasks by number and are
+sorted there, so the output is laid out in order after one exchange. A row's position is
+its index in its task plus the rows of earlier tasks, which is arithmetic for small
+lanes and else one count per task, broadcast.
 """
 
 from __future__ import annotations
@@ -13,94 +14,113 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from rowdeck.functions import idiv
 from rowdeck.functions.hashing import slice_of
+from rowdeck.operators.lanes import Lanes
 from rowdeck.session import row_count, shuffle_width
 
-CELL_ROWS = 1 << 17  # below this a lane is one cell and needs no counting pass
+CELL_ROWS = 1 << 17  # a lane of up to so many rows is one cell and needs no counting pass
 SAMPLES_PER_CELL = 64
-MAX_CELLS = 1 << 20  # bound on every table of cells that is broadcast
 
-LANE, DRAW, CELL, TASK, BASE = "_lane", "_draw", "_cell", "_task", "_base"
+LANE, DRAW, CELL, TASK, BASE, SPOT = "_lane", "_draw", "_cell", "_task", "_base", "_spot"
+INDEX_BITS = 33  # of monotonically_increasing_id: the row's index in its partition
 
 
-def _cells_per_lane(width: int, lanes: int, largest: int) -> int:
-    needed = -(-largest // CELL_ROWS)
-    room = -(-2 * width // lanes)
-    return max(1, min(needed, room, MAX_CELLS // lanes))
+def refuse_existing(df: DataFrame, out: str) -> None:
+    if out in df.columns:
+        raise ValueError(f"the table already has a column {out}")
+
+
+def _tasks(cells: int, width: int) -> int:
+    return cells if cells <= 2 * width else width
 
 
-def _place(df: DataFrame, cells: int, width: int) -> DataFrame:
-    """Send contiguous runs of cells to tasks; cell order becomes partition order."""
-    tasks = cells if cells <= 2 * width else width
+def _with_task(df: DataFrame, cells: int, tasks: int) -> DataFrame:
+    """Contiguous runs of cells make a task; cell order becomes partition order."""
     task = F.col(CELL) if tasks == cells else idiv(F.col(CELL) * F.lit(tasks), cells)
-    return df.withColumn(TASK, task.cast("int")).repartitionById(tasks, F.col(TASK))
+    return df.withColumn(TASK, task.cast("int"))
 
 
-def _running_base(counts: DataFrame, within: list[str]) -> DataFrame:
-    """Rows in earlier cells; ``counts`` has at most MAX_CELLS rows."""
-    before = Window.partitionBy(*within).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(CELL, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(BASE))
+def _with_index(tagged: DataFrame, tasks: int, order: list[Column | str], out: str) -> DataFrame:
+    """Place the tasks, sort each by ``order`` and number its rows from 0.
+
+    The number counts rows of a partition, so a row found in a partition other than its
+    task's fails the job instead of being numbered wrongly.
+    """
+    placed = tagged.repartitionById(tasks, F.col(TASK)).sortWithinPartitions(*order)
+    placed = placed.withColumn(SPOT, F.monotonically_increasing_id())
+    index = F.col(SPOT).bitwiseAND(F.lit((1 << INDEX_BITS) - 1))
+    at_home = F.shiftright(F.col(SPOT), INDEX_BITS) == F.col(TASK)
+    astray = F.raise_error(F.lit("a row left its partition before it was numbered"))
+    return placed.withColumn(out, F.when(at_home, index).otherwise(astray.cast("bigint"))).drop(SPOT)
+
 
+def _with_counted_base(indexed: DataFrame, tagged: DataFrame, out: str) -> DataFrame:
+    """Add the rows of earlier tasks to the index. The counts have one row per task."""
+    before = Window.orderBy(TASK).rowsBetween(Window.unboundedPreceding, -1)
+    counts = tagged.groupBy(TASK).agg(F.count(F.lit(1)).alias("rows"))
+    base = counts.select(TASK, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(BASE))
+    return indexed.join(F.broadcast(base), TASK).withColumn(out, F.col(out) + F.col(BASE)).drop(BASE)
 
-def place_in_lanes(
-    df: DataFrame, lane: Column, lanes: int, largest: int, draw: Column
-) -> tuple[DataFrame, DataFrame, int]:
-    """Tag rows with lane, draw and cell, and place the cells.
 
-    Returns the placed rows, the tagged rows before placing (for counting) and the
-    number of cells per lane. ``largest`` bounds the rows of one lane; the draws must be
-    hash-uniform, which is what keeps cells even.
+def cells_in_lanes(df: DataFrame, lanes: Lanes, pos: Column, draw: Column) -> tuple[DataFrame, int, int]:
+    """Tag rows with lane, draw, cell and task; returns cells per lane and tasks too.
+
+    Draws must be hash-uniform: equal slices of the draw range are what keeps the cells
+    of a lane even, however large the lane is.
     """
     width = shuffle_width(df.sparkSession)
-    per_lane = _cells_per_lane(width, lanes, largest)
-    tagged = df.withColumn(LANE, lane).withColumn(DRAW, draw)
+    needed = -(-lanes.largest // CELL_ROWS)
+    room = -(-2 * width // lanes.count)
+    per_lane = max(1, min(needed, room))
+    tagged = df.withColumn(LANE, lanes.lane(pos)).withColumn(DRAW, draw)
     tagged = tagged.withColumn(CELL, F.col(LANE) * F.lit(per_lane) + slice_of(F.col(DRAW), per_lane))
-    return _place(tagged, lanes * per_lane, width), tagged, per_lane
+    tasks = _tasks(lanes.count * per_lane, width)
+    return _with_task(tagged, lanes.count * per_lane, tasks), per_lane, tasks
 
 
-def rank_in_lanes(
-    df: DataFrame, lane: Column, lanes: int, largest: int, draw: Column, key: list[str], out: str
+def position_in_lanes(
+    df: DataFrame, lanes: Lanes, pos: Column, draw: Column, key: list[str], out: str
 ) -> DataFrame:
-    """Add ``_lane`` and the 0-based rank of each row in its lane by (draw, key)."""
-    if out in df.columns:
-        raise ValueError(f"the table already has a column {out}")
-    placed, tagged, per_lane = place_in_lanes(df, lane, lanes, largest, draw)
-    ranks = Window.partitionBy(TASK, CELL).orderBy(DRAW, *key)
-    placed = placed.withColumn(out, F.row_number().over(ranks).cast("bigint") - 1)
-    if per_lane > 1:
-        counts = tagged.groupBy(LANE, CELL).agg(F.count(F.lit(1)).alias("rows"))
-        base = F.broadcast(_running_base(counts, [LANE]))  # at most MAX_CELLS rows
-        placed = placed.join(base, CELL).withColumn(out, F.col(out) + F.col(BASE)).drop(BASE)
+    """Add ``_lane`` and the position of each row when lanes are laid end to end and
+    rows inside a lane are in the order of (draw, key)."""
+    refuse_existing(df, out)
+    tagged, per_lane, tasks = cells_in_lanes(df, lanes, pos, draw)
+    cells = lanes.count * per_lane
+    order = [DRAW, *key] if tasks == cells else [CELL, DRAW, *key]
+    placed = _with_index(tagged, tasks, order, out)
+    if per_lane == 1:
+        # whole lanes per task: the task starts where its first lane does
+        first = F.col(TASK).cast("bigint")
+        if tasks < cells:
+            first = idiv(first * F.lit(cells) + F.lit(tasks - 1), tasks)
+        placed = placed.withColumn(out, lanes.start(first) + F.col(out))
+    else:
+        placed = _with_counted_base(placed, tagged, out)
     return placed.drop(DRAW, CELL, TASK)
 
 
-def rank_by_value(
+def position_by_value(
     df: DataFrame, value: Column, tie: Column, key: list[str], out: str, rows: int | None = None
 ) -> DataFrame:
-    """Add the dense 0-based rank of each row by (value, tie, key).
+    """Add the position of each row in the order of (value, tie, key).
 
     ``value`` is numeric and may be skewed at will: cell borders come from a sample of
     (value, tie) pairs, so one value that holds a third of all rows is cut into many
     cells along ``tie``. ``tie`` is a non-negative BIGINT, ``key`` unique. NaN sorts
     after numbers and NULL last.
     """
-    if out in df.columns:
-        raise ValueError(f"the table already has a column {out}")
+    refuse_existing(df, out)
     width = shuffle_width(df.sparkSession)
     total = row_count(df, rows)
-    cells = max(1, min(2 * width, -(-total // CELL_ROWS), MAX_CELLS))
+    cells = max(1, min(2 * width, -(-total // CELL_ROWS)))
     tagged = df.withColumn("_value", value).withColumn("_tie", tie)
-    order = [F.col("_value").asc_nulls_last(), F.col("_tie"), *key]
     if cells == 1:
         tagged = tagged.withColumn(CELL, F.lit(0).cast("bigint"))
     else:
         tagged = _cut(tagged, total, cells)
-    ranks = Window.partitionBy(TASK, CELL).orderBy(*order)
-    placed = _place(tagged, cells, width)
-    placed = placed.withColumn(out, F.row_number().over(ranks).cast("bigint") - 1)
+    tagged = _with_task(tagged, cells, cells)
+    placed = _with_index(tagged, cells, [F.col("_value").asc_nulls_last(), F.col("_tie"), *key], out)
     if cells > 1:
-        counts = tagged.groupBy(CELL).agg(F.count(F.lit(1)).alias("rows"))
-        base = F.broadcast(_running_base(counts, []))  # at most MAX_CELLS rows
-        placed = placed.join(base, CELL).withColumn(out, F.col(out) + F.col(BASE)).drop(BASE)
+        placed = _with_counted_base(placed, tagged, out)
     return placed.drop("_value", "_tie", CELL, TASK)
 
 

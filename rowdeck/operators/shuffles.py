@@ -10,11 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowdeck.functions.hashing import row_draw
-from rowdeck.operators import ranking
-from rowdeck.operators.lanes import Lanes, Pairs, Strided, ceil_chunks, merge_blocks
-from rowdeck.operators.ranking import BASE, CELL, DRAW, LANE, TASK, place_in_lanes, rank_by_value, rank_in_lanes
+from rowdeck.operators.lanes import Batches, Lanes, Pairs, Strided, ceil_chunks, half_rotate, merge_blocks
+from rowdeck.operators.ranking import (
+    BASE,
+    CELL,
+    DRAW,
+    LANE,
+    TASK,
+    cells_in_lanes,
+    position_by_value,
+    position_in_lanes,
+    refuse_existing,
+)
+from rowdeck.operators.riffle import riffle_pairs
 from rowdeck.session import row_count
 
+BROADCAST_CELLS = 1 << 18
 TOP_LIMIT = 100_000  # samples up to this size are taken as a top-k
 _RANK = "_rank"
 
@@ -29,8 +40,9 @@ def keyed_shuffle(
     """Uniform random order of the whole table as a dense position column."""
     keys = _keys(key)
     total = row_count(df, rows)
-    lane = F.lit(0).cast("bigint")
-    return rank_in_lanes(df, lane, 1, total, row_draw(df, seed, keys), keys, out).drop(LANE)
+    whole = Batches(total, max(total, 1))
+    nowhere = F.lit(0).cast("bigint")  # one lane, whatever the position
+    return position_in_lanes(df, whole, nowhere, row_draw(df, seed, keys), keys, out).drop(LANE)
 
 
 def rand_shuffle(df: DataFrame, seed: int | None = None) -> DataFrame:
@@ -57,16 +69,8 @@ def lane_shuffle(
 ) -> DataFrame:
     """Shuffle inside each lane and concatenate the lanes."""
     keys = _keys(key)
-    ranked = rank_in_lanes(
-        df,
-        lanes.lane(F.col(pos)),
-        lanes.count,
-        lanes.largest,
-        row_draw(df, seed, keys) if draw is None else draw,
-        keys,
-        _RANK,
-    )
-    return ranked.withColumn(out, lanes.start(F.col(LANE)) + F.col(_RANK)).drop(LANE, _RANK)
+    chosen = row_draw(df, seed, keys) if draw is None else draw
+    return position_in_lanes(df, lanes, F.col(pos), chosen, keys, out).drop(LANE)
 
 
 def lane_shuffle_in_place(
@@ -74,10 +78,9 @@ def lane_shuffle_in_place(
 ) -> DataFrame:
     """Permute the rows of each lane among the positions the lane already holds."""
     keys = _keys(key)
-    ranked = rank_in_lanes(
-        df, lanes.lane(F.col(pos)), lanes.count, lanes.largest, row_draw(df, seed, keys), keys, _RANK
-    )
-    return ranked.withColumn(out, lanes.member(F.col(LANE), F.col(_RANK))).drop(LANE, _RANK)
+    ranked = position_in_lanes(df, lanes, F.col(pos), row_draw(df, seed, keys), keys, out)
+    rank = F.col(out) - lanes.start(F.col(LANE))
+    return ranked.withColumn(out, lanes.member(F.col(LANE), rank)).drop(LANE)
 
 
 def column_lane_shuffle(
@@ -93,7 +96,7 @@ def column_lane_shuffle(
     keys = _keys(key)
     drawn = df.withColumn("_order", row_draw(df, seed, keys))
     tie = F.shiftright(F.col("_order"), 1) + F.lit(1 << 62)
-    return rank_by_value(drawn, F.col(lane), tie, ["_order", *keys], out, rows).drop("_order")
+    return position_by_value(drawn, F.col(lane), tie, ["_order", *keys], out, rows).drop("_order")
 
 
 def batch_shuffle(
@@ -106,8 +109,6 @@ def batch_shuffle(
     rows: int | None = None,
 ) -> DataFrame:
     """Shuffle inside fixed-size batches of consecutive rows."""
-    from rowdeck.operators.lanes import Batches
-
     return lane_shuffle(df, Batches(row_count(df, rows), size), key, seed, pos, out)
 
 
@@ -115,8 +116,6 @@ def rotate_shuffle(
     df: DataFrame, lanes: Lanes, seed: int, pos: str = "pos", out: str = "new_pos"
 ) -> DataFrame:
     """Half-rotate each lane, then shuffle it; draws belong to the rotated places."""
-    from rowdeck.operators.lanes import half_rotate
-
     turned = half_rotate(df, lanes, pos, "_turned")
     return lane_shuffle(turned, lanes, "_turned", seed, pos, out).drop("_turned")
 
@@ -159,11 +158,10 @@ def cyclic_shuffle(
     """
     keys = _keys(key)
     lanes = ceil_chunks(row_count(df, rows), count)
-    placed, tagged, _ = place_in_lanes(
-        df, lanes.lane(F.col(pos)), lanes.count, lanes.largest, row_draw(df, seed, keys)
-    )
+    refuse_existing(df, out)
+    tagged, _, tasks = cells_in_lanes(df, lanes, F.col(pos), row_draw(df, seed, keys))
     order = Window.partitionBy(TASK, CELL).orderBy(DRAW, *keys)
-    placed = placed.withColumn(out, F.lead(pos).over(order))
+    placed = tagged.repartitionById(tasks, F.col(TASK)).withColumn(out, F.lead(pos).over(order))
     first = F.min(F.struct(F.col(DRAW), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(pos).alias("at")))
     heads = tagged.groupBy(LANE, CELL).agg(first["at"].alias("first"))
     cells = Window.partitionBy(LANE).orderBy(CELL)
@@ -171,8 +169,8 @@ def cyclic_shuffle(
         CELL,
         F.coalesce(F.lead("first").over(cells), F.first("first").over(cells)).alias(BASE),
     )
-    if lanes.count <= ranking.MAX_CELLS:
-        heads = F.broadcast(heads)  # at most MAX_CELLS rows
+    if lanes.count <= BROADCAST_CELLS:
+        heads = F.broadcast(heads)  # one row per cell
     return (
         placed.join(heads, CELL)
         .withColumn(out, F.coalesce(F.col(out), F.col(BASE)))
@@ -196,8 +194,6 @@ def merge_shuffle(
     uniform, so the one keyed shuffle that has that distribution is run. ``coarse``
     leaves those shuffles out and really merges: rows keep their order inside a block.
     """
-    from rowdeck.operators.riffle import riffle_pairs
-
     total = row_count(df, rows)
     if not coarse:
         return keyed_shuffle(df, key, seed, out, total)
