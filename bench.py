@@ -57,7 +57,6 @@ SIZES = [100_000, 500_000, 1_000_000, 10_000_000]
 
 
 def seconds(build: Callable[[], DataFrame], repeats: int) -> float:
-    start = time.perf_counter()
     best = float("inf")
     for _ in range(repeats):
         start = time.perf_counter()
@@ -93,10 +92,9 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores, shuffle_partitions=int(cores) if cores.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
-    times = {}
     for name in HEADLINE:
         seconds(lambda: QUERIES[name](spark, folder), 1)
-        times[name] = seconds(lambda: QUERIES[name](spark, folder), 2)
+    times = {name: seconds(lambda: QUERIES[name](spark, folder), 2) for name in HEADLINE}
     sizes = sequence_runs(spark)
     print(
         json.dumps(

@@ -26,7 +26,8 @@ from rowdeck.operators.riffle import riffle_pairs
 from rowdeck.session import row_count
 
 BROADCAST_CELLS = 1 << 18
-TOP_LIMIT = 100_000  # samples up to this size are taken as a top-k
+TOP_LIMIT = 10_000  # samples up to this size are taken as a top-k
+POOL_LIMIT = 1 << 20  # tables up to this size are sampled without a first cut
 _RANK = "_rank"
 
 
@@ -215,9 +216,25 @@ def permutation(df: DataFrame, key: str, seed: int, rows: int | None = None) ->
 def sample_k(
     df: DataFrame, size: int, key: str | list[str], seed: int, rows: int | None = None
 ) -> DataFrame:
-    """Exactly ``min(size, rows)`` rows, uniformly without replacement."""
+    """Exactly ``min(size, rows)`` rows, uniformly without replacement: those with the
+    smallest draws.
+
+    Large tables are first cut to the rows below a draw that leaves a few more than
+    ``size``; the cut is counted, and widened in the rare case that it left too few.
+    """
     keys = _keys(key)
+    total = row_count(df, rows)
+    pool, order = shuffle_order(df, keys, seed, DRAW)
+    wanted = size + 10 * int(size**0.5) + 100
+    while total > POOL_LIMIT and wanted < total:
+        limit = wanted * (1 << 64) // total - (1 << 63)
+        smaller = pool.filter(F.col(DRAW) < limit)
+        if smaller.count() >= size:
+            pool = smaller
+            break
+        wanted *= 4
     if size <= TOP_LIMIT:
-        drawn, order = shuffle_order(df, keys, seed, DRAW)
-        return drawn.orderBy(*order).limit(size).drop(DRAW)
-    return keyed_shuffle(df, keys, seed, _RANK, rows).filter(F.col(_RANK) < size).drop(_RANK)
+        return pool.orderBy(*order).limit(size).drop(DRAW)
+    nowhere = F.lit(0).cast("bigint")
+    placed = position_by_value(pool, F.col(DRAW), nowhere, order, _RANK)
+    return placed.filter(F.col(_RANK) < size).drop(_RANK, DRAW)

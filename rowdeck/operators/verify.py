@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowdeck.functions import idiv
 from rowdeck.operators.pairing import missing_elements
@@ -52,41 +52,57 @@ def verify_elements(original: DataFrame, shuffled: DataFrame, value: str) -> Dat
     return missing.agg(F.count(F.lit(1)).alias("missing")).withColumn("all_present", F.col("missing") == 0)
 
 
-def position_report(original: DataFrame, shuffled: DataFrame, pos: str, value: str) -> DataFrame:
-    """One row: ``pairs`` of equal position, how many ``moved``, and ``descents``
-    (neighbours of the output in falling order).
+def _compared(original: DataFrame, shuffled: DataFrame, pos: str, value: str) -> DataFrame:
+    """All rows of both tables, each output row compared with the input row at its
+    position and with the output row before it.
 
-    Both tables meet in chunks of consecutive positions, one exchange for the two
-    measures; the last row of a chunk is repeated at the head of the next one so that
-    neighbours across the border are compared too.
+    Both tables meet in chunks of consecutive positions, in one exchange; the last row
+    of a chunk is repeated at the head of the next one so that neighbours across the
+    border are compared too.
     """
-    chunk = idiv(F.col("p"), CHUNK_ROWS)
     first = original.select(
         F.col(pos).alias("p"), F.col(value).alias("v"), F.lit(0).alias("side"), F.lit(0).alias("ahead")
     )
     border = F.pmod(F.col("p"), F.lit(CHUNK_ROWS)) == CHUNK_ROWS - 1
+    copies = F.when(border, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     second = shuffled.select(F.col(pos).alias("p"), F.col(value).alias("v"), F.lit(1).alias("side"))
-    second = second.select(
-        "*",
-        F.explode(F.when(border, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("ahead"),
-    )
-    rows = first.unionByName(second).withColumn("chunk", chunk + F.col("ahead"))
+    rows = first.unionByName(second.select("*", F.explode(copies).alias("ahead")))
+    rows = rows.withColumn("chunk", idiv(F.col("p"), CHUNK_ROWS) + F.col("ahead"))
     order = Window.partitionBy("chunk").orderBy("p", "side")
     lags = {
         f"{name}{back}": F.lag(name, back).over(order) for back in (1, 2) for name in ("p", "v", "side")
     }
-    rows = rows.withColumns(lags).filter((F.col("side") == 1) & (F.col("ahead") == 0))
-    paired = (F.col("side1") == 0) & (F.col("p1") == F.col("p"))
+    rows = rows.withColumns(lags).filter(F.col("ahead") == 0)
+    output = F.col("side") == 1
+    paired = output & (F.col("side1") == 0) & (F.col("p1") == F.col("p"))
     one_back = F.col("side1") == 1
     before_pos = F.when(one_back, F.col("p1")).when(F.col("side2") == 1, F.col("p2"))
     before = F.when(one_back, F.col("v1")).when(F.col("side2") == 1, F.col("v2"))
-    return rows.agg(
-        F.count_if(paired).alias("pairs"),
-        F.count_if(paired & ~F.col("v1").eqNullSafe(F.col("v"))).alias("moved"),
-        F.count_if((before_pos == F.col("p") - 1) & (before > F.col("v"))).alias("descents"),
+    return rows.select(
+        "v",
+        (1 - F.col("side")).alias("a"),
+        F.col("side").alias("b"),
+        _flag(paired).alias("pairs"),
+        _flag(paired & ~F.col("v1").eqNullSafe(F.col("v"))).alias("moved"),
+        _flag(output & (before_pos == F.col("p") - 1) & (before > F.col("v"))).alias("descents"),
     )
 
 
+def _flag(condition: Column) -> Column:
+    return F.when(condition, 1).otherwise(0)
+
+
+def _total(name: str) -> Column:
+    return F.coalesce(F.sum(name), F.lit(0)).alias(name)
+
+
+def position_report(original: DataFrame, shuffled: DataFrame, pos: str, value: str) -> DataFrame:
+    """One row: ``pairs`` of equal position, how many ``moved``, and ``descents``
+    (neighbours of the output in falling order)."""
+    rows = _compared(original, shuffled, pos, value)
+    return rows.agg(*[_total(name) for name in ("pairs", "moved", "descents")])
+
+
 def inversions(table: DataFrame, pos: str, value: str) -> DataFrame:
     """One row: neighbours in falling order (zero means sorted)."""
     empty = table.select(pos, value).limit(0)
@@ -110,28 +126,34 @@ def shuffle_percentage(original: DataFrame, shuffled: DataFrame, pos: str, value
 
 def shuffle_audit(original: DataFrame, shuffled: DataFrame, pos: str = "pos", value: str = "value") -> DataFrame:
     """One row with every measure and a verdict: the first check that fails, in the order
-    length, elements, identical, sorted, or else ``passed``."""
-    values = value_report(original, shuffled, value).select(
-        "n", "n_out", "one_sided", "unequal", F.lit(0).alias("moved"), F.lit(0).alias("descents")
-    )
-    places = position_report(original, shuffled, pos, value).select(
-        *[F.lit(0).alias(name) for name in ("n", "n_out", "one_sided", "unequal")], "moved", "descents"
+    length, elements, identical, sorted, or else ``passed``.
+
+    Each table is read once: the comparison by position hands its findings on to the
+    count per value, which sums them up along the way.
+    """
+    rows = _compared(original, shuffled, pos, value)
+    per_value = rows.groupBy("v").agg(*[F.sum(name).alias(name) for name in ("a", "b", "moved", "descents")])
+    totals = per_value.agg(
+        _total("a"),
+        _total("b"),
+        _total("moved"),
+        _total("descents"),
+        F.count_if((F.col("a") > 0) != (F.col("b") > 0)).alias("one_sided"),
+        F.count_if(F.col("a") != F.col("b")).alias("unequal"),
     )
-    names = ["n", "n_out", "one_sided", "unequal", "moved", "descents"]
-    both = values.unionByName(places).agg(*[F.sum(name).cast("bigint").alias(name) for name in names])
     verdict = (
-        F.when(F.col("n") != F.col("n_out"), "length differs")
+        F.when(F.col("a") != F.col("b"), "length differs")
         .when(F.col("one_sided") > 0, "elements differ")
         .when(F.col("moved") == 0, "identical")
         .when(F.col("descents") == 0, "sorted")
         .otherwise("passed")
     )
-    return both.select(
-        "n",
-        "n_out",
+    return totals.select(
+        F.col("a").alias("n"),
+        F.col("b").alias("n_out"),
         (F.col("one_sided") == 0).alias("set_ok"),
         (F.col("unequal") == 0).alias("multiset_ok"),
-        F.try_divide(F.col("moved") * F.lit(100.0), F.col("n")).alias("pct_moved"),
+        F.try_divide(F.col("moved") * F.lit(100.0), F.col("a")).alias("pct_moved"),
         F.col("descents").alias("inversions"),
         verdict.alias("verdict"),
     )

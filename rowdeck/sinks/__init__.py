@@ -14,8 +14,17 @@ from rowdeck.functions import idiv
 from rowdeck.session import row_count, shuffle_width
 
 
-def in_order(df: DataFrame, pos: str = "pos", rows: int | None = None, files: int | None = None) -> DataFrame:
-    """Lay rows out by dense position: partition 0 holds the first, and so on."""
+def in_order(
+    df: DataFrame, pos: str = "pos", rows: int | None = None, files: int | None = None, laid_out: bool = False
+) -> DataFrame:
+    """Lay rows out by dense position: partition 0 holds the first, and so on.
+
+    Pass ``laid_out`` when partitions already hold consecutive positions, as keyed, lane,
+    batch and split shuffles and sorts return them: then nothing is exchanged. (They are
+    sorted again, because Spark drops an inner sort that nothing seems to need.)
+    """
+    if laid_out:
+        return df.sortWithinPartitions(pos)
     total = max(row_count(df, rows), 1)
     parts = min(files or shuffle_width(df.sparkSession), total)
     spot = F.least(idiv(F.col(pos) * F.lit(parts), total), F.lit(parts - 1)).cast("int")

@@ -120,13 +120,14 @@ def test_riffle_pairs(spark, monkeypatch, rows, width):
     assert got == {pos: new for new, pos in enumerate(want)}
 
 
-def test_sample(spark, monkeypatch):
-    frame = spark.range(300)
-    small = {r["id"] for r in shuffles.sample_k(frame, 40, "id", 6).collect()}
-    monkeypatch.setattr(shuffles, "TOP_LIMIT", 10)
-    large = {r["id"] for r in shuffles.sample_k(frame, 40, "id", 6).collect()}
-    assert small == large and len(small) == 40
-    assert shuffles.sample_k(frame, 1000, "id", 6).count() == 300
+@pytest.mark.parametrize("pool,top", [(1 << 20, 10_000), (50, 10_000), (50, 10), (1 << 20, 10)])
+def test_sample(spark, monkeypatch, pool, top):
+    monkeypatch.setattr(shuffles, "POOL_LIMIT", pool)
+    monkeypatch.setattr(shuffles, "TOP_LIMIT", top)
+    order = [r["id"] for r in shuffles.keyed_shuffle(spark.range(3000), "id", 6).orderBy("pos").collect()]
+    for size in (0, 1, 40, 2999, 3000, 9999):
+        got = {r["id"] for r in shuffles.sample_k(spark.range(3000), size, "id", 6).collect()}
+        assert got == set(order[:size])
 
 
 def test_plain_shuffle_keeps_rows(spark):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowdeck import sinks, sources
-from rowdeck.operators import ordering, shuffles
+from rowdeck.operators import lanes as L, ordering, shuffles
 from rowdeck.session import durable
 
 
@@ -170,6 +170,18 @@ def test_shuffled_lines_match_keyed_shuffle(spark, tmp_path):
     assert [int(x) for x in in_name_order(tmp_path / "s").split()] == want
 
 
+def test_laid_out_shuffles_are_written_without_an_exchange(spark, tmp_path, tiny_cells):
+    want = [r["id"] for r in shuffles.keyed_shuffle(spark.range(500), "id", 8).orderBy("pos").collect()]
+    shuffled = shuffles.keyed_shuffle(spark.range(500), "id", 8)
+    sinks.write_lines(shuffled, str(tmp_path / "s"), "id", pos="pos", laid_out=True)
+    assert [int(x) for x in in_name_order(tmp_path / "s").split()] == want
+    rule = L.Strided(500, 40)
+    lanes = shuffles.lane_shuffle(spark.range(500), rule, "id", 8, pos="id", out="to")
+    want = [r["id"] for r in lanes.orderBy("to").collect()]
+    sinks.write_lines(lanes, str(tmp_path / "l"), "id", pos="to", laid_out=True)
+    assert [int(x) for x in in_name_order(tmp_path / "l").split()] == want
+
+
 def test_iterate_and_take(spark):
     frame = spark.range(20).select((19 - F.col("id")).alias("pos"), "id")
     assert [r["id"] for r in sinks.iterate(frame)] == list(range(19, -1, -1))
