@@ -2,76 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowdeck.functions import coin, idiv
+from rowdeck.operators.ranking import INDEX_BITS
 from rowdeck.session import row_count, shuffle_width
 
-CHUNK_SLOTS = 1 << 12  # slots whose coins are tossed in one row
-CHUNKS_PER_GROUP = 1 << 12
+TASK_SLOTS = 1 << 16  # slots tossed in one task, where the cluster has tasks to spare
+SMALL_LANE = 1 << 14  # lanes of up to so many slots are counted one by one in a window
+BROADCAST_LANES = 1 << 18
 
 
-def _coin_slots(spark: SparkSession, rows: int, lane_slots: int, width: int, seed: int) -> DataFrame:
-    """``(src, slot)`` for every slot filled by a coin, in lanes of ``lane_slots`` slots
-    whose first ``width`` positions are the left side.
+def _counted(slots: DataFrame, rows: int, tasks: int) -> DataFrame:
+    """Number the kept slots of a range from 0 in slot order, as ``nth``.
 
-    Work is per chunk of slots: a chunk's coins are an array, so the running count of
-    heads inside it is the array index. Only one row per chunk is exchanged to add up
-    the heads of earlier chunks, in two levels (chunks in a group, then groups).
+    Tasks of a range hold consecutive slots, so a slot's number is its index among the
+    kept slots of its task plus those of earlier tasks (one broadcast row per task).
     """
-    lanes = max(1, -(-rows // lane_slots))
-    lane_chunks = max(1, -(-min(lane_slots, rows) // CHUNK_SLOTS))
-    lane_groups = -(-lane_chunks // CHUNKS_PER_GROUP)
-    tasks = max(1, min(lanes * lane_chunks, 4 * shuffle_width(spark)))
-    before = Window.unboundedPreceding, -1
-
-    start = F.col("lane") * F.lit(lane_slots)
-    chunks = spark.range(0, lanes * lane_chunks, 1, tasks).select(
-        idiv(F.col("id"), lane_chunks).alias("lane"),
-        F.pmod(F.col("id"), F.lit(lane_chunks)).alias("chunk"),
-    )
-    chunks = chunks.select(
-        "lane",
-        "chunk",
-        idiv(F.col("chunk"), CHUNKS_PER_GROUP).alias("group"),
-        start.alias("start"),
-        (start + F.col("chunk") * F.lit(CHUNK_SLOTS)).alias("low"),
-        F.least(start + F.lit(lane_slots), F.lit(rows)).alias("end"),
-    ).filter("low < end")
-    high = F.least(F.col("low") + F.lit(CHUNK_SLOTS), F.col("end"))
-    slots = F.sequence(F.col("low"), high - 1)
-    heads = F.filter(slots, lambda slot: coin(seed, slot))
-    tails = F.filter(slots, lambda slot: ~coin(seed, slot))
-
-    tossed = chunks.withColumn("heads", F.size(heads).cast("bigint"))
-    in_group = Window.partitionBy("lane", "group").orderBy("chunk").rowsBetween(*before)
-    based = tossed.withColumn("base", F.coalesce(F.sum("heads").over(in_group), F.lit(0)))
-    if lane_groups > 1:
-        in_lane = Window.partitionBy("lane").orderBy("group").rowsBetween(*before)
-        groups = tossed.groupBy("lane", "group").agg(F.sum("heads").alias("heads"))
-        groups = groups.select(
-            "lane", "group", F.coalesce(F.sum("heads").over(in_lane), F.lit(0)).alias("group_base")
-        )
-        based = based.join(groups, ["lane", "group"]).withColumn("base", F.col("base") + F.col("group_base"))
-
-    left = F.least(F.lit(width), F.col("end") - F.col("start"))
-    based = based.select("start", "low", "end", "base", left.alias("left"))
-    right = F.col("end") - F.col("start") - F.col("left")
-    offset = F.col("slot") - F.col("start")
-    head_rank = F.col("base") + F.col("nth")
-    tail_rank = F.col("low") - F.col("start") - F.col("base") + F.col("nth")
+    home = (idiv((F.col("slot") + 1) * F.lit(tasks) + F.lit(rows - 1), rows) - 1).alias("home")
+    before = Window.orderBy("home").rowsBetween(Window.unboundedPreceding, -1)
+    counts = slots.groupBy(home).agg(F.count(F.lit(1)).alias("kept"))
+    base = counts.select("home", F.coalesce(F.sum("kept").over(before), F.lit(0)).alias("base"))
+    numbered = slots.select("slot", home, F.monotonically_increasing_id().alias("spot"))
+    index = F.col("spot").bitwiseAND(F.lit((1 << INDEX_BITS) - 1))
+    astray = F.raise_error(F.lit("a slot was numbered outside its task")).cast("bigint")
+    at_home = F.shiftright("spot", INDEX_BITS) == F.col("home")
+    numbered = numbered.select("slot", "home", F.when(at_home, index).otherwise(astray).alias("index"))
+    return numbered.join(F.broadcast(base), "home").select("slot", (F.col("index") + F.col("base")).alias("nth"))
+
+
+def _coin_slots(spark: SparkSession, rows: int, lane_slots: int, width: int, seed: int) -> DataFrame:
+    """``(src, slot)`` for every slot filled by a coin, in lanes of ``lane_slots`` slots
+    whose first ``width`` positions are the left side. No slot is exchanged."""
+    total = max(rows, 1)
+    tasks = max(1, min(-(-total // TASK_SLOTS), 4 * shuffle_width(spark)))
+    slots = spark.range(0, rows, 1, tasks).withColumnRenamed("id", "slot")
+    start = (idiv(F.col("slot"), lane_slots) * F.lit(lane_slots)).alias("start")
+    heads = slots.filter(coin(seed, "slot"))
+    tails = slots.filter(~coin(seed, "slot"))
+
+    def ranked(kept: DataFrame) -> DataFrame:
+        """``nth`` counted from the start of the lane."""
+        if lane_slots <= SMALL_LANE < rows:
+            in_lane = Window.partitionBy("start").orderBy("slot")
+            nth = (F.row_number().over(in_lane).cast("bigint") - 1).alias("nth")
+            return kept.select("slot", start).select("slot", nth, "start")
+        numbered = _counted(kept, total, tasks).select("slot", "nth", start)
+        if rows <= lane_slots:
+            return numbered
+        lanes = kept.groupBy(start).agg(F.count(F.lit(1)).alias("kept"))
+        before = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = lanes.select("start", F.coalesce(F.sum("kept").over(before), F.lit(0)).alias("earlier"))
+        if -(-rows // lane_slots) <= BROADCAST_LANES:
+            earlier = F.broadcast(earlier)
+        joined = numbered.join(earlier, "start")
+        return joined.select("slot", (F.col("nth") - F.col("earlier")).alias("nth"), "start")
+
+    left, right = _sides(F.col("start"), rows, lane_slots, width)
+    nth, other = F.col("nth"), F.col("slot") - F.col("start") - F.col("nth")
     # a slot has a coin only while both sides have rows left
-    from_left = (
-        based.select("*", F.posexplode(heads).alias("nth", "slot"))
-        .filter((head_rank < F.col("left")) & (offset - head_rank < right))
-        .select((F.col("start") + head_rank).alias("src"), "slot")
-    )
-    from_right = (
-        based.select("*", F.posexplode(tails).alias("nth", "slot"))
-        .filter((tail_rank < right) & (offset - tail_rank < F.col("left")))
-        .select((F.col("start") + F.col("left") + tail_rank).alias("src"), "slot")
+    from_left = ranked(heads).filter((nth < left) & (other < right))
+    from_right = ranked(tails).filter((nth < right) & (other < left))
+    return from_left.select((F.col("start") + nth).alias("src"), "slot").unionAll(
+        from_right.select((F.col("start") + left + nth).alias("src"), "slot")
     )
-    return from_left.unionAll(from_right)
+
+
+def _sides(start: Column, rows: int, lane_slots: int, width: int) -> tuple[Column, Column]:
+    """Rows of the left and the right side of the lane that begins at ``start``."""
+    size = F.least(F.lit(lane_slots), F.lit(rows) - start)
+    left = F.least(F.lit(width), size)
+    return left, size - left
 
 
 def _riffle(
@@ -80,11 +81,10 @@ def _riffle(
     source = df.withColumnRenamed(pos, "_at")
     at = F.col("_at")
     start = idiv(at, lane_slots) * F.lit(lane_slots)
-    end = F.least(start + F.lit(lane_slots), F.lit(rows))
-    left = F.least(F.lit(width), end - start)
+    left, right = _sides(start, rows, lane_slots, width)
     # rows of the left side that no coin placed follow the whole right side; those of
     # the right side end where they already are
-    unplaced = F.when(at - start < left, at + (end - start - left)).otherwise(at)
+    unplaced = F.when(at - start < left, at + right).otherwise(at)
     slots = _coin_slots(df.sparkSession, rows, lane_slots, width, seed)
     merged = source.join(slots, at == F.col("src"), "left")
     merged = merged.withColumn("_slot", F.coalesce(F.col("slot"), unplaced)).drop("src", "slot")

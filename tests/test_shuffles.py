@@ -100,8 +100,7 @@ def riffled(left, right, seed, start=0):
 
 @pytest.mark.parametrize("left,right", [(0, 0), (0, 5), (5, 0), (1, 1), (40, 200), (200, 40), (300, 300)])
 def test_riffle_merge(spark, monkeypatch, left, right):
-    monkeypatch.setattr(riffle, "CHUNK_SLOTS", 16)
-    monkeypatch.setattr(riffle, "CHUNKS_PER_GROUP", 4)
+    monkeypatch.setattr(riffle, "TASK_SLOTS", 16)
     a = spark.range(left).select(F.col("id").alias("pos"), F.concat(F.lit("a"), "id").alias("v"))
     b = spark.range(right).select(F.col("id").alias("pos"), F.concat(F.lit("b"), "id").alias("v"))
     got = [r["v"] for r in riffle.riffle_merge(a, b, 21).orderBy("new_pos").collect()]
@@ -109,10 +108,11 @@ def test_riffle_merge(spark, monkeypatch, left, right):
     assert got == want
 
 
+@pytest.mark.parametrize("small", (1, 1 << 14, 20))
 @pytest.mark.parametrize("rows,width", [(0, 3), (1, 3), (100, 7), (100, 50), (100, 64), (99, 100)])
-def test_riffle_pairs(spark, monkeypatch, rows, width):
-    monkeypatch.setattr(riffle, "CHUNK_SLOTS", 8)
-    monkeypatch.setattr(riffle, "CHUNKS_PER_GROUP", 2)
+def test_riffle_pairs(spark, monkeypatch, rows, width, small):
+    monkeypatch.setattr(riffle, "TASK_SLOTS", 7)
+    monkeypatch.setattr(riffle, "SMALL_LANE", small)
     got = moved(riffle.riffle_pairs(spark.range(rows), rows, width, 4, pos="id"))
     want, items = [], list(range(rows))
     for start in range(0, rows, 2 * width):
