@@ -185,6 +185,13 @@ class HeadTail(Lanes):
         super().__init__(rows, 2)
         self.head = int(rows * share / 100)
 
+    @classmethod
+    def by_shares(cls, rows: int, head: int | float | str, tail: int | float | str) -> HeadTail:
+        """Both percentages given; they must add up to 100."""
+        if Fraction(str(head)) + Fraction(str(tail)) != 100:
+            raise ValueError("the two percentages must add up to 100")
+        return cls(rows, head)
+
     @property
     def largest(self):
         return max(self.head, self.rows - self.head)
@@ -235,6 +242,12 @@ def split(df: DataFrame, lanes: Lanes, pos: str = "pos") -> list[DataFrame]:
     return [only_lane(df, lanes, number, pos) for number in range(lanes.count)]
 
 
+def repartition_lanes(df: DataFrame, lanes: Lanes, pos: str = "pos") -> DataFrame:
+    """One physical partition per lane, in lane order; for a moderate number of lanes."""
+    number = lanes.lane(F.col(pos)).cast("int")
+    return df.withColumn("_lane", number).repartitionById(lanes.count, F.col("_lane")).drop("_lane")
+
+
 def half_rotate(df: DataFrame, lanes: Lanes, pos: str = "pos", out: str = "new_pos") -> DataFrame:
     """Inside each lane the second half comes first. A projection: no row moves."""
     lane = lanes.lane(F.col(pos))

@@ -159,7 +159,8 @@ ORACLES: dict[str, str] = {
     "sum_squares": "SELECT round(sum(l_quantity * l_quantity), 2) AS sum_squares FROM lineitem",
     "verify_set": """SELECT NOT EXISTS (SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem)
         AND NOT EXISTS (SELECT l_partkey FROM lineitem EXCEPT SELECT p_partkey FROM part) AS set_ok""",
-    "verify_multiset": "SELECT true AS multiset_ok FROM lineitem HAVING count(*) >= 0",
+    "verify_multiset": """SELECT NOT EXISTS (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT l_partkey FROM lineitem)
+        AS multiset_ok""",
     "verify_length": """SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM orders) AS n_out,
         NOT EXISTS (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)
         AND NOT EXISTS (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)

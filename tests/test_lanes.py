@@ -76,6 +76,9 @@ def test_bad_arguments():
         L.HeadTail(10, 101)
     with pytest.raises(ValueError):
         L.HeadTail(10, -1)
+    with pytest.raises(ValueError):
+        L.HeadTail.by_shares(10, 30, 60)
+    assert L.HeadTail.by_shares(10, 30, 70).head == 3
     with pytest.raises(ValueError):
         L.Strided(10, 0)
     with pytest.raises(ValueError):
@@ -105,3 +108,9 @@ def test_loads_and_extremes(spark):
     loads = L.lane_loads(rows, "lane", F.col("id"))
     assert sorted(map(tuple, loads.collect())) == [(0, 3, 12), (1, 3, 15), (2, 2, 8), (3, 2, 10)]
     assert tuple(L.lane_extremes(loads).first()) == (0, 3, 2, 2)
+
+
+def test_physical_lanes(spark):
+    frame = L.repartition_lanes(spark.range(20), L.Strided(20, 3), "id")
+    rows = frame.withColumn("part", F.spark_partition_id()).collect()
+    assert frame.rdd.getNumPartitions() == 3 and all(r["part"] == r["id"] % 3 for r in rows)
