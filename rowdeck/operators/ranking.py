@@ -10,14 +10,15 @@ lanes and else one count per task, broadcast.
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from rowdeck.functions import idiv
 from rowdeck.functions.hashing import slice_of
 from rowdeck.operators.lanes import Lanes
-from rowdeck.session import row_count, shuffle_width
+from rowdeck.session import row_count, task_limit
 
 CELL_ROWS = 1 << 17  # a lane of up to so many rows is one cell and needs no counting pass
+TASK_ROWS = 1 << 13  # no more tasks than one per so many rows
 SAMPLES_PER_CELL = 64
 
 LANE, DRAW, CELL, TASK, BASE, SPOT = "_lane", "_draw", "_cell", "_task", "_base", "_spot"
@@ -29,10 +30,6 @@ def refuse_existing(df: DataFrame, out: str) -> None:
         raise ValueError(f"the table already has a column {out}")
 
 
-def _tasks(cells: int, width: int) -> int:
-    return cells if cells <= 2 * width else width
-
-
 def _with_task(df: DataFrame, cells: int, tasks: int) -> DataFrame:
     """Contiguous runs of cells make a task; cell order becomes partition order."""
     task = F.col(CELL) if tasks == cells else idiv(F.col(CELL) * F.lit(tasks), cells)
@@ -67,14 +64,14 @@ def cells_in_lanes(df: DataFrame, lanes: Lanes, pos: Column, draw: Column) -> tu
     Draws must be hash-uniform: equal slices of the draw range are what keeps the cells
     of a lane even, however large the lane is.
     """
-    width = shuffle_width(df.sparkSession)
+    limit = task_limit(df.sparkSession, lanes.rows)
     needed = -(-lanes.largest // CELL_ROWS)
-    room = -(-2 * width // lanes.count)
-    per_lane = max(1, min(needed, room))
+    per_lane = max(1, min(needed, -(-limit // lanes.count)))
     tagged = df.withColumn(LANE, lanes.lane(pos)).withColumn(DRAW, draw)
     tagged = tagged.withColumn(CELL, F.col(LANE) * F.lit(per_lane) + slice_of(F.col(DRAW), per_lane))
-    tasks = _tasks(lanes.count * per_lane, width)
-    return _with_task(tagged, lanes.count * per_lane, tasks), per_lane, tasks
+    cells = lanes.count * per_lane
+    tasks = min(cells if cells <= 2 * limit else limit, max(1, -(-lanes.rows // TASK_ROWS)))
+    return _with_task(tagged, cells, tasks), per_lane, tasks
 
 
 def position_in_lanes(
@@ -109,10 +106,11 @@ def position_by_value(
     after numbers and NULL last.
     """
     refuse_existing(df, out)
-    width = shuffle_width(df.sparkSession)
     total = row_count(df, rows)
-    cells = max(1, min(2 * width, -(-total // CELL_ROWS)))
+    cells = max(1, min(task_limit(df.sparkSession, total), -(-total // CELL_ROWS)))
     tagged = df.withColumn("_value", value).withColumn("_tie", tie)
+    if not isinstance(tagged.schema["_value"].dataType, T.NumericType):
+        raise TypeError("rows can be put in the order of numbers only")
     if cells == 1:
         tagged = tagged.withColumn(CELL, F.lit(0).cast("bigint"))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowdeck.functions import coin, idiv
 from rowdeck.operators.ranking import INDEX_BITS
-from rowdeck.session import row_count, shuffle_width
+from rowdeck.session import row_count, task_limit
 
 TASK_SLOTS = 1 << 16  # slots tossed in one task, where the cluster has tasks to spare
 SMALL_LANE = 1 << 14  # lanes of up to so many slots are counted one by one in a window
@@ -35,7 +35,7 @@ def _coin_slots(spark: SparkSession, rows: int, lane_slots: int, width: int, see
     """``(src, slot)`` for every slot filled by a coin, in lanes of ``lane_slots`` slots
     whose first ``width`` positions are the left side. No slot is exchanged."""
     total = max(rows, 1)
-    tasks = max(1, min(-(-total // TASK_SLOTS), 4 * shuffle_width(spark)))
+    tasks = max(1, min(-(-total // TASK_SLOTS), task_limit(spark, total)))
     slots = spark.range(0, rows, 1, tasks).withColumnRenamed("id", "slot")
     start = (idiv(F.col("slot"), lane_slots) * F.lit(lane_slots)).alias("start")
     heads = slots.filter(coin(seed, "slot"))
@@ -86,8 +86,8 @@ def _riffle(
     # the right side end where they already are
     unplaced = F.when(at - start < left, at + right).otherwise(at)
     slots = _coin_slots(df.sparkSession, rows, lane_slots, width, seed)
-    merged = source.join(slots, at == F.col("src"), "left")
-    merged = merged.withColumn("_slot", F.coalesce(F.col("slot"), unplaced)).drop("src", "slot")
+    slots = slots.select(F.col("src").alias("_at"), F.col("slot").alias("_slot"))
+    merged = source.join(slots, "_at", "left").withColumn("_slot", F.coalesce(F.col("_slot"), unplaced))
     if pos == out:
         return merged.drop("_at").withColumnRenamed("_slot", out)
     return merged.withColumnsRenamed({"_at": pos, "_slot": out})

@@ -25,7 +25,6 @@ from rowdeck.operators.ranking import (
 from rowdeck.operators.riffle import riffle_pairs
 from rowdeck.session import row_count
 
-BROADCAST_CELLS = 1 << 18
 TOP_LIMIT = 10_000  # samples up to this size are taken as a top-k
 POOL_LIMIT = 1 << 20  # tables up to this size are sampled without a first cut
 _RANK = "_rank"
@@ -160,20 +159,23 @@ def cyclic_shuffle(
     keys = _keys(key)
     lanes = ceil_chunks(row_count(df, rows), count)
     refuse_existing(df, out)
-    tagged, _, tasks = cells_in_lanes(df, lanes, F.col(pos), row_draw(df, seed, keys))
+    tagged, per_lane, tasks = cells_in_lanes(df, lanes, F.col(pos), row_draw(df, seed, keys))
     order = Window.partitionBy(TASK, CELL).orderBy(DRAW, *keys)
     placed = tagged.repartitionById(tasks, F.col(TASK)).withColumn(out, F.lead(pos).over(order))
-    first = F.min(F.struct(F.col(DRAW), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(pos).alias("at")))
+    if per_lane == 1:
+        closed = placed.withColumn(out, F.coalesce(F.col(out), F.first(pos).over(order)))
+        return closed.drop(LANE, DRAW, CELL, TASK)
+    # the last row of a cell takes over from the first of the chunk's next cell
+    named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    first = F.min(F.struct(F.col(DRAW), *named, F.col(pos).alias("at")))
     heads = tagged.groupBy(LANE, CELL).agg(first["at"].alias("first"))
     cells = Window.partitionBy(LANE).orderBy(CELL)
     heads = heads.select(
-        CELL,
-        F.coalesce(F.lead("first").over(cells), F.first("first").over(cells)).alias(BASE),
+        CELL, F.coalesce(F.lead("first").over(cells), F.first("first").over(cells)).alias(BASE)
     )
-    if lanes.count <= BROADCAST_CELLS:
-        heads = F.broadcast(heads)  # one row per cell
+    # more than one cell per lane means at most four times the shuffle partitions in all
     return (
-        placed.join(heads, CELL)
+        placed.join(F.broadcast(heads), CELL)
         .withColumn(out, F.coalesce(F.col(out), F.col(BASE)))
         .drop(LANE, DRAW, CELL, TASK, BASE)
     )

@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+MAX_TASK_ROWS = 1 << 24
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings their own."""
     return (
@@ -26,6 +29,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def task_limit(spark: SparkSession, rows: int) -> int:
+    """Most tasks to cut ``rows`` into: twice the shuffle partitions, or more where that
+    would leave tasks of over MAX_TASK_ROWS rows."""
+    return max(2 * shuffle_width(spark), -(-rows // MAX_TASK_ROWS))
+
+
 def row_count(df: DataFrame, rows: int | None) -> int:
     """``rows`` if the caller knows it, else one count (footer-only on a parquet scan)."""
     return df.count() if rows is None else rows

@@ -11,7 +11,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from rowdeck.functions import idiv
-from rowdeck.session import row_count, shuffle_width
+from rowdeck.session import row_count, shuffle_width, task_limit
+
+FILE_ROWS = 1 << 17  # no more files than one per so many rows, unless asked for
 
 
 def in_order(
@@ -26,7 +28,9 @@ def in_order(
     if laid_out:
         return df.sortWithinPartitions(pos)
     total = max(row_count(df, rows), 1)
-    parts = min(files or shuffle_width(df.sparkSession), total)
+    if files is None:
+        files = min(task_limit(df.sparkSession, total), -(-total // FILE_ROWS))
+    parts = min(files, total)
     spot = F.least(idiv(F.col(pos) * F.lit(parts), total), F.lit(parts - 1)).cast("int")
     placed = df.withColumn("_file", spot).repartitionById(parts, F.col("_file"))
     return placed.sortWithinPartitions(pos).drop("_file")

@@ -10,17 +10,18 @@ BROADCAST_PARTS = 1 << 18  # files or file blocks whose offsets are broadcast
 
 
 def _offsets(counts: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``offset``: rows in earlier parts. One row per file, block or partition."""
+    """Add ``_offset``: rows in earlier parts. One row per file, block or partition."""
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    return counts.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
 
 
 def _shifted(df: DataFrame, offsets: DataFrame, on: list[str], local: Column, parts: int, out: str) -> DataFrame:
-    """Add part offset and local row number. A row without its part's offset fails the
-    job rather than vanish."""
+    """Add part offset and local row number. A row that is not among the counted rows of
+    its part fails the job rather than vanish or take another row's place."""
     table = F.broadcast(offsets) if parts <= BROADCAST_PARTS else offsets
-    offset = F.coalesce(F.col("offset"), F.raise_error(F.lit("the input changed between two reads")).cast("bigint"))
-    return df.join(table, on, "left").withColumn(out, offset + local)
+    changed = F.raise_error(F.lit("the input changed between two reads")).cast("bigint")
+    counted = (local >= 0) & (local < F.col("_rows"))
+    return df.join(table, on, "left").withColumn(out, F.when(counted, F.col("_offset") + local).otherwise(changed))
 
 
 def number_parquet(spark: SparkSession, path: str | list[str], out: str = "pos") -> DataFrame:
@@ -33,10 +34,10 @@ def number_parquet(spark: SparkSession, path: str | list[str], out: str = "pos")
     tagged = source.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
-    counts = tagged.groupBy("_file").agg(F.count(F.lit(1)).alias("rows"))
-    offsets = _offsets(counts, ["_file"]).select("_file", "offset")
+    counts = tagged.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = _offsets(counts, ["_file"]).select("_file", "_rows", "_offset")
     numbered = _shifted(tagged, offsets, ["_file"], F.col("_row"), len(source.inputFiles()), out)
-    return numbered.drop("_file", "_row", "offset")
+    return numbered.drop("_file", "_row", "_rows", "_offset")
 
 
 def number_text(spark: SparkSession, path: str | list[str], out: str = "pos") -> DataFrame:
@@ -52,9 +53,9 @@ def number_text(spark: SparkSession, path: str | list[str], out: str = "pos") ->
         F.monotonically_increasing_id().alias("_seen"),
     )
     counts = tagged.groupBy("_file", "_block").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("_seen").alias("_first")
+        F.count(F.lit(1)).alias("_rows"), F.min("_seen").alias("_first")
     )
-    offsets = _offsets(counts, ["_file", "_block"]).select("_file", "_block", "_first", "offset")
+    offsets = _offsets(counts, ["_file", "_block"]).select("_file", "_block", "_first", "_rows", "_offset")
     parts = source.rdd.getNumPartitions() + len(source.inputFiles())
     local = F.col("_seen") - F.col("_first")
     numbered = _shifted(tagged, offsets, ["_file", "_block"], local, parts, out)
@@ -70,8 +71,7 @@ def number_rows(df: DataFrame, out: str = "pos") -> DataFrame:
     fixed = durable(df.withColumn("_seen", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_seen"), 33)
     tagged = fixed.withColumn("_part", part).withColumn("_row", F.col("_seen").bitwiseAND((1 << 33) - 1))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"))
-    offsets = _offsets(counts, ["_part"]).select("_part", "offset")
-    parts = df.rdd.getNumPartitions()
-    numbered = _shifted(tagged, offsets, ["_part"], F.col("_row"), parts, out)
+    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = _offsets(counts, ["_part"]).select("_part", "_rows", "_offset")
+    numbered = _shifted(tagged, offsets, ["_part"], F.col("_row"), fixed.rdd.getNumPartitions(), out)
     return numbered.select(out, *df.columns)

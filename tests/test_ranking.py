@@ -74,6 +74,11 @@ def test_output_is_laid_out_in_order(spark, tiny_cells):
     assert [r["pos"] for r in rows] == list(range(500))
 
 
+def test_only_numbers_are_sorted(spark):
+    with pytest.raises(TypeError):
+        ordering.stable_sort(spark.range(3).withColumn("v", F.lit("x")), "v", "id")
+
+
 def test_existing_column_is_refused(spark):
     with pytest.raises(ValueError):
         shuffles.keyed_shuffle(spark.range(3), "id", 1, out="id")

@@ -203,3 +203,34 @@ def test_file_to_file_run(spark, tmp_path):
     assert row["verdict"] == "passed" and row["multiset_ok"] and row["pct_moved"] > 95
     assert verify.verify_elements(numbered, cleaned, "value").first()["all_present"]
     assert os.path.exists(tmp_path / "output" / "_SUCCESS")
+
+
+def test_column_names_of_the_table_are_left_alone(spark, tmp_path):
+    from rowdeck.operators import riffle
+
+    names = ["rows", "offset", "slot", "src", "base", "lane", "rank", "value"]
+    frame = spark.range(40).select(F.col("id").alias("pos"), *[F.col("id").alias(n) for n in names])
+    folder = str(tmp_path / "p")
+    frame.drop("pos").write.parquet(folder)
+    numbered = sources.number_parquet(spark, folder)
+    again = sources.number_rows(frame.drop("pos"))
+    merged = riffle.riffle_merge(frame, frame, 1)
+    rule = L.ceil_chunks(40, 4)
+    loads = L.lane_loads(L.with_lane(frame.select("pos"), rule))
+    runs = [
+        numbered,
+        again,
+        merged,
+        shuffles.keyed_shuffle(frame, "pos", 1, "to"),
+        shuffles.lane_shuffle(frame, rule, "pos", 1),
+        shuffles.cyclic_shuffle(frame, 4, "pos", 1),
+        ordering.stable_sort(frame, "value"),
+        ordering.concat_in_order(frame, rule, ordering.lane_offsets(loads, "rows")),
+        L.half_rotate(frame, rule),
+    ]
+    for run in runs:
+        rows = run.collect()
+        assert set(names) <= set(run.columns) and len(run.columns) == len(set(run.columns))
+        assert not [c for c in run.columns if c.startswith("_")]
+        assert all(len({r[n] for n in names}) == 1 for r in rows)
+        assert sorted({r["rows"] for r in rows}) == list(range(40))
