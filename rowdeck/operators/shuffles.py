@@ -173,7 +173,7 @@ def cyclic_shuffle(
     heads = heads.select(
         CELL, F.coalesce(F.lead("first").over(cells), F.first("first").over(cells)).alias(BASE)
     )
-    # more than one cell per lane means at most four times the shuffle partitions in all
+    # where lanes have several cells, all cells together are at most twice the task limit
     return (
         placed.join(F.broadcast(heads), CELL)
         .withColumn(out, F.coalesce(F.col(out), F.col(BASE)))
