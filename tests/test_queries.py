@@ -7,7 +7,8 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from rowdeck.plans import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -33,13 +34,13 @@ def ordered(rows, columns):
 
 
 def test_every_query_has_sql():
-    assert sorted(queries()) == sorted(oracle_sql())
+    assert sorted(QUERIES) == sorted(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    frame = queries()[name](spark, FOLDER)
-    wanted = duck.sql(oracle_sql()[name])
+    frame = QUERIES[name](spark, FOLDER)
+    wanted = duck.sql(ORACLES[name])
     assert sorted(frame.columns) == sorted(wanted.columns)
     got, want = ordered(frame.collect(), frame.columns), ordered(wanted.fetchall(), wanted.columns)
     assert len(got) == len(want)
