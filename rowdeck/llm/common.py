@@ -6,6 +6,7 @@ A word is a run of characters other than space and ``\\t \\n \\v \\f \\r``; that
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from rowdeck.session import durable
 
 # Odd 64-bit multipliers; fixed so that hashes agree between tasks and runs.
 MULTIPLIERS = np.array(
-    [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
+    [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93],
     dtype=np.uint64,
 )
 
@@ -92,6 +93,16 @@ def narrow(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in columns.items()])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, as
+    in tests on one machine, a temporary one, set for the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="rowdeck-corpus-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -101,4 +112,4 @@ def first_rows(df: DataFrame, key: str, limit: int, seed: int = 1) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(limit)
 
 
-__all__ = ["MULTIPLIERS", "durable", "first_rows", "gram_hashes", "map_batches", "mix", "narrow", "shingle_set", "signed", "table", "word_hashes"]
+__all__ = ["MULTIPLIERS", "durable", "first_rows", "gram_hashes", "map_batches", "mix", "narrow", "shared_folder", "shingle_set", "signed", "table", "word_hashes"]

@@ -220,3 +220,33 @@ def _verified(docs: DataFrame, bits: DataFrame, pairs: DataFrame, n: int, percen
 
 def query(spark, folder: str) -> DataFrame:
     return similar_sets(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+with recursive words as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') as w
+    from documents
+),
+shingles as (
+    select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)) as s
+    from words
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (
+    select a.doc_id as a, b.doc_id as b, count(*) as common
+    from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+),
+links as (
+    select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common >= 90 * (x.n + y.n - common)
+),
+steps as (select a as u, b as v from links union all select b, a from links),
+reach as (
+    select distinct u as node, u as seen from steps
+    union
+    select reach.node, steps.v from reach join steps on steps.u = reach.seen
+),
+least_seen as (select node, min(seen) as component_id from reach group by node)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id
+from words d left join sizes on sizes.doc_id = d.doc_id left join least_seen on node = d.doc_id
+"""
