@@ -1,9 +1,9 @@
 """Quality rules with an isolation forest on rule statistics.
 
-Each text is reduced to rule statistics in one pass. A forest of random splits is grown on a
-bounded sample of rows labelled as good; rows that few splits set apart (short paths) are
-unlike good documents. The path-length score at which a row is rejected is calibrated on all
-labelled rows, from counts per score bin.
+Each text is reduced to rule statistics in one pass: by how much it goes beyond the customary
+range of each rule. A forest of random splits is grown on a bounded sample of rows; rows that
+few splits set apart (short paths) are unlike most documents. The path-length score at which
+a row is rejected is calibrated on all labelled rows, from counts per score bin.
 """
 
 from __future__ import annotations
@@ -20,7 +20,12 @@ SPACES = " \t\n\v\f\r"
 WINDOW = 8
 TREES, LEAVES, BINS = 100, 256, 1000
 MAX_SAMPLE = 4096
-FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "capitals", "digits", "marks", "distinct")
+# Customary range of each rule's value; fixed values.
+RANGES = {
+    "word_length": (3.0, 10.0), "symbols": (0.0, 0.1), "dup_lines": (0.0, 0.3), "repeats": (0.0, 0.3),
+    "capitals": (0.0, 0.3), "digits": (0.0, 0.15), "marks": (0.0, 0.2), "distinct": (1.1, 99.0),
+}
+FEATURES = tuple(RANGES)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -54,7 +59,8 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     digits = sum(map(text.count, "0123456789")) / word_chars
     marks = sum(map(text.count, "!?|#*$%&<>")) / n
     distinct = len(set(words)) / n**0.85  # Heaps' law: about level over lengths
-    return counts, [word_chars / n, symbols / n, dup_lines / len(lines), repeats / n, capitals, digits, marks, distinct]
+    values = (word_chars / n, symbols / n, dup_lines / len(lines), repeats / n, capitals, digits, marks, distinct)
+    return counts, [min(0.0, value - low) + max(0.0, value - high) for value, (low, high) in zip(values, RANGES.values())]
 
 
 def rule_statistics(documents: DataFrame) -> DataFrame:
@@ -136,20 +142,16 @@ def quality_rules(documents: DataFrame, labels: DataFrame, max_sample: int = MAX
     ``base_failed``: under 20 words, or more than 30 % of the words in repeated 8-word windows.
     ``kept`` is false for those, else true where the anomaly score stays under the calibrated
     bound. NULL, empty and wordless texts have zero counts and fail the base rules. The forest
-    grows on at most ``max_sample`` good labelled rows (without any, on as many rows of the
-    table); without labels of both kinds no row is rejected by score. Repeated rows give
-    repeated results, a NULL doc_id is carried through, other columns are ignored, an empty
-    table gives no rows.
+    grows on at most ``max_sample`` rows that pass the base rules; without labels of both kinds no
+    row is rejected by score. Repeated rows give repeated results, a NULL doc_id is carried
+    through, other columns are ignored, an empty table gives no rows.
     """
     rows = durable(rule_statistics(documents))
     rated = narrow(labels, doc_id=F.col("doc_id").cast("long"), quality=F.col("quality").cast("int")).where("doc_id is not null and quality is not null")
     rated = rated.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     base = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
     usable = rows.where(f"not ({base})")
-    good = usable.join(rated.where("quality > 0").select("doc_id"), "doc_id", "left_semi")
-    sample = first_rows(good.dropDuplicates(["doc_id"]), "doc_id", max_sample).select(*FEATURES).toPandas()
-    if sample.empty:
-        sample = first_rows(usable, "doc_id", max_sample).select(*FEATURES).toPandas()
+    sample = first_rows(usable, "doc_id", max_sample).select(*FEATURES).toPandas()
     if sample.empty:
         return rows.select("doc_id", *COUNTS, F.expr(base).alias("base_failed"), F.lit(0.0).alias("anomaly"), F.expr(f"not ({base})").alias("kept"))
     values = sample.to_numpy()
