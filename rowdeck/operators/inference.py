@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowdeck.operators.lanes import Lanes
 
-LANE_ROW_LIMIT = 1_000_000
+_LOADED: dict[str, Callable] = {}  # in a Python worker: the model of the latest call
 
 
 def map_features(df: DataFrame, source: str, out: str, change: Callable[[Column], Column]) -> DataFrame:
@@ -29,26 +31,33 @@ def batch_predict(
 ) -> DataFrame:
     """Add a model's answer per row.
 
-    ``build_model`` runs once per task and returns the model, which is called with
-    batches of at most ``batch_size`` rows and answers one value per row; an exception
-    in it fails the job. ``tasks`` sets how many models run at most.
+    ``build_model`` runs once per Python worker and returns the model, which is called with
+    batches of at most ``batch_size`` rows of the input columns and answers one value per
+    row; an exception in it fails the job. Only the inputs travel to Python, all columns
+    stay as they are. ``tasks`` sets how many models run at most, without an exchange.
     """
     if batch_size < 1:
         raise ValueError("a batch needs at least one row")
-    source = df if tasks is None else df.repartition(tasks)
-    schema = T.StructType([*source.schema.fields, *T.StructType.fromDDL(f"{out} {out_type}").fields])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = build_model()
-        for frame in frames:
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        if name not in _LOADED:
+            _LOADED.clear()
+            _LOADED[name] = build_model()
+        model = _LOADED[name]
+        for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)
+            frame = pd.DataFrame(dict(zip(inputs, columns)))
+            answers = []
             for low in range(0, len(frame), batch_size):
                 batch = frame.iloc[low : low + batch_size]
-                answers = model(batch[inputs])
-                if len(answers) != len(batch):
+                answers.append(np.asarray(model(batch)))
+                if len(answers[-1]) != len(batch):
                     raise ValueError("the model must answer one value per row")
-                yield batch.assign(**{out: np.asarray(answers)})
+            yield pd.Series(np.concatenate(answers)) if answers else pd.Series([], dtype="float64")
 
-    return source.mapInPandas(run, schema)
+    source = df if tasks is None else df.coalesce(tasks)
+    return source.withColumn(out, F.pandas_udf(run, out_type)(*[F.col(c) for c in inputs]))
 
 
 def linear_model(weights: np.ndarray, features: str) -> Callable[[], Callable]:
@@ -74,22 +83,31 @@ def predict_sample(df: DataFrame, size: int, order: str, **predict) -> DataFrame
 def apply_per_lane(
     df: DataFrame,
     lanes: Lanes,
-    function: Callable[[pd.DataFrame], pd.DataFrame],
+    function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
     schema: str | T.StructType,
     pos: str = "pos",
 ) -> DataFrame:
-    """Run a pandas function on each lane, its rows sorted by position.
+    """Run a pandas function on each lane, its rows in the order of their positions.
 
-    An escape hatch: a lane is one pandas frame in one task, so lanes whose size is not
-    bounded by ``LANE_ROW_LIMIT`` are refused. Cut into ``Batches`` for large tables.
+    The function gets an iterator of frames, one lane's rows bit by bit, and yields frames,
+    so a lane may be of any size: its rows are sorted on disk and streamed. One lane is
+    one task's work, since the function may carry state along it.
     """
-    if lanes.largest > LANE_ROW_LIMIT:
-        raise ValueError(f"a lane may hold {lanes.largest} rows, over {LANE_ROW_LIMIT}; use smaller lanes")
+    laned = df.withColumn("_lane", lanes.lane(F.col(pos))).repartition("_lane").sortWithinPartitions("_lane", pos)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return function(frame.drop(columns="_lane").sort_values(pos, ignore_index=True))
-
-    return df.withColumn("_lane", lanes.lane(F.col(pos))).groupBy("_lane").applyInPandas(run, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts() -> Iterator[tuple[int, pd.DataFrame]]:
+            for frame in frames:
+                borders = np.flatnonzero(np.diff(frame["_lane"].to_numpy())) + 1
+                for low, high in itertools.pairwise([0, *borders.tolist(), len(frame)]):
+                    if high > low:
+                        part = frame.iloc[low:high]
+                        yield part["_lane"].iloc[0], part.drop(columns="_lane").reset_index(drop=True)
+
+        for _, group in itertools.groupby(parts(), key=lambda part: part[0]):
+            yield from function(part for _, part in group)
+
+    return laned.mapInPandas(run, schema)
 
 
 def write_predictions(predictions: DataFrame, path: str, drop: list[str]) -> None:

@@ -21,6 +21,8 @@ def _long(value: int) -> Column:
 class Lanes:
     """``count`` lanes over ``rows`` positions; subclasses supply the rule."""
 
+    even = True  # lanes are of about one size, so one number of cells fits all
+
     def __init__(self, rows: int, count: int):
         if count < 1:
             raise ValueError("at least one lane is needed")
@@ -54,6 +56,10 @@ class Lanes:
         """Position of the lane's ``rank``-th row (inverse of lane and rank)."""
         raise NotImplementedError
 
+    def bounds(self, number: int) -> tuple[int, int] | None:
+        """First position of a lane and the one after its last, where lanes are contiguous."""
+        return None
+
 
 class Strided(Lanes):
     """Round robin: position i goes to lane i mod k."""
@@ -125,6 +131,9 @@ class Batches(Lanes):
     def member(self, lane, rank):
         return lane * _long(self.batch) + rank
 
+    def bounds(self, number):
+        return min(number * self.batch, self.rows), min((number + 1) * self.batch, self.rows)
+
 
 def ceil_chunks(rows: int, count: int) -> Batches:
     """``count`` contiguous chunks of ceil(rows / count); late ones short or empty."""
@@ -139,6 +148,8 @@ def merge_blocks(rows: int, k: int) -> Batches:
 class FloorChunks(Lanes):
     """``count`` contiguous chunks of rows div count; the last also takes the tail."""
 
+    even = False
+
     @property
     def largest(self):
         return self.rows // self.count + self.rows % self.count
@@ -158,26 +169,42 @@ class FloorChunks(Lanes):
     def member(self, lane, rank):
         return self.start(lane) + rank
 
+    def bounds(self, number):
+        whole = self.rows // self.count
+        return number * whole, self.rows if number == self.count - 1 else (number + 1) * whole
+
 
 class Balanced(Lanes):
     """Contiguous lanes whose sizes differ by at most one row: (i * k) div rows."""
 
     def lane(self, pos):
-        return idiv(pos * _long(self.count), _long(max(self.rows, 1)))
+        rows = max(self.rows, 1)
+        if rows * self.count < 1 << 63:
+            return idiv(pos * _long(self.count), _long(rows))
+        # the product needs more than 64 bits: 19 + 19 digits are what a decimal holds
+        product = pos.cast("decimal(19,0)") * _long(self.count).cast("decimal(18,0)")
+        return idiv(product, _long(rows).cast("decimal(19,0)"))
 
     def rank(self, pos):
         return pos - self.start(self.lane(pos))
 
     def start(self, lane):
-        return idiv(lane * _long(self.rows) + _long(self.count - 1), _long(self.count))
+        # ceil(lane * rows / count) with the whole part apart, so that no product overflows
+        whole, extra = divmod(self.rows, self.count)
+        return lane * _long(whole) + idiv(lane * _long(extra) + _long(self.count - 1), _long(self.count))
 
     def member(self, lane, rank):
         return self.start(lane) + rank
 
+    def bounds(self, number):
+        return -(-number * self.rows // self.count), -(-(number + 1) * self.rows // self.count)
+
 
 class HeadTail(Lanes):
     """Lane 0 is the first int(rows * percent / 100) rows, lane 1 the rest."""
 
+    even = False
+
     def __init__(self, rows: int, percent: int | float | str):
         share = Fraction(str(percent))
         if not 0 <= share <= 100:
@@ -208,9 +235,16 @@ class HeadTail(Lanes):
     def member(self, lane, rank):
         return self.start(lane) + rank
 
+    def bounds(self, number):
+        return (0, self.head) if number == 0 else (self.head, self.rows)
+
 
 class Pairs(Lanes):
-    """Neighbouring lanes 2i and 2i+1 of another rule, taken together."""
+    """Neighbouring lanes 2i and 2i+1 of another rule, taken together.
+
+    A rule for shuffling pairs: it knows lanes and their starts, not the order of positions
+    inside a pair, so operators that need ``rank`` or ``member`` refuse it.
+    """
 
     def __init__(self, inner: Lanes):
         super().__init__(inner.rows, -(-inner.count // 2))
@@ -226,6 +260,12 @@ class Pairs(Lanes):
     def start(self, lane):
         return self.inner.start(F.least(lane * 2, _long(self.inner.count)))
 
+    def rank(self, pos):
+        raise TypeError("paired lanes have no order of positions inside a pair")
+
+    def member(self, lane, rank):
+        raise TypeError("paired lanes have no order of positions inside a pair")
+
 
 def with_lane(df: DataFrame, lanes: Lanes, pos: str = "pos", out: str = "lane") -> DataFrame:
     """Add the lane number as a column."""
@@ -233,12 +273,16 @@ def with_lane(df: DataFrame, lanes: Lanes, pos: str = "pos", out: str = "lane")
 
 
 def only_lane(df: DataFrame, lanes: Lanes, number: int, pos: str = "pos") -> DataFrame:
-    """Rows of one lane."""
-    return df.filter(lanes.lane(F.col(pos)) == number)
+    """Rows of one lane; of a contiguous lane by its bounds, which reach the scan."""
+    bounds = lanes.bounds(number)
+    if bounds is None or not 0 <= number < lanes.count:
+        return df.filter(lanes.lane(F.col(pos)) == number)
+    return df.filter((F.col(pos) >= bounds[0]) & (F.col(pos) < bounds[1]))
 
 
 def split(df: DataFrame, lanes: Lanes, pos: str = "pos") -> list[DataFrame]:
-    """One DataFrame per lane, lazily filtered."""
+    """One DataFrame per lane, lazily filtered: k lanes are k scans, pruned by position where
+    lanes are contiguous. To write all lanes at once use ``repartition_lanes``."""
     return [only_lane(df, lanes, number, pos) for number in range(lanes.count)]
 
 

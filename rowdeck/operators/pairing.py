@@ -18,8 +18,14 @@ def zip_add(left: DataFrame, right: DataFrame, a: str, b: str, pos: str = "pos",
 
 
 def gather(df: DataFrame, indices: DataFrame, pos: str = "pos", src: str = "src") -> DataFrame:
-    """``out[i] = data[indices[i]]``: ``indices`` is ``(pos, src)``."""
-    return indices.join(df.withColumnRenamed(pos, src), src)
+    """``out[i] = data[indices[i]]``: ``indices`` is ``(pos, src)``.
+
+    An index at which the data has no row fails the job, as it does for a list.
+    """
+    data = df.withColumnRenamed(pos, src).withColumn("_there", F.lit(True))
+    absent = F.raise_error(F.lit("an index points at no row")).cast("bigint")
+    joined = indices.join(data, src, "left")
+    return joined.withColumn(pos, F.when(F.col("_there"), F.col(pos)).otherwise(absent)).drop("_there")
 
 
 def concat(left: DataFrame, right: DataFrame, pos: str = "pos", left_rows: int | None = None) -> DataFrame:
@@ -45,9 +51,14 @@ def flatten(df: DataFrame, columns: list[str], kind: str, pos: str = "pos") -> D
     return exploded.select((F.col("_row") * F.lit(width) + F.col("_nth")).alias(pos), "value")
 
 
-def lookup_label(df: DataFrame, labels: DataFrame, index: str, key: str) -> DataFrame:
-    """Class index to label. No broadcast is forced: Spark checks the table's size."""
-    return df.join(labels, F.col(index) == F.col(key)).drop(key)
+def lookup_label(df: DataFrame, labels: DataFrame, index: str, key: str, strict: bool = False) -> DataFrame:
+    """Class index to label; every row stays. A class without a label gets NULLs or, when
+    ``strict``, fails the job. No broadcast is forced: Spark checks the table's size."""
+    joined = df.join(labels.withColumn("_known", F.lit(True)), F.col(index) == F.col(key), "left").drop(key)
+    if strict:
+        absent = F.raise_error(F.lit("a class has no label")).cast(df.schema[index].dataType)
+        joined = joined.withColumn(index, F.when(F.col("_known"), F.col(index)).otherwise(absent))
+    return joined.drop("_known")
 
 
 def apply_cast(df: DataFrame, columns: dict[str, str]) -> DataFrame:

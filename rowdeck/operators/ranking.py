@@ -15,16 +15,35 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as
 from rowdeck.functions import idiv
 from rowdeck.functions.hashing import slice_of
 from rowdeck.operators.lanes import Lanes
-from rowdeck.session import row_count, task_limit
+from rowdeck.session import row_count, row_width, task_limit
 
 CELL_ROWS = 1 << 17  # a lane of up to so many rows is one cell and needs no counting pass
 TASK_ROWS = 1 << 13  # no more tasks than one per so many rows
+CELL_BYTES, TASK_BYTES, MAX_TASK_BYTES = 1 << 24, 1 << 22, 1 << 28  # the same for wide rows, and the most for a task
 SAMPLES_PER_CELL = 64
 
 LANE, DRAW, CELL, TASK, BASE, SPOT = "_lane", "_draw", "_cell", "_task", "_base", "_spot"
 INDEX_BITS = 33  # of monotonically_increasing_id: the row's index in its partition
 
 
+def shares(df: DataFrame, rows: int, tasks: int | None) -> tuple[int, int, int]:
+    """Rows of a cell, rows a task has at least, and the most tasks: by rows and by bytes, or as
+    the caller asks."""
+    if tasks is not None:
+        if tasks < 1:
+            raise ValueError("at least one task is needed")
+        return max(1, -(-rows // tasks)), 1, tasks
+    width = row_width(df)
+    limit = max(task_limit(df.sparkSession, rows), -(-rows * width // MAX_TASK_BYTES))
+    return min(CELL_ROWS, max(1, CELL_BYTES // width)), min(TASK_ROWS, max(1, TASK_BYTES // width)), limit
+
+
+def laid_out(df: DataFrame, pos: str) -> DataFrame:
+    """Note on a result that its partitions hold consecutive positions, for ordered sinks."""
+    df._rowdeck_laid_out = pos
+    return df
+
+
 def refuse_existing(df: DataFrame, out: str) -> None:
     if out in df.columns:
         raise ValueError(f"the table already has a column {out}")
@@ -58,45 +77,80 @@ def _with_counted_base(indexed: DataFrame, tagged: DataFrame, out: str) -> DataF
     return indexed.join(F.broadcast(base), TASK).withColumn(out, F.col(out) + F.col(BASE)).drop(BASE)
 
 
-def cells_in_lanes(df: DataFrame, lanes: Lanes, pos: Column, draw: Column) -> tuple[DataFrame, int, int]:
+def _checked(lanes: Lanes, pos: Column) -> Column:
+    """The position's lane; a position outside the lanes fails the job."""
+    outside = F.raise_error(F.lit(f"a position is not within 0 .. {lanes.rows - 1}")).cast("bigint")
+    return F.when((pos >= 0) & (pos < lanes.rows), lanes.lane(pos)).otherwise(outside)
+
+
+def cells_in_lanes(
+    df: DataFrame, lanes: Lanes, pos: Column, draw: Column, tasks: int | None = None
+) -> tuple[DataFrame, int, int]:
     """Tag rows with lane, draw, cell and task; returns cells per lane and tasks too.
 
     Draws must be hash-uniform: equal slices of the draw range are what keeps the cells
     of a lane even, however large the lane is.
     """
-    limit = task_limit(df.sparkSession, lanes.rows)
-    needed = -(-lanes.largest // CELL_ROWS)
+    cell_rows, task_rows, limit = shares(df, lanes.rows, tasks)
+    needed = -(-lanes.largest // cell_rows)
     per_lane = max(1, min(needed, -(-limit // lanes.count)))
-    tagged = df.withColumn(LANE, lanes.lane(pos)).withColumn(DRAW, draw)
+    tagged = df.withColumn(LANE, _checked(lanes, pos)).withColumn(DRAW, draw)
     tagged = tagged.withColumn(CELL, F.col(LANE) * F.lit(per_lane) + slice_of(F.col(DRAW), per_lane))
     cells = lanes.count * per_lane
-    tasks = min(cells if cells <= 2 * limit else limit, max(1, -(-lanes.rows // TASK_ROWS)))
-    return _with_task(tagged, cells, tasks), per_lane, tasks
+    parts = min(cells if cells <= 2 * limit else limit, max(1, -(-lanes.rows // task_rows)))
+    return _with_task(tagged, cells, parts), per_lane, parts
+
+
+def _uneven(df: DataFrame, lanes: Lanes, pos: Column, draw: Column, tasks: int | None) -> tuple[DataFrame, int]:
+    """Tag rows of lanes of very different sizes with lane, draw and task: a row's task follows
+    from where its slice of its lane should begin in the result, so tasks are even in rows."""
+    cell_rows, task_rows, limit = shares(df, lanes.rows, tasks)
+    parts = max(1, min(limit, -(-lanes.rows // min(cell_rows, max(task_rows, -(-lanes.rows // limit))))))
+    tagged = df.withColumn(LANE, _checked(lanes, pos)).withColumn(DRAW, draw)
+    size = lanes.size(F.col(LANE))
+    slices = F.greatest(idiv(size * F.lit(parts), max(1, lanes.rows)), F.lit(1).cast("bigint"))
+    spot = lanes.start(F.col(LANE)) + idiv(slice_of(F.col(DRAW), slices) * size, slices)
+    return tagged.withColumn(TASK, idiv(spot * F.lit(parts), max(1, lanes.rows)).cast("int")), parts
 
 
 def position_in_lanes(
-    df: DataFrame, lanes: Lanes, pos: Column, draw: Column, key: list[str], out: str
+    df: DataFrame, lanes: Lanes, pos: Column, draw: Column, key: list[str], out: str, tasks: int | None = None
 ) -> DataFrame:
     """Add ``_lane`` and the position of each row when lanes are laid end to end and
     rows inside a lane are in the order of (draw, key)."""
     refuse_existing(df, out)
-    tagged, per_lane, tasks = cells_in_lanes(df, lanes, pos, draw)
+    if not lanes.even:
+        tagged, parts = _uneven(df, lanes, pos, draw, tasks)
+        placed = _with_index(tagged, parts, [LANE, DRAW, *key], out)
+        placed = _with_counted_base(placed, tagged, out) if parts > 1 else placed
+        return placed.drop(DRAW, TASK)
+    tagged, per_lane, parts = cells_in_lanes(df, lanes, pos, draw, tasks)
     cells = lanes.count * per_lane
-    order = [DRAW, *key] if tasks == cells else [CELL, DRAW, *key]
-    placed = _with_index(tagged, tasks, order, out)
+    order = [DRAW, *key] if parts == cells else [CELL, DRAW, *key]
+    placed = _with_index(tagged, parts, order, out)
     if per_lane == 1:
-        # whole lanes per task: the task starts where its first lane does
-        first = F.col(TASK).cast("bigint")
-        if tasks < cells:
-            first = idiv(first * F.lit(cells) + F.lit(tasks - 1), tasks)
-        placed = placed.withColumn(out, lanes.start(first) + F.col(out))
+        # whole lanes per task: the task starts where its first lane does, and ends before the next one's
+        def first(task: Column) -> Column:
+            lane = idiv(task * F.lit(cells) + F.lit(parts - 1), parts) if parts < cells else task
+            return lanes.start(F.least(lane, F.lit(lanes.count).cast("bigint")))
+
+        task = F.col(TASK).cast("bigint")
+        spot = first(task) + F.col(out)
+        over = F.raise_error(F.lit("a lane holds more rows than its rule allows")).cast("bigint")
+        placed = placed.withColumn(out, F.when(spot < first(task + 1), spot).otherwise(over))
     else:
         placed = _with_counted_base(placed, tagged, out)
     return placed.drop(DRAW, CELL, TASK)
 
 
 def position_by_value(
-    df: DataFrame, value: Column, tie: Column, key: list[str], out: str, rows: int | None = None
+    df: DataFrame,
+    value: Column,
+    tie: Column,
+    key: list[str],
+    out: str,
+    rows: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add the position of each row in the order of (value, tie, key).
 
@@ -107,7 +161,8 @@ def position_by_value(
     """
     refuse_existing(df, out)
     total = row_count(df, rows)
-    cells = max(1, min(task_limit(df.sparkSession, total), -(-total // CELL_ROWS)))
+    cell_rows, _, limit = shares(df, total, tasks)
+    cells = max(1, min(limit, -(-total // cell_rows)))
     tagged = df.withColumn("_value", value).withColumn("_tie", tie)
     if not isinstance(tagged.schema["_value"].dataType, T.NumericType):
         raise TypeError("rows can be put in the order of numbers only")
@@ -119,7 +174,24 @@ def position_by_value(
     placed = _with_index(tagged, cells, [F.col("_value").asc_nulls_last(), F.col("_tie"), *key], out)
     if cells > 1:
         placed = _with_counted_base(placed, tagged, out)
-    return placed.drop("_value", "_tie", CELL, TASK)
+    return laid_out(placed.drop("_value", "_tie", CELL, TASK), out)
+
+
+BLOCK = 1 << 16
+
+
+def sum_of_earlier(df: DataFrame, index: str, value: str, out: str) -> DataFrame:
+    """Add the sum of ``value`` over rows of a smaller ``index``, a distinct number from 0 up.
+
+    Two levels: inside blocks of neighbouring indices, then over one row per block.
+    """
+    blocks = df.withColumn("_block", idiv(F.col(index), BLOCK))
+    inside = Window.partitionBy("_block").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocks.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    totals = totals.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_earlier"))
+    summed = blocks.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, "_block")
+    return summed.withColumn(out, (F.col(out) + F.col("_earlier")).cast("bigint")).drop("_block", "_earlier")
 
 
 LIMIT = 1.7976931348623157e308  # the largest finite double

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowdeck.functions import coin, idiv
-from rowdeck.operators.ranking import INDEX_BITS
+from rowdeck.operators.ranking import INDEX_BITS, sum_of_earlier
 from rowdeck.session import row_count, task_limit
 
 TASK_SLOTS = 1 << 16  # slots tossed in one task, where the cluster has tasks to spare
@@ -51,8 +51,8 @@ def _coin_slots(spark: SparkSession, rows: int, lane_slots: int, width: int, see
         if rows <= lane_slots:
             return numbered
         lanes = kept.groupBy(start).agg(F.count(F.lit(1)).alias("kept"))
-        before = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-        earlier = lanes.select("start", F.coalesce(F.sum("kept").over(before), F.lit(0)).alias("earlier"))
+        lanes = lanes.withColumn("lane", idiv(F.col("start"), lane_slots))
+        earlier = sum_of_earlier(lanes, "lane", "kept", "earlier").select("start", "earlier")
         if -(-rows // lane_slots) <= BROADCAST_LANES:
             earlier = F.broadcast(earlier)
         joined = numbered.join(earlier, "start")

@@ -2,14 +2,14 @@
 
 ``key`` must be unique (equal keys would draw equal hashes and land side by side); a
 dense position column always qualifies. Results depend on data and seed only, never on
-partitioning.
+partitioning. ``tasks`` sets how many tasks sort; else they follow rows and bytes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowdeck.functions.hashing import row_draw
+from rowdeck.functions.hashing import LANES, ORDER, SAMPLE, row_draw
 from rowdeck.operators.lanes import Batches, Lanes, Pairs, Strided, ceil_chunks, half_rotate, merge_blocks
 from rowdeck.operators.ranking import (
     BASE,
@@ -18,6 +18,7 @@ from rowdeck.operators.ranking import (
     LANE,
     TASK,
     cells_in_lanes,
+    laid_out,
     position_by_value,
     position_in_lanes,
     refuse_existing,
@@ -26,7 +27,6 @@ from rowdeck.operators.riffle import riffle_pairs
 from rowdeck.session import row_count
 
 TOP_LIMIT = 10_000  # samples up to this size are taken as a top-k
-POOL_LIMIT = 1 << 20  # tables up to this size are sampled without a first cut
 _RANK = "_rank"
 
 
@@ -35,14 +35,15 @@ def _keys(key: str | list[str]) -> list[str]:
 
 
 def keyed_shuffle(
-    df: DataFrame, key: str | list[str], seed: int, out: str = "pos", rows: int | None = None
+    df: DataFrame, key: str | list[str], seed: int, out: str = "pos", rows: int | None = None, tasks: int | None = None
 ) -> DataFrame:
     """Uniform random order of the whole table as a dense position column."""
     keys = _keys(key)
     total = row_count(df, rows)
     whole = Batches(total, max(total, 1))
     nowhere = F.lit(0).cast("bigint")  # one lane, whatever the position
-    return position_in_lanes(df, whole, nowhere, row_draw(df, seed, keys), keys, out).drop(LANE)
+    placed = position_in_lanes(df, whole, nowhere, row_draw(df, ORDER, seed, keys), keys, out, tasks)
+    return laid_out(placed.drop(LANE), out)
 
 
 def rand_shuffle(df: DataFrame, seed: int | None = None) -> DataFrame:
@@ -51,11 +52,13 @@ def rand_shuffle(df: DataFrame, seed: int | None = None) -> DataFrame:
     return df.orderBy(F.rand(seed))
 
 
-def shuffle_order(df: DataFrame, key: str | list[str], seed: int, draw: str = "draw") -> tuple[DataFrame, list[str]]:
+def shuffle_order(
+    df: DataFrame, key: str | list[str], seed: int, draw: str = "draw", use: int = ORDER
+) -> tuple[DataFrame, list[str]]:
     """Columns to sort by for the order of ``keyed_shuffle``, for sinks that only need
     the rows in that order and no position."""
     keys = _keys(key)
-    return df.withColumn(draw, row_draw(df, seed, keys)), [draw, *keys]
+    return df.withColumn(draw, row_draw(df, use, seed, keys)), [draw, *keys]
 
 
 def lane_shuffle(
@@ -66,19 +69,20 @@ def lane_shuffle(
     pos: str = "pos",
     out: str = "new_pos",
     draw: Column | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Shuffle inside each lane and concatenate the lanes."""
     keys = _keys(key)
-    chosen = row_draw(df, seed, keys) if draw is None else draw
-    return position_in_lanes(df, lanes, F.col(pos), chosen, keys, out).drop(LANE)
+    chosen = row_draw(df, LANES, seed, keys) if draw is None else draw
+    return laid_out(position_in_lanes(df, lanes, F.col(pos), chosen, keys, out, tasks).drop(LANE), out)
 
 
 def lane_shuffle_in_place(
-    df: DataFrame, lanes: Lanes, key: str | list[str], seed: int, pos: str = "pos", out: str = "new_pos"
+    df: DataFrame, lanes: Lanes, key: str | list[str], seed: int, pos: str = "pos", out: str = "new_pos", tasks: int | None = None
 ) -> DataFrame:
     """Permute the rows of each lane among the positions the lane already holds."""
     keys = _keys(key)
-    ranked = position_in_lanes(df, lanes, F.col(pos), row_draw(df, seed, keys), keys, out)
+    ranked = position_in_lanes(df, lanes, F.col(pos), row_draw(df, LANES, seed, keys), keys, out, tasks)
     rank = F.col(out) - lanes.start(F.col(LANE))
     return ranked.withColumn(out, lanes.member(F.col(LANE), rank)).drop(LANE)
 
@@ -90,13 +94,15 @@ def column_lane_shuffle(
     seed: int,
     out: str = "new_pos",
     rows: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Lane shuffle where the lane is a numeric data column of any skew: lanes follow
     one another in ascending order, rows inside a lane are in random order."""
     keys = _keys(key)
-    drawn = df.withColumn("_order", row_draw(df, seed, keys))
+    drawn = df.withColumn("_order", row_draw(df, LANES, seed, keys))
     tie = F.shiftright(F.col("_order"), 1) + F.lit(1 << 62)
-    return position_by_value(drawn, F.col(lane), tie, ["_order", *keys], out, rows).drop("_order")
+    placed = position_by_value(drawn, F.col(lane), tie, ["_order", *keys], out, rows, tasks)
+    return laid_out(placed.drop("_order"), out)
 
 
 def batch_shuffle(
@@ -107,25 +113,26 @@ def batch_shuffle(
     pos: str = "pos",
     out: str = "new_pos",
     rows: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Shuffle inside fixed-size batches of consecutive rows."""
-    return lane_shuffle(df, Batches(row_count(df, rows), size), key, seed, pos, out)
+    return lane_shuffle(df, Batches(row_count(df, rows), size), key, seed, pos, out, tasks=tasks)
 
 
 def rotate_shuffle(
-    df: DataFrame, lanes: Lanes, seed: int, pos: str = "pos", out: str = "new_pos"
+    df: DataFrame, lanes: Lanes, seed: int, pos: str = "pos", out: str = "new_pos", tasks: int | None = None
 ) -> DataFrame:
     """Half-rotate each lane, then shuffle it; draws belong to the rotated places."""
     turned = half_rotate(df, lanes, pos, "_turned")
-    return lane_shuffle(turned, lanes, "_turned", seed, pos, out).drop("_turned")
+    return laid_out(lane_shuffle(turned, lanes, "_turned", seed, pos, out, tasks=tasks).drop("_turned"), out)
 
 
 def chunk_then_global_shuffle(
-    df: DataFrame, key: str | list[str], seed: int, out: str = "pos", rows: int | None = None
+    df: DataFrame, key: str | list[str], seed: int, out: str = "pos", rows: int | None = None, tasks: int | None = None
 ) -> DataFrame:
     """Shuffled chunks followed by a shuffle of the whole: the last step alone decides
     the order, so one keyed shuffle gives the same distribution for one exchange."""
-    return keyed_shuffle(df, key, seed, out, rows)
+    return keyed_shuffle(df, key, seed, out, rows, tasks)
 
 
 def pair_exchange(
@@ -136,9 +143,10 @@ def pair_exchange(
     pos: str = "pos",
     out: str = "new_pos",
     rows: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Strided lanes mixed two by two: lanes 2i and 2i+1 are shuffled together."""
-    return lane_shuffle(df, Pairs(Strided(row_count(df, rows), count)), key, seed, pos, out)
+    return lane_shuffle(df, Pairs(Strided(row_count(df, rows), count)), key, seed, pos, out, tasks=tasks)
 
 
 def cyclic_shuffle(
@@ -149,6 +157,7 @@ def cyclic_shuffle(
     pos: str = "pos",
     out: str = "new_pos",
     rows: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Contiguous chunks permuted by one random cycle each, so that no row of a chunk
     with two or more rows stays where it was.
@@ -159,9 +168,9 @@ def cyclic_shuffle(
     keys = _keys(key)
     lanes = ceil_chunks(row_count(df, rows), count)
     refuse_existing(df, out)
-    tagged, per_lane, tasks = cells_in_lanes(df, lanes, F.col(pos), row_draw(df, seed, keys))
+    tagged, per_lane, parts = cells_in_lanes(df, lanes, F.col(pos), row_draw(df, LANES, seed, keys), tasks)
     order = Window.partitionBy(TASK, CELL).orderBy(DRAW, *keys)
-    placed = tagged.repartitionById(tasks, F.col(TASK)).withColumn(out, F.lead(pos).over(order))
+    placed = tagged.repartitionById(parts, F.col(TASK)).withColumn(out, F.lead(pos).over(order))
     if per_lane == 1:
         closed = placed.withColumn(out, F.coalesce(F.col(out), F.first(pos).over(order)))
         return closed.drop(LANE, DRAW, CELL, TASK)
@@ -195,19 +204,22 @@ def merge_shuffle(
 
     By default every merge ends in a shuffle of the merged block, which makes the result
     uniform, so the one keyed shuffle that has that distribution is run. ``coarse``
-    leaves those shuffles out and really merges: rows keep their order inside a block.
+    leaves those shuffles out and really merges: rows keep their order inside a block. Only
+    positions go through the rounds; the other columns are joined once, at the end.
     """
     total = row_count(df, rows)
     if not coarse:
         return keyed_shuffle(df, key, seed, out, total)
+    refuse_existing(df, out)
     blocks = merge_blocks(total, k)
-    shuffled = lane_shuffle(df, blocks, key, seed, pos, out)
+    narrow = df.select(*dict.fromkeys([pos, *_keys(key)]))
+    moved = lane_shuffle(narrow, blocks, key, seed, pos, out).select(pos, out)
     width, step = blocks.batch, 0
     while width < total:
         step += 1
-        shuffled = riffle_pairs(shuffled, total, width, seed + step, pos=out, out=out)
+        moved = riffle_pairs(moved, total, width, seed + step, pos=out, out=out)
         width *= 2
-    return shuffled
+    return df.join(moved, pos).select(*df.columns, out)
 
 
 def permutation(df: DataFrame, key: str, seed: int, rows: int | None = None) -> DataFrame:
@@ -221,14 +233,14 @@ def sample_k(
     """Exactly ``min(size, rows)`` rows, uniformly without replacement: those with the
     smallest draws.
 
-    Large tables are first cut to the rows below a draw that leaves a few more than
-    ``size``; the cut is counted, and widened in the rare case that it left too few.
+    The table is first cut to the rows below a draw that leaves a few more than ``size``;
+    the cut is counted, and widened in the rare case that it left too few.
     """
     keys = _keys(key)
     total = row_count(df, rows)
-    pool, order = shuffle_order(df, keys, seed, DRAW)
+    pool, order = shuffle_order(df, keys, seed, DRAW, SAMPLE)
     wanted = size + 10 * int(size**0.5) + 100
-    while total > POOL_LIMIT and wanted < total:
+    while wanted < total:
         limit = wanted * (1 << 64) // total - (1 << 63)
         smaller = pool.filter(F.col(DRAW) < limit)
         if smaller.count() >= size:

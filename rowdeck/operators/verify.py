@@ -8,6 +8,7 @@ from rowdeck.functions import idiv
 from rowdeck.operators.pairing import missing_elements
 
 CHUNK_ROWS = 1 << 15  # positions compared in one window
+MEASURES = ("a", "b", "moved", "descents", "bad", "repeated")
 
 
 def value_report(original: DataFrame, shuffled: DataFrame, value: str) -> DataFrame:
@@ -52,40 +53,66 @@ def verify_elements(original: DataFrame, shuffled: DataFrame, value: str) -> Dat
     return missing.agg(F.count(F.lit(1)).alias("missing")).withColumn("all_present", F.col("missing") == 0)
 
 
-def _compared(original: DataFrame, shuffled: DataFrame, pos: str, value: str) -> DataFrame:
+def _compared(
+    original: DataFrame, shuffled: DataFrame, pos: str, value: str, bounded: bool = True
+) -> DataFrame:
     """All rows of both tables, each output row compared with the input row at its
     position and with the output row before it.
 
     Both tables meet in chunks of consecutive positions, in one exchange; the last row
     of a chunk is repeated at the head of the next one so that neighbours across the
-    border are compared too.
+    border are compared too. Rows whose position is NULL, negative or past the input's
+    end are counted as ``bad`` and kept out of the chunks, as are the rows of chunks with more
+    output rows than positions: there only ``repeated`` positions are counted, by
+    aggregation, so no number of rows on one position meets in one task.
     """
-    first = original.select(
-        F.col(pos).alias("p"), F.col(value).alias("v"), F.lit(0).alias("side"), F.lit(0).alias("ahead")
+    size = original.agg(F.count(F.lit(1)).alias("n")).scalar()
+    both = original.select(F.col(pos).alias("p"), F.col(value).alias("v"), F.lit(0).alias("side")).unionByName(
+        shuffled.select(F.col(pos).alias("p"), F.col(value).alias("v"), F.lit(1).alias("side"))
     )
+    output = F.col("side") == 1
+    within = F.col("p").isNotNull() & (F.col("p") >= 0) & ((F.col("p") < size) | ~output if bounded else F.lit(True))
+    both = both.withColumn("within", within).withColumn("home", idiv(F.col("p"), CHUNK_ROWS))
+    full = both.filter("within and side = 1").groupBy("home").agg(F.count(F.lit(1)).alias("_size"))
+    full = full.filter(F.col("_size") > CHUNK_ROWS).select("home", F.lit(True).alias("crowded"))
+    both = both.join(full, "home", "left").withColumn("plain", F.col("within") & F.col("crowded").isNull())
+
     border = F.pmod(F.col("p"), F.lit(CHUNK_ROWS)) == CHUNK_ROWS - 1
-    copies = F.when(border, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    second = shuffled.select(F.col(pos).alias("p"), F.col(value).alias("v"), F.lit(1).alias("side"))
-    rows = first.unionByName(second.select("*", F.explode(copies).alias("ahead")))
-    rows = rows.withColumn("chunk", idiv(F.col("p"), CHUNK_ROWS) + F.col("ahead"))
+    copies = F.when(border & output, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = both.filter("plain").select("p", "v", "side", "home", F.explode(copies).alias("ahead"))
+    rows = rows.withColumn("chunk", F.col("home") + F.col("ahead"))
     order = Window.partitionBy("chunk").orderBy("p", "side")
     lags = {
         f"{name}{back}": F.lag(name, back).over(order) for back in (1, 2) for name in ("p", "v", "side")
     }
     rows = rows.withColumns(lags).filter(F.col("ahead") == 0)
-    output = F.col("side") == 1
     paired = output & (F.col("side1") == 0) & (F.col("p1") == F.col("p"))
     one_back = F.col("side1") == 1
     before_pos = F.when(one_back, F.col("p1")).when(F.col("side2") == 1, F.col("p2"))
     before = F.when(one_back, F.col("v1")).when(F.col("side2") == 1, F.col("v2"))
-    return rows.select(
+    nothing = F.lit(0)
+    found = rows.select(
         "v",
         (1 - F.col("side")).alias("a"),
         F.col("side").alias("b"),
         _flag(paired).alias("pairs"),
         _flag(paired & ~F.col("v1").eqNullSafe(F.col("v"))).alias("moved"),
         _flag(output & (before_pos == F.col("p") - 1) & (before > F.col("v"))).alias("descents"),
+        nothing.alias("bad"),
+        _flag(output & one_back & (F.col("p1") == F.col("p"))).cast("bigint").alias("repeated"),
     )
+    rest = both.filter("not plain").select(
+        "v",
+        (1 - F.col("side")).alias("a"),
+        F.col("side").alias("b"),
+        *[nothing.alias(name) for name in ("pairs", "moved", "descents")],
+        _flag(~F.col("within")).alias("bad"),
+        nothing.cast("bigint").alias("repeated"),
+    )
+    crowds = both.filter("within and crowded and side = 1").groupBy("p").agg((F.count(F.lit(1)) - 1).alias("repeated"))
+    none = F.lit(None).cast(original.select(value).schema[0].dataType)
+    crowds = crowds.select(none.alias("v"), *[nothing.alias(name) for name in ("a", "b", "pairs", "moved", "descents", "bad")], "repeated")
+    return found.unionByName(rest).unionByName(crowds)
 
 
 def _flag(condition: Column) -> Column:
@@ -97,52 +124,51 @@ def _total(name: str) -> Column:
 
 
 def position_report(original: DataFrame, shuffled: DataFrame, pos: str, value: str) -> DataFrame:
-    """One row: ``pairs`` of equal position, how many ``moved``, and ``descents``
-    (neighbours of the output in falling order)."""
+    """One row: ``pairs`` of equal position, how many ``moved``, ``descents`` (neighbours of
+    the output in falling order), output rows at ``bad`` positions and on ``repeated`` ones."""
     rows = _compared(original, shuffled, pos, value)
-    return rows.agg(*[_total(name) for name in ("pairs", "moved", "descents")])
+    return rows.agg(*[_total(name) for name in ("pairs", "moved", "descents", "bad", "repeated")])
 
 
 def inversions(table: DataFrame, pos: str, value: str) -> DataFrame:
     """One row: neighbours in falling order (zero means sorted)."""
-    empty = table.select(pos, value).limit(0)
-    return position_report(empty, table, pos, value).select(F.col("descents").alias("inversions"))
+    rows = _compared(table.limit(0), table, pos, value, bounded=False)
+    return rows.agg(_total("descents")).withColumnRenamed("descents", "inversions")
 
 
 def shuffle_percentage(original: DataFrame, shuffled: DataFrame, pos: str, value: str) -> DataFrame:
-    """One row: share of the original's positions that hold another value now.
-
-    NULL for an empty table.
+    """One row: share of the original's positions that do not hold their value now, be it that
+    they hold another or none. NULL for an empty table. Whether positions are right is for
+    ``shuffle_audit`` to say.
     """
-    total = original.agg(F.count(F.lit(1)).alias("n")).scalar()
-    paired = original.select(F.col(pos), F.col(value).alias("_a")).join(
-        shuffled.select(F.col(pos), F.col(value).alias("_b")), pos
-    )
-    moved = F.count_if(~F.col("_a").eqNullSafe(F.col("_b")))
-    return paired.agg(moved.alias("moved")).select(
-        total.alias("n"), "moved", F.try_divide(F.col("moved") * F.lit(100.0), total).alias("pct_moved")
+    before = original.select(F.col(pos).alias("_p"), F.col(value).alias("_a"))
+    after = shuffled.select(F.col(pos).alias("_q"), F.col(value).alias("_b"))
+    kept = before.join(after, (F.col("_p") == F.col("_q")) & F.col("_a").eqNullSafe(F.col("_b")), "left_semi")
+    sides = before.select(F.lit(1).alias("n"), F.lit(1).alias("moved")).unionAll(kept.select(F.lit(0), F.lit(-1)))
+    return sides.agg(_total("n"), _total("moved")).withColumn(
+        "pct_moved", F.try_divide(F.col("moved") * F.lit(100.0), F.col("n"))
     )
 
 
 def shuffle_audit(original: DataFrame, shuffled: DataFrame, pos: str = "pos", value: str = "value") -> DataFrame:
     """One row with every measure and a verdict: the first check that fails, in the order
-    length, elements, identical, sorted, or else ``passed``.
+    length, positions, elements, identical, sorted, or else ``passed``. ``bad_positions`` are
+    NULL or outside ``0 .. n-1``, ``repeated`` ones held by an earlier row already; where there are
+    any, ``pct_moved`` and ``inversions`` leave those rows out.
 
     Each table is read once: the comparison by position hands its findings on to the
     count per value, which sums them up along the way.
     """
     rows = _compared(original, shuffled, pos, value)
-    per_value = rows.groupBy("v").agg(*[F.sum(name).alias(name) for name in ("a", "b", "moved", "descents")])
+    per_value = rows.groupBy("v").agg(*[F.sum(name).alias(name) for name in MEASURES])
     totals = per_value.agg(
-        _total("a"),
-        _total("b"),
-        _total("moved"),
-        _total("descents"),
+        *[_total(name) for name in MEASURES],
         F.count_if((F.col("a") > 0) != (F.col("b") > 0)).alias("one_sided"),
         F.count_if(F.col("a") != F.col("b")).alias("unequal"),
     )
     verdict = (
         F.when(F.col("a") != F.col("b"), "length differs")
+        .when((F.col("bad") > 0) | (F.col("repeated") > 0), "positions wrong")
         .when(F.col("one_sided") > 0, "elements differ")
         .when(F.col("moved") == 0, "identical")
         .when(F.col("descents") == 0, "sorted")
@@ -155,5 +181,7 @@ def shuffle_audit(original: DataFrame, shuffled: DataFrame, pos: str = "pos", va
         (F.col("unequal") == 0).alias("multiset_ok"),
         F.try_divide(F.col("moved") * F.lit(100.0), F.col("a")).alias("pct_moved"),
         F.col("descents").alias("inversions"),
+        F.col("bad").alias("bad_positions"),
+        F.col("repeated"),
         verdict.alias("verdict"),
     )

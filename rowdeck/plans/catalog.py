@@ -173,6 +173,13 @@ def _(spark, folder):
     return pairing.lookup_label(rows, names, "label", "key").select("vec_id", "name")
 
 
+@query("class_label_missing")
+def _(spark, folder):
+    rows = table(spark, folder, "embeddings", vec_id="vec_id", label="label")
+    names = table(spark, folder, "region", key="r_regionkey", name="r_name")
+    return pairing.lookup_label(rows, names, "label", "key")
+
+
 # --- lanes ------------------------------------------------------------------------------
 
 
@@ -260,6 +267,14 @@ def _(spark, folder):
     return ordering.concat_in_order(rows, rule, offsets, shuffle_key="pos", seed=SEED).select("pos", "new_pos")
 
 
+@query("lane_offsets_sparse")
+def _(spark, folder):
+    """Many lanes, not all numbers present."""
+    rows = table(spark, folder, "orders", lane="o_custkey", v="o_orderkey")
+    lanes = rows.groupBy("lane").agg(F.count(F.lit(1)).alias("rows"), F.sum("v").alias("total"))
+    return ordering.lane_offsets(lanes, "total")
+
+
 def _nation_lanes(spark, folder) -> tuple[DataFrame, L.Lanes, DataFrame]:
     rows = events(spark, folder)
     nations = table(spark, folder, "nation", lane="n_nationkey", region="n_regionkey")
@@ -302,6 +317,13 @@ def _(spark, folder):
     return shuffles.keyed_shuffle(events(spark, folder, value="value"), "pos", SEED, out="new_pos")
 
 
+@query("shuffle_generated")
+def _(spark, folder):
+    """Values and order drawn with one seed."""
+    rows = events(spark, folder).select("pos", uniform(SEED, "pos").alias("u"))
+    return shuffles.keyed_shuffle(rows, "pos", SEED, out="new_pos")
+
+
 @query("rand_shuffle")
 def _(spark, folder):
     return shuffles.rand_shuffle(events(spark, folder, value="value"), SEED)
@@ -461,6 +483,17 @@ def _(spark, folder):
     return verify.verify_multiset(rows, shuffles.keyed_shuffle(rows, "pos", SEED, out="new_pos"), "value")
 
 
+@query("verify_multiset_false")
+def _(spark, folder):
+    return verify.verify_multiset(table(spark, folder, "part", value="p_partkey"), _parts(spark, folder), "value")
+
+
+@query("verify_set_false")
+def _(spark, folder):
+    left = table(spark, folder, "documents", value="doc_id")
+    return verify.verify_set(left, table(spark, folder, "labels", value="doc_id"), "value")
+
+
 @query("verify_length")
 def _(spark, folder):
     keys = table(spark, folder, "customer", value="c_custkey")
@@ -502,6 +535,16 @@ def _(spark, folder):
     return verify.shuffle_audit(rows, moved.select(F.col("new_pos").alias("pos"), "value"))
 
 
+@query("audit_bad_positions")
+def _(spark, folder):
+    """An output with NULL positions, positions past the end, and many rows on one position."""
+    rows = table(spark, folder, "orders", pos="o_orderkey", value="o_custkey")
+    at = F.col("pos")
+    wrong = F.when(at % 10 == 3, F.lit(None)).when(at % 2 == 1, at + 1_000_000).when(at % 3 == 0, F.lit(6)).otherwise(at)
+    report = verify.shuffle_audit(rows, rows.select(wrong.cast("bigint").alias("pos"), "value"))
+    return report.select("n", "n_out", "set_ok", "multiset_ok", "bad_positions", "repeated", "verdict")
+
+
 # --- inference --------------------------------------------------------------------------
 
 
@@ -550,7 +593,14 @@ def _(spark, folder):
     rows = events(spark, folder, v="user_id")
     rule = L.Batches(rows.count(), 1000)
 
-    def running(frame):
-        return frame.assign(running=frame["v"].cumsum())
-
-    return inference.apply_per_lane(rows, rule, running, "pos bigint, v bigint, running bigint")
+    def fold(frames):
+        """A recurrence along the lane, which no window states: state * 31 + v, modulo a prime."""
+        state = 0
+        for frame in frames:
+            states = []
+            for v in frame["v"]:
+                state = (state * 31 + v) % 1_000_003
+                states.append(state)
+            yield frame.assign(state=states)
+
+    return inference.apply_per_lane(rows, rule, fold, "pos bigint, v bigint, state bigint")

@@ -6,6 +6,8 @@ the random orders are compared value by value.
 
 from __future__ import annotations
 
+from rowdeck.functions.hashing import COIN, GENERATE, LANES, ORDER, SAMPLE
+
 SEED = 7
 
 # The primes of the public 64-bit xxHash specification.
@@ -29,9 +31,9 @@ def _hash_long(value: int, seed: int) -> int:
     return word ^ word >> 32
 
 
-def hashed(relation: str, key: str, seed: int, out: str = "h") -> str:
-    """``relation`` plus the signed draw of a non-negative integer key."""
-    first = (_hash_long(seed % WORD, 42) + P5 + 8) % WORD
+def hashed(relation: str, key: str, seed: int, use: int, out: str = "h") -> str:
+    """``relation`` plus the signed draw of a non-negative integer key, in the stream of ``use``."""
+    first = (_hash_long(use, _hash_long(seed % WORD, 42)) + P5 + 8) % WORD
     steps = [
         f"({key})::UHUGEINT * {P2}::UHUGEINT % {WORD}::UHUGEINT",
         f"(_w * {1 << 31}::UHUGEINT % {WORD}::UHUGEINT + (_w >> 33)) * {P1}::UHUGEINT % {WORD}::UHUGEINT",
@@ -78,12 +80,12 @@ def _lanes(lane: str) -> str:
 
 
 def _lane_shuffle(lane: str, columns: str = "pos, value", key: str = "pos") -> str:
-    ranked = _ranked(hashed(EVENTS, key, SEED), lane, f"h, {key}")
+    ranked = _ranked(hashed(EVENTS, key, SEED, LANES), lane, f"h, {key}")
     return f"SELECT {columns}, start + rank AS new_pos FROM {ranked}"
 
 
-def _shuffled(relation: str, key: str = "pos", seed: int = SEED, out: str = "new_pos") -> str:
-    ranked = hashed(relation, key, seed)
+def _shuffled(relation: str, key: str = "pos", seed: int = SEED, out: str = "new_pos", use: int = ORDER) -> str:
+    ranked = hashed(relation, key, seed, use)
     return f"(SELECT * EXCLUDE (h), (row_number() OVER (ORDER BY h, {key}) - 1)::BIGINT AS {out} FROM {ranked})"
 
 
@@ -91,12 +93,14 @@ STRIDED, DIAGONAL, CHUNKS = "pos % {k}", "(pos + pos // {k}) % {k}", f"pos // ce
 ROOT = f"floor(sqrt({N}))::BIGINT"
 HEAD = f"CASE WHEN pos < {N} * 30 // 100 THEN 0 ELSE 1 END"
 
+_PARTS = "(SELECT row_number() OVER () - 1 AS pos, l_partkey AS value FROM lineitem)"
+
 ORACLES: dict[str, str] = {
     "sequence": "SELECT range AS pos, range AS data FROM range((SELECT count(*) FROM orders))",
-    "hash_uniform": f"SELECT pos, {unit('h')} AS u FROM {hashed('(SELECT event_id AS pos FROM events)', 'pos', SEED)}",
+    "hash_uniform": f"SELECT pos, {unit('h')} AS u FROM {hashed('(SELECT event_id AS pos FROM events)', 'pos', SEED, GENERATE)}",
     "hash_randint": f"""SELECT pos, floor({unit('h')} * 10000)::BIGINT AS below_high,
         floor({unit('h')} * 1000)::BIGINT + 1 AS up_to_high
-        FROM {hashed('(SELECT event_id AS pos FROM events)', 'pos', SEED)}""",
+        FROM {hashed('(SELECT event_id AS pos FROM events)', 'pos', SEED, GENERATE)}""",
     "scan_numbers": "SELECT o_orderkey AS pos, o_custkey::DOUBLE AS value FROM orders",
     "scan_tokens": """SELECT o_orderkey AS pos, 0 AS nth, o_orderkey::INTEGER AS value FROM orders
         UNION ALL SELECT o_orderkey, 1, o_custkey::INTEGER FROM orders""",
@@ -125,6 +129,14 @@ ORACLES: dict[str, str] = {
     "zip_add": "SELECT event_id AS pos, user_id + o_custkey AS total FROM events JOIN orders ON event_id = o_orderkey",
     "argmax": "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS index FROM embeddings",
     "class_label": "SELECT vec_id, n_name AS name FROM embeddings JOIN nation ON label = n_nationkey",
+    "class_label_missing": """SELECT vec_id, label, r_name AS name
+        FROM embeddings LEFT JOIN region ON label = r_regionkey""",
+    "lane_offsets_sparse": """WITH offsets AS (SELECT o_custkey AS lane, count(*) AS rows, sum(o_orderkey)::BIGINT AS total
+        FROM orders GROUP BY o_custkey)
+        SELECT lane, (row_number() OVER w - 1)::BIGINT AS rank, coalesce(sum(rows) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING
+            AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM offsets WINDOW w AS (ORDER BY total, lane)""",
+    "shuffle_generated": f"""SELECT pos, u, (row_number() OVER (ORDER BY g, pos) - 1)::BIGINT AS new_pos
+        FROM {hashed(f"(SELECT pos, {unit('h')} AS u FROM {hashed('(SELECT event_id AS pos FROM events)', 'pos', SEED, GENERATE)})", 'pos', SEED, ORDER, 'g')}""",
     "lane_round_robin": _lanes(STRIDED.format(k=8)),
     "lane_diagonal": _lanes(DIAGONAL.format(k=7)),
     "chunk_ceil": _lanes(CHUNKS.format(k=7)),
@@ -148,7 +160,7 @@ ORACLES: dict[str, str] = {
     "pair_exchange": _lane_shuffle("pos % 7 // 2", "pos"),
     "permutation": f"SELECT new_pos AS pos, pos AS src FROM {_shuffled(EVENTS)}",
     "gather": f"SELECT new_pos AS pos, pos AS src, value FROM {_shuffled(EVENTS)}",
-    "sample_k": f"SELECT pos, value FROM {_shuffled(EVENTS)} WHERE new_pos < 500",
+    "sample_k": f"SELECT pos, value FROM {_shuffled(EVENTS, use=SAMPLE)} WHERE new_pos < 500",
     "stable_sort": """SELECT event_id AS pos, user_id AS v,
         (row_number() OVER (ORDER BY user_id, event_id) - 1)::BIGINT AS new_pos FROM events""",
     "zip_join": """SELECT event_id AS pos, value, o_totalprice AS price
@@ -159,8 +171,13 @@ ORACLES: dict[str, str] = {
     "sum_squares": "SELECT round(sum(l_quantity * l_quantity), 2) AS sum_squares FROM lineitem",
     "verify_set": """SELECT NOT EXISTS (SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem)
         AND NOT EXISTS (SELECT l_partkey FROM lineitem EXCEPT SELECT p_partkey FROM part) AS set_ok""",
-    "verify_multiset": """SELECT NOT EXISTS (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT l_partkey FROM lineitem)
-        AS multiset_ok""",
+    "verify_multiset": f"""WITH a AS (SELECT value FROM {_PARTS}), b AS (SELECT value FROM {_shuffled(_PARTS)})
+        SELECT NOT EXISTS (SELECT value FROM a EXCEPT ALL SELECT value FROM b)
+        AND NOT EXISTS (SELECT value FROM b EXCEPT ALL SELECT value FROM a) AS multiset_ok""",
+    "verify_multiset_false": """SELECT NOT EXISTS (SELECT p_partkey FROM part EXCEPT ALL SELECT l_partkey FROM lineitem)
+        AND NOT EXISTS (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT p_partkey FROM part) AS multiset_ok""",
+    "verify_set_false": """SELECT NOT EXISTS (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+        AND NOT EXISTS (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents) AS set_ok""",
     "verify_length": """SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM orders) AS n_out,
         NOT EXISTS (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)
         AND NOT EXISTS (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)
@@ -172,8 +189,11 @@ ORACLES: dict[str, str] = {
     "map_features": """SELECT vec_id, (i - 1)::BIGINT AS nth,
         round((embedding[i]::DOUBLE - 0.5) / 0.25, 6) AS feature
         FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",
-    "apply_per_lane": """SELECT event_id AS pos, user_id AS v,
-        (sum(user_id) OVER (PARTITION BY event_id // 1000 ORDER BY event_id))::BIGINT AS running FROM events""",
+    "apply_per_lane": """WITH RECURSIVE steps AS (
+        SELECT event_id AS pos, user_id AS v, user_id % 1000003 AS state FROM events WHERE event_id % 1000 = 0
+        UNION ALL SELECT event_id, user_id, (state * 31 + user_id) % 1000003
+        FROM steps JOIN events ON event_id = pos + 1 WHERE event_id % 1000 <> 0)
+        SELECT pos, v, state::BIGINT AS state FROM steps""",
 }
 
 ORACLES["half_rotate"] = f"""SELECT pos, start + (rank + size - size // 2) % size AS new_pos
@@ -182,21 +202,21 @@ ORACLES["half_rotate"] = f"""SELECT pos, start + (rank + size - size // 2) % siz
 _TURNED = f"""(SELECT pos, start + (rank + size - size // 2) % size AS turned
     FROM {_ranked(EVENTS, CHUNKS.format(k=7), 'pos')})"""
 ORACLES["rotate_shuffle"] = f"""SELECT pos, start + rank AS new_pos
-    FROM {_ranked(hashed(_TURNED, 'turned', SEED), CHUNKS.format(k=7), 'h, turned')}"""
+    FROM {_ranked(hashed(_TURNED, 'turned', SEED, LANES), CHUNKS.format(k=7), 'h, turned')}"""
 
 ORACLES["cyclic_shuffle"] = f"""SELECT pos, coalesce(lead(pos) OVER w, first_value(pos) OVER w) AS new_pos
-    FROM (SELECT *, {CHUNKS.format(k=8)} AS lane FROM {hashed(EVENTS, 'pos', SEED)})
+    FROM (SELECT *, {CHUNKS.format(k=8)} AS lane FROM {hashed(EVENTS, 'pos', SEED, LANES)})
     WINDOW w AS (PARTITION BY lane ORDER BY h, pos)"""
 
 ORACLES["lane_shuffle_inplace"] = f"""WITH ranked AS (
     SELECT pos, lane, row_number() OVER (PARTITION BY lane ORDER BY pos) AS by_pos,
         row_number() OVER (PARTITION BY lane ORDER BY h, pos) AS by_draw
-    FROM (SELECT *, {DIAGONAL.format(k=7)} AS lane FROM {hashed(EVENTS, 'pos', SEED)}))
+    FROM (SELECT *, {DIAGONAL.format(k=7)} AS lane FROM {hashed(EVENTS, 'pos', SEED, LANES)}))
     SELECT a.pos, b.pos AS new_pos FROM ranked a JOIN ranked b ON a.lane = b.lane AND a.by_draw = b.by_pos"""
 
 _ORDERS = "(SELECT o_orderkey AS pos, o_custkey AS v FROM orders)"
 ORACLES["lane_shuffle_digit"] = f"""SELECT pos, v % 10 AS bucket,
-    (row_number() OVER (ORDER BY v % 10, h, pos) - 1)::BIGINT AS new_pos FROM {hashed(_ORDERS, 'pos', SEED)}"""
+    (row_number() OVER (ORDER BY v % 10, h, pos) - 1)::BIGINT AS new_pos FROM {hashed(_ORDERS, 'pos', SEED, LANES)}"""
 
 ORACLES["radix_order"] = f"""SELECT pos, v, (row_number() OVER (ORDER BY reverse(lpad(v::VARCHAR,
     (SELECT length(max(o_custkey)::VARCHAR) FROM orders)::INTEGER, '0')), pos) - 1)::BIGINT AS new_pos
@@ -210,7 +230,7 @@ ORACLES["lane_loads"] = f"SELECT lane, rows, bytes FROM {_DOC_LOADS}"
 ORACLES["argsort"] = f"""SELECT lane, bytes, (row_number() OVER (ORDER BY bytes, lane) - 1)::BIGINT AS rank
     FROM {_DOC_LOADS}"""
 ORACLES["lane_by_size"] = f"""SELECT pos, (row_number() OVER (ORDER BY bytes, lane, h, pos) - 1)::BIGINT AS new_pos
-    FROM (SELECT *, ({_DOC_LANE})::BIGINT AS lane FROM {hashed(_DOCS, 'pos', SEED)}) JOIN {_DOC_LOADS} USING (lane)"""
+    FROM (SELECT *, ({_DOC_LANE})::BIGINT AS lane FROM {hashed(_DOCS, 'pos', SEED, LANES)}) JOIN {_DOC_LOADS} USING (lane)"""
 
 
 def _by_nation(measure: str) -> str:
@@ -229,7 +249,7 @@ ORACLES["lane_extremes"] = f"""WITH loads AS (SELECT {DIAGONAL.format(k=7)} AS l
 
 def _riffle(relation: str, rows: str, lane_slots: str, width: str, seed: int, keep: str) -> str:
     """Merge the two sides of each lane of ``relation`` by one coin per slot."""
-    slots = hashed(f"(SELECT range AS slot FROM range({rows}))", "slot", seed)
+    slots = hashed(f"(SELECT range AS slot FROM range({rows}))", "slot", seed, COIN)
     return f"""(
         WITH coins AS (SELECT slot, h < 0 AS head, slot // ({lane_slots}) * ({lane_slots}) AS start FROM {slots}),
         counted AS (SELECT slot, head, start,
@@ -275,9 +295,11 @@ def _audit(original: str, shuffled: str) -> str:
         (SELECT count(*) FROM counts WHERE x <> y) = 0 AS multiset_ok,
         (SELECT count(*) FROM a JOIN b USING (pos) WHERE a.value <> b.value) AS moved,
         (SELECT count(*) FROM (SELECT value AS v, lag(value) OVER (ORDER BY pos) AS before FROM b)
-            WHERE before > v) AS inversions)
-    SELECT n, n_out, set_ok, multiset_ok, moved * 100.0::DOUBLE / n AS pct_moved, inversions,
-        CASE WHEN n <> n_out THEN 'length differs' WHEN NOT set_ok THEN 'elements differ'
+            WHERE before > v) AS inversions,
+        (SELECT count(*) FROM b WHERE pos IS NULL OR pos < 0 OR pos >= (SELECT count(*) FROM a)) AS bad_positions,
+        (SELECT count(pos) - count(DISTINCT pos) FROM b WHERE pos >= 0 AND pos < (SELECT count(*) FROM a)) AS repeated)
+    SELECT n, n_out, set_ok, multiset_ok, moved * 100.0::DOUBLE / n AS pct_moved, inversions, bad_positions, repeated,
+        CASE WHEN n <> n_out THEN 'length differs' WHEN bad_positions + repeated > 0 THEN 'positions wrong' WHEN NOT set_ok THEN 'elements differ'
             WHEN moved = 0 THEN 'identical' WHEN inversions = 0 THEN 'sorted' ELSE 'passed' END AS verdict
     FROM m"""
 
@@ -287,13 +309,18 @@ ORACLES["shuffle_audit"] = _audit(EVENTS, f"(SELECT new_pos AS pos, value FROM {
 _ORDER_VALUES = "(SELECT o_orderkey AS pos, o_custkey AS value FROM orders)"
 ORACLES["lane_audit"] = _audit(
     _ORDER_VALUES,
-    f"(SELECT start + rank AS pos, value FROM {_ranked(hashed(_ORDER_VALUES, 'pos', SEED), 'pos % 8', 'h, pos')})",
+    f"(SELECT start + rank AS pos, value FROM {_ranked(hashed(_ORDER_VALUES, 'pos', SEED, LANES), 'pos % 8', 'h, pos')})",
 )
 
+ORACLES["audit_bad_positions"] = f"""SELECT n, n_out, set_ok, multiset_ok, bad_positions, repeated, verdict FROM ({_audit(
+    _ORDER_VALUES,
+    "(SELECT CASE WHEN o_orderkey % 10 = 3 THEN NULL WHEN o_orderkey % 2 = 1 THEN o_orderkey + 1000000 WHEN o_orderkey % 3 = 0 THEN 6 ELSE o_orderkey END AS pos, o_custkey AS value FROM orders)",
+)})"""
+
 _SCORES = """(SELECT vec_id, c, sum(((7 * c + 3 * j + c * j) % 11 - 5) * ((embedding[j + 1]::DOUBLE - 0.5) / 0.25)) AS score
     FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS j FROM embeddings), range(0, 10) AS classes(c)
     GROUP BY vec_id, c)"""
 _PREDICTED = f"(SELECT vec_id, arg_max(c, score)::BIGINT AS predicted FROM {_SCORES} GROUP BY vec_id)"
 ORACLES["batch_predict"] = f"""SELECT vec_id, predicted, n_name AS name
-    FROM {_PREDICTED} JOIN nation ON predicted = n_nationkey"""
+    FROM {_PREDICTED} LEFT JOIN nation ON predicted = n_nationkey"""
 ORACLES["predict_sample"] = f"SELECT vec_id, predicted FROM {_PREDICTED} ORDER BY vec_id LIMIT 10"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 MAX_TASK_ROWS = 1 << 24
+WIDTH_ROWS = 100  # rows looked at for the width of strings, arrays and the like
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -35,6 +35,27 @@ def task_limit(spark: SparkSession, rows: int) -> int:
     return max(2 * shuffle_width(spark), -(-rows // MAX_TASK_ROWS))
 
 
+def row_width(df: DataFrame) -> int:
+    """Bytes of a row: known for numbers and times, else the mean over a few first rows.
+
+    Looking runs one small job, and only where columns of no fixed width exist.
+    """
+
+    def measured(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(F.col(f"`{field.name}`"))
+        return F.length(F.to_json(F.struct(F.col(f"`{field.name}`"))))
+
+    loose = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    fields = [field for field in df.schema.fields if isinstance(field.dataType, loose)]
+    fixed = 16 * (len(df.columns) - len(fields))
+    if not fields:
+        return max(1, fixed)
+    size = sum((F.coalesce(measured(field), F.lit(0)) for field in fields), F.lit(0))
+    mean = df.limit(WIDTH_ROWS).select(size.alias("size")).agg(F.avg("size")).first()[0]
+    return max(1, fixed + int(mean or 0))
+
+
 def row_count(df: DataFrame, rows: int | None) -> int:
     """``rows`` if the caller knows it, else one count (footer-only on a parquet scan)."""
     return df.count() if rows is None else rows
@@ -45,11 +66,14 @@ def durable(df: DataFrame) -> DataFrame:
 
     Use it between operators when the input is expensive: most operators here read
     their input twice (once for a small count, once for the rows). The folder is the
-    session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a
-    temporary one is made.
+    session's ``spark.checkpoint.dir``, which all machines must share. Where it is unset a
+    session of one machine, as in tests, gets a temporary one; a cluster is refused, since
+    no other machine could read the driver's disk.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rowdeck-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -11,9 +11,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from rowdeck.functions import idiv
-from rowdeck.session import row_count, shuffle_width, task_limit
+from rowdeck.session import row_count, row_width, shuffle_width, task_limit
 
 FILE_ROWS = 1 << 17  # no more files than one per so many rows, unless asked for
+FILE_BYTES, MAX_FILE_BYTES = 1 << 24, 1 << 28  # the same for wide rows, and the most for a file
 
 
 def in_order(
@@ -21,15 +22,22 @@ def in_order(
 ) -> DataFrame:
     """Lay rows out by dense position: partition 0 holds the first, and so on.
 
-    Pass ``laid_out`` when partitions already hold consecutive positions, as keyed, lane,
-    batch and split shuffles and sorts return them: then nothing is exchanged. (They are
-    sorted again, because Spark drops an inner sort that nothing seems to need.)
+    Pass ``laid_out`` for the very result of a keyed, lane, batch or split shuffle or of a sort:
+    its partitions already hold consecutive positions, and nothing is exchanged. Anything
+    else, and a wish for a number of files, is refused then. (Partitions are sorted again,
+    because Spark drops an inner sort that nothing seems to need.)
     """
     if laid_out:
+        if getattr(df, "_rowdeck_laid_out", None) != pos:
+            raise ValueError(f"this table is not known to be laid out by {pos}")
+        if files is not None:
+            raise ValueError("the files of a laid-out table are its partitions")
         return df.sortWithinPartitions(pos)
     total = max(row_count(df, rows), 1)
     if files is None:
-        files = min(task_limit(df.sparkSession, total), -(-total // FILE_ROWS))
+        width = row_width(df)
+        most = max(task_limit(df.sparkSession, total), -(-total * width // MAX_FILE_BYTES))
+        files = min(most, -(-total // min(FILE_ROWS, max(1, FILE_BYTES // width))))
     parts = min(files, total)
     spot = F.least(idiv(F.col(pos) * F.lit(parts), total), F.lit(parts - 1)).cast("int")
     placed = df.withColumn("_file", spot).repartitionById(parts, F.col("_file"))

@@ -41,9 +41,15 @@ def read_numbers(spark: SparkSession, path: str | list[str], kind: str = "double
     return parse_numbers(spark.read.text(path), kind)
 
 
-def read_tokens(spark: SparkSession, path: str | list[str], kind: str = "double") -> DataFrame:
-    """A file of numbers separated by any whitespace."""
-    return parse_tokens(spark.read.text(path), kind).select("value")
+def read_tokens(
+    spark: SparkSession, path: str | list[str], kind: str = "double", separator: str = " "
+) -> DataFrame:
+    """A file of numbers separated by any whitespace.
+
+    Records end at ``separator``, so that a file on one line is split among tasks; other
+    whitespace inside a record is split as well.
+    """
+    return parse_tokens(spark.read.option("lineSep", separator).text(path), kind).select("value")
 
 
 def read_dicts(spark: SparkSession, path: str | list[str], kind: str = "double") -> DataFrame:

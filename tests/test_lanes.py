@@ -114,3 +114,21 @@ def test_physical_lanes(spark):
     frame = L.repartition_lanes(spark.range(20), L.Strided(20, 3), "id")
     rows = frame.withColumn("part", F.spark_partition_id()).collect()
     assert frame.rdd.getNumPartitions() == 3 and all(r["part"] == r["id"] % 3 for r in rows)
+
+
+def test_balanced_lanes_of_huge_tables(spark):
+    rule = L.Balanced(10**11, 10**9)
+    frame = spark.createDataFrame([(0,), (99,), (100,), (10**11 - 1,)], "pos bigint")
+    got = [tuple(r) for r in frame.select(rule.lane(F.col("pos")), rule.rank(F.col("pos"))).collect()]
+    assert got == [(0, 0), (0, 99), (1, 0), (10**9 - 1, 99)]
+
+
+def test_contiguous_lanes_reach_the_scan(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    for rule in (L.ceil_chunks(1000, 7), L.FloorChunks(1000, 7), L.Balanced(1000, 7), L.HeadTail(1000, 30)):
+        parts = L.split(frame, rule, "id")
+        assert "GreaterThanOrEqual(id" in parts[1]._jdf.queryExecution().executedPlan().toString()
+        for number, part in enumerate(parts):
+            want = L.with_lane(frame, rule, "id").filter(F.col("lane") == number)
+            assert sorted(r["id"] for r in part.collect()) == sorted(r["id"] for r in want.collect())

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowdeck import functions as fn
-from rowdeck.operators import inference, lanes as L, pairing
+from rowdeck.operators import inference, lanes as L, ordering, pairing
 
 
 def values(spark, items, kind, expression):
@@ -61,7 +61,7 @@ def features(spark, rows=1000):
     return frame.select("id", F.array(*[fn.uniform(i, "id") for i in range(4)]).alias("x"))
 
 
-def test_model_is_built_once_per_task_and_called_in_batches(spark):
+def test_model_is_built_once_per_worker_and_called_in_batches(spark):
     built, sizes = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
     weights = np.eye(4)
 
@@ -78,7 +78,7 @@ def test_model_is_built_once_per_task_and_called_in_batches(spark):
 
     out = inference.batch_predict(features(spark), build, ["x"], "label", "bigint", batch_size=64)
     rows = out.collect()
-    assert (built.value, sizes.value) == (2, 1000)
+    assert 1 <= built.value <= 2 and sizes.value == 1000
     assert all(r["label"] == int(np.argmax(r["x"])) for r in rows)
     limited = inference.batch_predict(features(spark), build, ["x"], "label", "bigint", batch_size=64, tasks=1)
     assert limited.rdd.getNumPartitions() == 1
@@ -107,13 +107,53 @@ def test_predictions_to_parquet(spark, tmp_path):
     assert inference.predict_sample(features(spark, 50), 10, "id", build_model=model, inputs=["x"], out="label", out_type="bigint").count() == 10
 
 
+def test_untouched_columns_stay_bit_for_bit(spark):
+    rows = [(0, 9007199254740993, "1.10", None), (1, None, None, "2020-01-01 00:00:00.123456")]
+    frame = spark.createDataFrame(rows, "id bigint, big bigint, d string, t string")
+    frame = frame.select("id", "big", F.col("d").cast("decimal(20,2)").alias("d"), F.col("t").cast("timestamp").alias("t"))
+    out = inference.batch_predict(frame, lambda: lambda batch: batch["id"] * 2, ["id"], "twice", "bigint")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+    assert out.drop("twice").exceptAll(frame).isEmpty() and sorted(r["twice"] for r in out.collect()) == [0, 2]
+
+
+def test_only_inputs_are_read(spark, tmp_path):
+    features(spark, 50).withColumn("heavy", F.lit("x")).write.parquet(str(tmp_path / "in"))
+    frame = spark.read.parquet(str(tmp_path / "in"))
+    out = inference.batch_predict(frame, inference.linear_model(np.eye(4), "x"), ["x"], "label", "bigint").select("label")
+    assert "heavy" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 50
+
+
+def test_no_row_is_lost(spark):
+    frame = spark.createDataFrame([(0, 1), (1, 7)], "pos bigint, c int")
+    names = spark.createDataFrame([(1, "one")], "k int, name string")
+    got = sorted((r["pos"], r["name"]) for r in pairing.lookup_label(frame, names, "c", "k").collect())
+    assert got == [(0, "one"), (1, None)]
+    with pytest.raises(Exception, match="no label"):
+        pairing.lookup_label(frame, names, "c", "k", strict=True).collect()
+    indices = spark.createDataFrame([(0, 1), (1, 5)], "pos bigint, src bigint")
+    with pytest.raises(Exception, match="no row"):
+        pairing.gather(frame, indices).collect()
+    for lanes in ([(0, 0)], [(0, 0), (0, 0), (1, 1)]):
+        offsets = spark.createDataFrame(lanes, "lane bigint, offset bigint")
+        with pytest.raises(Exception, match="exactly one offset"):
+            ordering.concat_in_order(spark.range(2).select(F.col("id").alias("pos")), L.Strided(2, 2), offsets).collect()
+
+
 def test_apply_per_lane(spark):
-    def backwards(frame):
-        return frame.assign(id=frame["id"].to_numpy()[::-1])
-
-    rule = L.Batches(25, 10)
-    frame = spark.range(25).select(F.col("id").alias("pos"), "id")
-    got = dict(inference.apply_per_lane(frame, rule, backwards, "pos bigint, id bigint").collect())
-    assert got == {p: (p // 10 * 10) + min(p // 10 * 10 + 10, 25) - 1 - p for p in range(25)}
-    with pytest.raises(ValueError):
-        inference.apply_per_lane(frame, L.Strided(10**9, 8), backwards, "pos bigint, id bigint")
+    def state(frames):
+        seen = 0
+        for frame in frames:
+            yield frame.assign(id=range(seen, seen + len(frame)))
+            seen += len(frame)
+
+    rule = L.Strided(2500, 2)
+    frame = spark.range(2500).select(F.col("id").alias("pos"), "id").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = dict(inference.apply_per_lane(frame, rule, state, "pos bigint, id bigint").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {p: p // 2 for p in range(2500)}

@@ -5,7 +5,9 @@ import collections
 import pytest
 from pyspark.sql import functions as F
 
-from rowdeck.operators import lanes as L, riffle, shuffles
+from rowdeck.functions import coin as fair, uniform
+from rowdeck.functions.hashing import COIN, SAMPLE
+from rowdeck.operators import lanes as L, ordering, riffle, shuffles
 from rowdeck.plans.oracle import _hash_long
 
 SIZES = (0, 1, 2, 3, 4, 5, 63, 200)
@@ -61,18 +63,73 @@ def test_cyclic_shuffle_is_one_cycle_per_chunk(spark, tiny_cells, chunks):
         assert seen == members
 
 
-def test_uniform_over_all_orders(spark):
-    """2400 seeds, four rows: chi-square over the 24 orders below the 0.001 cut."""
-    seeds = spark.range(2400).select(F.col("id").alias("seed"))
-    rows = seeds.select("seed", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("id"))
-    # the draw of keyed_shuffle, with the seed as a column
-    drawn = rows.withColumn("h", F.xxhash64(F.col("seed"), F.col("id").cast("bigint")))
-    orders = drawn.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("h", "id"))).alias("o"))
-    counts = collections.Counter(tuple(x["id"] for x in r["o"]) for r in orders.collect())
+def test_uniform_over_all_orders(spark, tiny_cells):
+    """2400 batches of four rows: chi-square over the 24 orders below the 0.001 cut."""
+    got = moved(shuffles.batch_shuffle(spark.range(9600), 4, "id", 11, pos="id"))
+    counts = collections.Counter(tuple(got[4 * k + j] - 4 * k for j in range(4)) for k in range(2400))
     assert len(counts) == 24
     assert sum((c - 100) ** 2 / 100 for c in counts.values()) < 49.7
 
 
+def test_uniform_places(spark, tiny_cells):
+    """Where 10,000 rows go in a global shuffle: 10 by 10 places below the 0.001 cut."""
+    got = moved(shuffles.keyed_shuffle(spark.range(10_000), "id", 12, out="new_pos"))
+    counts = collections.Counter((pos // 1000, new // 1000) for pos, new in got.items())
+    assert sum((counts[i, j] - 100) ** 2 / 100 for i in range(10) for j in range(10)) < 148.2
+
+
+def test_streams_of_one_seed_are_apart(spark):
+    """Generated values, orders, lane orders, coins and samples share nothing but the seed."""
+    values = spark.range(4000).select("id", uniform(7, "id").alias("u"))
+    rows = shuffles.keyed_shuffle(values, "id", 7, out="new_pos").orderBy("new_pos").collect()
+    descents = sum(a["u"] > b["u"] for a, b in zip(rows, rows[1:]))
+    assert 1800 < descents < 2200
+    sample = {r["id"] for r in shuffles.sample_k(spark.range(4000), 400, "id", 7).collect()}
+    assert 10 < len(sample & {r["id"] for r in rows[:400]}) < 80
+    heads = {r["id"] for r in spark.range(4000).filter(fair(7, "id")).collect()}
+    assert 850 < len(heads & {r["id"] for r in rows[:2000]}) < 1150
+
+
+def test_tasks_follow_bytes_and_the_caller(spark, tmp_path):
+    wide = spark.range(0, 48, 1, 2).select("id", F.repeat(F.uuid(), 30_000).alias("text"))
+    wide.write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    assert shuffles.keyed_shuffle(wide, "id", 3).rdd.getNumPartitions() > 2
+    assert ordering.stable_sort(wide, "id", "id", "to").rdd.getNumPartitions() > 2
+    narrow = spark.range(1000)
+    assert shuffles.keyed_shuffle(narrow, "id", 3).rdd.getNumPartitions() == 1
+    asked = shuffles.keyed_shuffle(narrow, "id", 3, tasks=5)
+    assert asked.rdd.getNumPartitions() == 5
+    assert moved(asked, out="pos") == moved(shuffles.keyed_shuffle(narrow, "id", 3), out="pos")
+
+
+@pytest.mark.parametrize("rule", [L.FloorChunks(9999, 5000), L.FloorChunks(999, 1000), L.HeadTail(9999, 1), L.FloorChunks(9999, 7)])
+def test_uneven_lanes_give_even_tasks(spark, rule):
+    placed = shuffles.lane_shuffle(spark.range(rule.rows), rule, "id", 5, pos="id", tasks=16)
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * rule.rows / 16
+    assert is_permutation(moved(placed), rule.rows)
+    assert moved(placed) == moved(shuffles.lane_shuffle(spark.range(rule.rows), rule, "id", 5, pos="id", tasks=1))
+
+
+def test_positions_that_do_not_fit_fail(spark):
+    gaps = spark.createDataFrame([(0,), (2,), (5,), (9,)], "id bigint")
+    with pytest.raises(Exception, match="not within"):
+        shuffles.lane_shuffle(gaps, L.ceil_chunks(4, 3), "id", 1, pos="id").collect()
+    twice = spark.createDataFrame([(0,), (0,), (0,), (1,)], "id bigint")
+    with pytest.raises(Exception, match="more rows than"):
+        shuffles.lane_shuffle(twice, L.ceil_chunks(4, 2), "id", 1, pos="id", tasks=2).collect()
+    with pytest.raises(TypeError):
+        shuffles.lane_shuffle_in_place(spark.range(9), L.Pairs(L.Strided(9, 3)), "id", 1, pos="id")
+
+
+def test_coarse_merge_moves_wide_rows_once(spark, tmp_path):
+    wide = spark.range(600).select("id", F.repeat(F.lit("x"), 50).alias("text"))
+    plan = shuffles.merge_shuffle(wide, 64, "id", 5, pos="id", coarse=True)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("repeat(") <= 1 and is_permutation(moved(plan), 600)
+
+
 def test_integer_width_does_not_change_the_draw(spark):
     wide = spark.range(50).select(F.col("id"))
     narrow = wide.select(F.col("id").cast("int").alias("id"))
@@ -82,7 +139,7 @@ def test_integer_width_does_not_change_the_draw(spark):
 
 
 def coin(seed, slot):
-    return _hash_long(slot, _hash_long(seed, 42)) >= 1 << 63
+    return _hash_long(slot, _hash_long(COIN, _hash_long(seed, 42))) >= 1 << 63
 
 
 def riffled(left, right, seed, start=0):
@@ -120,11 +177,11 @@ def test_riffle_pairs(spark, monkeypatch, rows, width, small):
     assert got == {pos: new for new, pos in enumerate(want)}
 
 
-@pytest.mark.parametrize("pool,top", [(1 << 20, 10_000), (50, 10_000), (50, 10), (1 << 20, 10)])
-def test_sample(spark, monkeypatch, pool, top):
-    monkeypatch.setattr(shuffles, "POOL_LIMIT", pool)
+@pytest.mark.parametrize("top", [10_000, 10])
+def test_sample(spark, monkeypatch, top):
     monkeypatch.setattr(shuffles, "TOP_LIMIT", top)
-    order = [r["id"] for r in shuffles.keyed_shuffle(spark.range(3000), "id", 6).orderBy("pos").collect()]
+    drawn, columns = shuffles.shuffle_order(spark.range(3000), "id", 6, use=SAMPLE)
+    order = [r["id"] for r in drawn.orderBy(*columns).collect()]
     for size in (0, 1, 40, 2999, 3000, 9999):
         got = {r["id"] for r in shuffles.sample_k(spark.range(3000), size, "id", 6).collect()}
         assert got == set(order[:size])

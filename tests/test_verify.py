@@ -47,8 +47,9 @@ def test_empty_percentage_is_null(spark):
 
 
 def test_percentage_of_shorter_output(spark):
+    """A position without a row does not hold its value."""
     row = verify.shuffle_percentage(frame(spark, [1, 2, 3, 4]), frame(spark, [2, 2]), "pos", "value").first()
-    assert (row["n"], row["moved"], row["pct_moved"]) == (4, 1, 25.0)
+    assert (row["n"], row["moved"], row["pct_moved"]) == (4, 3, 75.0)
 
 
 @pytest.mark.parametrize("chunk", (1, 2, 3, 7, 1000))
@@ -62,7 +63,25 @@ def test_chunk_borders(spark, monkeypatch, chunk):
     assert report["descents"] == sum(a > b for a, b in zip(after, after[1:]))
     assert verify.inversions(frame(spark, after), "pos", "value").first()[0] == report["descents"]
     longer = verify.position_report(frame(spark, before), frame(spark, after + [0, 4]), "pos", "value").first()
-    assert (longer["pairs"], longer["descents"]) == (10, report["descents"] + 1)
+    assert (longer["pairs"], longer["descents"], longer["bad"]) == (10, report["descents"], 2)
+
+
+@pytest.mark.parametrize("chunk", (1, 3, 1000))
+def test_wrong_positions(spark, monkeypatch, chunk):
+    monkeypatch.setattr(verify, "CHUNK_ROWS", chunk)
+    before = frame(spark, list(range(20)))
+
+    def verdict(rows):
+        after = spark.createDataFrame(rows, "pos bigint, value bigint")
+        row = verify.shuffle_audit(before, after).first()
+        return row["bad_positions"], row["repeated"], row["verdict"]
+
+    assert verdict([(19 - k, k) for k in range(20)]) == (0, 0, "passed")
+    assert verdict([(k + 5, k) for k in range(20)]) == (5, 0, "positions wrong")
+    assert verdict([(None if k % 2 else k, k) for k in range(20)]) == (10, 0, "positions wrong")
+    assert verdict([(-1 if k == 4 else k, k) for k in range(20)]) == (1, 0, "positions wrong")
+    assert verdict([(k // 2, k) for k in range(20)]) == (0, 10, "positions wrong")
+    assert verdict([(7, k) for k in range(20)]) == (0, 19, "positions wrong")
 
 
 def test_single_checks(spark):
