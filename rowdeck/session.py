@@ -61,19 +61,29 @@ def row_count(df: DataFrame, rows: int | None) -> int:
     return df.count() if rows is None else rows
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all machines must share.
+
+    Where it is unset a session of one machine, as in tests, gets a temporary folder; a
+    cluster is refused, since no other machine could read the driver's disk.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="rowdeck-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy.
 
     Use it between operators when the input is expensive: most operators here read
-    their input twice (once for a small count, once for the rows). The folder is the
-    session's ``spark.checkpoint.dir``, which all machines must share. Where it is unset a
-    session of one machine, as in tests, gets a temporary one; a cluster is refused, since
-    no other machine could read the driver's disk.
+    their input twice (once for a small count, once for the rows).
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.partition("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rowdeck-checkpoint-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)

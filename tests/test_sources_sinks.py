@@ -234,3 +234,44 @@ def test_column_names_of_the_table_are_left_alone(spark, tmp_path):
         assert not [c for c in run.columns if c.startswith("_")]
         assert all(len({r[n] for n in names}) == 1 for r in rows)
         assert sorted({r["rows"] for r in rows}) == list(range(40))
+
+
+def test_a_token_file_on_one_line_is_split(spark, tmp_path):
+    (tmp_path / "tokens").write_text(" ".join(str(k) for k in range(40_000)) + "\n7\t8\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        tokens = sources.read_tokens(spark, str(tmp_path / "tokens"), "int")
+        assert tokens.rdd.getNumPartitions() > 4
+        sizes = [r["count"] for r in tokens.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 15_000
+        assert tokens.agg(F.sum("value")).first()[0] == sum(range(40_000)) + 15
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_only_known_layouts_skip_the_exchange(spark, tmp_path):
+    rule = L.Strided(50, 3)
+    scattered = shuffles.lane_shuffle_in_place(spark.range(50), rule, "id", 1, pos="id", out="to")
+    changed = shuffles.keyed_shuffle(spark.range(50), "id", 1).select("id", "pos")
+    known = shuffles.keyed_shuffle(spark.range(50), "id", 1)
+    for frame, pos, files in ((scattered, "to", None), (changed, "pos", None), (known, "id", None), (known, "pos", 3)):
+        with pytest.raises(ValueError):
+            sinks.write_lines(frame, str(tmp_path / "x"), "id", pos=pos, laid_out=True, files=files)
+
+
+def test_wide_rows_give_several_files(spark):
+    wide = spark.range(0, 32, 1, 2).select(F.col("id").alias("pos"), F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    assert sinks.in_order(wide).rdd.getNumPartitions() > 1
+    assert sinks.in_order(wide.select("pos")).rdd.getNumPartitions() == 1
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from rowdeck.session import checkpoint_folder
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        checkpoint_folder(SimpleNamespace(conf=conf, sparkContext=context))
