@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowdeck.llm import op03_pii, op05_toxicity, op06_decontamination, op07_jaccard, op09_sentencepiece
-from rowdeck.llm.common import shared_folder, table
+from rowdeck.llm.common import checkpoint_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what lies between them goes to the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -6,7 +6,7 @@ A word is a run of characters other than space and ``\\t \\n \\v \\f \\r``; that
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rowdeck.session import durable
+from rowdeck.session import checkpoint_folder, durable
 
 # Odd 64-bit multipliers; fixed so that hashes agree between tasks and runs.
 MULTIPLIERS = np.array(
@@ -93,14 +93,12 @@ def narrow(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in columns.items()])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, as
-    in tests on one machine, a temporary one, set for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="rowdeck-corpus-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and go on from the written table:
+    compressed, and read by column, which suits wide intermediate results."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -112,4 +110,4 @@ def first_rows(df: DataFrame, key: str, limit: int, seed: int = 1) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(limit)
 
 
-__all__ = ["MULTIPLIERS", "durable", "first_rows", "gram_hashes", "map_batches", "mix", "narrow", "shared_folder", "shingle_set", "signed", "table", "word_hashes"]
+__all__ = ["MULTIPLIERS", "checkpoint_folder", "durable", "first_rows", "gram_hashes", "map_batches", "mix", "narrow", "shingle_set", "signed", "stored", "table", "word_hashes"]

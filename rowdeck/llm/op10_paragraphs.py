@@ -15,9 +15,9 @@ head; then only classes of still different components meet.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from rowdeck.llm.common import durable, gram_hashes, map_batches, mix, narrow, signed, table, word_hashes
+from rowdeck.llm.common import durable, gram_hashes, map_batches, mix, narrow, signed, stored, table, word_hashes
 from rowdeck.llm.components import components
 
 BANDS, ROWS = 9, 4
@@ -122,40 +122,38 @@ def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
     are ignored, an empty table gives no rows.
     """
     docs = narrow(documents, doc_id=F.col("doc_id").cast("long"), text="text").where("doc_id is not null")
-    every = durable(passages(docs))
-    narrow_rows = every.select("doc_id", "first", "last", "is_window", "key")
-    classes = narrow_rows.groupBy("is_window", "key").agg(F.min(F.struct("doc_id", "first", "last")).alias("head"), F.max("doc_id").alias("most"))
+    every = stored(passages(docs))
+    rows = every.select("key", "doc_id", "first", "last", "is_window")
+    # passages equal in two or more documents; keys of windows and of paragraphs are unrelated hashes
+    equal = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    lines = every.where("not is_window")
+    classes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "first", "last")).alias("head"), F.max("doc_id").alias("most"))
     classes = durable(classes)
-    links = _links(docs, every, classes.where("not is_window").select("key", "head"), percent)
-    groups = components(links).select(F.col("node").alias("key"), "component", F.lit(False).alias("is_window"))
-    named = classes.join(groups, ["is_window", "key"], "left").withColumn("cluster_id", F.coalesce("component", "key"))
-    clusters = (
-        named.groupBy("is_window", "cluster_id")
-        .agg(F.min(F.struct("head.doc_id", "head.first")).alias("keeper"), F.max("most").alias("most"))
-        .where("most > keeper.doc_id")
-    )
-    members = durable(named.join(clusters.drop("most"), ["is_window", "cluster_id"]).select("is_window", "key", "cluster_id", "keeper"))
-    found = narrow_rows.join(members, ["is_window", "key"]).distinct()
-    return found.select(
-        "doc_id", "first", "last", "is_window", "cluster_id", F.col("keeper.doc_id").alias("keeper_id"),
-        ((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("first") != F.col("keeper.first"))).alias("removed"),
+    groups = components(_links(docs, lines, classes, percent)).select(F.col("node").alias("key"), F.col("component").alias("cluster_id"))
+    near = classes.join(groups, "key").select("key", "cluster_id", F.col("head.doc_id").alias("least"), "most")
+    members = equal.join(groups, "key", "left_anti").select("key", F.col("key").alias("cluster_id"), "least", "most").union(near)
+    spans = members.groupBy("cluster_id").agg(F.min("least").alias("keeper_id"), F.max("most").alias("last_id")).where("keeper_id < last_id")
+    members = durable(members.join(spans, "cluster_id").select("key", "cluster_id", "keeper_id"))
+    found = stored(rows.join(members, "key").select("doc_id", "first", "last", "is_window", "cluster_id", "keeper_id").distinct())
+    keeper = found.where("doc_id = keeper_id").groupBy("cluster_id").agg(F.min("first").alias("kept"))
+    stays = (F.col("doc_id") == F.col("keeper_id")) & (F.col("first") == F.col("kept"))
+    return found.join(keeper, "cluster_id").select(
+        "doc_id", "first", "last", "is_window", "cluster_id", "keeper_id", (~stays).alias("removed")
     )
 
 
-def _links(docs: DataFrame, every: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Verified pairs of paragraph classes that settle the components."""
     heads = classes.select("key", F.col("head.doc_id").alias("doc_id"), F.col("head.first").alias("first"))
-    entries = (
-        every.where("not is_window").join(heads, ["key", "doc_id", "first"], "left_semi")
-        .select("key", F.explode("bands").alias("band")).distinct()
-    )
-    entries = durable(entries)
-    buckets = entries.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("top")).where("size > 1").drop("size")
-    shared = durable(entries.join(buckets, "band"))
+    entries = lines.join(heads, ["key", "doc_id", "first"], "left_semi").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
+    # one exchange of two longs per entry; classes alone in their bucket go no further
+    order = Window.partitionBy("band").orderBy("key")
+    entries = entries.withColumns({"top": F.first("key").over(order), "next": F.lead("key").over(order)})
+    shared = durable(entries.where("key <> top or next is not null").select("band", "key", "top"))
     first = durable(shared.where("key <> top").select(F.col("top").alias("a"), F.col("key").alias("b")).distinct())
     wanted = shared.select("key").distinct().join(classes, "key")
     places = durable(wanted.select("key", F.col("head.doc_id").alias("doc_id"), F.col("head.first").alias("first"), F.col("head.last").alias("last")))
-    sets = durable(_sets(docs, places))
+    sets = stored(_sets(docs, places))
     found = durable(_verified(sets, first, percent))
     names = components(found).select(F.col("node").alias("key"), "component")
     named = durable(shared.join(names, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component")))
