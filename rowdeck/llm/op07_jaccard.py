@@ -23,7 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowdeck.llm.common import durable, map_batches, mix, narrow, shingle_set, signed, table
 from rowdeck.llm.components import components
@@ -51,8 +51,8 @@ def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90, table_bits
     classes = durable(filled.groupBy("digest").agg(F.min("doc_id").alias("class_id")))
     members = filled.join(classes, "digest").select("doc_id", "digest", "class_id")
     heads = members.where("doc_id = class_id").select("doc_id").distinct()
-    offers = _offers(docs.join(heads, "doc_id", "left_semi"), n, percent, counts)
-    offers = durable(offers.dropDuplicates(["doc"]))
+    offers = _offers(docs, n, percent, counts).where("n > 0 and doc is not null")
+    offers = durable(offers.join(heads.withColumnRenamed("doc_id", "doc"), "doc").dropDuplicates(["doc"]))
     edges = _links(docs, offers, n, percent)
     groups = components(edges)
     named = classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").select(
@@ -162,13 +162,22 @@ def _links(docs: DataFrame, offers: DataFrame, n: int, percent: int) -> DataFram
     """Verified links between classes that settle the components."""
     low = F.floor(F.log2(F.col("n"))).cast("int")
     high = F.floor(F.log2(F.col("n") * 100 / percent + 1e-6)).cast("int")
-    entries = (
-        offers.select("doc", "n", F.posexplode("prefix").alias("i", "token"))
-        .withColumn("band", F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high))))
-    )
-    tile = ["token", "band"]
-    heads = entries.groupBy(*tile).agg(F.count("*").alias("size"), F.min(F.struct("i", "n", "doc")).alias("h")).where("size > 1")
-    entries = durable(entries.join(heads, tile).select(*tile, "doc", "n", "i", "h"))
+    bands = F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high)))
+    entries = offers.select("doc", "n", F.posexplode("prefix").alias("i", "token")).withColumn("band", bands)
+    # one exchange of three longs per entry; rows alone in their tile go no further
+    place = F.shiftleft(F.col("i").cast("long"), 32) + F.col("n")
+    entries = entries.select(F.xxhash64("token", "band").alias("tile"), "doc", place.alias("place"))
+    order = Window.partitionBy("tile").orderBy("place", "doc")
+    entries = entries.withColumns(
+        {"at": F.row_number().over(order), "next": F.lead("doc").over(order), "head": F.first("doc").over(order), "top": F.first("place").over(order)}
+    ).where("at > 1 or next is not null")
+
+    def parts(place: str) -> list[Column]:
+        return [F.shiftright(place, 32).cast("int").alias("i"), F.col(place).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n")]
+
+    head = F.struct(F.col("head").alias("doc"), *parts("top")).alias("h")
+    entries = durable(entries.select("tile", "doc", *parts("place"), head))
+    tile = ["tile"]
     bits = offers.select("doc", "n", "bits")
 
     first = entries.alias("x").where("doc <> h.doc").where(_close("x", "h", percent))
