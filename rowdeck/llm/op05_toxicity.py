@@ -21,9 +21,9 @@ from rowdeck.llm.common import first_rows, map_batches, mix, narrow, table
 
 WORD = re.compile(r"\w+")
 HASH_BITS = 20
-MAX_ROWS = 8000
+MAX_ROWS = 5000
 STEMS = (5, 6, 7)
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 
 
 class WordFeatures(dict):
