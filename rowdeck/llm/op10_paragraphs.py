@@ -15,6 +15,7 @@ head; then only classes of still different components meet.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rowdeck.llm.common import durable, gram_hashes, map_batches, mix, narrow, signed, stored, table, word_hashes
@@ -26,7 +27,9 @@ LEAST_WORDS = 12
 SHINGLE = 5
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)  # odd, so each permutes the hashes
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class Words:
@@ -43,69 +46,81 @@ class Words:
         breaks = points[np.nonzero(data == 10)[0]]
         self.edges = np.concatenate([[0], np.searchsorted(self.first, breaks), [len(self.codes)]])
 
-    def paragraphs(self) -> list[tuple[int, int]]:
-        """Word ranges of the lines with at least LEAST_WORDS words."""
-        return [(a, b) for a, b in zip(self.edges[:-1].tolist(), self.edges[1:].tolist()) if b - a >= LEAST_WORDS]
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Word ranges of the lines with at least LEAST_WORDS words: starts and ends."""
+        keep = np.diff(self.edges) >= LEAST_WORDS
+        return self.edges[:-1][keep], self.edges[1:][keep]
 
 
-def anchors(codes: np.ndarray) -> np.ndarray:
+def anchors(grams: np.ndarray, n_words: int) -> np.ndarray:
     """Winnowing: positions of the rightmost smallest hash among any WINDOW neighbouring five-word hashes."""
-    grams = gram_hashes(codes, SHINGLE)
-    if len(codes) < WINDOW or not len(grams):
+    if n_words < WINDOW:
         return np.empty(0, np.int64)
     width = min(WINDOW, len(grams))
     views = np.lib.stride_tricks.sliding_window_view(grams[::-1], width)
-    places = len(grams) - 1 - (np.arange(len(views)) + views.argmin(1))
-    places = np.unique(places)
-    return places[places + WINDOW <= len(codes)]
+    places = np.unique(len(grams) - 1 - (np.arange(len(views)) + views.argmin(1)))
+    return places[places + WINDOW <= n_words]
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
     return np.unique(gram_hashes(codes, SHINGLE))
 
 
-def band_hashes(sets: np.ndarray) -> np.ndarray:
-    """One hash per band of the MinHash of a shingle set."""
-    low = mix(sets[None, :] ^ SEEDS[:, None]).min(1).reshape(BANDS, ROWS)
-    total = np.arange(BANDS, dtype=np.uint64)
+def band_hashes(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(paragraph, band): one hash per band of the MinHash of the shingles ``grams[start:end]``."""
+    hashed = np.full((BANDS * ROWS, len(grams) + 1), np.uint64(2**64 - 1))  # one more, so that a range may end with the text
+    np.multiply(grams[None, :], SEEDS[:, None], out=hashed[:, :-1])
+    low = np.minimum.reduceat(hashed, np.stack([starts, ends], axis=1).ravel(), axis=1)[:, ::2]
+    low = low.T.reshape(-1, BANDS, ROWS)
+    total = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(starts), BANDS))
     for k in range(ROWS):
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + low[:, k])
+        total = mix(total * BASE + low[:, :, k])
     return total
 
 
-def _digest(codes: np.ndarray, kind: int) -> int:
-    """64-bit key of a word sequence."""
-    powers = np.cumprod(np.full(len(codes), 0x9E3779B97F4A7C15 + 2 * kind, np.uint64))
-    return int(mix(np.array([(mix(codes) * powers).sum() + np.uint64(len(codes))], np.uint64)).view(np.int64)[0])
+def digests(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
+    """64-bit keys of the word runs ``codes[start:end]``: Karp-Rabin sums of scrambled words, brought
+    to one power, with the length and the kind of passage."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes) * _powers(BASE, len(codes)))])
+    found = (sums[ends] - sums[starts]) * _powers(INVERSE, len(codes) + 1)[starts]
+    return mix(mix(found) + (ends - starts).astype(np.uint64) * np.uint64(2) + np.uint64(kind))
+
+
+def _powers(base: np.uint64, size: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, size - 1), base))])[:size]
 
 
 def passages(documents: DataFrame) -> DataFrame:
     """``(doc_id, first, last, is_window, key, bands)``: code points, end exclusive; bands for paragraphs."""
+    columns = ("first", "last", "is_window", "key", "bands")
+
+    def found(text: str | None) -> tuple | None:
+        words = Words(text)
+        codes = words.codes
+        grams = gram_hashes(codes, SHINGLE)
+        if len(codes) < LEAST_WORDS:
+            return None
+        at = anchors(grams, len(codes))
+        a, b = words.paragraphs()
+        bands = band_hashes(grams, a, b - SHINGLE + 1) if len(a) else np.empty((0, BANDS), np.uint64)
+        starts, ends = np.concatenate([at, a]), np.concatenate([at + WINDOW, b])
+        keys = np.concatenate([digests(codes, at, at + WINDOW, 1), digests(codes, a, b, 0)])
+        return words.first[starts], words.last[ends - 1], np.arange(len(starts)) < len(at), signed(keys), signed(bands)
 
     def run(batch):
         for k in range(0, batch.num_rows, 200):
-            rows: dict[str, list] = {name: [] for name in ("doc_id", "first", "last", "is_window", "key", "bands")}
+            ids, parts = [], []
             for doc_id, text in zip(batch.column("doc_id").slice(k, 200).to_pylist(), batch.column("text").slice(k, 200).to_pylist()):
-                words = Words(text)
-                starts = anchors(words.codes)
-                if len(starts):
-                    run_ = np.lib.stride_tricks.sliding_window_view(words.codes, WINDOW)[starts]
-                    powers = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64))
-                    rows["key"] += signed(mix((mix(run_) * powers).sum(1) + np.uint64(1))).tolist()
-                    rows["first"] += words.first[starts].tolist()
-                    rows["last"] += words.last[starts + WINDOW - 1].tolist()
-                    rows["bands"] += [None] * len(starts)
-                    rows["is_window"] += [True] * len(starts)
-                lines = words.paragraphs()
-                for a, b in lines:
-                    codes = words.codes[a:b]
-                    rows["key"].append(_digest(codes, 1))
-                    rows["first"].append(int(words.first[a]))
-                    rows["last"].append(int(words.last[b - 1]))
-                    rows["bands"].append(signed(band_hashes(shingles(codes))))
-                    rows["is_window"].append(False)
-                rows["doc_id"] += [doc_id] * (len(starts) + len(lines))
-            yield rows
+                part = found(text)
+                if part is not None:
+                    ids.append(np.full(len(part[0]), doc_id))
+                    parts.append(part)
+            if parts:
+                first, last, is_window, key, bands = (np.concatenate(x) for x in zip(*parts))
+                sizes = np.where(is_window, 0, BANDS)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()), mask=pa.array(is_window))
+                yield dict(zip(("doc_id", *columns), (np.concatenate(ids), first, last, is_window, key, lists)))
 
     return map_batches(documents, run, "doc_id long, first int, last int, is_window boolean, key long, bands array<long>")
 

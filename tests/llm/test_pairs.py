@@ -204,7 +204,7 @@ def test_every_long_shared_passage_holds_a_common_window():
     for _ in range(200):
         shared = np.array([rng.randrange(2**62) for _ in range(51)], np.uint64)
         sides = [np.concatenate([np.array([rng.randrange(2**62) for _ in range(rng.randrange(40))], np.uint64), shared, np.array([rng.randrange(2**62) for _ in range(rng.randrange(40))], np.uint64)]) for _ in range(2)]
-        windows = [{tuple(side[k : k + passages.WINDOW]) for k in passages.anchors(side)} for side in sides]
+        windows = [{tuple(side[k : k + passages.WINDOW]) for k in passages.anchors(passages.gram_hashes(side, 5), len(side))} for side in sides]
         assert windows[0] & windows[1]
 
 
@@ -216,3 +216,23 @@ def test_near_paragraphs_equal_all_pairs(spark):
     grouped = {k for k in want if sum(v == want[k] for v in want.values()) > 1}
     assert set(got) <= grouped and len(set(got)) >= 0.95 * len(grouped)
     assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
+
+
+def test_band_hashes_and_digests_follow_content():
+    rng = np.random.default_rng(3)
+    for size in (12, 40, 300):
+        codes = rng.integers(0, 50, size).astype(np.uint64)
+        grams = passages.gram_hashes(codes, 5)
+        starts = np.array([0, size // 2]) if size > 12 else np.array([0])
+        ends = np.array([size // 3 + 3, size]) if size > 12 else np.array([12])
+        bands = passages.band_hashes(grams, starts, ends - 4)
+        keys = passages.digests(codes, starts, ends, 0)
+        for a, b, band, key in zip(starts, ends, bands, keys):
+            alone = codes[a:b]
+            low = np.array([(np.unique(passages.gram_hashes(alone, 5)) * seed).min() for seed in passages.SEEDS])
+            total = np.arange(passages.BANDS, dtype=np.uint64)
+            for k in range(passages.ROWS):
+                total = passages.mix(total * passages.BASE + low.reshape(passages.BANDS, passages.ROWS)[:, k])
+            assert (band == total).all()
+            assert passages.digests(alone, np.array([0]), np.array([len(alone)]), 0)[0] == key
+            assert passages.digests(alone, np.array([0]), np.array([len(alone)]), 1)[0] != key
