@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the presence of single words, of their beginnings (so that an unseen ending of a
-known stem still counts), of word pairs and of pairs with one or two words between, hashed
+known stem still counts), of those that come up twice or four times, of word pairs and of pairs with one or two words between, hashed
 into a fixed table. FTRL-proximal gives every coordinate its own rate and keeps most weights
 at exactly zero; the rest travel as one small broadcast. The model is fitted on at most
 ``max_rows`` labelled rows; everything else sees all rows.
@@ -22,7 +22,8 @@ from rowdeck.llm.common import first_rows, map_batches, mix, narrow, table
 WORD = re.compile(r"\w+")
 HASH_BITS = 20
 MAX_ROWS = 5000
-STEMS = (5, 6, 7)
+STEMS = (3, 4, 5, 6, 7)
+TIMES = (2, 4)  # a word or beginning that comes up so often in a text is a feature of its own
 CACHE_WORDS = 1 << 17
 
 
@@ -40,14 +41,18 @@ class WordFeatures(dict):
 
 
 def features(text: str | None, cache: WordFeatures) -> np.ndarray:
-    """Feature ids of a text, with repeats."""
+    """Feature ids of a text; pairs may repeat."""
     words = WORD.findall((text or "").lower())
     if not words:
         return np.empty(0, np.int64)
     pairs = [cache[word] for word in words]
     codes = np.fromiter((pair[0] for pair in pairs), np.uint64, len(pairs))
-    parts = [np.fromiter((i for pair in pairs for i in pair[1]), np.int64)]
+    found, counts = np.unique(np.fromiter((i for pair in pairs for i in pair[1]), np.int64), return_counts=True)
     mask = np.uint64((1 << HASH_BITS) - 1)
+    parts = [found]
+    for times in TIMES:
+        often = found[counts >= times].astype(np.uint64)
+        parts.append((mix(often + (np.uint64(times) << np.uint64(40))) & mask).astype(np.int64))
     for gap in (1, 2, 3):
         if len(codes) > gap:
             grams = mix(codes[:-gap] * np.uint64(2 * gap + 1) + (codes[gap:] >> np.uint64(gap)))
@@ -56,7 +61,7 @@ def features(text: str | None, cache: WordFeatures) -> np.ndarray:
 
 
 def fit_ftrl(
-    rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4
+    rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.3, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 6
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of FTRL-proximal over rows of distinct feature ids; order is shuffled by a fixed seed."""
     size = 1 << HASH_BITS

@@ -72,7 +72,7 @@ class CumulativeLink:
         return [1.0 - _sigmoid(t - score) for t in self.thresholds]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, alpha: float = 0.1, l1: float = 0.6, l2: float = 1.0, epochs: int = 5) -> CumulativeLink:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, alpha: float = 0.3, l1: float = 6.0, l2: float = 1.0, epochs: int = 6) -> CumulativeLink:
     """Proximal adaptive-gradient fit; thresholds are the first and positive gaps above it."""
     z, n = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
     share = np.clip(np.array([(grades <= k).mean() for k in range(n_grades - 1)]), 0.01, 0.99)
