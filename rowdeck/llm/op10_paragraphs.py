@@ -9,7 +9,8 @@ some ``WINDOW`` neighbours, so every passage of ``2 * WINDOW + 3`` words shared
 holds an anchor, with its whole window, that both select; equal windows are equal passages.
 
 Pairs are never emitted all at once within a bucket: every class first meets its bucket's
-head; then only classes of still different components meet.
+head; then only classes of still different components meet, and of these only pairs whose
+bitmaps leave room for the wanted similarity.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from rowdeck.llm.components import components
 BANDS, ROWS = 9, 4
 WINDOW = 24
 LEAST_WORDS = 12
+BITS = 512
 SHINGLE = 5
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -159,8 +161,7 @@ def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
 
 def _links(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Verified pairs of paragraph classes that settle the components."""
-    heads = classes.select("key", F.col("head.doc_id").alias("doc_id"), F.col("head.first").alias("first"))
-    entries = lines.join(heads, ["key", "doc_id", "first"], "left_semi").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
+    entries = lines.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
     # one exchange of two longs per entry; classes alone in their bucket go no further
     order = Window.partitionBy("band").orderBy("key")
     entries = entries.withColumns({"top": F.first("key").over(order), "next": F.lead("key").over(order)})
@@ -175,9 +176,14 @@ def _links(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent: int)
     sizes = named.groupBy("band", "component").count()
     mixed = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component")).alias("m")).where("parts > 1")
     named = durable(named.join(mixed, "band").select("band", "key", "component", (F.col("component") == F.col("m.component")).alias("main")))
+    named = named.join(sets.select("key", "n", "bits"), "key")
     x, y = named.where("not main").alias("x"), named.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.key") < F.col("y.key")))
-    second = x.join(y, (F.col("x.band") == F.col("y.band")) & apart)
+    # bitmaps that differ in d bits share at most (m + n - d) / 2 shingles
+    differ = F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
+    total = F.col("x.n") + F.col("y.n")
+    near = (100 + percent) * (total - differ) >= 2 * percent * total
+    second = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & near)
     second = second.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
     return found.union(_verified(sets, second.join(first, ["a", "b"], "left_anti"), percent))
 
@@ -187,16 +193,26 @@ def _sets(docs: DataFrame, places: DataFrame) -> DataFrame:
     by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "last")).alias("cuts"))
 
     def run(batch):
-        rows: dict[str, list] = {"key": [], "s": []}
+        rows: dict[str, list] = {"key": [], "s": [], "n": [], "bits": []}
         for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
             for cut in cuts:
                 words = text[cut["first"] : cut["last"]].encode().lower().split()
                 rows["key"].append(cut["key"])
-                rows["s"].append(shingles(word_hashes(words)).tobytes())
+                found = shingles(word_hashes(words))
+                rows["s"].append(found.tobytes())
+                rows["n"].append(len(found))
+                rows["bits"].append(bitmap(found))
         yield rows
 
     joined = docs.join(by_doc, "doc_id").select("text", "cuts")
-    return map_batches(joined, run, "key long, s binary").dropDuplicates(["key"])
+    return map_batches(joined, run, "key long, s binary, n int, bits array<long>").dropDuplicates(["key"])
+
+
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Which of BITS cells the shingles fall in."""
+    flags = np.zeros(BITS, np.uint8)
+    flags[(found % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(flags).view(np.int64)
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
