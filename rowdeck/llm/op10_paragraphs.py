@@ -7,6 +7,9 @@ on its exact shingle sets. *Windows* catch passages that begin and end anywhere:
 ``WINDOW`` words that start at winnowing anchors. An anchor is the smallest five-word hash of
 some ``WINDOW`` neighbours, so every passage of ``2 * WINDOW + 3`` words shared by two documents
 holds an anchor, with its whole window, that both select; equal windows are equal passages.
+Shared windows are seeds: each is extended word by word, up to ``REACH`` words to either side,
+as far as any earlier occurrence of the window goes on alike. No more words are needed: where a
+run goes on for longer, it holds another shared window there.
 
 Pairs are never emitted all at once within a bucket: every class first meets its bucket's
 head; then only classes of still different components meet, and of these only pairs whose
@@ -24,6 +27,7 @@ from rowdeck.llm.components import components
 
 BANDS, ROWS = 9, 4
 WINDOW = 24
+REACH = WINDOW - 1
 LEAST_WORDS = 12
 BITS = 512
 SHINGLE = 5
@@ -129,7 +133,7 @@ def passages(documents: DataFrame) -> DataFrame:
 
 def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
     """``(doc_id, first, last, is_window, cluster_id, keeper_id, removed)``: every passage that lies in a
-    cluster over two or more documents.
+    cluster over two or more documents. Windows come as long as they go on alike (``_extended``).
 
     A cluster is a component of passages that are equal or, for paragraphs, of Jaccard at least
     ``percent`` on five-word shingles. It keeps the passage of its smallest doc_id
@@ -154,9 +158,123 @@ def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
     found = stored(rows.join(members, "key").select("doc_id", "first", "last", "is_window", "cluster_id", "keeper_id").distinct())
     keeper = found.where("doc_id = keeper_id").groupBy("cluster_id").agg(F.min("first").alias("kept"))
     stays = (F.col("doc_id") == F.col("keeper_id")) & (F.col("first") == F.col("kept"))
-    return found.join(keeper, "cluster_id").select(
+    found = stored(found.join(keeper, "cluster_id").select(
         "doc_id", "first", "last", "is_window", "cluster_id", "keeper_id", (~stays).alias("removed")
+    ))
+    return found.where("not is_window").unionByName(_extended(docs, found.where("is_window")))
+
+
+def _extended(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """The windows as long as they go on alike: removals with an earlier occurrence, kept ones with
+    any other document. If that is not one document to both sides, a row for each, with it as ``keeper_id``."""
+    seed = ["doc_id", "first", "cluster_id"]
+    ends = _ends(_sides(docs, windows)).groupBy(*seed).agg(
+        *(F.max(F.when(side, F.col(c))).alias(f"{name}_{c}") for side, name in ((F.col("left"), "left"), (~F.col("left"), "right")) for c in ("far", "other"))
+    )
+    others = F.array_distinct(F.array("keeper_id", F.coalesce("left_other", "keeper_id"), F.coalesce("right_other", "keeper_id")))
+    rows = windows.join(ends, seed, "left").withColumn("with", F.explode(others))
+    first = F.col("first") - F.when(F.col("with") == F.col("left_other"), F.col("left_far")).otherwise(0)
+    last = F.col("last") + F.when(F.col("with") == F.col("right_other"), F.col("right_far")).otherwise(0)
+    return rows.select("doc_id", first.alias("first"), last.alias("last"), "is_window", "cluster_id", F.col("with").alias("keeper_id"), "removed")
+
+
+def _sides(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(doc_id, first, cluster_id, removed, left, whole, h, reach)``, two rows per window: hashes of the window with
+    its next 1 .. REACH words to that side, the last of them, and the code points those words take."""
+    by_doc = windows.groupBy("doc_id").agg(F.collect_list(F.struct("cluster_id", "first", "removed")).alias("cuts"))
+
+    def sides(text: str | None, cuts: list[dict]):
+        words = Words(text)
+        codes = words.codes
+        keys = np.array([cut["cluster_id"] for cut in cuts], np.int64).view(np.uint64)
+        firsts = np.array([cut["first"] for cut in cuts], np.int64)
+        at = np.searchsorted(words.first, firsts)
+        fits = at + WINDOW <= len(codes)
+        at = np.where(fits, at, 0)
+        if not fits.any():  # windows of another text under this doc_id
+            return
+        fits &= (digests(codes, at, np.where(fits, at + WINDOW, 0), 1) == keys) & (words.first[at] == firsts)
+        which = np.nonzero(fits)[0]
+        at, keys = at[which], keys[which]
+        for left in (True, False):
+            size = np.minimum(REACH, at if left else len(codes) - at - WINDOW)
+            total, h, reach = mix(keys + np.uint64(left)), [], []
+            edge = words.first[at] if left else words.last[at + WINDOW - 1]
+            for k in range(REACH):
+                place = np.clip(at - 1 - k if left else at + WINDOW + k, 0, len(codes) - 1)
+                total = mix(total * BASE + codes[place])
+                h.append(total)
+                reach.append(edge - words.first[place] if left else words.last[place] - edge)
+            h, reach = signed(np.stack(h, 1)), np.stack(reach, 1)
+            empty = signed(mix(keys + np.uint64(left)))
+            for row, k in enumerate(which):
+                n = size[row]
+                yield firsts[k], cuts[k]["cluster_id"], cuts[k]["removed"], left, h[row, n - 1] if n else empty[row], h[row, :n], reach[row, :n]
+
+    names = ("first", "cluster_id", "removed", "left", "whole", "h", "reach")
+
+    def run(batch):
+        ids, rows = [], []
+        for doc_id, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "cuts"))):
+            found = list(sides(text, cuts))
+            ids += [doc_id] * len(found)
+            rows += found
+            if len(rows) >= 5000:
+                yield dict(zip(("doc_id", *names), (ids, *zip(*rows))))
+                ids, rows = [], []
+        if rows:
+            yield dict(zip(("doc_id", *names), (ids, *zip(*rows))))
+
+    kinds = "doc_id long, first int, cluster_id long, removed boolean, left boolean, whole long, h array<long>, reach array<int>"
+    return stored(map_batches(docs.join(by_doc, "doc_id").select("doc_id", "text", "cuts"), run, kinds).dropDuplicates(["doc_id", "first", "cluster_id", "left"]))
+
+
+def _ends(sides: DataFrame) -> DataFrame:
+    """``(doc_id, first, cluster_id, left, far, other)``: the code points to add to that side, and the
+    document that shares most there.
+
+    A search by halves over the number of words. Rows meet by hash of the words tried, always
+    through an aggregation: of the rows that agree, all but the earliest go on with more words and
+    the earliest with fewer; it also goes on with more, as a mere *source*, if others do. A source
+    of the lower half is not needed for the others, since the earliest agrees with them there.
+    """
+    own = F.struct("doc_id", "first")
+    least, most = F.min(own).alias("least"), F.max("most").alias("top")
+    more = F.when(F.col("removed"), F.col("least") < own).otherwise(F.col("top") > F.col("doc_id"))
+    other = F.when(F.col("removed"), F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    seed = ["doc_id", "first", "cluster_id", "removed", "left"]
+    sides = sides.withColumn("most", F.col("doc_id"))
+    groups = durable(sides.groupBy("whole").agg(least, most))
+    sides = sides.drop("most").join(groups, "whole").withColumn("more", more)
+    done = sides.where("more").select(*seed, F.coalesce(F.get("reach", F.size("reach") - 1), F.lit(0)).alias("far"), other.alias("other"))
+    # of rows with the same words, the earliest stands for all
+    state = sides.where(F.col("least") == own).select(
+        *seed, F.col("more").alias("source"), F.col("top").alias("most"), "h", "reach", F.lit(0).alias("far"), F.lit(None).cast("long").alias("other")
     )
+    done, state = durable(done), durable(state)
+    step = 1 << (REACH.bit_length() - 1)
+    while step:
+        state = state.withColumn("probe", F.get("h", F.lit(step - 1)))
+        tried = state.where("probe is not null")
+        groups = tried.groupBy("probe").agg(least, most, F.count("*").alias("n"))
+        tried = tried.join(groups, "probe").withColumn("up", more & ~F.col("source"))
+
+        def way(high: bool, source: bool):
+            return F.struct(F.lit(high).alias("high"), F.lit(source).alias("source"))
+
+        ways = F.when(F.col("up") & F.col("removed"), F.array(way(True, False))).when(F.col("up"), F.array(way(True, False), way(False, True)))
+        ways = ways.when(F.col("n") == 1, F.array(F.struct(F.lit(False).alias("high"), F.col("source").alias("source"))))
+        ways = ways.otherwise(F.array(F.struct(F.lit(False).alias("high"), F.col("source").alias("source")), way(True, True)))
+        tried = tried.withColumn("way", F.explode(ways))
+        part = lambda c: F.when(F.col("way.high"), F.slice(c, step + 1, REACH)).otherwise(F.slice(c, 1, step - 1))
+        tried = tried.select(
+            *seed, F.col("way.source").alias("source"), "most", part("h").alias("h"), part("reach").alias("reach"),
+            F.when(F.col("way.high"), F.get("reach", F.lit(step - 1))).otherwise(F.col("far")).alias("far"),
+            F.when(F.col("way.high"), other).otherwise(F.col("other")).alias("other"),
+        )
+        state = durable(state.where("probe is null").drop("probe").unionByName(tried).where("not source or size(h) > 0"))
+        step //= 2
+    return done.union(state.where("not source").select(*seed, "far", "other")).drop("removed")
 
 
 def _links(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

@@ -199,6 +199,59 @@ def test_passages_anywhere_and_near_paragraphs(spark):
     assert passages.repeated_passages(frame(spark, docs).where("false")).count() == 0
 
 
+def test_windows_extend_to_the_whole_shared_passage(spark):
+    rng = random.Random(12)
+    new = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want = {}, {}
+    for k in range(0, 60, 3):
+        shared, wide = new(51 + k), new(20)
+        for j, middle in enumerate((shared, wide[:7] + shared + wide[7:], wide[:7] + shared + wide[7:])):  # the third shares more with the second
+            before = " ".join(["é"] + new(rng.randrange(1, 30)))
+            run = " ".join(middle)
+            docs[k + j] = f"{before} {run} {' '.join(new(rng.randrange(1, 30)))}"
+            body = run if j != 1 else " ".join(shared)
+            start = docs[k + j].index(body)
+            want[k + j] = (start, start + len(body))
+    found = passages.repeated_passages(frame(spark, docs))
+    rows = [r for r in found.collect() if r.is_window and r.removed == (r.doc_id % 3 > 0)]
+    got = {k: (min(r.first for r in rows if r.doc_id == k), max(r.last for r in rows if r.doc_id == k)) for k in docs}
+    assert got == want
+    result = {r.doc_id: r for r in passages.removals(found).collect()}
+    for k in docs:
+        assert result[k].spans == ("" if k % 3 == 0 else "{}:{}".format(*want[k]))
+        if k % 3 == 2:
+            assert set(result[k].keeper_ids) == {k - 2, k - 1}
+
+
+def test_extension_equals_plain(spark):
+    rng = random.Random(9)
+    seeds = [[f"s{rng.randrange(10**6)}" for _ in range(110)] for _ in range(4)]
+    docs = {}
+    for k in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            seed = rng.choice(seeds)
+            a = rng.randrange(60)
+            words += seed[a : a + rng.randrange(47, 110)] + [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(4))]
+        docs[k] = " ".join(words)
+    split = {k: text.split() for k, text in docs.items()}
+    runs = {}  # of every 47 words, their first place
+    for k, words in split.items():
+        for i in range(len(words) - 46):
+            runs.setdefault(tuple(words[i : i + 47]), (k, i))
+    whole = {k: {p for i in range(len(w) - 46) if runs[tuple(w[i : i + 47])][0] < k for p in range(i, i + 47)} for k, w in split.items()}
+    for row in passages.removals(passages.repeated_passages(frame(spark, docs)).where("is_window")).collect():
+        text = docs[row.doc_id]
+        starts = [0]
+        for word in split[row.doc_id]:
+            starts.append(starts[-1] + len(word) + 1)
+        spans = [tuple(map(int, x.split(":"))) for x in row.spans.split(",") if x]
+        gone = {p for p, at in enumerate(starts[:-1]) if any(a <= at < b for a, b in spans)}
+        assert whole[row.doc_id] <= gone
+        for a, b in spans:
+            assert a in starts and (b + 1 in starts or b == len(text))
+
+
 def test_every_long_shared_passage_holds_a_common_window():
     rng = random.Random(5)
     for _ in range(200):
