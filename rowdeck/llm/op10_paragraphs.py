@@ -1,7 +1,8 @@
 """Substring dedup: paragraph MinHash banding, exact verification, clusters by components.
 
-Two kinds of passages are compared. *Paragraphs* are the lines of a text with enough words:
-equal ones are one class, classes meet where one of ``BANDS`` bands of ``ROWS`` MinHash values
+Two kinds of passages are compared. *Paragraphs* are the lines of a text, of any number of
+words: equal ones are one class. Lines of ``SHINGLE`` and more words are also compared as sets of
+shingles (shorter ones have no whole shingle, and only equal ones are repeated): classes meet where one of ``BANDS`` bands of ``ROWS`` MinHash values
 agrees (a pair at Jaccard 0.8 does with probability 0.99), and every pair that meets is verified
 on its exact shingle sets. *Windows* catch passages that begin and end anywhere: runs of
 ``WINDOW`` words that start at winnowing anchors. An anchor is the smallest five-word hash of
@@ -28,7 +29,6 @@ from rowdeck.llm.components import components
 BANDS, ROWS = 9, 4
 WINDOW = 24
 REACH = WINDOW - 1
-LEAST_WORDS = 12
 BITS = 512
 SHINGLE = 5
 BLANK = np.zeros(256, bool)
@@ -53,8 +53,8 @@ class Words:
         self.edges = np.concatenate([[0], np.searchsorted(self.first, breaks), [len(self.codes)]])
 
     def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Word ranges of the lines with at least LEAST_WORDS words: starts and ends."""
-        keep = np.diff(self.edges) >= LEAST_WORDS
+        """Word ranges of the lines that hold words: starts and ends."""
+        keep = np.diff(self.edges) > 0
         return self.edges[:-1][keep], self.edges[1:][keep]
 
 
@@ -97,21 +97,23 @@ def _powers(base: np.uint64, size: int) -> np.ndarray:
 
 
 def passages(documents: DataFrame) -> DataFrame:
-    """``(doc_id, first, last, is_window, key, bands)``: code points, end exclusive; bands for paragraphs."""
+    """``(doc_id, first, last, is_window, key, bands)``: code points, end exclusive; bands for
+    paragraphs of at least SHINGLE words."""
     columns = ("first", "last", "is_window", "key", "bands")
 
     def found(text: str | None) -> tuple | None:
         words = Words(text)
         codes = words.codes
         grams = gram_hashes(codes, SHINGLE)
-        if len(codes) < LEAST_WORDS:
+        if not len(codes):
             return None
         at = anchors(grams, len(codes))
         a, b = words.paragraphs()
-        bands = band_hashes(grams, a, b - SHINGLE + 1) if len(a) else np.empty((0, BANDS), np.uint64)
+        banded = b - a >= SHINGLE
+        bands = band_hashes(grams, a[banded], b[banded] - SHINGLE + 1) if banded.any() else np.empty((0, BANDS), np.uint64)
         starts, ends = np.concatenate([at, a]), np.concatenate([at + WINDOW, b])
         keys = np.concatenate([digests(codes, at, at + WINDOW, 1), digests(codes, a, b, 0)])
-        return words.first[starts], words.last[ends - 1], np.arange(len(starts)) < len(at), signed(keys), signed(bands)
+        return words.first[starts], words.last[ends - 1], np.arange(len(starts)) < len(at), signed(keys), np.concatenate([np.zeros(len(at), bool), banded]), signed(bands)
 
     def run(batch):
         for k in range(0, batch.num_rows, 200):
@@ -122,10 +124,10 @@ def passages(documents: DataFrame) -> DataFrame:
                     ids.append(np.full(len(part[0]), doc_id))
                     parts.append(part)
             if parts:
-                first, last, is_window, key, bands = (np.concatenate(x) for x in zip(*parts))
-                sizes = np.where(is_window, 0, BANDS)
+                first, last, is_window, key, banded, bands = (np.concatenate(x) for x in zip(*parts))
+                sizes = np.where(banded, BANDS, 0)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()), mask=pa.array(is_window))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()), mask=pa.array(~banded))
                 yield dict(zip(("doc_id", *columns), (np.concatenate(ids), first, last, is_window, key, lists)))
 
     return map_batches(documents, run, "doc_id long, first int, last int, is_window boolean, key long, bands array<long>")
@@ -136,9 +138,9 @@ def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
     cluster over two or more documents. Windows come as long as they go on alike (``_extended``).
 
     A cluster is a component of passages that are equal or, for paragraphs, of Jaccard at least
-    ``percent`` on five-word shingles. It keeps the passage of its smallest doc_id
+    ``percent`` on five-word shingles; lines of fewer words must be equal. It keeps the passage of its smallest doc_id
     (``keeper_id``), there the first; the others are removals. Words compare with A-Z lowered.
-    NULL, empty and short texts hold no passages; rows with a NULL doc_id are left out;
+    NULL texts and texts without words hold no passages; rows with a NULL doc_id are left out;
     repeated rows of a doc_id are one document. Texts of any length are read whole, other columns
     are ignored, an empty table gives no rows.
     """
@@ -147,7 +149,7 @@ def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
     rows = every.select("key", "doc_id", "first", "last", "is_window")
     # passages equal in two or more documents; keys of windows and of paragraphs are unrelated hashes
     equal = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    lines = every.where("not is_window")
+    lines = every.where("bands is not null")
     classes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "first", "last")).alias("head"), F.max("doc_id").alias("most"))
     classes = durable(classes)
     groups = components(_links(docs, lines, classes, percent)).select(F.col("node").alias("key"), F.col("component").alias("cluster_id"))

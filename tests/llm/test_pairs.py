@@ -199,6 +199,19 @@ def test_passages_anywhere_and_near_paragraphs(spark):
     assert passages.repeated_passages(frame(spark, docs).where("false")).count() == 0
 
 
+def test_short_lines_and_short_texts_are_found(spark):
+    base = "s1 s2 s3 s4 s5 s6 s7 s8 s9 s10 s11"
+    docs = {1: "Yes", 2: "a b c d e f g", 3: f"only one here\n{base}", 4: "yes", 5: "A b  c d e f g", 6: f"\nr1 r2 r3\n{base[:-4]} s10 x y z", 7: f"{base[3:]}\nYES\n", 8: "some other", 9: "x\nx", 10: " \n\n"}
+    found = passages.repeated_passages(frame(spark, docs))
+    got = {(r.doc_id, docs[r.doc_id][r.first : r.last], r.keeper_id, r.removed) for r in found.collect()}
+    assert got == {
+        (1, "Yes", 1, False), (4, "yes", 1, True), (7, "YES", 1, True), (2, docs[2], 2, False), (5, docs[5], 2, True),
+        (3, base, 3, False), (7, base[3:], 3, True),
+    }
+    result = {r.doc_id: r.spans for r in passages.removals(found).collect()}
+    assert result == {1: "", 2: "", 3: "", 4: "0:3", 5: f"0:{len(docs[5])}", 7: f"0:{len(base) - 3},{len(base) - 2}:{len(base) + 1}"}
+
+
 def test_windows_extend_to_the_whole_shared_passage(spark):
     rng = random.Random(12)
     new = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
