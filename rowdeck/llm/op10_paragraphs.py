@@ -98,8 +98,10 @@ def _powers(base: np.uint64, size: int) -> np.ndarray:
 
 def passages(documents: DataFrame) -> DataFrame:
     """``(doc_id, first, last, is_window, key, bands)``: code points, end exclusive; bands for
-    paragraphs of at least SHINGLE words."""
-    columns = ("first", "last", "is_window", "key", "bands")
+    paragraphs of at least SHINGLE words. For windows the key with the next REACH words to a side
+    (as many as there are), and the code points these take."""
+    sides = ("left_whole", "right_whole", "left_far", "right_far")
+    columns = ("first", "last", "is_window", "key", *sides, "bands")
 
     def found(text: str | None) -> tuple | None:
         words = Words(text)
@@ -113,7 +115,12 @@ def passages(documents: DataFrame) -> DataFrame:
         bands = band_hashes(grams, a[banded], b[banded] - SHINGLE + 1) if banded.any() else np.empty((0, BANDS), np.uint64)
         starts, ends = np.concatenate([at, a]), np.concatenate([at + WINDOW, b])
         keys = np.concatenate([digests(codes, at, at + WINDOW, 1), digests(codes, a, b, 0)])
-        return words.first[starts], words.last[ends - 1], np.arange(len(starts)) < len(at), signed(keys), np.concatenate([np.zeros(len(at), bool), banded]), signed(bands)
+        low, high = np.maximum(at - REACH, 0), np.minimum(at + WINDOW + REACH, len(codes))
+        wholes = [digests(codes, low, at + WINDOW, 0), digests(codes, at, high, 1)]
+        fars = [words.first[at] - words.first[low], words.last[high - 1] - words.last[at + WINDOW - 1]]
+        none = np.zeros(len(a), np.int64)
+        around = [np.concatenate([x.astype(np.int64, copy=False) if x.dtype != np.uint64 else signed(x), none]) for x in (*wholes, *fars)]
+        return words.first[starts], words.last[ends - 1], np.arange(len(starts)) < len(at), signed(keys), *around, np.concatenate([np.zeros(len(at), bool), banded]), signed(bands)
 
     def run(batch):
         for k in range(0, batch.num_rows, 200):
@@ -124,13 +131,14 @@ def passages(documents: DataFrame) -> DataFrame:
                     ids.append(np.full(len(part[0]), doc_id))
                     parts.append(part)
             if parts:
-                first, last, is_window, key, banded, bands = (np.concatenate(x) for x in zip(*parts))
+                first, last, is_window, key, *around, banded, bands = (np.concatenate(x) for x in zip(*parts))
                 sizes = np.where(banded, BANDS, 0)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()), mask=pa.array(~banded))
-                yield dict(zip(("doc_id", *columns), (np.concatenate(ids), first, last, is_window, key, lists)))
+                yield dict(zip(("doc_id", *columns), (np.concatenate(ids), first, last, is_window, key, *around, lists)))
 
-    return map_batches(documents, run, "doc_id long, first int, last int, is_window boolean, key long, bands array<long>")
+    kinds = "left_whole long, right_whole long, left_far int, right_far int"
+    return map_batches(documents, run, f"doc_id long, first int, last int, is_window boolean, key long, {kinds}, bands array<long>")
 
 
 def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -146,7 +154,8 @@ def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
     """
     docs = narrow(documents, doc_id=F.col("doc_id").cast("long"), text="text").where("doc_id is not null")
     every = stored(passages(docs))
-    rows = every.select("key", "doc_id", "first", "last", "is_window")
+    around = ["left_whole", "right_whole", "left_far", "right_far"]
+    rows = every.select("key", "doc_id", "first", "last", "is_window", *around)
     # passages equal in two or more documents; keys of windows and of paragraphs are unrelated hashes
     equal = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     lines = every.where("bands is not null")
@@ -157,33 +166,34 @@ def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
     members = equal.join(groups, "key", "left_anti").select("key", F.col("key").alias("cluster_id"), "least", "most").union(near)
     spans = members.groupBy("cluster_id").agg(F.min("least").alias("keeper_id"), F.max("most").alias("last_id")).where("keeper_id < last_id")
     members = durable(members.join(spans, "cluster_id").select("key", "cluster_id", "keeper_id"))
-    found = stored(rows.join(members, "key").select("doc_id", "first", "last", "is_window", "cluster_id", "keeper_id").distinct())
+    found = stored(rows.join(members, "key").select("doc_id", "first", "last", "is_window", "cluster_id", "keeper_id", *around).distinct())
     keeper = found.where("doc_id = keeper_id").groupBy("cluster_id").agg(F.min("first").alias("kept"))
     stays = (F.col("doc_id") == F.col("keeper_id")) & (F.col("first") == F.col("kept"))
     found = stored(found.join(keeper, "cluster_id").select(
-        "doc_id", "first", "last", "is_window", "cluster_id", "keeper_id", (~stays).alias("removed")
+        "doc_id", "first", "last", "is_window", "cluster_id", "keeper_id", (~stays).alias("removed"), *around
     ))
-    return found.where("not is_window").unionByName(_extended(docs, found.where("is_window")))
+    return found.where("not is_window").drop(*around).unionByName(_extended(docs, found.where("is_window")))
 
 
 def _extended(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """The windows as long as they go on alike: removals with an earlier occurrence, kept ones with
     any other document. If that is not one document to both sides, a row for each, with it as ``keeper_id``."""
     seed = ["doc_id", "first", "cluster_id"]
-    ends = _ends(_sides(docs, windows)).groupBy(*seed).agg(
+    ends = _ends(docs, windows).groupBy(*seed).agg(
         *(F.max(F.when(side, F.col(c))).alias(f"{name}_{c}") for side, name in ((F.col("left"), "left"), (~F.col("left"), "right")) for c in ("far", "other"))
     )
     others = F.array_distinct(F.array("keeper_id", F.coalesce("left_other", "keeper_id"), F.coalesce("right_other", "keeper_id")))
-    rows = windows.join(ends, seed, "left").withColumn("with", F.explode(others))
+    rows = windows.drop("left_far", "right_far").join(ends, seed, "left").withColumn("with", F.explode(others))
     first = F.col("first") - F.when(F.col("with") == F.col("left_other"), F.col("left_far")).otherwise(0)
     last = F.col("last") + F.when(F.col("with") == F.col("right_other"), F.col("right_far")).otherwise(0)
     return rows.select("doc_id", first.alias("first"), last.alias("last"), "is_window", "cluster_id", F.col("with").alias("keeper_id"), "removed")
 
 
-def _sides(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """``(doc_id, first, cluster_id, removed, left, whole, h, reach)``, two rows per window: hashes of the window with
-    its next 1 .. REACH words to that side, the last of them, and the code points those words take."""
-    by_doc = windows.groupBy("doc_id").agg(F.collect_list(F.struct("cluster_id", "first", "removed")).alias("cuts"))
+def _sides(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows with ``h`` and ``reach``: hashes of the window with its next 1 .. REACH words to the row's side, and
+    the code points those words take."""
+    names = ("first", "cluster_id", "removed", "left", "source", "most")
+    by_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("cuts"))
 
     def sides(text: str | None, cuts: list[dict]):
         words = Words(text)
@@ -196,9 +206,11 @@ def _sides(docs: DataFrame, windows: DataFrame) -> DataFrame:
         if not fits.any():  # windows of another text under this doc_id
             return
         fits &= (digests(codes, at, np.where(fits, at + WINDOW, 0), 1) == keys) & (words.first[at] == firsts)
-        which = np.nonzero(fits)[0]
-        at, keys = at[which], keys[which]
+        to_left = np.array([cut["left"] for cut in cuts])
+        every, every_key = at, keys
         for left in (True, False):
+            which = np.nonzero(fits & (to_left == left))[0]
+            at, keys = every[which], every_key[which]
             size = np.minimum(REACH, at if left else len(codes) - at - WINDOW)
             total, h, reach = mix(keys + np.uint64(left)), [], []
             edge = words.first[at] if left else words.last[at + WINDOW - 1]
@@ -208,12 +220,9 @@ def _sides(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 h.append(total)
                 reach.append(edge - words.first[place] if left else words.last[place] - edge)
             h, reach = signed(np.stack(h, 1)), np.stack(reach, 1)
-            empty = signed(mix(keys + np.uint64(left)))
             for row, k in enumerate(which):
-                n = size[row]
-                yield firsts[k], cuts[k]["cluster_id"], cuts[k]["removed"], left, h[row, n - 1] if n else empty[row], h[row, :n], reach[row, :n]
+                yield *(cuts[k][c] for c in names), h[row, : size[row]], reach[row, : size[row]]
 
-    names = ("first", "cluster_id", "removed", "left", "whole", "h", "reach")
 
     def run(batch):
         ids, rows = [], []
@@ -222,16 +231,16 @@ def _sides(docs: DataFrame, windows: DataFrame) -> DataFrame:
             ids += [doc_id] * len(found)
             rows += found
             if len(rows) >= 5000:
-                yield dict(zip(("doc_id", *names), (ids, *zip(*rows))))
+                yield dict(zip(("doc_id", *names, "h", "reach"), (ids, *zip(*rows))))
                 ids, rows = [], []
         if rows:
-            yield dict(zip(("doc_id", *names), (ids, *zip(*rows))))
+            yield dict(zip(("doc_id", *names, "h", "reach"), (ids, *zip(*rows))))
 
-    kinds = "doc_id long, first int, cluster_id long, removed boolean, left boolean, whole long, h array<long>, reach array<int>"
-    return stored(map_batches(docs.join(by_doc, "doc_id").select("doc_id", "text", "cuts"), run, kinds).dropDuplicates(["doc_id", "first", "cluster_id", "left"]))
+    kinds = "doc_id long, first int, cluster_id long, removed boolean, left boolean, source boolean, most long, h array<long>, reach array<int>"
+    return stored(map_batches(docs.join(by_doc, "doc_id").select("doc_id", "text", "cuts"), run, kinds))
 
 
-def _ends(sides: DataFrame) -> DataFrame:
+def _ends(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """``(doc_id, first, cluster_id, left, far, other)``: the code points to add to that side, and the
     document that shares most there.
 
@@ -245,15 +254,16 @@ def _ends(sides: DataFrame) -> DataFrame:
     more = F.when(F.col("removed"), F.col("least") < own).otherwise(F.col("top") > F.col("doc_id"))
     other = F.when(F.col("removed"), F.col("least.doc_id")).otherwise(F.col("doc_id"))
     seed = ["doc_id", "first", "cluster_id", "removed", "left"]
-    sides = sides.withColumn("most", F.col("doc_id"))
-    groups = durable(sides.groupBy("whole").agg(least, most))
-    sides = sides.drop("most").join(groups, "whole").withColumn("more", more)
-    done = sides.where("more").select(*seed, F.coalesce(F.get("reach", F.size("reach") - 1), F.lit(0)).alias("far"), other.alias("other"))
-    # of rows with the same words, the earliest stands for all
-    state = sides.where(F.col("least") == own).select(
-        *seed, F.col("more").alias("source"), F.col("top").alias("most"), "h", "reach", F.lit(0).alias("far"), F.lit(None).cast("long").alias("other")
-    )
-    done, state = durable(done), durable(state)
+    both = [F.struct(F.lit(x).alias("left"), F.col(f"{n}_whole").alias("whole"), F.col(f"{n}_far").alias("far")) for x, n in ((True, "left"), (False, "right"))]
+    sides = windows.select("doc_id", "first", "cluster_id", "removed", F.inline(F.array(*both)))
+    groups = durable(sides.withColumn("most", F.col("doc_id")).groupBy("whole").agg(least, most))
+    sides = durable(sides.join(groups, "whole").withColumn("more", more))
+    done = sides.where("more").select(*seed, "far", other.alias("other"))
+    # of rows with the same words, the earliest stands for all; alone in its cluster it has nobody to meet
+    first = sides.where(F.col("least") == own).select(*seed, F.col("more").alias("source"), F.col("top").alias("most"))
+    several = first.groupBy("cluster_id", "left").count().where("count > 1").drop("count")
+    state = _sides(docs, durable(first.join(several, ["cluster_id", "left"])))
+    state = state.withColumns({"far": F.lit(0), "other": F.lit(None).cast("long")})
     step = 1 << (REACH.bit_length() - 1)
     while step:
         state = state.withColumn("probe", F.get("h", F.lit(step - 1)))
