@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # One number per use of randomness, hashed with the seed: the same seed gives unrelated
-# streams to values, orders, coins and samples. Fixed values.
-GENERATE, ORDER, LANES, COIN, SAMPLE = 1, 2, 3, 4, 5
+# streams to values, orders, coins, samples and fingerprints. Fixed values.
+GENERATE, ORDER, LANES, COIN, SAMPLE, PRINT = 1, 2, 3, 4, 5, 6
 
 
 def draw(use: int, seed: int, *key: Column | str) -> Column:

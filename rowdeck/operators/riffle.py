@@ -1,11 +1,19 @@
-"""Random merges of ordered inputs: a coin per output slot picks the side."""
+"""Random merges of ordered inputs.
+
+By coins, a fair coin per output slot picks the side while both have rows left. Uniformly, the
+slots of the left side are those with the smallest draws, as many as it has rows: every choice of
+slots is equally likely, which is the same as drawing a side with the probability of its rows
+among all that are left. Merging uniformly shuffled sides uniformly leaves a uniform shuffle.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rowdeck.functions import coin, idiv
-from rowdeck.operators.ranking import INDEX_BITS, sum_of_earlier
+from rowdeck.functions import coin, draw, idiv
+from rowdeck.functions.hashing import COIN
+from rowdeck.operators.lanes import Batches
+from rowdeck.operators.ranking import INDEX_BITS, LANE, position_in_lanes, sum_of_earlier
 from rowdeck.session import row_count, task_limit
 
 TASK_SLOTS = 1 << 16  # slots tossed in one task, where the cluster has tasks to spare
@@ -31,15 +39,47 @@ def _counted(slots: DataFrame, rows: int, tasks: int) -> DataFrame:
     return numbered.join(F.broadcast(base), "home").select("slot", (F.col("index") + F.col("base")).alias("nth"))
 
 
-def _coin_slots(spark: SparkSession, rows: int, lane_slots: int, width: int, seed: int) -> DataFrame:
-    """``(src, slot)`` for every slot filled by a coin, in lanes of ``lane_slots`` slots
-    whose first ``width`` positions are the left side. No slot is exchanged."""
+def _drawn_sides(slots: DataFrame, rows: int, lane_slots: int, width: int, seed: int) -> tuple[DataFrame, Column]:
+    """Slots with, and the condition for, a draw among the smallest of their lane, as many as the left
+    side has rows. The last such draw of each lane is found by ranking slots in one exchange."""
+    lanes = Batches(rows, lane_slots)
+    ranked = position_in_lanes(slots, lanes, F.col("slot"), draw(COIN, seed, "slot"), ["slot"], "_seat")
+    start = lanes.start(F.col(LANE))
+    left, _ = _sides(start, rows, lane_slots, width)
+    lasts = ranked.filter(F.col("_seat") == start + left - 1).select(F.col(LANE).alias("_in"), F.struct(draw(COIN, seed, "slot").alias("d"), F.col("slot").alias("s")).alias("_last"))
+    joined = slots.withColumn("_in", idiv(F.col("slot"), lane_slots)).join(F.broadcast(lasts), "_in")
+    return joined, F.struct(draw(COIN, seed, "slot").alias("d"), F.col("slot").alias("s")) <= F.col("_last")
+
+
+def _drawn_in_window(slots: DataFrame, rows: int, lane_slots: int, width: int, seed: int) -> DataFrame:
+    """The uniform choice where lanes are small or many: each is ordered twice in one task."""
+    start = (idiv(F.col("slot"), lane_slots) * F.lit(lane_slots)).alias("start")
+    left, right = _sides(F.col("start"), rows, lane_slots, width)
+    by_draw = F.row_number().over(Window.partitionBy("start").orderBy(draw(COIN, seed, "slot"), "slot"))
+    before = Window.partitionBy("start").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    flagged = slots.select("slot", start).withColumn("head", (by_draw <= left).cast("bigint"))
+    heads = F.coalesce(F.sum("head").over(before), F.lit(0))
+    counted = flagged.withColumn("heads", heads).withColumn("tails", F.col("slot") - F.col("start") - F.col("heads"))
+    # slots after the end of a side are left to the rule for rows that no slot took
+    both = counted.filter((F.col("heads") < left) & (F.col("tails") < right))
+    src = F.col("start") + F.when(F.col("head") == 1, F.col("heads")).otherwise(left + F.col("tails"))
+    return both.select(src.alias("src"), "slot")
+
+
+def _coin_slots(spark: SparkSession, rows: int, lane_slots: int, width: int, seed: int, uniform: bool) -> DataFrame:
+    """``(src, slot)`` for every slot filled while both sides have rows, in lanes of ``lane_slots``
+    slots whose first ``width`` positions are the left side. No slot is exchanged by coins."""
     total = max(rows, 1)
     tasks = max(1, min(-(-total // TASK_SLOTS), task_limit(spark, total)))
     slots = spark.range(0, rows, 1, tasks).withColumnRenamed("id", "slot")
     start = (idiv(F.col("slot"), lane_slots) * F.lit(lane_slots)).alias("start")
-    heads = slots.filter(coin(seed, "slot"))
-    tails = slots.filter(~coin(seed, "slot"))
+    chosen = coin(seed, "slot")
+    if uniform and (lane_slots <= SMALL_LANE or -(-rows // lane_slots) > BROADCAST_LANES):
+        return _drawn_in_window(slots, rows, lane_slots, width, seed)
+    if uniform:
+        slots, chosen = _drawn_sides(slots, rows, lane_slots, width, seed)
+    heads = slots.filter(chosen)
+    tails = slots.filter(~chosen)
 
     def ranked(kept: DataFrame) -> DataFrame:
         """``nth`` counted from the start of the lane."""
@@ -76,7 +116,7 @@ def _sides(start: Column, rows: int, lane_slots: int, width: int) -> tuple[Colum
 
 
 def _riffle(
-    df: DataFrame, rows: int, lane_slots: int, width: int, seed: int, pos: str, out: str
+    df: DataFrame, rows: int, lane_slots: int, width: int, seed: int, pos: str, out: str, uniform: bool
 ) -> DataFrame:
     source = df.withColumnRenamed(pos, "_at")
     at = F.col("_at")
@@ -85,7 +125,7 @@ def _riffle(
     # rows of the left side that no coin placed follow the whole right side; those of
     # the right side end where they already are
     unplaced = F.when(at - start < left, at + right).otherwise(at)
-    slots = _coin_slots(df.sparkSession, rows, lane_slots, width, seed)
+    slots = _coin_slots(df.sparkSession, rows, lane_slots, width, seed, uniform)
     slots = slots.select(F.col("src").alias("_at"), F.col("slot").alias("_slot"))
     merged = source.join(slots, "_at", "left").withColumn("_slot", F.coalesce(F.col("_slot"), unplaced))
     if pos == out:
@@ -94,14 +134,14 @@ def _riffle(
 
 
 def riffle_pairs(
-    df: DataFrame, rows: int, width: int, seed: int, pos: str = "pos", out: str = "new_pos"
+    df: DataFrame, rows: int, width: int, seed: int, pos: str = "pos", out: str = "new_pos", uniform: bool = False
 ) -> DataFrame:
-    """Merge neighbouring blocks of ``width`` positions, two by two, at random.
+    """Merge neighbouring blocks of ``width`` positions, two by two, at random, by coins or uniformly.
 
     Both blocks keep their inner order; when one runs out the rest of the other follows.
     A last block without a partner stays as it is.
     """
-    return _riffle(df, rows, 2 * width, width, seed, pos, out)
+    return _riffle(df, rows, 2 * width, width, seed, pos, out, uniform)
 
 
 def riffle_merge(
@@ -112,11 +152,12 @@ def riffle_merge(
     out: str = "new_pos",
     left_rows: int | None = None,
     right_rows: int | None = None,
+    uniform: bool = False,
 ) -> DataFrame:
-    """Random merge of two ordered tables of any sizes; each side keeps its order.
+    """Random merge of two ordered tables of any sizes, by coins or uniformly; each side keeps its order.
 
     ``pos`` comes back as the position in the two tables laid end to end.
     """
     first, second = row_count(left, left_rows), row_count(right, right_rows)
     stacked = left.unionByName(right.withColumn(pos, F.col(pos) + F.lit(first)))
-    return _riffle(stacked, first + second, max(first + second, 1), first, seed, pos, out)
+    return _riffle(stacked, first + second, max(first + second, 1), first, seed, pos, out, uniform)

@@ -199,16 +199,21 @@ def merge_shuffle(
     out: str = "new_pos",
     rows: int | None = None,
     coarse: bool = False,
+    uniform: bool = False,
 ) -> DataFrame:
     """About 2k shuffled blocks, merged pair by pair until one is left.
 
     By default every merge ends in a shuffle of the merged block, which makes the result
     uniform, so the one keyed shuffle that has that distribution is run. ``coarse``
-    leaves those shuffles out and really merges: rows keep their order inside a block. Only
-    positions go through the rounds; the other columns are joined once, at the end.
+    leaves those shuffles out and really merges, by fair coins: rows keep their order inside a block.
+    ``uniform`` merges too, drawing sides by the rows they have left, so that merging alone makes
+    every order equally likely. Only positions go through the rounds; the other columns are joined
+    once, at the end.
     """
     total = row_count(df, rows)
-    if not coarse:
+    if coarse and uniform:
+        raise ValueError("merges are either by coins or uniform")
+    if not (coarse or uniform):
         return keyed_shuffle(df, key, seed, out, total)
     refuse_existing(df, out)
     blocks = merge_blocks(total, k)
@@ -217,7 +222,7 @@ def merge_shuffle(
     width, step = blocks.batch, 0
     while width < total:
         step += 1
-        moved = riffle_pairs(moved, total, width, seed + step, pos=out, out=out)
+        moved = riffle_pairs(moved, total, width, seed + step, pos=out, out=out, uniform=uniform)
         width *= 2
     return df.join(moved, pos).select(*df.columns, out)
 

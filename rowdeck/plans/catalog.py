@@ -17,7 +17,7 @@ from rowdeck.functions import (
     uniform,
     uniform_int,
 )
-from rowdeck.operators import inference, lanes as L, ordering, pairing, riffle, shuffles, verify
+from rowdeck.operators import balance, cycles, inference, lanes as L, ordering, pairing, radix, riffle, shuffles, verify
 
 SEED = 7
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -462,6 +462,55 @@ def _(spark, folder):
     return rows.agg(F.round(F.sum(F.col("q") * F.col("q")), 2).alias("sum_squares"))
 
 
+# --- loads, digits and cycles -----------------------------------------------------------
+
+
+def _uneven(spark, folder) -> DataFrame:
+    """Orders in lanes of very different sizes, some of 16 empty."""
+    rows = table(spark, folder, "orders", pos="o_orderkey", cust="o_custkey")
+    return rows.select("pos", F.when(F.col("cust") % 3 == 0, 0).otherwise(F.col("cust") % 13).cast("bigint").alias("lane"))
+
+
+@query("rebalance_moves")
+def _(spark, folder):
+    return balance.rebalance(_uneven(spark, folder), "lane", 16)
+
+
+@query("least_loaded")
+def _(spark, folder):
+    """Documents dealt by length; rows and characters per lane."""
+    rows = table(spark, folder, "documents", pos="doc_id", cost="n_chars")
+    dealt = balance.least_loaded(rows, "cost", 8, bits=20)
+    return dealt.groupBy("lane").agg(F.count(F.lit(1)).alias("rows"), F.sum("cost").alias("cost"))
+
+
+@query("radix_sort")
+def _(spark, folder):
+    """A wide range of values on both sides of zero, a third of them equal, some missing."""
+    rows = table(spark, folder, "orders", pos="o_orderkey", cust="o_custkey")
+    cust = F.col("cust")
+    v = F.when(cust % 3 == 0, 42).when(cust % 7 == 0, F.lit(None)).otherwise((cust - 500) * 1_000_003)
+    return radix.radix_sort(rows.select("pos", v.cast("bigint").alias("v")), "v")
+
+
+@query("riffle_uniform")
+def _(spark, folder):
+    left = events(spark, folder, v="user_id")
+    right = table(spark, folder, "orders", pos="o_orderkey", v="o_custkey")
+    return riffle.riffle_merge(left, right, SEED, uniform=True)
+
+
+@query("merge_uniform")
+def _(spark, folder):
+    return shuffles.merge_shuffle(events(spark, folder), 2, "pos", SEED, uniform=True)
+
+
+@query("permutation_cycles")
+def _(spark, folder):
+    rows = events(spark, folder)
+    return cycles.cycle_lengths(shuffles.cyclic_shuffle(rows, 64, "pos", SEED))
+
+
 # --- verification -----------------------------------------------------------------------
 
 
@@ -494,6 +543,27 @@ def _(spark, folder):
     return verify.verify_set(left, table(spark, folder, "labels", value="doc_id"), "value")
 
 
+@query("verify_fingerprint")
+def _(spark, folder):
+    rows = _parts(spark, folder)
+    return verify.verify_fingerprint(rows, shuffles.keyed_shuffle(rows, "pos", SEED, out="new_pos"), "value")
+
+
+@query("verify_fingerprint_false")
+def _(spark, folder):
+    return verify.verify_fingerprint(table(spark, folder, "part", value="p_partkey"), _parts(spark, folder), "value")
+
+
+@query("fingerprint_audit")
+def _(spark, folder):
+    """Three outputs of one table: shuffled, untouched, and with a value changed."""
+    rows = events(spark, folder, value="user_id")
+    changed = rows.withColumn("value", F.when(F.col("pos") == 5, F.col("value") + 1).otherwise(F.col("value")))
+    audits = [verify.fingerprint_audit(rows, after) for after in (_shuffled(rows), rows, changed)]
+    numbered = [audit.withColumn("nth", F.lit(k)) for k, audit in enumerate(audits)]
+    return numbered[0].unionByName(numbered[1]).unionByName(numbered[2])
+
+
 @query("verify_length")
 def _(spark, folder):
     keys = table(spark, folder, "customer", value="c_custkey")
@@ -582,6 +652,17 @@ def _(spark, folder):
     return pairing.lookup_label(predicted.drop("features"), names, "predicted", "key")
 
 
+@query("predict_in_batches")
+def _(spark, folder):
+    """A model whose answer depends on the batch: the value above the batch's least, and its size."""
+
+    def build():
+        return lambda batch: batch["v"] - batch["v"].min() + 1000 * len(batch)
+
+    rows = events(spark, folder, v="user_id")
+    return inference.predict_in_batches(rows, build, ["v"], "answer", "bigint", 360)
+
+
 @query("predict_sample")
 def _(spark, folder):
     rows = _features(spark, folder).drop("embedding")

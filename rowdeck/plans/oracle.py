@@ -6,7 +6,7 @@ the random orders are compared value by value.
 
 from __future__ import annotations
 
-from rowdeck.functions.hashing import COIN, GENERATE, LANES, ORDER, SAMPLE
+from rowdeck.functions.hashing import COIN, GENERATE, LANES, ORDER, PRINT, SAMPLE
 
 SEED = 7
 
@@ -247,11 +247,13 @@ ORACLES["lane_extremes"] = f"""WITH loads AS (SELECT {DIAGONAL.format(k=7)} AS l
         (SELECT lane FROM loads ORDER BY rows, lane LIMIT 1) AS emptiest, min(rows) AS min_rows FROM loads"""
 
 
-def _riffle(relation: str, rows: str, lane_slots: str, width: str, seed: int, keep: str) -> str:
-    """Merge the two sides of each lane of ``relation`` by one coin per slot."""
+def _riffle(relation: str, rows: str, lane_slots: str, width: str, seed: int, keep: str, uniform: bool = False) -> str:
+    """Merge the two sides of each lane of ``relation`` by one coin per slot, or by the smallest draws."""
     slots = hashed(f"(SELECT range AS slot FROM range({rows}))", "slot", seed, COIN)
+    start = f"slot // ({lane_slots}) * ({lane_slots})"
+    head = f"row_number() OVER (PARTITION BY {start} ORDER BY h, slot) <= least({width}, {rows} - {start})" if uniform else "h < 0"
     return f"""(
-        WITH coins AS (SELECT slot, h < 0 AS head, slot // ({lane_slots}) * ({lane_slots}) AS start FROM {slots}),
+        WITH coins AS (SELECT slot, {head} AS head, {start} AS start FROM {slots}),
         counted AS (SELECT slot, head, start,
             least({width}, {rows} - start) AS lft,
             least({lane_slots}, {rows} - start) - least({width}, {rows} - start) AS rgt,
@@ -272,13 +274,100 @@ _STACK = f"""(SELECT event_id AS pos, user_id AS v FROM events
     UNION ALL SELECT o_orderkey + {N}, o_custkey FROM orders)"""
 ORACLES["riffle_merge"] = f"SELECT * FROM {_riffle(_STACK, _BOTH, _BOTH, N, SEED, 'pos, v')}"
 
+ORACLES["riffle_uniform"] = f"SELECT * FROM {_riffle(_STACK, _BOTH, _BOTH, N, SEED, 'pos, v', True)}"
+
 _BLOCK = f"ceil({N} / 4.0)::BIGINT"
 _BLOCKS = f"(SELECT pos AS origin, new_pos AS pos FROM ({_lane_shuffle(f'pos // {_BLOCK}', 'pos')}))"
 _ROUND1 = f"(SELECT origin, new_pos AS pos FROM {_riffle(_BLOCKS, N, f'2 * {_BLOCK}', _BLOCK, SEED + 1, 'origin')})"
 ORACLES["merge_shuffle"] = f"""SELECT origin AS pos, new_pos
     FROM {_riffle(_ROUND1, N, f'4 * {_BLOCK}', f'2 * {_BLOCK}', SEED + 2, 'origin')}"""
 
+_EVEN1 = f"(SELECT origin, new_pos AS pos FROM {_riffle(_BLOCKS, N, f'2 * {_BLOCK}', _BLOCK, SEED + 1, 'origin', True)})"
+ORACLES["merge_uniform"] = f"""SELECT origin AS pos, new_pos
+    FROM {_riffle(_EVEN1, N, f'4 * {_BLOCK}', f'2 * {_BLOCK}', SEED + 2, 'origin', True)}"""
+
+_LANED = "(SELECT o_orderkey AS pos, CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 13 END AS lane FROM orders)"
+ORACLES["rebalance_moves"] = f"""WITH loads AS (
+        SELECT range AS lane, count(pos) AS load FROM range(16) LEFT JOIN {_LANED} ON lane = range GROUP BY range),
+    plan AS (SELECT lane, load, (SELECT count(*) FROM orders) // 16
+        + (row_number() OVER (ORDER BY load DESC, lane) <= (SELECT count(*) FROM orders) % 16)::BIGINT AS target FROM loads),
+    summed AS (SELECT *, greatest(target - load, 0) AS gap,
+        coalesce(sum(greatest(load - target, 0)) OVER before, 0) AS given,
+        coalesce(sum(greatest(target - load, 0)) OVER before, 0) AS taken
+        FROM plan WINDOW before AS (ORDER BY lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY pos) - 1 AS rank FROM {_LANED})
+    SELECT r.pos, r.lane, coalesce(g.lane, r.lane) AS new_lane FROM ranked r JOIN summed s ON s.lane = r.lane
+    LEFT JOIN summed g ON r.rank >= s.target AND s.given + r.rank - s.target >= g.taken AND s.given + r.rank - s.target < g.taken + g.gap"""
+
+_LEAST = "list_position(loads, list_min(loads))"
+ORACLES["least_loaded"] = f"""WITH RECURSIVE sorted AS (
+        SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i, n_chars AS cost FROM documents),
+    greedy AS (SELECT 0::BIGINT AS i, list_transform(range(8), lambda x: 0::BIGINT) AS loads, list_transform(range(8), lambda x: 0::BIGINT) AS counts
+        UNION ALL SELECT s.i, list_transform(loads, lambda x, j: CASE WHEN j = {_LEAST} THEN x + cost ELSE x END),
+            list_transform(counts, lambda x, j: CASE WHEN j = {_LEAST} THEN x + 1 ELSE x END)
+        FROM greedy g JOIN sorted s ON s.i = g.i + 1)
+    SELECT unnest(range(8)) AS lane, unnest(counts) AS rows, unnest(loads) AS cost
+    FROM greedy WHERE i = (SELECT count(*) FROM documents)"""
+
+ORACLES["radix_sort"] = """SELECT pos, v, (row_number() OVER (ORDER BY v NULLS LAST, pos) - 1)::BIGINT AS new_pos FROM (
+    SELECT o_orderkey AS pos, CASE WHEN o_custkey % 3 = 0 THEN 42 WHEN o_custkey % 7 = 0 THEN NULL
+        ELSE (o_custkey - 500) * 1000003 END AS v FROM orders)"""
+
+ORACLES["permutation_cycles"] = f"""WITH RECURSIVE moves AS MATERIALIZED (
+        SELECT pos, coalesce(lead(pos) OVER w, first_value(pos) OVER w) AS new_pos
+        FROM (SELECT *, {CHUNKS.format(k=64)} AS lane FROM {hashed(EVENTS, 'pos', SEED, LANES)})
+        WINDOW w AS (PARTITION BY lane ORDER BY h, pos)),
+    walk AS (SELECT pos AS origin, new_pos AS here, least(pos, new_pos) AS low FROM moves
+        UNION ALL SELECT origin, new_pos, least(low, new_pos) FROM walk JOIN moves ON pos = here WHERE here <> origin)
+    SELECT low AS cycle, count(*) AS length FROM walk WHERE here = origin GROUP BY low"""
+
+ORACLES["predict_in_batches"] = f"""SELECT pos, user_id AS v, user_id - min(user_id) OVER batch + 1000 * count(*) OVER batch AS answer
+    FROM {EVENTS} WINDOW batch AS (PARTITION BY pos // 360)"""
+
+
+def _print(relation: str) -> str:
+    """The fingerprint of the values of a relation."""
+    halves = []
+    for seed in (0, 1):
+        h = f"(h::HUGEINT + CASE WHEN h < 0 THEN {WORD}::HUGEINT ELSE 0::HUGEINT END)"
+        words = ", ".join(f"coalesce(sum(({h} >> {22 * k}) & 4194303), 0)" for k in range(3))
+        halves.append(f"(SELECT concat_ws(',', {words}) FROM {hashed(relation, 'value', seed, PRINT)})")
+    return " || ',' || ".join(halves)
+
+
+def _same_print(left: str, right: str) -> str:
+    return f"""SELECT *, n = n_out AND print_in = print_out AS multiset_ok FROM (
+        SELECT (SELECT count(*) FROM {left}) AS n, (SELECT count(*) FROM {right}) AS n_out,
+            {_print(left)} AS print_in, {_print(right)} AS print_out)"""
+
+
+ORACLES["verify_fingerprint"] = _same_print(_PARTS, f"(SELECT value FROM {_shuffled(_PARTS)})")
+ORACLES["verify_fingerprint_false"] = _same_print("(SELECT p_partkey AS value FROM part)", _PARTS)
 _USERS = "(SELECT event_id AS pos, user_id AS value FROM events)"
+
+
+def _checks(nth: int, shuffled: str) -> str:
+    """What needs no order, by set differences."""
+
+    def same(columns: str) -> str:
+        left, right = f"SELECT {columns} FROM {_USERS}", f"SELECT {columns} FROM {shuffled}"
+        return f"NOT EXISTS ({left} EXCEPT ALL {right}) AND NOT EXISTS ({right} EXCEPT ALL {left})"
+
+    return f"""SELECT {nth} AS nth, n, n_out, positions_ok, multiset_ok, identical,
+        CASE WHEN n <> n_out THEN 'length differs' WHEN NOT positions_ok THEN 'positions wrong'
+            WHEN NOT multiset_ok THEN 'elements differ' WHEN identical THEN 'identical' ELSE 'passed' END AS verdict
+        FROM (SELECT {N} AS n, (SELECT count(*) FROM {shuffled}) AS n_out, {same('pos')} AS positions_ok,
+            {same('value')} AS multiset_ok, {same('pos, value')} AS identical)"""
+
+
+ORACLES["fingerprint_audit"] = " UNION ALL ".join(
+    _checks(nth, shuffled)
+    for nth, shuffled in enumerate((
+        f"(SELECT new_pos AS pos, value FROM {_shuffled(_USERS)})", _USERS,
+        "(SELECT event_id AS pos, user_id + (event_id = 5)::BIGINT AS value FROM events)",
+    ))
+)
+
 ORACLES["shuffle_percentage"] = f"""SELECT {N} AS n, count(*) FILTER (WHERE a.value <> b.value) AS moved,
     count(*) FILTER (WHERE a.value <> b.value) * 100.0::DOUBLE / {N} AS pct_moved
     FROM {_USERS} a JOIN {_shuffled(_USERS)} b ON a.pos = b.new_pos"""

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from rowdeck.functions import idiv
+from rowdeck.operators.lanes import Lanes
 from rowdeck.session import row_count, row_width, shuffle_width, task_limit
 
 FILE_ROWS = 1 << 17  # no more files than one per so many rows, unless asked for
@@ -34,16 +35,19 @@ def in_order(
             raise ValueError("the files of a laid-out table are its partitions")
         return df.sortWithinPartitions(pos)
     total = max(row_count(df, rows), 1)
-    if files is None:
-        width = row_width(df)
-        most = max(task_limit(df.sparkSession, total), -(-total * width // MAX_FILE_BYTES))
-        files = min(most, -(-total // min(FILE_ROWS, max(1, FILE_BYTES // width))))
-    parts = min(files, total)
+    parts = min(_files(df, total) if files is None else files, total)
     spot = F.least(idiv(F.col(pos) * F.lit(parts), total), F.lit(parts - 1)).cast("int")
     placed = df.withColumn("_file", spot).repartitionById(parts, F.col("_file"))
     return placed.sortWithinPartitions(pos).drop("_file")
 
 
+def _files(df: DataFrame, total: int) -> int:
+    """How many files the rows are worth, by their number and width."""
+    width = row_width(df)
+    most = max(task_limit(df.sparkSession, total), -(-total * width // MAX_FILE_BYTES))
+    return min(most, -(-total // min(FILE_ROWS, max(1, FILE_BYTES // width))))
+
+
 def in_key_order(df: DataFrame, order: list[str], files: int | None = None) -> DataFrame:
     """Lay rows out by any sort key (a draw, say) when there is no position column."""
     parts = files or shuffle_width(df.sparkSession)
@@ -85,6 +89,52 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def write_lanes(df: DataFrame, lanes: Lanes, path: str, pos: str = "pos", files: int | None = None) -> DataFrame:
+    """Write all lanes in one pass and return the manifest ``(lane, rows, files)``.
+
+    Rows are dealt to tasks by where they stand when lanes are laid end to end (one exchange), so a
+    large lane is written by many tasks, many small ones by one, and there are no more files than
+    tasks and lanes together. Below ``path`` are ``rows`` (a folder per lane), ``manifest``, with empty
+    lanes too, and ``schema``. ``read_lane`` reads one lane without looking at the others.
+    """
+    total = max(lanes.rows, 1)
+    parts = min(_files(df, total) if files is None else files, total)
+    lane = lanes.lane(F.col(pos))
+    spot = lanes.start(lane) + lanes.rank(F.col(pos))
+    task = F.least(idiv(spot * F.lit(parts), total), F.lit(parts - 1)).cast("int")
+    placed = df.withColumn("_lane", lane).withColumn("_task", task).repartitionById(parts, F.col("_task"))
+    ordered = placed.sortWithinPartitions("_lane", pos).drop("_task")
+    ordered.write.mode("errorifexists").partitionBy("_lane").parquet(f"{path}/rows")
+    spark = df.sparkSession
+    df.limit(0).write.mode("errorifexists").parquet(f"{path}/schema")
+    every = spark.range(lanes.count).withColumnRenamed("id", "lane")
+    if lanes.rows:
+        found = spark.read.parquet(f"{path}/rows").groupBy(F.col("_lane").cast("bigint").alias("lane"))
+        counts = found.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("_metadata.file_path").alias("files"))
+        zero = F.lit(0).cast("bigint")
+        every = every.join(counts, "lane", "left").select("lane", F.coalesce("rows", zero).alias("rows"), F.coalesce("files", zero).alias("files"))
+    else:
+        every = every.select("lane", *[F.lit(0).cast("bigint").alias(name) for name in ("rows", "files")])
+    every.write.mode("errorifexists").parquet(f"{path}/manifest")
+    return lane_manifest(spark, path)
+
+
+def lane_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(lane, rows, files)`` of what ``write_lanes`` left."""
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def read_lane(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """One lane of what ``write_lanes`` left, from its own files only."""
+    schema = spark.read.parquet(f"{path}/schema").schema
+    found = lane_manifest(spark, path).where(F.col("lane") == number).first()
+    if found is None:
+        raise ValueError(f"there is no lane {number}")
+    if found["rows"] == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/rows/_lane={number}")
+
+
 def iterate(df: DataFrame, pos: str = "pos") -> Iterator[Row]:
     """Rows in order, one partition at a time on the driver; for small results."""
     return in_order(df, pos).toLocalIterator()

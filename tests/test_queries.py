@@ -55,19 +55,20 @@ def test_entry(spark):
 @pytest.fixture
 def small_tasks(monkeypatch):
     """All thresholds at once so low that small tables take the paths of large ones."""
-    from rowdeck.operators import ranking, riffle, shuffles, verify
+    from rowdeck.operators import balance, ranking, riffle, shuffles, verify
     from rowdeck.sources import positions
 
     for module, name, value in (
         (ranking, "CELL_ROWS", 16), (ranking, "TASK_ROWS", 8), (ranking, "BLOCK", 5), (riffle, "TASK_SLOTS", 64), (riffle, "SMALL_LANE", 8),
         (riffle, "BROADCAST_LANES", 1), (verify, "CHUNK_ROWS", 64), (positions, "BROADCAST_PARTS", 0), (shuffles, "TOP_LIMIT", 10),
+        (balance, "CELL", 16),
     ):
         monkeypatch.setattr(module, name, value)
 
 
 SCALED = [
     name for name in sorted(QUERIES)
-    if any(part in name for part in ("shuffle", "sort", "order", "lane", "riffle", "sample", "exchange", "permutation", "gather", "audit", "number", "inversions"))
+    if any(part in name for part in ("shuffle", "sort", "order", "lane", "riffle", "sample", "exchange", "permutation", "gather", "audit", "number", "inversions", "merge", "moves", "loaded"))
 ]
 
 
