@@ -106,8 +106,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def first_rows(df: DataFrame, key: str, limit: int, seed: int = 1) -> DataFrame:
-    """A bounded sample: the ``limit`` rows with the smallest hash of ``key``; used for training only."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(limit)
+    """A bounded sample: the ``limit`` rows with the smallest hash of ``key``; used for training only.
+
+    Rows are first cut to those below a hash that leaves a little over ``limit`` of them, so few
+    more than that ever meet, whatever the number of tasks. The cut is counted, and widened where it
+    left too few.
+    """
+    pool = df.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key)))
+    total, wanted = df.count(), limit + 10 * int(limit**0.5) + 100
+    while wanted < total:
+        below = pool.where(F.col("_draw") < wanted * (1 << 64) // total - (1 << 63))
+        if below.count() >= limit:
+            pool = below
+            break
+        wanted *= 4
+    return pool.orderBy("_draw", key).limit(limit).drop("_draw")
 
 
 __all__ = ["MULTIPLIERS", "checkpoint_folder", "durable", "first_rows", "gram_hashes", "map_batches", "mix", "narrow", "shingle_set", "signed", "stored", "table", "word_hashes"]

@@ -319,7 +319,7 @@ def composed_pages(texts: list[str], count: int = 240, seed: int = 31) -> list[t
 def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Chain:
     """A CRF from at most ``max_pages`` pages of the table and the pages composed from their texts."""
     rows = narrow(pages, page_id=F.col("page_id").cast("long"), html="html").where("page_id is not null and html is not null")
-    ids = first_rows(rows.select("page_id").distinct(), "page_id", max_pages)
+    ids = first_rows(rows.select("page_id"), "page_id", max_pages).distinct()
     sample = rows.join(F.broadcast(ids), "page_id").collect()
     cut = [blocks(row["html"]) for row in sorted(sample, key=lambda row: (row["page_id"], row["html"]))]
     labelled = [(page, labels) for page in cut if (labels := marked_by_page(page))]

@@ -52,7 +52,8 @@ def only_digits(text: str) -> str:
 
 def valid(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in text.split("."))
+        parts = [part.lstrip("0") for part in text.split(".")]  # a part may have any number of zeros in front
+        return all(len(part) <= 3 and int(part or "0") <= 255 for part in parts)
     if kind == "card":
         digits = only_digits(text)
         return 16 <= len(digits) <= 19 and luhn(digits)
@@ -329,7 +330,7 @@ def _made(rng: np.random.Generator) -> tuple[str | None, str]:
 def train(documents: DataFrame, max_sample: int = MAX_SAMPLE) -> Tagger:
     """A tagger fitted on windows of at most ``max_sample`` documents."""
     docs = narrow(documents, doc_id=F.col("doc_id").cast("long"), text="text").where("text is not null and doc_id is not null")
-    ids = first_rows(docs.select("doc_id").distinct(), "doc_id", max_sample)
+    ids = first_rows(docs.select("doc_id"), "doc_id", max_sample).distinct()
     sample = docs.join(F.broadcast(ids), "doc_id")
     texts = [row["text"] for row in sorted(sample.collect(), key=lambda row: (row["doc_id"], row["text"]))]
     tagger = Tagger()
@@ -355,13 +356,28 @@ def stretches(text: str) -> list[list[int]]:
 WEIGHT = 1.0 + np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1]).astype(np.float32)
 
 
+HELD_WINDOWS = 4096  # whose emissions are held at once, unless one stretch has more
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
     """Decoded spans of every text that pass the checks of their kind."""
-    jobs = [(k, group) for k, text in enumerate(texts) for group in stretches(text)]
-    windows = [(k, start) for k, group in jobs for start in group]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    if not windows:
-        return out
+    jobs: list[tuple[int, list[int]]] = []
+    held = 0
+    for k, text in enumerate(texts):
+        for group in stretches(text):
+            if jobs and held + len(group) > HELD_WINDOWS:
+                _decode_stretches(texts, jobs, tagger, out)
+                jobs, held = [], 0
+            jobs.append((k, group))
+            held += len(group)
+    if jobs:
+        _decode_stretches(texts, jobs, tagger, out)
+    return out
+
+
+def _decode_stretches(texts: list[str], jobs: list[tuple[int, list[int]]], tagger: Tagger, out: list[list[tuple[str, int, int]]]) -> None:
+    windows = [(k, start) for k, group in jobs for start in group]
     emissions = np.empty((len(windows), WIDTH, TAGS), np.float32)
     for k in range(0, len(windows), 512):
         part = windows[k : k + 512]
@@ -390,7 +406,6 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, i
             kind, piece = KINDS[(tags[begin] - 1) // 2], text[first + begin : first + end]
             if plausible(kind, piece, text, first + begin, first + end):
                 out[n].append((kind, first + begin, first + end))
-    return out
 
 
 def plausible(kind: str, piece: str, text: str, start: int, end: int) -> bool:

@@ -1,8 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold_k - score), with one weight vector over hashed text features
-for all grades and thresholds kept in order. Features are the presence of words and word pairs
-and how often token shapes occur (``AA!``, ``aa$``), by powers of two. Weights are fitted by
+for all grades and thresholds kept in order. Features are the presence of words, their beginnings and
+word pairs, and how often token shapes occur (``AA!``, ``aa$``), by powers of two. Weights are fitted by
 proximal adaptive gradients on at most ``max_rows`` rated rows, so most are zero.
 """
 
@@ -10,18 +10,53 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowdeck.llm.common import first_rows, map_batches, narrow, table
-from rowdeck.llm.op05_toxicity import HASH_BITS, WordFeatures, features
+from rowdeck.llm.common import first_rows, map_batches, mix, narrow, table
 
 MAX_ROWS = 6000
 GRADES = 3
-RUNS = re.compile(r"(.)\1+")
+HASH_BITS = 20
+MASK = (1 << HASH_BITS) - 1
+NO_ID = 1 << HASH_BITS
+STEMS = (3, 4, 5, 6, 7)
+TIMES = (2, 4)  # a word or beginning that comes up so often in a text is a feature of its own
+CACHE_WORDS = 1 << 17
+WORD = re.compile(r"\w+")
+RUNS = re.compile(r"(.)\1+", re.DOTALL)
+
+
+class Words(dict):
+    """Word -> its row in tables of hashes: the word's, and the feature ids of the word and its beginnings.
+    Emptied when it gets large."""
+
+    def __init__(self):
+        super().__init__()
+        self.codes = np.zeros(1 << 10, np.uint64)
+        self.ids = np.full((1 << 10, 1 + len(STEMS)), NO_ID, np.int32)
+
+    def make_room(self, more: int) -> None:
+        """Before the words of a text are looked up, as a row must hold until the text is done."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        while len(self) + more > len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+            self.ids = np.concatenate([self.ids, np.full_like(self.ids, NO_ID)])
+
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        code = xxhash.xxh3_64_intdigest(word)
+        found = [code & MASK] + [xxhash.xxh3_64_intdigest(word[:n], seed=n) & MASK for n in STEMS if len(word) >= n]
+        self.codes[row] = code
+        self.ids[row, : len(found)] = found
+        self.ids[row, len(found) :] = NO_ID
+        self[word] = row
+        return row
 
 
 class Shapes(dict):
@@ -30,25 +65,73 @@ class Shapes(dict):
     def __missing__(self, token: str) -> str:
         if len(self) > 1 << 18:
             self.clear()
-        classes = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:40])
+        classes = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
         self[token] = RUNS.sub(r"\1\1", classes)
         return self[token]
 
 
-def rating_features(text: str | None, words: WordFeatures, shapes: Shapes) -> np.ndarray:
-    """Distinct feature ids of a text."""
-    tokens = (text or "").split()
-    mask = (1 << HASH_BITS) - 1
-    size = len(tokens)
-    ids = [xxhash.xxh3_64_intdigest(f"length {size.bit_length()}") & mask]
-    if size:
-        found, counts = np.unique(np.array(list(map(shapes.__getitem__, tokens))), return_counts=True)
-        ids += [xxhash.xxh3_64_intdigest(f"{shape} {int(math.log2(size / count))}") & mask for shape, count in zip(found.tolist(), counts.tolist())]
-        distinct = len(set(tokens))
-        ids.append(xxhash.xxh3_64_intdigest(f"distinct {int(8 * distinct / size)} {size.bit_length()}") & mask)
-        lines = [line for line in text.split("\n") if line.strip()]
-        ids.append(xxhash.xxh3_64_intdigest(f"lines {int(8 * len(set(lines)) / max(1, len(lines)))}") & mask)
-    return np.unique(np.concatenate([features(text, words), np.array(ids, np.int64)]))
+class Marks(dict):
+    """Description of a text as a whole -> feature id."""
+
+    def __missing__(self, mark: tuple) -> int:
+        if len(self) > 1 << 16:
+            self.clear()
+        self[mark] = xxhash.xxh3_64_intdigest(" ".join(map(str, mark))) & MASK
+        return self[mark]
+
+
+class RatingFeatures:
+    """Feature ids of texts: words, their beginnings, those that come up often, pairs of words, shapes
+    of tokens, and marks of the text as a whole.
+
+    Given the weights of a model, ids without weight are left out before anything is sorted;
+    ``matters`` also keeps ids of words whose repetition has weight.
+    """
+
+    def __init__(self, weights: np.ndarray | None = None):
+        self.words, self.shapes, self.marks, self.weights = Words(), Shapes(), Marks(), weights
+        if weights is not None:
+            every = np.arange(1 << HASH_BITS, dtype=np.uint64)
+            self.matters = weights != 0
+            for times in TIMES:
+                self.matters |= weights[_often(every, times)] != 0
+            self.matters = np.append(self.matters, False)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Distinct ids, without those of no weight where weights are known."""
+        text = text or ""
+        parts = [np.array(self._whole(text), np.int64)]
+        words = WORD.findall(text.lower())
+        if words:
+            self.words.make_room(len(words))
+            rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            ids = self.words.ids[rows].ravel()
+            ids = ids[ids != NO_ID] if self.weights is None else ids[self.matters[ids]]
+            found, counts = np.unique(ids, return_counts=True)
+            parts.append(found.astype(np.int64))
+            parts += [_often(found[counts >= times].astype(np.uint64), times) for times in TIMES]
+            codes = self.words.codes[rows]
+            for gap in (1, 2, 3):
+                if len(codes) > gap:
+                    grams = mix(codes[:-gap] * np.uint64(2 * gap + 1) + (codes[gap:] >> np.uint64(gap)))
+                    parts.append((grams & np.uint64(MASK)).astype(np.int64))
+        every = np.concatenate(parts)
+        return np.unique(every if self.weights is None else every[self.weights[every] != 0])
+
+    def _whole(self, text: str) -> list[int]:
+        tokens = text.split()
+        size = len(tokens)
+        marks = [("length", size.bit_length())]
+        if size:
+            marks += [(shape, int(math.log2(size / count))) for shape, count in Counter(map(self.shapes.__getitem__, tokens)).items()]
+            marks.append(("distinct", int(8 * len(set(tokens)) / size), size.bit_length()))
+            lines = [line for line in text.split("\n") if line.strip()]
+            marks.append(("lines", int(8 * len(set(lines)) / max(1, len(lines)))))
+        return [self.marks[mark] for mark in marks]
+
+
+def _often(ids: np.ndarray, times: int) -> np.ndarray:
+    return (mix(ids + (np.uint64(times) << np.uint64(40))) & np.uint64(MASK)).astype(np.int64)
 
 
 def _sigmoid(x: float) -> float:
@@ -111,8 +194,8 @@ def train(documents: DataFrame, ratings: DataFrame, n_grades: int = GRADES, max_
     docs = narrow(documents, doc_id=F.col("doc_id").cast("long"), text="text").join(F.broadcast(sample), "doc_id")
 
     def run(batch):
-        words, shapes = WordFeatures(), Shapes()
-        ids = [rating_features(text, words, shapes).astype(np.int32).tobytes() for text in batch.column("text").to_pylist()]
+        find = RatingFeatures()
+        ids = [find(text).astype(np.int32).tobytes() for text in batch.column("text").to_pylist()]
         yield {"doc_id": batch.column("doc_id"), "grade": batch.column("grade"), "ids": ids}
 
     found = map_batches(docs.select("doc_id", "grade", "text"), run, "doc_id long, grade int, ids binary").toPandas()
@@ -140,10 +223,10 @@ def graded(documents: DataFrame, ratings: DataFrame, n_grades: int = GRADES, lea
 
     def run(batch):
         if not state:
-            state["w"], state["words"], state["shapes"] = shared.value.dense(), WordFeatures(), Shapes()
-        w, tails = state["w"], []
-        for text in batch.column("text").to_pylist():
-            tails.append(shared.value.tails(float(w[rating_features(text, state["words"], state["shapes"])].sum())))
+            state["w"] = shared.value.dense()
+            state["find"] = RatingFeatures(state["w"])
+        w, find = state["w"], state["find"]
+        tails = [shared.value.tails(float(w[find(text)].sum())) for text in batch.column("text").to_pylist()]
         columns = np.array(tails).reshape(len(tails), -1)
         tail = columns[:, least - 1]
         yield {"doc_id": batch.column("doc_id"), "expected_grade": columns.sum(1), "tail": tail, "selected": pa.array(tail >= 0.5)}

@@ -1,9 +1,11 @@
 """Operators 3, 5 and 8, held-out quality, and the pipeline against a plain version."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -62,6 +64,64 @@ def test_ordinal_grades(spark):
     assert all(0 <= r.expected_grade <= 2 and r.tail >= r.expected_grade / 2 - 1e-9 for r in got)
 
 
+def test_rating_features_with_and_without_weights():
+    """Leaving ids without weight out early changes no score; many words do not mix up the tables."""
+    rng = random.Random(3)
+    texts = [None, "", "a", "one two two two two three", "A1! A1! b\n\nb\nx", "w" * 9000, "é" * 50 + " \x0b y"]
+    texts += [" ".join(rng.choice(["alpha", "beta", "Gamma!", "x1", "delta."]) + str(rng.randrange(3000)) for _ in range(rng.randrange(300))) for _ in range(60)]
+    weights = np.random.default_rng(1).normal(size=1 << ordinal.HASH_BITS)
+    weights[np.random.default_rng(2).random(len(weights)) < 0.9] = 0
+    every, some = ordinal.RatingFeatures(), ordinal.RatingFeatures(weights)
+    for text in texts:
+        full = every(text)
+        assert len(set(full.tolist())) == len(full) and np.array_equal(some(text), full[weights[full] != 0])
+    again = ordinal.RatingFeatures()
+    assert all(np.array_equal(again(text), every(text)) for text in reversed(texts))
+
+
+def test_ordinal_fit_equals_plain_steps():
+    """The fit against the same rule written out for dictionaries, and its slope against differences."""
+    rng = np.random.default_rng(8)
+    grades = rng.integers(0, 3, 80)
+    rows = [np.unique(np.append(rng.integers(100, 160, 6), 10 + g)) for g in grades]
+    model = ordinal.fit(rows, grades, alpha=0.3, l1=0.5, epochs=3)
+    share = [min(max(float((grades <= k).mean()), 0.01), 0.99) for k in range(2)]
+    cuts = [math.log(x / (1 - x)) for x in share]
+    cuts = [cuts[0], max(cuts[0], cuts[1] + 1e-3)]
+    z, n, squares, order = defaultdict(float), defaultdict(float), [1.0, 1.0], np.random.default_rng(23)
+
+    def w(i):
+        return 0.0 if abs(z[i]) <= 0.5 else -(z[i] - math.copysign(0.5, z[i])) / ((1 + math.sqrt(n[i])) / 0.3 + 1)
+
+    def loss(score, t, grade):
+        tails = [1.0, *(1 / (1 + math.exp(c - score)) for c in t), 0.0]
+        return -math.log(tails[grade] - tails[grade + 1])
+
+    for _ in range(3):
+        for k in order.permutation(80):
+            ids, grade = rows[k].tolist(), int(grades[k])
+            score = sum(w(i) for i in ids)
+            slope = (loss(score + 1e-6, cuts, grade) - loss(score - 1e-6, cuts, grade)) / 2e-6
+            moves = []
+            for t in range(2):
+                up, down = list(cuts), list(cuts)
+                up[t] += 1e-6
+                down[t] -= 1e-6
+                moves.append((loss(score, up, grade) - loss(score, down, grade)) / 2e-6)
+            for i in ids:
+                old = w(i)
+                z[i] += slope - (math.sqrt(n[i] + slope**2) - math.sqrt(n[i])) / 0.3 * old
+                n[i] += slope**2
+            for t in (1, 0):
+                if abs(moves[t]) > 1e-12:
+                    squares[t] += moves[t] ** 2
+                    cuts[t] -= 0.1 * moves[t] / math.sqrt(squares[t])
+            cuts = [cuts[0], max(cuts)]
+    weights = model.dense()
+    assert np.allclose(model.thresholds, cuts, atol=1e-4)
+    assert all(abs(weights[i] - w(i)) < 1e-3 for i in list(z))
+
+
 def test_ordinal_gradient_and_order():
     rng = np.random.default_rng(5)
     grades = rng.integers(0, 3, 600)
@@ -98,6 +158,10 @@ def test_base_spans_equal_plain_rules():
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(9)))
         assert pii.base_spans(text) == plain_spans(text)
     assert pii.base_spans("1" * 30000 + "." + "@" * 3000 + "a" * 30000) == []
+    for zeros in (5000, 20000):  # more digits than a number may be read from
+        text = "x " + "0" * zeros + "1.2.3.4 y"
+        assert pii.base_spans(text) == [("ip", 2, len(text) - 2)]
+        assert pii.base_spans(f"x {'0' * zeros}256.2.3.4 y") == []
 
 
 @pytest.fixture(scope="module")
