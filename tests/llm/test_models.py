@@ -257,6 +257,18 @@ def test_pipeline_equals_plain_stages(spark):
     assert {r.doc_id for r in got} == kept and all(r.exact for r in got)
 
 
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    """Unlike texts stay whatever their doc_id; near copies go, also without one; so do leaks."""
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    words = [f"word{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (1, " ".join(reversed(words))), (2, "other text " * 3), (None, " ".join(words[:39])), (None, "a text of its own"), (None, item), (7, item + " more"), (None, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_per_group(spark, docs, SMALL).collect()), key=str)
+    assert kept == sorted([rows[k] for k in (0, 1, 2, 4, 6, 7, 8)], key=str)
+    clean = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_leaks(spark, docs, SMALL).collect()), key=str)
+    assert clean == sorted([rows[k] for k in (0, 1, 2, 3, 4, 7, 8)], key=str)
+
+
 def test_stages_on_edge_rows(spark):
     rows = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (None, "text without id", "en", "s", 15), (3, "mail a@b.cd now", None, None, 15), (3, "mail a@b.cd now", None, None, 15)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
