@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowdeck.llm import op03_pii, op05_toxicity, op06_decontamination, op07_jaccard, op09_sentencepiece
 from rowdeck.llm.common import checkpoint_folder, table
 
+ROW = "_row"  # the number of a row of a written table; the same in every scan of it
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half; columns as they came."""
@@ -22,18 +24,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near copies the document with the smallest doc_id; of rows that
-    share a doc_id one, and rows without a doc_id all."""
-    groups = op07_jaccard.similar_sets(docs, n=5, percent=80)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of every component of near copies one row, that of the smallest doc_id (NULL last). Rows are
+    told apart by number, not by doc_id: unlike texts that share a doc_id, or have none, all stay."""
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    groups = op07_jaccard.similar_sets(numbered.select(F.col(ROW).alias("doc_id"), "text"), n=5, percent=80)
+    named = groups.select(F.col("doc_id").alias(ROW), "component_id").join(numbered.select(ROW, "doc_id"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).getField(ROW)
+    stay = named.groupBy("component_id").agg(first.alias(ROW)).select(ROW)
+    return numbered.join(stay, ROW, "left_semi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not cover half of any benchmark item; columns as they came."""
-    leaks = op06_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return op06_decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
