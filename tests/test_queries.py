@@ -3,6 +3,8 @@
 import glob
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -33,6 +35,21 @@ def ordered(rows, columns):
     return sorted(tuple(row[i] for i in places) for row in rows)
 
 
+@pytest.mark.parametrize("gone", ["rowdeck.llm", "rowdeck.llm.catalog", "corpus_pipeline", "ahocorasick"])
+def test_engine_queries_without_the_optional_part(gone):
+    """A part or library that cannot be imported takes no other query with it."""
+    code = f"""
+import sys
+sys.modules[{gone!r}] = None
+import warnings
+warnings.simplefilter("ignore")
+import __spark_entry__ as entry
+from rowdeck.plans import QUERIES, ORACLES
+assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES), sorted(entry.queries())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def test_every_query_has_sql():
     assert sorted(QUERIES) == sorted(ORACLES)
 
