@@ -9,7 +9,7 @@ from rowdeck.functions.hashing import PRINT, row_draw
 from rowdeck.operators.pairing import missing_elements
 
 CHUNK_ROWS = 1 << 15  # positions compared in one window
-MEASURES = ("a", "b", "moved", "descents", "bad", "repeated")
+MEASURES = ("a", "b", "moved", "descents", "bad", "repeated", "one_sided", "unequal")
 
 
 def value_report(original: DataFrame, shuffled: DataFrame, value: str) -> DataFrame:
@@ -133,66 +133,42 @@ def verify_elements(original: DataFrame, shuffled: DataFrame, value: str) -> Dat
     return missing.agg(F.count(F.lit(1)).alias("missing")).withColumn("all_present", F.col("missing") == 0)
 
 
-def _compared(
-    original: DataFrame, shuffled: DataFrame, pos: str, value: str, bounded: bool = True
-) -> DataFrame:
-    """All rows of both tables, each output row compared with the input row at its
-    position and with the output row before it.
-
-    Both tables meet in chunks of consecutive positions, in one exchange; the last row
-    of a chunk is repeated at the head of the next one so that neighbours across the
-    border are compared too. Rows whose position is NULL, negative or past the input's
-    end are counted as ``bad`` and kept out of the chunks, as are the rows of chunks with more
-    output rows than positions: there only ``repeated`` positions are counted, by
-    aggregation, so no number of rows on one position meets in one task.
-    """
-    size = original.agg(F.count(F.lit(1)).alias("n")).scalar()
-    both = original.select(F.col(pos).alias("p"), F.col(value).alias("v"), F.lit(0).alias("side")).unionByName(
-        shuffled.select(F.col(pos).alias("p"), F.col(value).alias("v"), F.lit(1).alias("side"))
-    )
+def _by_position(sides: DataFrame) -> DataFrame:
+    """One row per position of ``(p, v, side)``: how many input (``a``) and output rows (``b``) it has,
+    and their values ``av`` and ``bv``. Rows are combined before they are exchanged, so however many
+    rows claim one position, or have none (NULL), a task hands on one of them."""
     output = F.col("side") == 1
-    within = F.col("p").isNotNull() & (F.col("p") >= 0) & ((F.col("p") < size) | ~output if bounded else F.lit(True))
-    both = both.withColumn("within", within).withColumn("home", idiv(F.col("p"), CHUNK_ROWS))
-    full = both.filter("within and side = 1").groupBy("home").agg(F.count(F.lit(1)).alias("_size"))
-    full = full.filter(F.col("_size") > CHUNK_ROWS).select("home", F.lit(True).alias("crowded"))
-    both = both.join(full, "home", "left").withColumn("plain", F.col("within") & F.col("crowded").isNull())
+    return sides.groupBy("p").agg(
+        F.count_if(~output).alias("a"),
+        F.count_if(output).alias("b"),
+        F.first(F.when(~output, F.col("v")), ignorenulls=True).alias("av"),
+        F.first(F.when(output, F.col("v")), ignorenulls=True).alias("bv"),
+    )
 
+
+def _with_descents(positions: DataFrame, plain: Column) -> DataFrame:
+    """Add ``descents``: 1 where the output's value is below that of the position before, 0 elsewhere.
+    Only ``plain`` positions count.
+
+    Positions meet in chunks of consecutive ones, in one exchange; the last of a chunk is repeated at
+    the head of the next one, so that neighbours across the border are compared too.
+    """
     border = F.pmod(F.col("p"), F.lit(CHUNK_ROWS)) == CHUNK_ROWS - 1
-    copies = F.when(border & output, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = both.filter("plain").select("p", "v", "side", "home", F.explode(copies).alias("ahead"))
-    rows = rows.withColumn("chunk", F.col("home") + F.col("ahead"))
-    order = Window.partitionBy("chunk").orderBy("p", "side")
-    lags = {
-        f"{name}{back}": F.lag(name, back).over(order) for back in (1, 2) for name in ("p", "v", "side")
-    }
+    copies = F.when(border, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = positions.withColumn("plain", plain).withColumn("ahead", F.explode(copies))
+    rows = rows.withColumn("chunk", idiv(F.col("p"), CHUNK_ROWS) + F.col("ahead"))
+    order = Window.partitionBy("chunk").orderBy("p")
+    lags = {f"{name}1": F.lag(name).over(order) for name in ("p", "bv", "plain")}
     rows = rows.withColumns(lags).filter(F.col("ahead") == 0)
-    paired = output & (F.col("side1") == 0) & (F.col("p1") == F.col("p"))
-    one_back = F.col("side1") == 1
-    before_pos = F.when(one_back, F.col("p1")).when(F.col("side2") == 1, F.col("p2"))
-    before = F.when(one_back, F.col("v1")).when(F.col("side2") == 1, F.col("v2"))
-    nothing = F.lit(0)
-    found = rows.select(
-        "v",
-        (1 - F.col("side")).alias("a"),
-        F.col("side").alias("b"),
-        _flag(paired).alias("pairs"),
-        _flag(paired & ~F.col("v1").eqNullSafe(F.col("v"))).alias("moved"),
-        _flag(output & (before_pos == F.col("p") - 1) & (before > F.col("v"))).alias("descents"),
-        nothing.alias("bad"),
-        _flag(output & one_back & (F.col("p1") == F.col("p"))).cast("bigint").alias("repeated"),
-    )
-    rest = both.filter("not plain").select(
-        "v",
-        (1 - F.col("side")).alias("a"),
-        F.col("side").alias("b"),
-        *[nothing.alias(name) for name in ("pairs", "moved", "descents")],
-        _flag(~F.col("within")).alias("bad"),
-        nothing.cast("bigint").alias("repeated"),
-    )
-    crowds = both.filter("within and crowded and side = 1").groupBy("p").agg((F.count(F.lit(1)) - 1).alias("repeated"))
-    none = F.lit(None).cast(original.select(value).schema[0].dataType)
-    crowds = crowds.select(none.alias("v"), *[nothing.alias(name) for name in ("a", "b", "pairs", "moved", "descents", "bad")], "repeated")
-    return found.unionByName(rest).unionByName(crowds)
+    fell = F.col("plain") & F.col("plain1") & (F.col("p1") == F.col("p") - 1) & (F.col("bv1") > F.col("bv"))
+    return rows.withColumn("descents", _flag(fell))
+
+
+def _sides(original: DataFrame | None, shuffled: DataFrame, pos: str, value: str) -> DataFrame:
+    output = shuffled.select(F.col(pos).alias("p"), F.col(value).alias("v"), F.lit(1).alias("side"))
+    if original is None:
+        return output
+    return original.select(F.col(pos).alias("p"), F.col(value).alias("v"), F.lit(0).alias("side")).unionByName(output)
 
 
 def _flag(condition: Column) -> Column:
@@ -205,15 +181,26 @@ def _total(name: str) -> Column:
 
 def position_report(original: DataFrame, shuffled: DataFrame, pos: str, value: str) -> DataFrame:
     """One row: ``pairs`` of equal position, how many ``moved``, ``descents`` (neighbours of
-    the output in falling order), output rows at ``bad`` positions and on ``repeated`` ones."""
-    rows = _compared(original, shuffled, pos, value)
+    the output in falling order), output rows at ``bad`` positions, which the input does not have, and on
+    ``repeated`` ones. Positions that several output rows claim are left out of the first three."""
+    once = (F.col("a") > 0) & (F.col("b") == 1)
+    rows = _with_descents(_by_position(_sides(original, shuffled, pos, value)), once)
+    repeated = F.when((F.col("a") > 0) & (F.col("b") > 1), F.col("b") - 1).otherwise(0)
+    rows = rows.select(
+        _flag(F.col("plain")).alias("pairs"),
+        _flag(F.col("plain") & ~F.col("av").eqNullSafe(F.col("bv"))).alias("moved"),
+        "descents",
+        F.when(F.col("a") == 0, F.col("b")).otherwise(0).alias("bad"),
+        repeated.alias("repeated"),
+    )
     return rows.agg(*[_total(name) for name in ("pairs", "moved", "descents", "bad", "repeated")])
 
 
 def inversions(table: DataFrame, pos: str, value: str) -> DataFrame:
-    """One row: neighbours in falling order (zero means sorted)."""
-    rows = _compared(table.limit(0), table, pos, value, bounded=False)
-    return rows.agg(_total("descents")).withColumnRenamed("descents", "inversions")
+    """One row: neighbours in falling order (zero means sorted). The table is read once; positions that
+    several rows claim have no neighbours."""
+    rows = _with_descents(_by_position(_sides(None, table, pos, value)), F.col("b") == 1)
+    return rows.agg(_total("descents").alias("inversions"))
 
 
 def shuffle_percentage(original: DataFrame, shuffled: DataFrame, pos: str, value: str) -> DataFrame:
@@ -236,17 +223,14 @@ def shuffle_audit(original: DataFrame, shuffled: DataFrame, pos: str = "pos", va
     NULL or outside ``0 .. n-1``, ``repeated`` ones held by an earlier row already; where there are
     any, ``pct_moved`` and ``inversions`` leave those rows out.
 
-    The comparison by position hands its findings on to the count per value, which sums them
-    up along the way. Both tables are read for it, and before that the output's positions are
-    counted per chunk. ``fingerprint_audit`` answers most of it without any exchange of rows.
+    Both tables are read twice, once by position and once to count each value; rows on NULL, outside
+    or crowded positions are combined before any exchange. ``fingerprint_audit`` answers most of
+    this in one read without an exchange of rows.
     """
-    rows = _compared(original, shuffled, pos, value)
-    per_value = rows.groupBy("v").agg(*[F.sum(name).alias(name) for name in MEASURES])
-    totals = per_value.agg(
-        *[_total(name) for name in MEASURES],
-        F.count_if((F.col("a") > 0) != (F.col("b") > 0)).alias("one_sided"),
-        F.count_if(F.col("a") != F.col("b")).alias("unequal"),
-    )
+    by_position = position_report(original, shuffled, pos, value)
+    by_value = value_report(original, shuffled, value).withColumnsRenamed({"n": "a", "n_out": "b"})
+    parts = [part.select(*[F.col(c) if c in part.columns else F.lit(0).alias(c) for c in MEASURES]) for part in (by_position, by_value)]
+    totals = parts[0].unionByName(parts[1]).agg(*[_total(name) for name in MEASURES])
     verdict = (
         F.when(F.col("a") != F.col("b"), "length differs")
         .when((F.col("bad") > 0) | (F.col("repeated") > 0), "positions wrong")
