@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,115 +24,153 @@ MAX_ROWS = 6000
 GRADES = 3
 HASH_BITS = 20
 MASK = (1 << HASH_BITS) - 1
-NO_ID = 1 << HASH_BITS
 STEMS = (3, 4, 5, 6, 7)
 TIMES = (2, 4)  # a word or beginning that comes up so often in a text is a feature of its own
-CACHE_WORDS = 1 << 17
-WORD = re.compile(r"\w+")
-RUNS = re.compile(r"(.)\1+", re.DOTALL)
+PIECE = 1 << 20  # code points of a long text that are worked on at once
+GAP = re.compile(r"\s")
+BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+SCRAMBLE = np.uint64(0xD6E8FEB86659FD93)
 
 
-class Words(dict):
-    """Word -> its row in tables of hashes: the word's, and the feature ids of the word and its beginnings.
-    Emptied when it gets large."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point below 2^16: part of a word, white space, and the class a shape shows."""
+    word, space, shape = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool), np.arange(1 << 16, dtype=np.uint32)
+    for c in range(1 << 16):
+        word[c], space[c], shape[c] = _kinds(chr(c))
+    return word, space, shape
 
-    def __init__(self):
-        super().__init__()
-        self.codes = np.zeros(1 << 10, np.uint64)
-        self.ids = np.full((1 << 10, 1 + len(STEMS)), NO_ID, np.int32)
 
-    def make_room(self, more: int) -> None:
-        """Before the words of a text are looked up, as a row must hold until the text is done."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        while len(self) + more > len(self.codes):
-            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
-            self.ids = np.concatenate([self.ids, np.full_like(self.ids, NO_ID)])
+def _kinds(char: str) -> tuple[bool, bool, int]:
+    seen = "A" if char.isupper() else "a" if char.isalpha() else "0" if char.isdigit() else char
+    return char.isalnum() or char == "_", char.isspace(), ord(seen)
 
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        code = xxhash.xxh3_64_intdigest(word)
-        found = [code & MASK] + [xxhash.xxh3_64_intdigest(word[:n], seed=n) & MASK for n in STEMS if len(word) >= n]
-        self.codes[row] = code
-        self.ids[row, : len(found)] = found
-        self.ids[row, len(found) :] = NO_ID
-        self[word] = row
-        return row
 
+class Codes:
+    """Code points of a stretch of text with their kinds, and hashes of any runs of them.
 
-class Shapes(dict):
-    """Token -> its shape: classes of characters, runs shortened."""
-
-    def __missing__(self, token: str) -> str:
-        if len(self) > 1 << 18:
-            self.clear()
-        classes = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
-        self[token] = RUNS.sub(r"\1\1", classes)
-        return self[token]
-
-
-class Marks(dict):
-    """Description of a text as a whole -> feature id."""
+    A run's hash is a Karp-Rabin sum of scrambled code points, brought to one power and scrambled with its length.
+    """
 
-    def __missing__(self, mark: tuple) -> int:
-        if len(self) > 1 << 16:
-            self.clear()
-        self[mark] = xxhash.xxh3_64_intdigest(" ".join(map(str, mark))) & MASK
-        return self[mark]
+    WORD, SPACE, SHAPE = _tables()
+    MIXED = mix(np.arange(1 << 16, dtype=np.uint64))
+    powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def __init__(self, points: np.ndarray):
+        self.points, size = points, len(points)
+        if len(Codes.powers[0]) <= size:
+            Codes.powers = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * size, base, np.uint64)])) for base in (BASE, INVERSE)]
+        (self.far,) = np.nonzero(points > 65535)
+        self.near = np.minimum(points, 65535) if len(self.far) else points
+        mixed = Codes.MIXED[self.near]
+        mixed[self.far] = mix(points[self.far].astype(np.uint64))
+        self.sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(mixed * Codes.powers[0][:size], out=self.sums[1:])
+
+    @classmethod
+    def of(cls, text: str) -> "Codes":
+        return cls(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+
+    def kind(self, which: int) -> np.ndarray:
+        table = (Codes.WORD, Codes.SPACE, Codes.SHAPE)[which]
+        found = table[self.near]
+        if len(self.far):
+            names, place = np.unique(self.points[self.far], return_inverse=True)
+            found[self.far] = np.array([_kinds(chr(c))[which] for c in names.tolist()], table.dtype)[place]
+        return found
+
+    def runs(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of set flags."""
+        (edges,) = np.nonzero(flags[1:] != flags[:-1])
+        edges = np.concatenate([[0] if len(flags) and flags[0] else [], edges + 1, [len(flags)] if len(flags) and flags[-1] else []]).astype(np.int64)
+        return edges[::2], edges[1::2]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        found = (self.sums[ends] - self.sums[starts]) * Codes.powers[1][starts]
+        return mix(found + (ends - starts).astype(np.uint64) * SCRAMBLE)
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A long text bit by bit, cut at white space."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            gap = GAP.search(text, end)
+            end = gap.end() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
 class RatingFeatures:
     """Feature ids of texts: words, their beginnings, those that come up often, pairs of words, shapes
-    of tokens, and marks of the text as a whole.
+    of tokens, and marks of the text as a whole. All by arrays over the code points of a text.
 
     Given the weights of a model, ids without weight are left out before anything is sorted;
     ``matters`` also keeps ids of words whose repetition has weight.
     """
 
     def __init__(self, weights: np.ndarray | None = None):
-        self.words, self.shapes, self.marks, self.weights = Words(), Shapes(), Marks(), weights
+        self.weights, self.matters = weights, None
         if weights is not None:
             every = np.arange(1 << HASH_BITS, dtype=np.uint64)
             self.matters = weights != 0
             for times in TIMES:
-                self.matters |= weights[_often(every, times)] != 0
-            self.matters = np.append(self.matters, False)
+                self.matters |= weights[_id(every + (np.uint64(times) << np.uint64(40)))] != 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Distinct ids, without those of no weight where weights are known."""
         text = text or ""
-        parts = [np.array(self._whole(text), np.int64)]
-        words = WORD.findall(text.lower())
-        if words:
-            self.words.make_room(len(words))
-            rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            ids = self.words.ids[rows].ravel()
-            ids = ids[ids != NO_ID] if self.weights is None else ids[self.matters[ids]]
-            found, counts = np.unique(ids, return_counts=True)
+        codes, ids, shapes, tokens = [], [], [], []
+        for piece in pieces(text):
+            low = Codes.of(piece.lower())
+            starts, ends = low.runs(low.kind(0))
+            enough = [starts[ends - starts >= n] for n in STEMS]
+            hashes = low.hashes(np.concatenate([starts, *enough]), np.concatenate([ends, *(x + n for x, n in zip(enough, STEMS))]))
+            codes.append(hashes[: len(starts)])
+            ids.append((codes[-1] & np.uint64(MASK)).astype(np.int32))
+            ids.append((hashes[len(starts) :] >> np.uint64(HASH_BITS)).astype(np.int32) & np.int32(MASK))
+            own = Codes.of(piece)
+            blank = own.kind(1)
+            tokens.append(own.hashes(*own.runs(~blank)))
+            seen = own.kind(2)
+            seen[blank] = 32
+            keep = np.ones(len(seen), bool)
+            keep[2:] = (seen[2:] != seen[1:-1]) | (seen[1:-1] != seen[:-2])  # of a run two stay
+            shape = Codes(seen[keep])
+            shapes.append(shape.hashes(*shape.runs(shape.points != 32)))
+        parts = [self._whole(text, *(np.concatenate(x) if x else np.empty(0, np.uint64) for x in (tokens, shapes)))]
+        if ids:
+            every = np.concatenate(ids)
+            found, counts = np.unique(every if self.matters is None else every[self.matters[every]], return_counts=True)
             parts.append(found.astype(np.int64))
-            parts += [_often(found[counts >= times].astype(np.uint64), times) for times in TIMES]
-            codes = self.words.codes[rows]
+            parts += [_id(found[counts >= times].astype(np.uint64) + (np.uint64(times) << np.uint64(40))) for times in TIMES]
+            words = np.concatenate(codes)
             for gap in (1, 2, 3):
-                if len(codes) > gap:
-                    grams = mix(codes[:-gap] * np.uint64(2 * gap + 1) + (codes[gap:] >> np.uint64(gap)))
-                    parts.append((grams & np.uint64(MASK)).astype(np.int64))
+                if len(words) > gap:
+                    parts.append(_id(words[:-gap] * np.uint64(2 * gap + 1) + (words[gap:] >> np.uint64(gap))))
         every = np.concatenate(parts)
         return np.unique(every if self.weights is None else every[self.weights[every] != 0])
 
-    def _whole(self, text: str) -> list[int]:
-        tokens = text.split()
+    def _whole(self, text: str, tokens: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         size = len(tokens)
         marks = [("length", size.bit_length())]
-        if size:
-            marks += [(shape, int(math.log2(size / count))) for shape, count in Counter(map(self.shapes.__getitem__, tokens)).items()]
-            marks.append(("distinct", int(8 * len(set(tokens)) / size), size.bit_length()))
-            lines = [line for line in text.split("\n") if line.strip()]
-            marks.append(("lines", int(8 * len(set(lines)) / max(1, len(lines)))))
-        return [self.marks[mark] for mark in marks]
+        if not size:
+            return np.array([_mark(mark) for mark in marks], np.int64)
+        marks.append(("distinct", int(8 * len(np.unique(tokens)) / size), size.bit_length()))
+        lines = [line for line in text.split("\n") if line.strip()]
+        marks.append(("lines", int(8 * len(set(lines)) / max(1, len(lines)))))
+        found, counts = np.unique(shapes, return_counts=True)
+        rarity = np.floor(np.log2(size / counts)).astype(np.uint64)
+        return np.concatenate([np.array([_mark(mark) for mark in marks], np.int64), _id(found + rarity * SCRAMBLE)])
+
+
+def _id(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) & np.uint64(MASK)).astype(np.int64)
 
 
-def _often(ids: np.ndarray, times: int) -> np.ndarray:
-    return (mix(ids + (np.uint64(times) << np.uint64(40))) & np.uint64(MASK)).astype(np.int64)
+@lru_cache(maxsize=1 << 12)
+def _mark(mark: tuple) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(map(str, mark))) & MASK
 
 
 def _sigmoid(x: float) -> float:

@@ -64,8 +64,8 @@ def test_ordinal_grades(spark):
     assert all(0 <= r.expected_grade <= 2 and r.tail >= r.expected_grade / 2 - 1e-9 for r in got)
 
 
-def test_rating_features_with_and_without_weights():
-    """Leaving ids without weight out early changes no score; many words do not mix up the tables."""
+def test_rating_features_with_and_without_weights(monkeypatch):
+    """Leaving ids without weight out early changes no score, nor does reading a text in pieces."""
     rng = random.Random(3)
     texts = [None, "", "a", "one two two two two three", "A1! A1! b\n\nb\nx", "w" * 9000, "é" * 50 + " \x0b y"]
     texts += [" ".join(rng.choice(["alpha", "beta", "Gamma!", "x1", "delta."]) + str(rng.randrange(3000)) for _ in range(rng.randrange(300))) for _ in range(60)]
@@ -75,8 +75,26 @@ def test_rating_features_with_and_without_weights():
     for text in texts:
         full = every(text)
         assert len(set(full.tolist())) == len(full) and np.array_equal(some(text), full[weights[full] != 0])
-    again = ordinal.RatingFeatures()
-    assert all(np.array_equal(again(text), every(text)) for text in reversed(texts))
+    whole = [every(text) for text in texts]
+    monkeypatch.setattr(ordinal, "PIECE", 7)
+    assert all(np.array_equal(every(text), found) for text, found in zip(texts, whole))
+
+
+def test_rating_features_follow_content():
+    """Runs with equal text have equal hashes wherever they stand, others not; words are those of a regular expression."""
+    rng = random.Random(7)
+    for _ in range(30):
+        text = "".join(rng.choice(["ab", "Ab", "é", " ", "\n", "1", "_", "-", "\U0001f600", "\U00020000", "！", "x" * 9]) for _ in range(200))
+        low = ordinal.Codes.of(text.lower())
+        starts, ends = low.runs(low.kind(0))
+        words = [text.lower()[a:b] for a, b in zip(starts, ends)]
+        assert words == re.findall(r"\w+", text.lower())
+        hashes = low.hashes(starts, ends).tolist()
+        assert len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+        own = ordinal.Codes.of(text)
+        assert [text[a:b] for a, b in zip(*own.runs(~own.kind(1)))] == text.split()
+        classes = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text]
+        assert "".join(map(chr, own.kind(2).tolist())) == "".join(classes)
 
 
 def test_ordinal_fit_equals_plain_steps():
