@@ -1,8 +1,8 @@
 """N-gram Jaccard join: size-banded tiles, bitmap signatures, exact intersections.
 
 Documents are sets of hashed word shingles. Equal sets are one class. Shingles get a global
-order, commonest last (counts in a table of fixed size, so a passage in a third of all
-documents sorts to the end), and a class offers only the first few of its shingles, the
+order, commonest last (the counts of the commonest ones go out in a table of fixed size, so a passage in a
+third of all documents sorts to the end), and a class offers only the first few of its shingles, the
 prefix that two sets over the threshold must share. A *tile* holds the classes that offer one
 shingle and lie in one band of set sizes. Inside a tile two steps find the links:
 
@@ -18,22 +18,24 @@ sorted arrays. No link between different sets is lost, so the components are exa
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowdeck.llm.common import durable, map_batches, mix, narrow, shingle_set, signed, table
+from rowdeck.llm.common import map_batches, mix, narrow, shingle_set, signed, table
 from rowdeck.llm.components import components
+from rowdeck.llm.shelf import Shelf
 
-TABLE_BITS = 18
+KEPT = 1 << 18  # common shingles whose counts are known everywhere
+TOLD = 1 << 15  # common shingles a task tells of at most
+HELD = 1 << 21  # shingles a task holds before it counts them
+HOT_SHARE, HOT_ROWS, SALTS = 1024, 1000, 64  # a shingle in more than one of so many documents is hot
 SIGNATURE_BITS = 1024
-SLICES = 16
 
 
-def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90, table_bits: int = TABLE_BITS) -> DataFrame:
+def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90, kept: int = KEPT) -> DataFrame:
     """``(doc_id, n_shingles, component_id, class_id)``, one row per document.
 
     Two documents link when ``100 * intersection >= percent * union`` of their sets of ``n``-word
@@ -41,103 +43,147 @@ def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90, table_bits
     smallest with the same set. NULL, empty or wordless texts have no shingles, link with
     nothing and keep their own doc_id. A text of fewer than ``n`` words is one shingle.
     Repeated rows of a doc_id give one row each with the same component; rows with a NULL doc_id keep
-    a NULL component and are compared with nothing. Other columns are ignored, an empty table gives none.
+    a NULL component and are compared with nothing. Texts of any length are read whole. Other columns
+    are ignored, an empty table gives none. ``kept`` bounds the table of common shingles, which
+    changes the work, not the result.
     """
     docs = narrow(documents, doc_id=F.col("doc_id").cast("long"), text="text")
-    digests = durable(_digests(docs, n, table_bits))
-    counts = _count_table(digests, table_bits)
-    sets = digests.where("slice is null").select("doc_id", "n_shingles", "digest")
+    shelf = Shelf(documents.sparkSession)
+    digests = shelf.put(_digests(docs, n))
+    counts = _common(digests, kept)
+    sets = digests.where("digest is not null").select("doc_id", "n_shingles", "digest")
     filled = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = durable(filled.groupBy("digest").agg(F.min("doc_id").alias("class_id")))
+    classes = shelf.put(filled.groupBy("digest").agg(F.min("doc_id").alias("class_id")))
     members = filled.join(classes, "digest").select("doc_id", "digest", "class_id")
     heads = members.where("doc_id = class_id").select("doc_id").distinct()
-    offers = _offers(docs, n, percent, counts).where("n > 0 and doc is not null")
-    offers = durable(offers.join(heads.withColumnRenamed("doc_id", "doc"), "doc").dropDuplicates(["doc"]))
-    edges = _links(docs, offers, n, percent)
+    hot = max(HOT_ROWS, sets.count() // HOT_SHARE)
+    offers = _offers(docs, n, percent, counts, hot).where("n > 0 and doc is not null")
+    offers = shelf.put(offers.join(heads.withColumnRenamed("doc_id", "doc"), "doc").dropDuplicates(["doc"]))
+    edges = _links(docs, offers, n, percent, shelf)
     groups = components(edges)
     named = classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "digest", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
     empty = sets.where("n_shingles = 0 or doc_id is null")
-    return (
+    result = (
         filled.join(named, "digest").select("doc_id", "n_shingles", "component_id", "class_id")
         .union(empty.select("doc_id", "n_shingles", F.col("doc_id"), F.col("doc_id")))
     )
-
-
-def _digests(docs: DataFrame, n: int, table_bits: int) -> DataFrame:
-    """A row per document with its set's size and digest, and per task a table of shingle counts in slices."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+    shelf.drop(offers, edges)
+    return result
+
+
+class Common:
+    """Shingles that came up most often so far, with counts; rare ones are forgotten when too many are held."""
+
+    def __init__(self):
+        self.hashes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, found: np.ndarray) -> None:
+        self.held.append(found)
+        self.size += len(found)
+        if self.size > HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        found, times = np.unique(np.concatenate([self.hashes[:0], *self.held]), return_counts=True)
+        hashes, place = np.unique(np.concatenate([self.hashes, found]), return_inverse=True)
+        counts = np.zeros(len(hashes), np.int64)
+        np.add.at(counts, place, np.concatenate([self.counts, times]))
+        self.hashes, self.counts, self.held, self.size = hashes, counts, [], 0
+        least = 1
+        while len(self.hashes) > HELD // 4:
+            least += 1
+            keep = self.counts >= least
+            self.hashes, self.counts = self.hashes[keep], self.counts[keep]
+
+    def most(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """At most ``size`` of those that came up twice or more."""
+        self.settle()
+        order = np.argsort(-self.counts, kind="stable")[:size]
+        order = order[self.counts[order] > 1]
+        return self.hashes[order], self.counts[order]
+
+
+def _digests(docs: DataFrame, n: int) -> DataFrame:
+    """A row per document with its set's size and digest, and per task its most common shingles."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
 
     def run(batches):
-        shift = np.uint64(64 - table_bits)
-        totals = np.zeros(1 << table_bits, np.int64)
+        common = Common()
         for batch in batches:
             sizes, digests = [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, n)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                np.add.at(totals, (found >> shift).astype(np.int64), 1)
+                common.add(found)
             size = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())],
                 schema=arrow,
             )
-        if totals.any():
-            parts = [part.tobytes() for part in np.split(totals, SLICES)]
-            nulls = [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=arrow)
+        hashes, counts = common.most(TOLD)
+        if len(hashes):
+            nulls = [pa.nulls(len(hashes), kind) for kind in (pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array(signed(hashes)), pa.array(counts)], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, slice int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, shingle long, times long")
 
 
-def _count_table(digests: DataFrame, table_bits: int) -> np.ndarray:
-    """The tables of all tasks added up: 2^table_bits numbers, whatever the input."""
-    tables = digests.where("slice is not null").select("slice", "counts")
+def _common(digests: DataFrame, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles, at most ``kept``, sorted by hash, and their counts.
 
-    def add_all(batches):
-        kept: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for name, part in zip(batch.column("slice").to_pylist(), batch.column("counts")):
-                values = np.frombuffer(part.as_buffer(), np.int64)
-                kept[name] = kept[name] + values if name in kept else values.copy()
-        if kept:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(kept), pa.int32()), pa.array([x.tobytes() for x in kept.values()], pa.binary())], names=["slice", "counts"]
-            )
-
-    kind = "slice int, counts binary"
-    rows = tables.mapInArrow(add_all, kind).repartition(SLICES, "slice").mapInArrow(add_all, kind).collect()
-    total = np.zeros(1 << table_bits, np.int64)
-    width = len(total) // SLICES
-    for row in rows:
-        total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
-    return total
+    Every power of two of the counts is taken whole or not at all, so that what reaches the driver is
+    bounded whatever the number of tasks.
+    """
+    summed = digests.where("digest is null").groupBy("shingle").agg(F.sum("times").alias("times"))
+    powers = summed.groupBy(F.floor(F.log2("times")).cast("int").alias("power")).count().collect()
+    least, total = None, 0
+    for power, count in sorted(map(tuple, powers), reverse=True):
+        total += count
+        if total > kept:
+            break
+        least = 1 << power
+    rows = summed.where(F.col("times") >= least).toPandas() if least else pd.DataFrame({"shingle": [], "times": []})
+    hashes = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], rows["times"].to_numpy(np.int64)[order]
+
+
+def _ranks(found: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of every shingle that is common, zero for the others."""
+    if not len(hashes):
+        return np.zeros(len(found), np.int64)
+    place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+    return np.where(hashes[place] == found, counts[place], 0)
 
 
 def _prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _offers(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Per class: set size, bitmap, and its rarest shingles in the global order."""
+def _offers(docs: DataFrame, n: int, percent: int, counts: tuple[np.ndarray, np.ndarray], hot: int) -> DataFrame:
+    """Per class: set size, bitmap, its rarest shingles in the global order, and how many of these, the
+    first ones, are in no more than ``hot`` documents."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    shift = np.uint64(64 - int(math.log2(len(counts))))
 
     def run(batch):
-        rows = {"doc": [], "n": [], "bits": [], "prefix": []}
+        rows = {"doc": [], "n": [], "bits": [], "cold": [], "prefix": []}
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             found = shingle_set(text, n)
-            rank = shared.value[(found >> shift).astype(np.int64)]
+            rank = _ranks(found, *shared.value)
             order = np.lexsort((found, rank))[: _prefix_size(len(found), percent)]
+            rows["cold"].append(int((rank[order] <= hot).sum()))
             rows["doc"].append(doc)
             rows["n"].append(len(found))
             rows["bits"].append(_bitmap(found))
             rows["prefix"].append(signed(found[order]))
         yield rows
 
-    return map_batches(docs, run, "doc long, n int, bits array<long>, prefix array<long>")
+    return map_batches(docs, run, "doc long, n int, bits array<long>, cold int, prefix array<long>")
 
 
 def _bitmap(found: np.ndarray) -> np.ndarray:
@@ -158,54 +204,63 @@ def _close(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (room >= _needed(m, n, percent))
 
 
-def _links(docs: DataFrame, offers: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verified links between classes that settle the components."""
+def _links(docs: DataFrame, offers: DataFrame, n: int, percent: int, shelf: Shelf) -> DataFrame:
+    """Verified links between classes that settle the components.
+
+    Tiles of a hot shingle are cut by salt: there every class meets the head of its part, and the heads
+    of the parts, at most SALTS of them, meet the first of them.
+    """
     low = F.floor(F.log2(F.col("n"))).cast("int")
     high = F.floor(F.log2(F.col("n") * 100 / percent + 1e-6)).cast("int")
     bands = F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high)))
-    entries = offers.select("doc", "n", F.posexplode("prefix").alias("i", "token")).withColumn("band", bands)
-    # one exchange of three longs per entry; rows alone in their tile go no further
+    entries = offers.select("doc", "n", "cold", F.posexplode("prefix").alias("i", "token")).withColumn("band", bands)
+    salt = F.when(F.col("i") < F.col("cold"), 0).otherwise(1 + F.pmod(F.xxhash64("doc"), F.lit(SALTS))).cast("int")
+    # one exchange of a few numbers per entry; rows alone in their tile go no further
     place = F.shiftleft(F.col("i").cast("long"), 32) + F.col("n")
-    entries = entries.select(F.xxhash64("token", "band").alias("tile"), "doc", place.alias("place"))
-    order = Window.partitionBy("tile").orderBy("place", "doc")
+    entries = entries.select(F.xxhash64("token", "band").alias("tile"), salt.alias("salt"), "doc", place.alias("place"))
+    order = Window.partitionBy("tile", "salt").orderBy("place", "doc")
     entries = entries.withColumns(
-        {"at": F.row_number().over(order), "next": F.lead("doc").over(order), "head": F.first("doc").over(order), "top": F.first("place").over(order)}
-    ).where("at > 1 or next is not null")
+        {"next": F.lead("doc").over(order), "head": F.first("doc").over(order), "top": F.first("place").over(order)}
+    ).where("doc <> head or next is not null or salt > 0")
+    entries = shelf.put(entries.select("tile", "salt", "doc", "place", "head", "top"))
+    parts = Window.partitionBy("tile").orderBy("place", "doc")
+    heads = entries.where("salt > 0 and doc = head").select("tile", "doc", "place", F.first("doc").over(parts).alias("head"), F.first("place").over(parts).alias("top"))
 
-    def parts(place: str) -> list[Column]:
-        return [F.shiftright(place, 32).cast("int").alias("i"), F.col(place).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n")]
+    def side(doc: str, place: str) -> Column:
+        return F.struct(F.col(doc).alias("doc"), F.shiftright(place, 32).cast("int").alias("i"), F.col(place).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"))
 
-    head = F.struct(F.col("head").alias("doc"), *parts("top")).alias("h")
-    entries = durable(entries.select("tile", "doc", *parts("place"), head))
-    tile = ["tile"]
     bits = offers.select("doc", "n", "bits")
-
-    first = entries.alias("x").where("doc <> h.doc").where(_close("x", "h", percent))
-    first = first.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")).distinct()
-    found = durable(_verified(docs, bits, first, n, percent))
+    first = entries.drop("salt").unionByName(heads).where("doc <> head")
+    first = first.select(side("doc", "place").alias("x"), side("head", "top").alias("h")).where(_close("x", "h", percent))
+    first = shelf.put(first.select(F.least("x.doc", "h.doc").alias("a"), F.greatest("x.doc", "h.doc").alias("b")).distinct())
+    found = _verified(docs, bits, first, n, percent, shelf)
     names = components(found).select(F.col("node").alias("doc"), "component")
 
-    named = entries.drop("h").join(names, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    named = durable(named)
-    sizes = named.groupBy(*tile, "component").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy(*tile).agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("m")).where("parts > 1")
-    named = durable(named.join(mixed, tile).select(*tile, "doc", "n", "i", "component", (F.col("component") == F.col("m.component")).alias("main")))
-    x, y = named.where("not main").alias("x"), named.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.doc") < F.col("y.doc")))
-    second = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in tile] + [apart, _close("x", "y", percent)])
+    named = shelf.put(entries.select("tile", "doc", "place").join(names, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    shelf.drop(entries)
+    sizes = named.groupBy("tile", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("tile").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("m")).where("parts > 1")
+    named_ = shelf.put(named.join(mixed, "tile").select("tile", side("doc", "place").alias("e"), "component", (F.col("component") == F.col("m.component")).alias("main")))
+    shelf.drop(named)
+    x, y = (named_.select("tile", F.col("e").alias(name), F.col("component").alias(f"{name}c"), F.col("main").alias(f"{name}m")) for name in "xy")
+    apart = (F.col("xc") != F.col("yc")) & (F.col("ym") | (F.col("x.doc") < F.col("y.doc")))
+    second = x.where("not xm").join(y, "tile").where(apart & _close("x", "y", percent))
     second = second.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-    second = second.join(durable(first), ["a", "b"], "left_anti")
-    return found.union(_verified(docs, bits, second, n, percent))
+    second = shelf.put(second.join(first, ["a", "b"], "left_anti"))
+    more = _verified(docs, bits, second, n, percent, shelf)
+    links = shelf.put(found.union(more))
+    shelf.drop(named_, first, second, found, more)
+    return links
 
 
-def _verified(docs: DataFrame, bits: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, bits: DataFrame, pairs: DataFrame, n: int, percent: int, shelf: Shelf) -> DataFrame:
     """The pairs over the threshold: bitmap bound first, then exact intersection."""
     left = bits.select(F.col("doc").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
     right = bits.select(F.col("doc").alias("b"), "n", F.col("bits").alias("y"))
     differ = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
     near = pairs.join(left, "a").join(right, "b").where((F.col("m") + F.col("n") - differ) / 2 >= _needed(F.col("m"), F.col("n"), percent))
-    near = durable(near.select("a", "b"))
-    wanted = durable(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
+    near = shelf.put(near.select("a", "b"))
+    wanted = shelf.put(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
 
     def arrays(batch):
         yield {"doc": batch.column("doc_id"), "s": [shingle_set(text, n).tobytes() for text in batch.column("text").to_pylist()]}
@@ -224,7 +279,9 @@ def _verified(docs: DataFrame, bits: DataFrame, pairs: DataFrame, n: int, percen
 
     left = sets.select(F.col("doc").alias("a"), F.col("s").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("s").alias("y"))
-    return map_batches(near.join(left, "a").join(right, "b"), over, "a long, b long")
+    links = shelf.put(map_batches(near.join(left, "a").join(right, "b"), over, "a long, b long"))
+    shelf.drop(near, wanted)
+    return links
 
 
 def query(spark, folder: str) -> DataFrame:

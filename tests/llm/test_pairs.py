@@ -1,6 +1,7 @@
 """Operators 7, 10 and 6 against plain versions, and their edge cases."""
 
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -78,6 +79,40 @@ def test_similar_sets_equal_all_pairs(spark, n, percent, seed):
     assert got == plain_groups(texts, n, percent)
 
 
+def test_hot_shingles_and_few_counts(spark, monkeypatch):
+    """Tiles cut by salt, and a table of few common shingles, change nothing."""
+    monkeypatch.setattr(pairs, "HOT_ROWS", 4)
+    monkeypatch.setattr(pairs, "SALTS", 3)
+    rng = random.Random(5)
+    texts = family(rng, 100, 8) + family(rng, 100, 8) + family(rng, 30, 3) + [" ".join(f"z{rng.randrange(9)}" for _ in range(20)) for _ in range(20)]
+    rng.shuffle(texts)
+    texts = dict(enumerate(texts))
+    for kept in (1 << 18, 40, 0):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in pairs.similar_sets(frame(spark, texts), 3, 90, kept).collect()}
+        assert got == plain_groups(texts, 3, 90)
+
+
+def test_common_shingles(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.zipf(1.3, 200)).astype(np.uint64) for _ in range(300)]
+    counts = Counter(int(x) for found in sets for x in found)
+    common = pairs.Common()
+    monkeypatch.setattr(pairs, "HELD", 1000)
+    for found in sets:
+        common.add(found)
+    hashes, times = common.most(20)
+    assert len(hashes) == 20 and all(t <= counts[h] for h, t in zip(hashes.tolist(), times.tolist()))
+    assert {h for h, _ in counts.most_common(10)} <= set(hashes.tolist())  # rare ones may be forgotten, common ones not
+    monkeypatch.setattr(pairs, "HELD", 1 << 21)
+    exact = pairs.Common()
+    for found in sets:
+        exact.add(found)
+    hashes, times = exact.most(1 << 20)
+    assert dict(zip(hashes.tolist(), times.tolist())) == {h: t for h, t in counts.items() if t > 1}
+    order = np.argsort(hashes)
+    assert pairs._ranks(sets[0], hashes[order], times[order]).tolist() == [counts[int(x)] if counts[int(x)] > 1 else 0 for x in sets[0]]
+
+
 def test_similar_sets_repeated_and_null_ids(spark):
     rows = [(5, "a b c d e"), (5, "a b c d e"), (3, "A b c d e"), (None, "a b c d e"), (9, None)]
     got = pairs.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"))
