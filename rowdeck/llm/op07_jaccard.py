@@ -1,8 +1,8 @@
 """N-gram Jaccard join: size-banded tiles, bitmap signatures, exact intersections.
 
 Documents are sets of hashed word shingles. Equal sets are one class. Shingles get a global
-order, commonest last (the counts of the commonest ones go out in a table of fixed size, so a passage in a
-third of all documents sorts to the end), and a class offers only the first few of its shingles, the
+order, commonest last (the counts of the commonest ones go out in a table of fixed size, and those of all
+others as counts per hash cell, so a passage in a third of all documents sorts to the end), and a class offers only the first few of its shingles, the
 prefix that two sets over the threshold must share. A *tile* holds the classes that offer one
 shingle and lie in one band of set sizes. Inside a tile two steps find the links:
 
@@ -31,11 +31,12 @@ from rowdeck.llm.shelf import Shelf
 KEPT = 1 << 18  # common shingles whose counts are known everywhere
 TOLD = 1 << 15  # common shingles a task tells of at most
 HELD = 1 << 21  # shingles a task holds before it counts them
+CELL_BITS, SLICES = 20, 16  # hash cells whose counts order the shingles that are not common
 HOT_SHARE, HOT_ROWS, SALTS = 1024, 1000, 64  # a shingle in more than one of so many documents is hot
 SIGNATURE_BITS = 1024
 
 
-def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90, kept: int = KEPT) -> DataFrame:
+def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90, kept: int = KEPT, cell_bits: int = CELL_BITS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, class_id)``, one row per document.
 
     Two documents link when ``100 * intersection >= percent * union`` of their sets of ``n``-word
@@ -44,13 +45,13 @@ def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90, kept: int
     nothing and keep their own doc_id. A text of fewer than ``n`` words is one shingle.
     Repeated rows of a doc_id give one row each with the same component; rows with a NULL doc_id keep
     a NULL component and are compared with nothing. Texts of any length are read whole. Other columns
-    are ignored, an empty table gives none. ``kept`` bounds the table of common shingles, which
-    changes the work, not the result.
+    are ignored, an empty table gives none. ``kept`` bounds the table of common shingles and
+    ``cell_bits`` that of the cells, which changes the work, not the result.
     """
     docs = narrow(documents, doc_id=F.col("doc_id").cast("long"), text="text")
     shelf = Shelf(documents.sparkSession)
-    digests = shelf.put(_digests(docs, n))
-    counts = _common(digests, kept)
+    digests = shelf.put(_digests(docs, n, cell_bits))
+    counts = (*_common(digests, kept), _cells(digests, cell_bits))
     sets = digests.where("digest is not null").select("doc_id", "n_shingles", "digest")
     filled = sets.where("n_shingles > 0 and doc_id is not null")
     classes = shelf.put(filled.groupBy("digest").agg(F.min("doc_id").alias("class_id")))
@@ -107,12 +108,18 @@ class Common:
         return self.hashes[order], self.counts[order]
 
 
-def _digests(docs: DataFrame, n: int) -> DataFrame:
-    """A row per document with its set's size and digest, and per task its most common shingles."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+def _digests(docs: DataFrame, n: int, cell_bits: int) -> DataFrame:
+    """A row per document with its set's size and digest, and per task its most common shingles, and how
+    many shingles fell in each hash cell, a byte per cell and in slices."""
+    kinds = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())]
+    arrow = pa.schema(kinds)
+
+    def filled(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
 
     def run(batches):
-        common = Common()
+        common, shift = Common(), np.uint64(64 - cell_bits)
+        cells = np.zeros(1 << cell_bits, np.int64)
         for batch in batches:
             sizes, digests = [], []
             for text in batch.column("text").to_pylist():
@@ -120,17 +127,41 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 common.add(found)
-            size = len(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())],
-                schema=arrow,
-            )
+                np.add.at(cells, (found >> shift).astype(np.int64), 1)
+            yield filled(len(sizes), doc_id=batch.column("doc_id"), n_shingles=sizes, digest=digests)
         hashes, counts = common.most(TOLD)
         if len(hashes):
-            nulls = [pa.nulls(len(hashes), kind) for kind in (pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(signed(hashes)), pa.array(counts)], schema=arrow)
+            yield filled(len(hashes), shingle=signed(hashes), times=counts)
+        if cells.any():
+            parts = np.split(np.minimum(cells, 255).astype(np.uint8), SLICES)
+            yield filled(SLICES, slice=range(SLICES), counts=[part.tobytes() for part in parts])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, shingle long, times long, slice int, counts binary")
+
+
+def _cells(digests: DataFrame, cell_bits: int) -> np.ndarray:
+    """The cells of all tasks added up: 2^cell_bits numbers, whatever the input."""
+
+    def add_all(kind):
+        def run(batches):
+            kept: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for name, part in zip(batch.column("slice").to_pylist(), batch.column("counts")):
+                    values = np.frombuffer(part.as_buffer(), kind).astype(np.uint32)
+                    kept[name] = kept[name] + values if name in kept else values
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array([x.tobytes() for x in kept.values()], pa.binary())], names=["slice", "counts"])
+
+        return run
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, shingle long, times long")
+    told = "slice int, counts binary"
+    tables = digests.where("slice is not null").select("slice", "counts").mapInArrow(add_all(np.uint8), told)
+    rows = tables.repartition(SLICES, "slice").mapInArrow(add_all(np.uint32), told).collect()
+    total = np.zeros(1 << cell_bits, np.uint32)
+    width = len(total) // SLICES
+    for row in rows:
+        total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.uint32)
+    return total
 
 
 def _common(digests: DataFrame, kept: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +170,7 @@ def _common(digests: DataFrame, kept: int) -> tuple[np.ndarray, np.ndarray]:
     Every power of two of the counts is taken whole or not at all, so that what reaches the driver is
     bounded whatever the number of tasks.
     """
-    summed = digests.where("digest is null").groupBy("shingle").agg(F.sum("times").alias("times"))
+    summed = digests.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     powers = summed.groupBy(F.floor(F.log2("times")).cast("int").alias("power")).count().collect()
     least, total = None, 0
     for power, count in sorted(map(tuple, powers), reverse=True):
@@ -165,17 +196,19 @@ def _prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _offers(docs: DataFrame, n: int, percent: int, counts: tuple[np.ndarray, np.ndarray], hot: int) -> DataFrame:
+def _offers(docs: DataFrame, n: int, percent: int, counts: tuple[np.ndarray, np.ndarray, np.ndarray], hot: int) -> DataFrame:
     """Per class: set size, bitmap, its rarest shingles in the global order, and how many of these, the
     first ones, are in no more than ``hot`` documents."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shift = np.uint64(64 - int(np.log2(len(counts[2]))))
 
     def run(batch):
+        hashes, times, cells = shared.value
         rows = {"doc": [], "n": [], "bits": [], "cold": [], "prefix": []}
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             found = shingle_set(text, n)
-            rank = _ranks(found, *shared.value)
-            order = np.lexsort((found, rank))[: _prefix_size(len(found), percent)]
+            rank = _ranks(found, hashes, times)
+            order = np.lexsort((found, cells[(found >> shift).astype(np.int64)], rank))[: _prefix_size(len(found), percent)]
             rows["cold"].append(int((rank[order] <= hot).sum()))
             rows["doc"].append(doc)
             rows["n"].append(len(found))
