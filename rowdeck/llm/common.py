@@ -70,9 +70,7 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for a function that yields dicts of columns for a batch."""
-    from pyspark.sql.types import StructType
-
-    arrow = _arrow_schema(StructType.fromDDL(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,10 +80,11 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dic
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(schema) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(schema)
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def narrow(df: DataFrame, **columns: str | Column) -> DataFrame:
@@ -123,4 +122,4 @@ def first_rows(df: DataFrame, key: str, limit: int, seed: int = 1) -> DataFrame:
     return pool.orderBy("_draw", key).limit(limit).drop("_draw")
 
 
-__all__ = ["MULTIPLIERS", "checkpoint_folder", "durable", "first_rows", "gram_hashes", "map_batches", "mix", "narrow", "shingle_set", "signed", "stored", "table", "word_hashes"]
+__all__ = ["MULTIPLIERS", "arrow_schema", "checkpoint_folder", "durable", "first_rows", "gram_hashes", "map_batches", "mix", "narrow", "shingle_set", "signed", "stored", "table", "word_hashes"]

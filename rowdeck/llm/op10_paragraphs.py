@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowdeck.llm.common import durable, gram_hashes, map_batches, mix, narrow, signed, stored, table, word_hashes
+from rowdeck.llm.common import arrow_schema, gram_hashes, map_batches, mix, narrow, signed, table, word_hashes
 from rowdeck.llm.components import components
+from rowdeck.llm.shelf import Shelf
 
 BANDS, ROWS = 9, 4
 WINDOW = 24
@@ -74,10 +76,12 @@ def shingles(codes: np.ndarray) -> np.ndarray:
 
 def band_hashes(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(paragraph, band): one hash per band of the MinHash of the shingles ``grams[start:end]``."""
-    hashed = np.full((BANDS * ROWS, len(grams) + 1), np.uint64(2**64 - 1))  # one more, so that a range may end with the text
-    np.multiply(grams[None, :], SEEDS[:, None], out=hashed[:, :-1])
-    low = np.minimum.reduceat(hashed, np.stack([starts, ends], axis=1).ravel(), axis=1)[:, ::2]
-    low = low.T.reshape(-1, BANDS, ROWS)
+    hashed = np.full(len(grams) + 1, np.uint64(2**64 - 1))  # one more, so that a range may end with the text
+    ranges, low = np.stack([starts, ends], axis=1).ravel(), np.empty((len(starts), BANDS * ROWS), np.uint64)
+    for k, seed in enumerate(SEEDS):
+        np.multiply(grams, seed, out=hashed[:-1])
+        low[:, k] = np.minimum.reduceat(hashed, ranges)[::2]
+    low = low.reshape(-1, BANDS, ROWS)
     total = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(starts), BANDS))
     for k in range(ROWS):
         total = mix(total * BASE + low[:, :, k])
@@ -153,33 +157,36 @@ def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
     are ignored, an empty table gives no rows.
     """
     docs = narrow(documents, doc_id=F.col("doc_id").cast("long"), text="text").where("doc_id is not null")
-    every = stored(passages(docs))
+    shelf = Shelf(documents.sparkSession)
+    every = shelf.put(passages(docs))
     around = ["left_whole", "right_whole", "left_far", "right_far"]
     rows = every.select("key", "doc_id", "first", "last", "is_window", *around)
     # passages equal in two or more documents; keys of windows and of paragraphs are unrelated hashes
     equal = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     lines = every.where("bands is not null")
     classes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "first", "last")).alias("head"), F.max("doc_id").alias("most"))
-    classes = durable(classes)
-    groups = components(_links(docs, lines, classes, percent)).select(F.col("node").alias("key"), F.col("component").alias("cluster_id"))
+    classes = shelf.put(classes)
+    groups = components(_links(docs, lines, classes, percent, shelf)).select(F.col("node").alias("key"), F.col("component").alias("cluster_id"))
     near = classes.join(groups, "key").select("key", "cluster_id", F.col("head.doc_id").alias("least"), "most")
     members = equal.join(groups, "key", "left_anti").select("key", F.col("key").alias("cluster_id"), "least", "most").union(near)
     spans = members.groupBy("cluster_id").agg(F.min("least").alias("keeper_id"), F.max("most").alias("last_id")).where("keeper_id < last_id")
-    members = durable(members.join(spans, "cluster_id").select("key", "cluster_id", "keeper_id"))
-    found = stored(rows.join(members, "key").select("doc_id", "first", "last", "is_window", "cluster_id", "keeper_id", *around).distinct())
-    keeper = found.where("doc_id = keeper_id").groupBy("cluster_id").agg(F.min("first").alias("kept"))
+    members = shelf.put(members.join(spans, "cluster_id").select("key", "cluster_id", "keeper_id"))
+    held = shelf.put(rows.join(members, "key").select("doc_id", "first", "last", "is_window", "cluster_id", "keeper_id", *around).distinct())
+    shelf.drop(every, classes, members)
+    keeper = held.where("doc_id = keeper_id").groupBy("cluster_id").agg(F.min("first").alias("kept"))
     stays = (F.col("doc_id") == F.col("keeper_id")) & (F.col("first") == F.col("kept"))
-    found = stored(found.join(keeper, "cluster_id").select(
+    found = shelf.put(held.join(keeper, "cluster_id").select(
         "doc_id", "first", "last", "is_window", "cluster_id", "keeper_id", (~stays).alias("removed"), *around
     ))
-    return found.where("not is_window").drop(*around).unionByName(_extended(docs, found.where("is_window")))
+    shelf.drop(held)
+    return found.where("not is_window").drop(*around).unionByName(_extended(docs, found.where("is_window"), shelf))
 
 
-def _extended(docs: DataFrame, windows: DataFrame) -> DataFrame:
+def _extended(docs: DataFrame, windows: DataFrame, shelf: Shelf) -> DataFrame:
     """The windows as long as they go on alike: removals with an earlier occurrence, kept ones with
     any other document. If that is not one document to both sides, a row for each, with it as ``keeper_id``."""
     seed = ["doc_id", "first", "cluster_id"]
-    ends = _ends(docs, windows).groupBy(*seed).agg(
+    ends = _ends(docs, windows, shelf).groupBy(*seed).agg(
         *(F.max(F.when(side, F.col(c))).alias(f"{name}_{c}") for side, name in ((F.col("left"), "left"), (~F.col("left"), "right")) for c in ("far", "other"))
     )
     others = F.array_distinct(F.array("keeper_id", F.coalesce("left_other", "keeper_id"), F.coalesce("right_other", "keeper_id")))
@@ -237,77 +244,157 @@ def _sides(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield dict(zip(("doc_id", *names, "h", "reach"), (ids, *zip(*rows))))
 
     kinds = "doc_id long, first int, cluster_id long, removed boolean, left boolean, source boolean, most long, h array<long>, reach array<int>"
-    return stored(map_batches(docs.join(by_doc, "doc_id").select("doc_id", "text", "cuts"), run, kinds))
+    return map_batches(docs.join(by_doc, "doc_id").select("doc_id", "text", "cuts"), run, kinds)
 
 
-def _ends(docs: DataFrame, windows: DataFrame) -> DataFrame:
+def _ends(docs: DataFrame, windows: DataFrame, shelf: Shelf) -> DataFrame:
     """``(doc_id, first, cluster_id, left, far, other)``: the code points to add to that side, and the
-    document that shares most there.
-
-    A search by halves over the number of words. Rows meet by hash of the words tried, always
-    through an aggregation: of the rows that agree, all but the earliest go on with more words and
-    the earliest with fewer; it also goes on with more, as a mere *source*, if others do. A source
-    of the lower half is not needed for the others, since the earliest agrees with them there.
+    document that shares most there; sides where no word goes on alike have no row.
+
+    Occurrences with all REACH words alike are grouped first; the earliest of a group stands for it. These
+    are sorted by the hashes of their next 1 .. REACH words, over ranges, so that those that share words lie
+    side by side however many of them a cluster holds. A sorted batch finds by itself what its rows share
+    with each other (``_shared``). What goes on beyond it shares words with its first or its last row: of
+    these two rows every batch tells, for each number of words, the earliest and latest document, which are
+    put together over all batches (``_beyond``).
     """
     own = F.struct("doc_id", "first")
-    least, most = F.min(own).alias("least"), F.max("most").alias("top")
-    more = F.when(F.col("removed"), F.col("least") < own).otherwise(F.col("top") > F.col("doc_id"))
-    other = F.when(F.col("removed"), F.col("least.doc_id")).otherwise(F.col("doc_id"))
     seed = ["doc_id", "first", "cluster_id", "removed", "left"]
     both = [F.struct(F.lit(x).alias("left"), F.col(f"{n}_whole").alias("whole"), F.col(f"{n}_far").alias("far")) for x, n in ((True, "left"), (False, "right"))]
     sides = windows.select("doc_id", "first", "cluster_id", "removed", F.inline(F.array(*both)))
-    groups = durable(sides.withColumn("most", F.col("doc_id")).groupBy("whole").agg(least, most))
-    sides = durable(sides.join(groups, "whole").withColumn("more", more))
+    groups = sides.groupBy("whole").agg(F.min(own).alias("least"), F.max("doc_id").alias("top"))
+    more = F.when(F.col("removed"), F.col("least") < own).otherwise(F.col("top") > F.col("doc_id"))
+    sides = shelf.put(sides.join(groups, "whole").drop("whole").withColumn("more", more))
+    other = F.when(F.col("removed"), F.col("least.doc_id")).otherwise(F.col("doc_id"))
     done = sides.where("more").select(*seed, "far", other.alias("other"))
-    # of rows with the same words, the earliest stands for all; alone in its cluster it has nobody to meet
+    # alone in its cluster a row has nobody to meet
     first = sides.where(F.col("least") == own).select(*seed, F.col("more").alias("source"), F.col("top").alias("most"))
     several = first.groupBy("cluster_id", "left").count().where("count > 1").drop("count")
-    state = _sides(docs, durable(first.join(several, ["cluster_id", "left"])))
-    state = state.withColumns({"far": F.lit(0), "other": F.lit(None).cast("long")})
-    step = 1 << (REACH.bit_length() - 1)
-    while step:
-        state = state.withColumn("probe", F.get("h", F.lit(step - 1)))
-        tried = state.where("probe is not null")
-        groups = tried.groupBy("probe").agg(least, most, F.count("*").alias("n"))
-        tried = tried.join(groups, "probe").withColumn("up", more & ~F.col("source"))
-
-        def way(high: bool, source: bool):
-            return F.struct(F.lit(high).alias("high"), F.lit(source).alias("source"))
-
-        ways = F.when(F.col("up") & F.col("removed"), F.array(way(True, False))).when(F.col("up"), F.array(way(True, False), way(False, True)))
-        ways = ways.when(F.col("n") == 1, F.array(F.struct(F.lit(False).alias("high"), F.col("source").alias("source"))))
-        ways = ways.otherwise(F.array(F.struct(F.lit(False).alias("high"), F.col("source").alias("source")), way(True, True)))
-        tried = tried.withColumn("way", F.explode(ways))
-        part = lambda c: F.when(F.col("way.high"), F.slice(c, step + 1, REACH)).otherwise(F.slice(c, 1, step - 1))
-        tried = tried.select(
-            *seed, F.col("way.source").alias("source"), "most", part("h").alias("h"), part("reach").alias("reach"),
-            F.when(F.col("way.high"), F.get("reach", F.lit(step - 1))).otherwise(F.col("far")).alias("far"),
-            F.when(F.col("way.high"), other).otherwise(F.col("other")).alias("other"),
-        )
-        state = durable(state.where("probe is null").drop("probe").unionByName(tried).where("not source or size(h) > 0"))
-        step //= 2
-    return done.union(state.where("not source").select(*seed, "far", "other")).drop("removed")
-
-
-def _links(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    state = shelf.put(_sides(docs, first.join(several, ["cluster_id", "left"])).where("size(h) > 0"))
+    ordered = state.withColumn("h0", F.get("h", F.lit(0))).repartitionByRange("h0", "h").sortWithinPartitions("h0", "h").drop("h0")
+    met = shelf.put(_shared(ordered))
+    shelf.drop(state)
+    found = _beyond(met)
+    return done.union(found.select(*seed, "far", "other")).drop("removed")
+
+
+def _shared(state: DataFrame) -> DataFrame:
+    """Of rows in the order of ``h``: per row the most words it shares within its batch and with whom, and how
+    many with the batch's first and last row; and a row per batch that describes these two."""
+    kinds = (
+        "chunk long, doc_id long, first int, cluster_id long, removed boolean, left boolean, reach array<int>, words int, other long, "
+        "before int, after int, at_end array<boolean>, depth array<int>, probe array<long>, least_doc array<long>, least_first array<int>, top array<long>"
+    )
+    arrow = arrow_schema(kinds)
+
+    def filled(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+
+    def run(batches):
+        part = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
+            h = batch.column("h")
+            sizes = np.diff(h.offsets.to_numpy())
+            hashes = np.zeros((len(sizes), REACH), np.int64)
+            hashes[np.arange(REACH) < sizes[:, None]] = h.flatten().to_numpy()
+            doc, first, most = (batch.column(c).to_numpy() for c in ("doc_id", "first", "most"))
+            removed = batch.column("removed").to_numpy(zero_copy_only=False)
+            words, other, before, after, ends = common_runs(hashes, sizes, doc, first, most, removed)
+            kept = ~batch.column("source").to_numpy(zero_copy_only=False)
+            rows = batch.filter(pa.array(kept))
+            if kept.any():
+                names = ("doc_id", "first", "cluster_id", "removed", "left", "reach")
+                yield filled(
+                    rows.num_rows, chunk=np.full(rows.num_rows, part + number), **{c: rows.column(c) for c in names},
+                    words=words[kept], other=other[kept], before=before[kept], after=after[kept],
+                )
+            yield filled(1, chunk=[part + number], **{c: [list(x)] for c, x in zip(("at_end", "depth", "probe", "least_doc", "least_first", "top"), zip(*ends))})
+
+    return state.mapInArrow(run, kinds)
+
+
+def common_runs(hashes: np.ndarray, sizes: np.ndarray, doc: np.ndarray, first: np.ndarray, most: np.ndarray, removed: np.ndarray) -> tuple:
+    """Sorted rows of ``sizes`` hashes each: the most words that a removed row shares with an earlier
+    document (or place), a kept one with a later one, and the earliest document that does (itself for a kept
+    one); the words shared with the first and with the last row; and, for every number of words of these two,
+    ``(at_end, depth, hash, earliest doc_id, its first, latest doc_id)`` of the rows that share them."""
+    column = np.arange(hashes.shape[1])
+
+    def alike(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        same = (x == y) & (column < np.minimum(m, n)[:, None])
+        return np.logical_and.accumulate(same, axis=1).sum(1)
+
+    n = len(sizes)
+    near = np.concatenate([[-1], alike(hashes[1:], hashes[:-1], sizes[1:], sizes[:-1])])
+    before = alike(hashes, hashes[:1], sizes, sizes[:1])
+    after = alike(hashes, hashes[-1:], sizes, sizes[-1:])
+    order = np.lexsort((first, doc))
+    new = np.concatenate([[False], (np.diff(doc[order]) != 0) | (np.diff(first[order]) != 0)])
+    rank, at = np.empty(n, np.int64), np.empty(n, np.int64)
+    rank[order] = np.cumsum(new)
+    at[rank] = np.arange(n)  # a row of each rank
+    words, other, ends = np.zeros(n, np.int32), np.where(removed, -1, doc), []
+    for k in range(1, int(sizes.max()) + 1):
+        long = np.nonzero(sizes >= k)[0]
+        starts = np.nonzero(near[long] < k)[0]
+        least, top = np.minimum.reduceat(rank[long], starts), np.maximum.reduceat(most[long], starts)
+        for at_end, edge, run in ((False, 0, 0), (True, n - 1, -1)):
+            if sizes[edge] >= k:
+                row = at[least[run]]
+                ends.append((at_end, k, hashes[edge, k - 1], doc[row], first[row], top[run]))
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(long))))
+        up = np.where(removed[long], least[run] < rank[long], top[run] > doc[long])
+        words[long[up]] = k
+        earlier = long[up & removed[long]]
+        other[earlier] = doc[at[least[run[up & removed[long]]]]]
+    return words, other, before, after, ends
+
+
+def _beyond(met: DataFrame) -> DataFrame:
+    """The rows of ``_shared`` with ``far`` and ``other``, over all batches."""
+    told = met.where("probe is not null").select("chunk", F.inline(F.arrays_zip("at_end", "depth", "probe", "least_doc", "least_first", "top")))
+    whole = told.groupBy("probe").agg(F.min(F.struct(F.col("least_doc").alias("doc_id"), F.col("least_first").alias("first"))).alias("least"), F.max("top").alias("top"))
+    told = told.select("chunk", "at_end", "depth", "probe").join(whole, "probe")
+    entry = F.struct("depth", "least", "top")
+    info = told.groupBy("chunk").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("at_end"), entry))).alias("head"), F.sort_array(F.collect_list(F.when(F.col("at_end"), entry))).alias("tail")
+    )
+    rows = met.where("probe is null").drop("at_end", "depth", "probe", "least_doc", "least_first", "top")
+    inside = rows.where("before = 0 and after = 0").drop("before", "after")
+    touch = "size(filter(slice({0}, 1, {1}), x -> if(removed, x.least < struct(doc_id, first), x.top > doc_id)))"
+    edge = rows.where("before > 0 or after > 0").join(info, "chunk")
+    edge = edge.withColumns({"a": F.expr(touch.format("head", "before")), "b": F.expr(touch.format("tail", "after"))})
+    most = F.greatest("words", "a", "b")
+    # a run of so many words that the first (last) row shares is the whole run; else it lies inside the batch
+    other = F.when(F.col("a") == most, F.get("head", most - 1)["least"]["doc_id"]).when(F.col("b") == most, F.get("tail", most - 1)["least"]["doc_id"]).otherwise(F.col("other"))
+    other = F.when(F.col("removed"), other).otherwise(F.col("doc_id"))
+    edge = edge.select(*inside.drop("words", "other").columns, most.alias("words"), other.alias("other"))
+    every = inside.unionByName(edge).where("words > 0")
+    return every.withColumn("far", F.get("reach", F.col("words") - 1)).drop("reach", "words", "chunk")
+
+
+def _links(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
     """Verified pairs of paragraph classes that settle the components."""
     entries = lines.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
     # one exchange of two longs per entry; classes alone in their bucket go no further
     order = Window.partitionBy("band").orderBy("key")
     entries = entries.withColumns({"top": F.first("key").over(order), "next": F.lead("key").over(order)})
-    shared = durable(entries.where("key <> top or next is not null").select("band", "key", "top"))
-    first = durable(shared.where("key <> top").select(F.col("top").alias("a"), F.col("key").alias("b")).distinct())
+    shared = shelf.put(entries.where("key <> top or next is not null").select("band", "key", "top"))
+    first = shelf.put(shared.where("key <> top").select(F.col("top").alias("a"), F.col("key").alias("b")).distinct())
     wanted = shared.select("key").distinct().join(classes, "key")
-    places = durable(wanted.select("key", F.col("head.doc_id").alias("doc_id"), F.col("head.first").alias("first"), F.col("head.last").alias("last")))
-    sets = stored(_sets(docs, places))
-    found = durable(_verified(sets, first, percent))
+    places = shelf.put(wanted.select("key", F.col("head.doc_id").alias("doc_id"), F.col("head.first").alias("first"), F.col("head.last").alias("last")))
+    sets = shelf.put(_sets(docs, places))
+    found = shelf.put(_verified(sets, first, percent))
     names = components(found).select(F.col("node").alias("key"), "component")
-    named = durable(shared.join(names, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component")))
-    sizes = named.groupBy("band", "component").count()
+    spread = shelf.put(shared.join(names, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component")))
+    sizes = spread.groupBy("band", "component").count()
     mixed = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component")).alias("m")).where("parts > 1")
-    named = durable(named.join(mixed, "band").select("band", "key", "component", (F.col("component") == F.col("m.component")).alias("main")))
-    named = named.join(sets.select("key", "n", "bits"), "key")
-    x, y = named.where("not main").alias("x"), named.alias("y")
+    named = shelf.put(spread.join(mixed, "band").select("band", "key", "component", (F.col("component") == F.col("m.component")).alias("main")))
+    shelf.drop(spread)
+    full = named.join(sets.select("key", "n", "bits"), "key")
+    x, y = full.where("not main").alias("x"), full.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.key") < F.col("y.key")))
     # bitmaps that differ in d bits share at most (m + n - d) / 2 shingles
     differ = F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
@@ -315,7 +402,9 @@ def _links(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent: int)
     near = (100 + percent) * (total - differ) >= 2 * percent * total
     second = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & near)
     second = second.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    return found.union(_verified(sets, second.join(first, ["a", "b"], "left_anti"), percent))
+    links = shelf.put(found.union(_verified(sets, second.join(first, ["a", "b"], "left_anti"), percent)))
+    shelf.drop(shared, first, places, sets, found, named)
+    return links
 
 
 def _sets(docs: DataFrame, places: DataFrame) -> DataFrame:

@@ -300,6 +300,36 @@ def test_extension_equals_plain(spark):
             assert a in starts and (b + 1 in starts or b == len(text))
 
 
+def test_shared_words_equal_plain(spark):
+    """What sorted batches share, within and beyond them, against all pairs of rows; in batches of a few rows too."""
+    rng = random.Random(21)
+    rows = {}
+    for k in range(160):
+        words = tuple(rng.randrange(2) for _ in range(rng.randrange(1, 9)))
+        rows.setdefault(words, (rng.randrange(60), k, 5, rng.random() < 0.8, True, rng.random() < 0.2, rng.randrange(60, 90)))
+    prefix = {words: [hash(words[: n + 1]) for n in range(len(words))] for words in rows}
+    data = [(*row, prefix[words], [10 * (n + 1) for n in range(len(words))]) for words, row in rows.items()]
+    kinds = "doc_id long, first int, cluster_id long, removed boolean, left boolean, source boolean, most long, h array<long>, reach array<int>"
+    want = {}
+    for words, (doc, first, _, removed, _, source, most) in rows.items():
+        for n in range(len(words), 0, -1):
+            alike = [row for other, row in rows.items() if other[:n] == words[:n]]
+            least, top = min(row[:2] for row in alike), max(row[6] for row in alike)
+            if not source and (least < (doc, first) if removed else top > doc):
+                want[doc, first] = (10 * n, least[0] if removed else doc)
+                break
+    state = spark.createDataFrame(data, kinds)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows_each, tasks in ((10000, 1), (10000, 3), (7, 2), (1, 5)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_each)
+            met = passages._shared(state.repartitionByRange(tasks, "h").sortWithinPartitions("h"))
+            got = {(r.doc_id, r.first): (r.far, r.other) for r in passages._beyond(met).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_every_long_shared_passage_holds_a_common_window():
     rng = random.Random(5)
     for _ in range(200):
@@ -319,6 +349,13 @@ def test_near_paragraphs_equal_all_pairs(spark):
     assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
 
 
+def test_repeated_rows_and_null_ids_of_passages(spark):
+    line = " ".join(f"l{k}" for k in range(30))
+    rows = [(4, line), (4, line), (2, f"a b\n{line}"), (None, line), (9, line + "".join(f" x{k}" for k in range(60)))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("not is_window")
+    assert sorted((r.doc_id, r.keeper_id, r.removed) for r in found.collect()) == [(2, 2, False), (4, 2, True)]
+
+
 def test_band_hashes_and_digests_follow_content():
     rng = np.random.default_rng(3)
     for size in (12, 40, 300):
