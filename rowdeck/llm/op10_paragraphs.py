@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rowdeck.llm.common import arrow_schema, gram_hashes, map_batches, mix, narrow, signed, table, word_hashes
 from rowdeck.llm.components import components
-from rowdeck.llm.shelf import Shelf
+from rowdeck.llm.shelf import Shelf, join_counted
 
 BANDS, ROWS = 9, 4
 WINDOW = 24
 REACH = WINDOW - 1
 BITS = 512
+HELD = 1 << 16
 SHINGLE = 5
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -76,24 +77,35 @@ def shingles(codes: np.ndarray) -> np.ndarray:
 
 def band_hashes(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(paragraph, band): one hash per band of the MinHash of the shingles ``grams[start:end]``."""
-    hashed = np.full(len(grams) + 1, np.uint64(2**64 - 1))  # one more, so that a range may end with the text
-    ranges, low = np.stack([starts, ends], axis=1).ravel(), np.empty((len(starts), BANDS * ROWS), np.uint64)
-    for k, seed in enumerate(SEEDS):
-        np.multiply(grams, seed, out=hashed[:-1])
-        low[:, k] = np.minimum.reduceat(hashed, ranges)[::2]
-    low = low.reshape(-1, BANDS, ROWS)
+    ranges, low = np.stack([starts, ends], axis=1).ravel(), []
+    step = max(1, HELD // (len(grams) + 1))  # functions at once: memory of HELD numbers, or of one text's shingles
+    for seeds in np.split(SEEDS, range(step, len(SEEDS), step)):
+        hashed = np.full((len(seeds), len(grams) + 1), np.uint64(2**64 - 1))  # one more, so that a range may end with the text
+        np.multiply(grams[None, :], seeds[:, None], out=hashed[:, :-1])
+        low.append(np.minimum.reduceat(hashed, ranges, axis=1)[:, ::2])
+    low = np.concatenate(low).T.reshape(-1, BANDS, ROWS)
     total = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(starts), BANDS))
     for k in range(ROWS):
         total = mix(total * BASE + low[:, :, k])
     return total
 
 
+class Runs:
+    """Karp-Rabin sums of the scrambled words of a text."""
+
+    def __init__(self, codes: np.ndarray):
+        self.back = _powers(INVERSE, len(codes) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes) * _powers(BASE, len(codes)))])
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
+        """64-bit keys of the word runs from ``starts`` to ``ends``: their sums brought to one power, with
+        the length and the kind of passage."""
+        found = (self.sums[ends] - self.sums[starts]) * self.back[starts]
+        return mix(mix(found) + (ends - starts).astype(np.uint64) * np.uint64(2) + np.uint64(kind))
+
+
 def digests(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
-    """64-bit keys of the word runs ``codes[start:end]``: Karp-Rabin sums of scrambled words, brought
-    to one power, with the length and the kind of passage."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes) * _powers(BASE, len(codes)))])
-    found = (sums[ends] - sums[starts]) * _powers(INVERSE, len(codes) + 1)[starts]
-    return mix(mix(found) + (ends - starts).astype(np.uint64) * np.uint64(2) + np.uint64(kind))
+    return Runs(codes).digests(starts, ends, kind)
 
 
 def _powers(base: np.uint64, size: int) -> np.ndarray:
@@ -118,9 +130,10 @@ def passages(documents: DataFrame) -> DataFrame:
         banded = b - a >= SHINGLE
         bands = band_hashes(grams, a[banded], b[banded] - SHINGLE + 1) if banded.any() else np.empty((0, BANDS), np.uint64)
         starts, ends = np.concatenate([at, a]), np.concatenate([at + WINDOW, b])
-        keys = np.concatenate([digests(codes, at, at + WINDOW, 1), digests(codes, a, b, 0)])
+        runs = Runs(codes)
+        keys = np.concatenate([runs.digests(at, at + WINDOW, 1), runs.digests(a, b, 0)])
         low, high = np.maximum(at - REACH, 0), np.minimum(at + WINDOW + REACH, len(codes))
-        wholes = [digests(codes, low, at + WINDOW, 0), digests(codes, at, high, 1)]
+        wholes = [runs.digests(low, at + WINDOW, 0), runs.digests(at, high, 1)]
         fars = [words.first[at] - words.first[low], words.last[high - 1] - words.last[at + WINDOW - 1]]
         none = np.zeros(len(a), np.int64)
         around = [np.concatenate([x.astype(np.int64, copy=False) if x.dtype != np.uint64 else signed(x), none]) for x in (*wholes, *fars)]
@@ -173,9 +186,9 @@ def repeated_passages(documents: DataFrame, percent: int = 80) -> DataFrame:
     members = shelf.put(members.join(spans, "cluster_id").select("key", "cluster_id", "keeper_id"))
     held = shelf.put(rows.join(members, "key").select("doc_id", "first", "last", "is_window", "cluster_id", "keeper_id", *around).distinct())
     shelf.drop(every, classes, members)
-    keeper = held.where("doc_id = keeper_id").groupBy("cluster_id").agg(F.min("first").alias("kept"))
+    keeper = held.groupBy("cluster_id").agg(F.min(F.when(F.col("doc_id") == F.col("keeper_id"), F.col("first"))).alias("kept"), F.count("*").alias("times"))
     stays = (F.col("doc_id") == F.col("keeper_id")) & (F.col("first") == F.col("kept"))
-    found = shelf.put(held.join(keeper, "cluster_id").select(
+    found = shelf.put(join_counted(held, shelf.put(keeper), ["cluster_id"], "times", held.count()).select(
         "doc_id", "first", "last", "is_window", "cluster_id", "keeper_id", (~stays).alias("removed"), *around
     ))
     shelf.drop(held)
@@ -202,46 +215,51 @@ def _sides(docs: DataFrame, rows: DataFrame) -> DataFrame:
     names = ("first", "cluster_id", "removed", "left", "source", "most")
     by_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("cuts"))
 
-    def sides(text: str | None, cuts: list[dict]):
+    def sides(text: str | None, firsts: np.ndarray, clusters: np.ndarray, to_left: np.ndarray):
+        """Per side: which windows, their hashes, the code points and how many words there are."""
         words = Words(text)
         codes = words.codes
-        keys = np.array([cut["cluster_id"] for cut in cuts], np.int64).view(np.uint64)
-        firsts = np.array([cut["first"] for cut in cuts], np.int64)
-        at = np.searchsorted(words.first, firsts)
-        fits = at + WINDOW <= len(codes)
-        at = np.where(fits, at, 0)
+        keys = clusters.view(np.uint64)
+        places = np.searchsorted(words.first, firsts)
+        fits = places + WINDOW <= len(codes)
         if not fits.any():  # windows of another text under this doc_id
             return
-        fits &= (digests(codes, at, np.where(fits, at + WINDOW, 0), 1) == keys) & (words.first[at] == firsts)
-        to_left = np.array([cut["left"] for cut in cuts])
-        every, every_key = at, keys
+        places = np.where(fits, places, 0)
+        fits &= (Runs(codes).digests(places, np.where(fits, places + WINDOW, 0), 1) == keys) & (words.first[places] == firsts)
         for left in (True, False):
             which = np.nonzero(fits & (to_left == left))[0]
-            at, keys = every[which], every_key[which]
+            at = places[which]
             size = np.minimum(REACH, at if left else len(codes) - at - WINDOW)
-            total, h, reach = mix(keys + np.uint64(left)), [], []
+            total, h, reach = mix(keys[which] + np.uint64(left)), [], []
             edge = words.first[at] if left else words.last[at + WINDOW - 1]
             for k in range(REACH):
                 place = np.clip(at - 1 - k if left else at + WINDOW + k, 0, len(codes) - 1)
                 total = mix(total * BASE + codes[place])
                 h.append(total)
                 reach.append(edge - words.first[place] if left else words.last[place] - edge)
-            h, reach = signed(np.stack(h, 1)), np.stack(reach, 1)
-            for row, k in enumerate(which):
-                yield *(cuts[k][c] for c in names), h[row, : size[row]], reach[row, : size[row]]
+            yield which, signed(np.stack(h, 1)), np.stack(reach, 1), size
 
+    def packed(parts: list, cuts: dict) -> dict:
+        rows, doc_ids, h, reach, sizes = (np.concatenate(x) for x in zip(*parts))
+        inside = np.arange(REACH) < sizes[:, None]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        lists = {"h": pa.ListArray.from_arrays(offsets, pa.array(h[inside])), "reach": pa.ListArray.from_arrays(offsets, pa.array(reach[inside].astype(np.int32)))}
+        return {"doc_id": doc_ids, **{c: cuts[c][rows] for c in names}, **lists}
 
     def run(batch):
-        ids, rows = [], []
-        for doc_id, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "cuts"))):
-            found = list(sides(text, cuts))
-            ids += [doc_id] * len(found)
-            rows += found
-            if len(rows) >= 5000:
-                yield dict(zip(("doc_id", *names, "h", "reach"), (ids, *zip(*rows))))
-                ids, rows = [], []
-        if rows:
-            yield dict(zip(("doc_id", *names, "h", "reach"), (ids, *zip(*rows))))
+        lists = batch.column("cuts")
+        cuts = {c: x.to_numpy(zero_copy_only=False) for c, x in zip(names, lists.flatten().flatten())}
+        bounds = lists.offsets.to_numpy()
+        parts, held = [], 0
+        for doc_id, text, low, high in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), bounds - bounds[0], bounds[1:] - bounds[0]):
+            for which, *found in sides(text, *(cuts[c][low:high] for c in ("first", "cluster_id", "left"))):
+                parts.append((which + low, np.full(len(which), doc_id), *found))
+                held += len(which)
+            if held >= 5000:
+                yield packed(parts, cuts)
+                parts, held = [], 0
+        if held:
+            yield packed(parts, cuts)
 
     kinds = "doc_id long, first int, cluster_id long, removed boolean, left boolean, source boolean, most long, h array<long>, reach array<int>"
     return map_batches(docs.join(by_doc, "doc_id").select("doc_id", "text", "cuts"), run, kinds)
