@@ -9,15 +9,18 @@ shingle and lie in one band of set sizes. Inside a tile two steps find the links
 1. every class meets the tile's head (the one with the fewest rarer shingles); links found
    so join most of a group of copies in as many comparisons as it has members;
 2. classes of a tile that are still in different components meet each other. Pairs inside
-   one component are skipped: they cannot change it.
+   one component are skipped: they cannot change it, and so are tiles of two classes, which have met.
 
 A pair must pass the position bound of the prefix, then the bitmap bound (two bitmaps that
 differ in d bits share at most (m + n - d) / 2 shingles), then the exact intersection of the
-sorted arrays. No link between different sets is lost, so the components are exact.
+sorted arrays. In tiles of more than LARGE classes the bitmaps lie beside the classes, so that only pairs
+within both bounds become rows. No link between different sets is lost, so the components are exact.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +37,7 @@ HELD = 1 << 21  # shingles a task holds before it counts them
 CELL_BITS, SLICES = 20, 16  # hash cells whose counts order the shingles that are not common
 HOT_SHARE, HOT_ROWS, SALTS = 1024, 1000, 64  # a shingle in more than one of so many documents is hot
 SIGNATURE_BITS = 1024
+LARGE = 64  # classes of a tile above which bitmaps are compared inside the join
 
 
 def similar_sets(documents: DataFrame, n: int = 3, percent: int = 90, kept: int = KEPT, cell_bits: int = CELL_BITS) -> DataFrame:
@@ -220,9 +224,9 @@ def _offers(docs: DataFrame, n: int, percent: int, counts: tuple[np.ndarray, np.
 
 
 def _bitmap(found: np.ndarray) -> np.ndarray:
-    flags = np.zeros(SIGNATURE_BITS, np.uint8)
-    flags[(mix(found) % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = 1
-    return np.packbits(flags).view(np.int64)
+    """Which cells hold an odd number of the shingles: what two sets share cancels out, however large they are."""
+    cells = np.bincount((mix(found) % np.uint64(SIGNATURE_BITS)).astype(np.int64), minlength=SIGNATURE_BITS)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
 
 
 def _needed(m: Column, n: Column, percent: int) -> Column:
@@ -237,6 +241,12 @@ def _close(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (room >= _needed(m, n, percent))
 
 
+def _bitmaps_close(m: Column, n: Column, x: str, y: str, percent: int) -> Column:
+    """Bitmaps leave room for the threshold."""
+    differ = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(SIGNATURE_BITS // 64)), F.lit(0))
+    return (m + n - differ) / 2 >= _needed(m, n, percent)
+
+
 def _links(docs: DataFrame, offers: DataFrame, n: int, percent: int, shelf: Shelf) -> DataFrame:
     """Verified links between classes that settle the components.
 
@@ -253,9 +263,10 @@ def _links(docs: DataFrame, offers: DataFrame, n: int, percent: int, shelf: Shel
     entries = entries.select(F.xxhash64("token", "band").alias("tile"), salt.alias("salt"), "doc", place.alias("place"))
     order = Window.partitionBy("tile", "salt").orderBy("place", "doc")
     entries = entries.withColumns(
-        {"next": F.lead("doc").over(order), "head": F.first("doc").over(order), "top": F.first("place").over(order)}
+        {"next": F.lead("doc").over(order), "third": F.lead("doc", 2).over(order), "rank": F.row_number().over(order), "head": F.first("doc").over(order), "top": F.first("place").over(order)}
     ).where("doc <> head or next is not null or salt > 0")
-    entries = shelf.put(entries.select("tile", "salt", "doc", "place", "head", "top"))
+    more = F.expr("salt > 0 or rank > 2 or third is not null or (rank = 2 and next is not null)")  # not just two classes
+    entries = shelf.put(entries.select("tile", "salt", "doc", "place", "head", "top", more.alias("more")))
     parts = Window.partitionBy("tile").orderBy("place", "doc")
     heads = entries.where("salt > 0 and doc = head").select("tile", "doc", "place", F.first("doc").over(parts).alias("head"), F.first("place").over(parts).alias("top"))
 
@@ -263,22 +274,28 @@ def _links(docs: DataFrame, offers: DataFrame, n: int, percent: int, shelf: Shel
         return F.struct(F.col(doc).alias("doc"), F.shiftright(place, 32).cast("int").alias("i"), F.col(place).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"))
 
     bits = offers.select("doc", "n", "bits")
-    first = entries.drop("salt").unionByName(heads).where("doc <> head")
+    first = entries.drop("salt", "more").unionByName(heads).where("doc <> head")
     first = first.select(side("doc", "place").alias("x"), side("head", "top").alias("h")).where(_close("x", "h", percent))
     first = shelf.put(first.select(F.least("x.doc", "h.doc").alias("a"), F.greatest("x.doc", "h.doc").alias("b")).distinct())
     found = _verified(docs, bits, first, n, percent, shelf)
     names = components(found).select(F.col("node").alias("doc"), "component")
 
-    named = shelf.put(entries.select("tile", "doc", "place").join(names, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    named = shelf.put(entries.where("more").select("tile", "doc", "place").join(names, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
     shelf.drop(entries)
     sizes = named.groupBy("tile", "component").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("tile").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("m")).where("parts > 1")
-    named_ = shelf.put(named.join(mixed, "tile").select("tile", side("doc", "place").alias("e"), "component", (F.col("component") == F.col("m.component")).alias("main")))
+    mixed = sizes.groupBy("tile").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("m")).where("parts > 1")
+    main = F.col("component") == F.col("m.component")
+    named_ = shelf.put(named.join(mixed, "tile").select("tile", side("doc", "place").alias("e"), "component", main.alias("main"), (F.col("all") > LARGE).alias("large")))
     shelf.drop(named)
-    x, y = (named_.select("tile", F.col("e").alias(name), F.col("component").alias(f"{name}c"), F.col("main").alias(f"{name}m")) for name in "xy")
-    apart = (F.col("xc") != F.col("yc")) & (F.col("ym") | (F.col("x.doc") < F.col("y.doc")))
-    second = x.where("not xm").join(y, "tile").where(apart & _close("x", "y", percent))
-    second = second.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+
+    def apart(rows: DataFrame, *bounds: Column) -> DataFrame:
+        x, y = (rows.select("tile", F.col("e").alias(name), F.col("component").alias(f"{name}c"), F.col("main").alias(f"{name}m"), *(F.col(c).alias(f"{name}{c}") for c in rows.columns if c == "bits")) for name in "xy")
+        once = (F.col("xc") != F.col("yc")) & (F.col("ym") | (F.col("x.doc") < F.col("y.doc")))
+        met = x.where("not xm").join(y, "tile").where(reduce(Column.__and__, bounds, once & _close("x", "y", percent)))
+        return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+
+    large = named_.where("large").join(offers.select(F.col("doc").alias("owner"), "bits"), F.col("e.doc") == F.col("owner"))
+    second = apart(named_.where("not large")).union(apart(large, _bitmaps_close(F.col("x.n"), F.col("y.n"), "xbits", "ybits", percent))).distinct()
     second = shelf.put(second.join(first, ["a", "b"], "left_anti"))
     more = _verified(docs, bits, second, n, percent, shelf)
     links = shelf.put(found.union(more))
@@ -290,8 +307,7 @@ def _verified(docs: DataFrame, bits: DataFrame, pairs: DataFrame, n: int, percen
     """The pairs over the threshold: bitmap bound first, then exact intersection."""
     left = bits.select(F.col("doc").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
     right = bits.select(F.col("doc").alias("b"), "n", F.col("bits").alias("y"))
-    differ = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
-    near = pairs.join(left, "a").join(right, "b").where((F.col("m") + F.col("n") - differ) / 2 >= _needed(F.col("m"), F.col("n"), percent))
+    near = pairs.join(left, "a").join(right, "b").where(_bitmaps_close(F.col("m"), F.col("n"), "x", "y", percent))
     near = shelf.put(near.select("a", "b"))
     wanted = shelf.put(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
 

@@ -137,6 +137,28 @@ def test_bitmap_never_under_counts():
         assert (len(a) + len(b) - differ) / 2 >= len(np.intersect1d(a, b))
 
 
+def test_bitmap_tells_large_sets_apart():
+    """Sets of some thousand shingles at Jaccard 0.8 are told apart at 0.9 before their texts are read."""
+    rng = np.random.default_rng(3)
+    for size in (1500, 4000):
+        both = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, size // 8).astype(np.uint64)])) for _ in range(2))
+        differ = np.bitwise_count((pairs._bitmap(a) ^ pairs._bitmap(b)).view(np.uint64)).sum()
+        assert (len(a) + len(b) - differ) / 2 < 90 * (len(a) + len(b)) / 190
+
+
+def test_large_tiles(spark, monkeypatch):
+    """Tiles that carry bitmaps into their join, and tiles of two classes, which do not reach it."""
+    rng = random.Random(9)
+    texts = family(rng, 120, 30) + family(rng, 60, 20) + [f"{k} " + " ".join(f"w{j}" for j in range(30)) for k in range(2)]
+    rng.shuffle(texts)
+    texts = dict(enumerate(texts))
+    for large in (2, 64):
+        monkeypatch.setattr(pairs, "LARGE", large)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in pairs.similar_sets(frame(spark, texts), 3, 90).collect()}
+        assert got == plain_groups(texts, 3, 90)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)] + [(7, 7), (None, 3)]
