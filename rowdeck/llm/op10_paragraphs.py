@@ -19,6 +19,8 @@ bitmaps leave room for the wanted similarity.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -66,8 +68,13 @@ def anchors(grams: np.ndarray, n_words: int) -> np.ndarray:
     if n_words < WINDOW:
         return np.empty(0, np.int64)
     width = min(WINDOW, len(grams))
-    views = np.lib.stride_tricks.sliding_window_view(grams[::-1], width)
-    places = np.unique(len(grams) - 1 - (np.arange(len(views)) + views.argmin(1)))
+    low, places, reach = grams, np.arange(len(grams)), 1  # least hash of the next ``reach``, and where it is last
+    while reach < width:
+        step = min(reach, width - reach)
+        later = low[step:] <= low[:-step]
+        low, places = np.where(later, low[step:], low[:-step]), np.where(later, places[step:], places[:-step])
+        reach += step
+    places = places[np.concatenate([[True], places[1:] != places[:-1]])]
     return places[places + WINDOW <= n_words]
 
 
@@ -109,6 +116,18 @@ def digests(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int)
 
 
 def _powers(base: np.uint64, size: int) -> np.ndarray:
+    return _first_powers(int(base))[:size] if size <= HELD else _all_powers(base, size)
+
+
+@cache
+def _first_powers(base: int) -> np.ndarray:
+    """The first HELD powers, made once per process."""
+    powers = _all_powers(np.uint64(base), HELD)
+    powers.flags.writeable = False
+    return powers
+
+
+def _all_powers(base: np.uint64, size: int) -> np.ndarray:
     return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, size - 1), base))])[:size]
 
 

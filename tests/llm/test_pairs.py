@@ -396,3 +396,16 @@ def test_band_hashes_and_digests_follow_content():
             assert (band == total).all()
             assert passages.digests(alone, np.array([0]), np.array([len(alone)]), 0)[0] == key
             assert passages.digests(alone, np.array([0]), np.array([len(alone)]), 1)[0] != key
+
+
+def test_anchors_are_last_smallest_and_powers_are_kept():
+    rng = np.random.default_rng(6)
+    for size in (0, 5, 23, 24, 27, 28, 60, 300):
+        for codes in (rng.integers(0, 2**63, size).astype(np.uint64), rng.integers(0, 3, size).astype(np.uint64)):
+            grams = passages.gram_hashes(codes, passages.SHINGLE)
+            width = min(passages.WINDOW, len(grams))
+            want = {max(range(k, k + width), key=lambda j: (-int(grams[j]), j)) for k in range(len(grams) - width + 1)} if size >= passages.WINDOW else set()
+            assert passages.anchors(grams, size).tolist() == sorted(k for k in want if k + passages.WINDOW <= size)
+    long = passages._powers(passages.BASE, passages.HELD + 5)
+    assert np.array_equal(long[:100], passages._powers(passages.BASE, 100))
+    assert np.shares_memory(passages._powers(passages.BASE, 100), passages._powers(passages.BASE, 60))
