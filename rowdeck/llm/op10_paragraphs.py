@@ -19,6 +19,7 @@ bitmaps leave room for the wanted similarity.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -35,6 +36,7 @@ WINDOW = 24
 REACH = WINDOW - 1
 BITS = 512
 HELD = 1 << 16
+GROUP = 1 << 16  # code points of the texts that are worked on at once; a longer text comes alone
 SHINGLE = 5
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -63,19 +65,64 @@ class Words:
         return self.edges[:-1][keep], self.edges[1:][keep]
 
 
+class Group(Words):
+    """The words of several texts, one after the other; no line goes on from one text into the next."""
+
+    def __init__(self, texts: list[str | None]):
+        super().__init__("\n".join(text or "" for text in texts))
+        self.bases = np.concatenate([[0], np.cumsum([len(text or "") + 1 for text in texts])])[:-1]  # code points before each text
+        self.bounds = np.concatenate([np.searchsorted(self.first, self.bases), [len(self.codes)]])  # words before each text
+
+    def owner(self, places: np.ndarray) -> np.ndarray:
+        """The text of each word."""
+        return np.searchsorted(self.bounds, places, "right") - 1
+
+    def anchors(self, grams: np.ndarray) -> np.ndarray:
+        """The anchors of every text."""
+        sizes = np.diff(self.bounds)
+        parts = [self.bounds[k] + anchors(grams[self.bounds[k] : self.bounds[k + 1] - SHINGLE + 1], sizes[k]) for k in np.nonzero((sizes >= WINDOW) & (sizes < WINDOW + SHINGLE - 1))[0]]
+        if len(grams) >= WINDOW:
+            places = _last_smallest(grams, WINDOW)
+            inside = np.zeros(len(grams) + SHINGLE, np.int8)  # neighbours that lie in one text
+            long = sizes >= WINDOW + SHINGLE - 1
+            inside[self.bounds[:-1][long]] = 1
+            inside[self.bounds[1:][long] - WINDOW - SHINGLE + 2] -= 1
+            places = places[np.cumsum(inside)[: len(places)] > 0]
+            places = places[np.diff(places, prepend=-1) != 0]
+            parts.append(places[places + WINDOW <= self.bounds[self.owner(places) + 1]])
+        return np.sort(np.concatenate([np.empty(0, np.int64), *parts]))
+
+
+def grouped(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of up to GROUP code points in all, or of one text."""
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > start and size + len(text or "") > GROUP:
+            yield start, k
+            start, size = k, 0
+        size += len(text or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def anchors(grams: np.ndarray, n_words: int) -> np.ndarray:
     """Winnowing: positions of the rightmost smallest hash among any WINDOW neighbouring five-word hashes."""
     if n_words < WINDOW:
         return np.empty(0, np.int64)
-    width = min(WINDOW, len(grams))
+    places = _last_smallest(grams, min(WINDOW, len(grams)))
+    places = places[np.concatenate([[True], places[1:] != places[:-1]])]
+    return places[places + WINDOW <= n_words]
+
+
+def _last_smallest(grams: np.ndarray, width: int) -> np.ndarray:
+    """Of any ``width`` neighbours the place of the rightmost smallest."""
     low, places, reach = grams, np.arange(len(grams)), 1  # least hash of the next ``reach``, and where it is last
     while reach < width:
         step = min(reach, width - reach)
         later = low[step:] <= low[:-step]
         low, places = np.where(later, low[step:], low[:-step]), np.where(later, places[step:], places[:-step])
         reach += step
-    places = places[np.concatenate([[True], places[1:] != places[:-1]])]
-    return places[places + WINDOW <= n_words]
+    return places
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
@@ -138,40 +185,35 @@ def passages(documents: DataFrame) -> DataFrame:
     sides = ("left_whole", "right_whole", "left_far", "right_far")
     columns = ("first", "last", "is_window", "key", *sides, "bands")
 
-    def found(text: str | None) -> tuple | None:
-        words = Words(text)
+    def run(batch):
+        for k in range(0, batch.num_rows, 200):
+            ids, texts = (batch.column(c).slice(k, 200).to_pylist() for c in ("doc_id", "text"))
+            for start, end in grouped(texts):
+                words = Group(texts[start:end])
+                if len(words.codes):
+                    yield found(words, np.array(ids[start:end], np.int64))
+
+    def found(words: Group, ids: np.ndarray) -> dict:
         codes = words.codes
         grams = gram_hashes(codes, SHINGLE)
-        if not len(codes):
-            return None
-        at = anchors(grams, len(codes))
+        at = words.anchors(grams)
         a, b = words.paragraphs()
         banded = b - a >= SHINGLE
         bands = band_hashes(grams, a[banded], b[banded] - SHINGLE + 1) if banded.any() else np.empty((0, BANDS), np.uint64)
         starts, ends = np.concatenate([at, a]), np.concatenate([at + WINDOW, b])
         runs = Runs(codes)
         keys = np.concatenate([runs.digests(at, at + WINDOW, 1), runs.digests(a, b, 0)])
-        low, high = np.maximum(at - REACH, 0), np.minimum(at + WINDOW + REACH, len(codes))
+        owner = words.owner(starts)
+        low, high = np.maximum(at - REACH, words.bounds[owner[: len(at)]]), np.minimum(at + WINDOW + REACH, words.bounds[owner[: len(at)] + 1])
         wholes = [runs.digests(low, at + WINDOW, 0), runs.digests(at, high, 1)]
         fars = [words.first[at] - words.first[low], words.last[high - 1] - words.last[at + WINDOW - 1]]
         none = np.zeros(len(a), np.int64)
         around = [np.concatenate([x.astype(np.int64, copy=False) if x.dtype != np.uint64 else signed(x), none]) for x in (*wholes, *fars)]
-        return words.first[starts], words.last[ends - 1], np.arange(len(starts)) < len(at), signed(keys), *around, np.concatenate([np.zeros(len(at), bool), banded]), signed(bands)
-
-    def run(batch):
-        for k in range(0, batch.num_rows, 200):
-            ids, parts = [], []
-            for doc_id, text in zip(batch.column("doc_id").slice(k, 200).to_pylist(), batch.column("text").slice(k, 200).to_pylist()):
-                part = found(text)
-                if part is not None:
-                    ids.append(np.full(len(part[0]), doc_id))
-                    parts.append(part)
-            if parts:
-                first, last, is_window, key, *around, banded, bands = (np.concatenate(x) for x in zip(*parts))
-                sizes = np.where(banded, BANDS, 0)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()), mask=pa.array(~banded))
-                yield dict(zip(("doc_id", *columns), (np.concatenate(ids), first, last, is_window, key, *around, lists)))
+        banded = np.concatenate([np.zeros(len(at), bool), banded])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(banded, BANDS, 0))]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(signed(bands).ravel()), mask=pa.array(~banded))
+        first, last = words.first[starts] - words.bases[owner], words.last[ends - 1] - words.bases[owner]
+        return dict(zip(("doc_id", *columns), (ids[owner], first, last, np.arange(len(starts)) < len(at), signed(keys), *around, lists)))
 
     kinds = "left_whole long, right_whole long, left_far int, right_far int"
     return map_batches(documents, run, f"doc_id long, first int, last int, is_window boolean, key long, {kinds}, bands array<long>")
@@ -234,13 +276,14 @@ def _sides(docs: DataFrame, rows: DataFrame) -> DataFrame:
     names = ("first", "cluster_id", "removed", "left", "source", "most")
     by_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("cuts"))
 
-    def sides(text: str | None, firsts: np.ndarray, clusters: np.ndarray, to_left: np.ndarray):
+    def sides(texts: list[str | None], owner: np.ndarray, firsts: np.ndarray, clusters: np.ndarray, to_left: np.ndarray):
         """Per side: which windows, their hashes, the code points and how many words there are."""
-        words = Words(text)
+        words = Group(texts)
         codes = words.codes
-        keys = clusters.view(np.uint64)
+        keys, low, high = clusters.view(np.uint64), words.bounds[owner], words.bounds[owner + 1]
+        firsts = words.bases[owner] + firsts
         places = np.searchsorted(words.first, firsts)
-        fits = places + WINDOW <= len(codes)
+        fits = places + WINDOW <= high
         if not fits.any():  # windows of another text under this doc_id
             return
         places = np.where(fits, places, 0)
@@ -248,7 +291,7 @@ def _sides(docs: DataFrame, rows: DataFrame) -> DataFrame:
         for left in (True, False):
             which = np.nonzero(fits & (to_left == left))[0]
             at = places[which]
-            size = np.minimum(REACH, at if left else len(codes) - at - WINDOW)
+            size = np.minimum(REACH, at - low[which] if left else high[which] - at - WINDOW)
             total, h, reach = mix(keys[which] + np.uint64(left)), [], []
             edge = words.first[at] if left else words.last[at + WINDOW - 1]
             for k in range(REACH):
@@ -258,27 +301,25 @@ def _sides(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 reach.append(edge - words.first[place] if left else words.last[place] - edge)
             yield which, signed(np.stack(h, 1)), np.stack(reach, 1), size
 
-    def packed(parts: list, cuts: dict) -> dict:
-        rows, doc_ids, h, reach, sizes = (np.concatenate(x) for x in zip(*parts))
+    def packed(which: np.ndarray, doc_ids: np.ndarray, h: np.ndarray, reach: np.ndarray, sizes: np.ndarray, cuts: dict) -> dict:
         inside = np.arange(REACH) < sizes[:, None]
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         lists = {"h": pa.ListArray.from_arrays(offsets, pa.array(h[inside])), "reach": pa.ListArray.from_arrays(offsets, pa.array(reach[inside].astype(np.int32)))}
-        return {"doc_id": doc_ids, **{c: cuts[c][rows] for c in names}, **lists}
+        return {"doc_id": doc_ids, **{c: cuts[c][which] for c in names}, **lists}
 
     def run(batch):
         lists = batch.column("cuts")
         cuts = {c: x.to_numpy(zero_copy_only=False) for c, x in zip(names, lists.flatten().flatten())}
         bounds = lists.offsets.to_numpy()
-        parts, held = [], 0
-        for doc_id, text, low, high in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), bounds - bounds[0], bounds[1:] - bounds[0]):
-            for which, *found in sides(text, *(cuts[c][low:high] for c in ("first", "cluster_id", "left"))):
-                parts.append((which + low, np.full(len(which), doc_id), *found))
-                held += len(which)
-            if held >= 5000:
-                yield packed(parts, cuts)
-                parts, held = [], 0
-        if held:
-            yield packed(parts, cuts)
+        bounds = bounds - bounds[0]
+        ids = batch.column("doc_id").to_numpy()
+        for k in range(0, batch.num_rows, 1000):
+            texts = batch.column("text").slice(k, 1000).to_pylist()
+            for start, end in grouped(texts):
+                low, high = bounds[k + start], bounds[k + end]
+                owner = np.repeat(np.arange(end - start), np.diff(bounds[k + start : k + end + 1]))
+                for which, *found in sides(texts[start:end], owner, *(cuts[c][low:high] for c in ("first", "cluster_id", "left"))):
+                    yield packed(which + low, ids[k + start + owner[which]], *found, cuts)
 
     kinds = "doc_id long, first int, cluster_id long, removed boolean, left boolean, source boolean, most long, h array<long>, reach array<int>"
     return map_batches(docs.join(by_doc, "doc_id").select("doc_id", "text", "cuts"), run, kinds)
@@ -486,6 +527,16 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b"), run, "a long, b long")
 
 
+def merged(first: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last of the stretches of every row, overlapping and touching ones put together; the
+    stretches of row k are those from ``bounds[k]`` to ``bounds[k + 1]``, in order."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    reached = np.maximum.accumulate(last + (row << 32))  # those of later rows lie behind all of earlier ones
+    (starts,) = np.nonzero(np.concatenate([[True], first[1:] + (row[1:] << 32) > reached[:-1]])[: len(row)])
+    ends = np.append(starts[1:], len(row))[: len(starts)] - 1
+    return row[starts], first[starts], reached[ends] - (row[ends] << 32)
+
+
 def removals(found: DataFrame) -> DataFrame:
     """Per document that shares a passage: ``(doc_id, n_passages, n_removed, removed_chars, spans,
     keeper_ids)``; ``spans`` are the removed stretches, overlaps merged, as ``start:end`` joined by
@@ -498,16 +549,13 @@ def removals(found: DataFrame) -> DataFrame:
     )
 
     def run(batch):
-        spans, sizes = [], []
-        for cuts in batch.column("cuts").to_pylist():
-            merged: list[list[int]] = []
-            for cut in cuts:
-                if merged and cut["first"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], cut["last"])
-                else:
-                    merged.append([cut["first"], cut["last"]])
-            spans.append(",".join(f"{a}:{b}" for a, b in merged))
-            sizes.append(sum(b - a for a, b in merged))
+        lists = batch.column("cuts")
+        bounds = lists.offsets.to_numpy()
+        row, first, last = merged(*(x.to_numpy().astype(np.int64) for x in lists.flatten().flatten()), bounds - bounds[0])
+        sizes = np.bincount(row, last - first, batch.num_rows).astype(np.int64)
+        texts = [f"{a}:{b}" for a, b in zip(first.tolist(), last.tolist())]
+        ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+        spans = [",".join(texts[a:b]) for a, b in zip(ends, ends[1:])]
         yield {**{c: batch.column(c) for c in ("doc_id", "n_passages", "n_removed", "keeper_ids")}, "removed_chars": sizes, "spans": spans}
 
     return map_batches(by_doc, run, "doc_id long, n_passages long, n_removed long, removed_chars long, spans string, keeper_ids array<long>")

@@ -409,3 +409,34 @@ def test_anchors_are_last_smallest_and_powers_are_kept():
     long = passages._powers(passages.BASE, passages.HELD + 5)
     assert np.array_equal(long[:100], passages._powers(passages.BASE, 100))
     assert np.shares_memory(passages._powers(passages.BASE, 100), passages._powers(passages.BASE, 60))
+
+
+def test_groups_of_texts_equal_single_texts(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(9)}é" + rng.choice(["", "", "\n", "\n\n", " \t"]) for _ in range(size)) for size in (0, 3, 24, 0, 26, 27, 28, 29, 300, 0, 5, 90)] + [None, "", " \n "]
+    words, ones = passages.Group(texts), [passages.Words(text) for text in texts]
+    grams, lines, at = passages.gram_hashes(words.codes, 5), words.paragraphs(), words.bounds
+    singles = [passages.anchors(passages.gram_hashes(one.codes, 5), len(one.codes)) + k for one, k in zip(ones, at)]
+    assert words.anchors(grams).tolist() == np.concatenate(singles).tolist()
+    assert [x.tolist() for x in lines] == [np.concatenate([one.paragraphs()[side] + k for one, k in zip(ones, at)]).tolist() for side in (0, 1)]
+    owner = words.owner(np.arange(len(words.codes)))
+    assert owner.tolist() == np.repeat(np.arange(len(texts)), [len(one.codes) for one in ones]).tolist()
+    assert (words.first - words.bases[owner]).tolist() == np.concatenate([one.first for one in ones]).tolist()
+    assert (words.last - words.bases[owner]).tolist() == np.concatenate([one.last for one in ones]).tolist()
+    assert passages.Group([None, ""]).anchors(np.empty(0, np.uint64)).size == 0
+    monkeypatch.setattr(passages, "GROUP", 5)
+    assert list(passages.grouped(["abc", "de", None, "f", "longer one", "", "x"])) == [(0, 3), (3, 4), (4, 5), (5, 7)]
+    assert list(passages.grouped([])) == []
+
+
+def test_stretches_are_put_together_within_a_row():
+    rng = random.Random(12)
+    rows = [sorted({(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(7)))}) for _ in range(200)] + [[]]
+    first, last = (np.array([cut[side] for cuts in rows for cut in cuts], np.int64) for side in (0, 1))
+    row, *ends = passages.merged(first, last, np.concatenate([[0], np.cumsum([len(cuts) for cuts in rows])]))
+    for k, cuts in enumerate(rows):
+        held = {p for a, b in cuts for p in range(a, b)}
+        want = [a for a in sorted(held) if a - 1 not in held]
+        got = [(a, b) for n, a, b in zip(row, *ends) if n == k]
+        assert [a for a, _ in got] == want and {p for a, b in got for p in range(a, b)} == held
+    assert all(len(x) == 0 for x in passages.merged(first[:0], last[:0], np.zeros(3, np.int64)))
