@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowdeck.session import checkpoint_folder, durable
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+SLICE_ROWS = 512
+
 # Odd 64-bit multipliers; fixed so that hashes agree between tasks and runs.
 MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93],
@@ -80,6 +84,21 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dic
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut into ``rows`` at most, so that the Python copies of few texts are held at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Spark send Python at most ``rows`` rows in one Arrow batch; a lower bound of the session stays.
+    Its own bound of 10,000 rows is one for narrow rows: as texts they take some 100 MB on either side."""
+    held = int(spark.conf.get(ARROW_ROWS))
+    if not 0 < held <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -122,4 +141,4 @@ def first_rows(df: DataFrame, key: str, limit: int, seed: int = 1) -> DataFrame:
     return pool.orderBy("_draw", key).limit(limit).drop("_draw")
 
 
-__all__ = ["MULTIPLIERS", "arrow_schema", "checkpoint_folder", "durable", "first_rows", "gram_hashes", "map_batches", "mix", "narrow", "shingle_set", "signed", "stored", "table", "word_hashes"]
+__all__ = ["MULTIPLIERS", "arrow_schema", "bounded_batches", "checkpoint_folder", "durable", "first_rows", "gram_hashes", "map_batches", "mix", "narrow", "shingle_set", "signed", "slices", "stored", "table", "word_hashes"]

@@ -20,7 +20,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from rowdeck.llm.common import first_rows, map_batches, narrow, table
+from rowdeck.llm.common import first_rows, map_batches, narrow, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -470,7 +470,7 @@ def masked(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column(place).to_pylist()
             texts = [text or "" for text in old]
             new = [

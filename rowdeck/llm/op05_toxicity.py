@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowdeck.llm.common import first_rows, map_batches, mix, narrow, table
+from rowdeck.llm.common import first_rows, map_batches, mix, narrow, slices, table
 
 WORD = re.compile(r"\w+")
 HASH_BITS = 20
@@ -154,7 +154,7 @@ def keep_clean(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
     def run(batches):
         if not state:
             state["score"] = Scorer(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([state["score"](text) < 0.5 for text in batch.column(place).to_pylist()], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

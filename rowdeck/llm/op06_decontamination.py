@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rowdeck.llm.common import gram_hashes, map_batches, narrow, table
+from rowdeck.llm.common import gram_hashes, map_batches, narrow, slices, table
 
 WORD = re.compile(r"\w+")
 LEAST = 5
@@ -189,7 +189,7 @@ def _without(documents: DataFrame, place: int, ids: list[int], items: list[np.nd
     def run(batches):
         if not state:
             state["block"] = Block(*shared.value, least)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([clean(text) for text in batch.column(place).to_pylist()], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -59,7 +59,7 @@ class Pieces:
         self.automaton.make_automaton()
         self.byte_score = worst - BYTE_COST
         self.parts = None if crossing else re.compile(f"{SPACE}+[^{SPACE}]*")
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}  # the ids as bytes: an array each would take three times the memory
 
     def best(self, text: str) -> np.ndarray:
         """Ids of the best-scoring path over one stretch; of equal paths the one whose last piece is
@@ -113,13 +113,13 @@ class Pieces:
         for part in parts:
             ids = cache.get(part)
             if ids is None:
-                ids = self.best(part)
+                ids = self.best(part).tobytes()
                 if len(part) <= 64:
                     if len(cache) >= CACHE_PARTS:
                         cache.clear()
                     cache[part] = ids
             found.append(ids)
-        return np.concatenate(found)
+        return np.frombuffer(b"".join(found), np.int32)
 
     def _marked(self, runs: list[str]) -> np.ndarray:
         found = []
@@ -163,9 +163,8 @@ def encoded(documents: DataFrame, model: str = MODEL) -> DataFrame:
         if not state:
             state["pieces"] = Pieces(shared.value)
         pieces: Pieces = state["pieces"]
-        texts = batch.column("text").to_pylist()
-        for start in range(0, max(1, len(texts)), 256):
-            part = texts[start : start + 256]
+        for start in range(0, max(1, batch.num_rows), 256):
+            part = batch.column("text").slice(start, 256).to_pylist()
             ids = [None if text is None else pieces.encode(text) for text in part]
             yield {
                 "doc_id": batch.column("doc_id").slice(start, 256),

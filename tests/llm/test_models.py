@@ -8,10 +8,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from rowdeck.llm import op03_pii as pii, op05_toxicity as toxicity, op06_decontamination as leaks, op07_jaccard as pairs, op08_ordinal as ordinal
+from rowdeck.llm import common, op03_pii as pii, op05_toxicity as toxicity, op06_decontamination as leaks, op07_jaccard as pairs, op08_ordinal as ordinal, op09_sentencepiece as pieces
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -297,3 +298,47 @@ def test_stages_on_edge_rows(spark):
     masked = corpus_pipeline.mask_personal_data(spark, docs, SMALL).where("doc_id = 3").first()
     assert masked.text == "mail <email> now" and masked.n_chars == 16
     assert corpus_pipeline.encode(spark, docs, SMALL).count() == 5
+
+
+class Captured:
+    """A table that only keeps the function it is to be mapped by."""
+
+    columns = ["doc_id", "text"]
+
+    def __init__(self, spark):
+        self.sparkSession, self.schema = spark, "doc_id long, text string"
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_pipeline_holds_few_texts_at_once(spark, monkeypatch):
+    docs = pa.RecordBatch.from_pydict({"doc_id": range(3000), "text": [f"text {k} of some words" for k in range(3000)]})
+    table = Captured(spark)
+    tagger = pii.Tagger()
+    benchmark = spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(60)))], "item_id long, text string")
+    clean = toxicity.keep_clean(table, (np.array([1]), np.array([0.0]), -1.0))
+    for stage in (pii.masked(table, tagger), clean, leaks.keep_clean(table, benchmark)):
+        out = list(stage(iter([docs])))
+        assert max(batch.num_rows for batch in out) <= 512
+        assert pa.Table.from_batches(out).to_pydict() == pa.table(docs.to_pydict()).to_pydict()
+    encoder = pieces.Pieces(pieces.load_pieces())
+    ids = encoder.encode("some words and some words")
+    assert encoder.decode(ids) == "some words and some words" and ids.dtype == np.int32
+    assert {type(x) for x in encoder.cache.values()} == {bytes}
+
+
+def test_pipeline_bounds_arrow_batches(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    before = spark.conf.get(common.ARROW_ROWS)
+    try:
+        for rows, want in (("10000", "1000"), ("0", "1000"), ("300", "300")):
+            spark.conf.set(common.ARROW_ROWS, rows)
+            common.bounded_batches(spark)
+            assert spark.conf.get(common.ARROW_ROWS) == want
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(common.ARROW_ROWS, "10000")
+            stage(spark, docs, SMALL)
+            assert spark.conf.get(common.ARROW_ROWS) == "1000"
+    finally:
+        spark.conf.set(common.ARROW_ROWS, before)
