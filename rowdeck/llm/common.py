@@ -6,6 +6,7 @@ A word is a run of characters other than space and ``\\t \\n \\v \\f \\r``; that
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -72,6 +73,27 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64, copy=False).view(np.int64)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system. Left alone, the allocators of a Python worker, which
+    serves task after task, keep it: as much as the largest task so far took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for ``mapInArrow``, with memory given back before its first and after its last batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for a function that yields dicts of columns for a batch."""
     arrow = arrow_schema(schema)
@@ -81,7 +103,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dic
             for columns in function(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -141,4 +163,4 @@ def first_rows(df: DataFrame, key: str, limit: int, seed: int = 1) -> DataFrame:
     return pool.orderBy("_draw", key).limit(limit).drop("_draw")
 
 
-__all__ = ["MULTIPLIERS", "arrow_schema", "bounded_batches", "checkpoint_folder", "durable", "first_rows", "gram_hashes", "map_batches", "mix", "narrow", "shingle_set", "signed", "slices", "stored", "table", "word_hashes"]
+__all__ = ["MULTIPLIERS", "arrow_schema", "bounded_batches", "checkpoint_folder", "durable", "first_rows", "give_back", "gram_hashes", "lean", "map_batches", "mix", "narrow", "shingle_set", "signed", "slices", "stored", "table", "word_hashes"]

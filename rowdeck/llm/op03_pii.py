@@ -20,7 +20,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from rowdeck.llm.common import first_rows, map_batches, narrow, slices, table
+from rowdeck.llm.common import first_rows, lean, map_batches, narrow, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -482,7 +482,7 @@ def masked(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 columns[count] = pa.array([None if text is None else len(text) for text in new], columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return documents.mapInArrow(run, kinds)
+    return documents.mapInArrow(lean(run), kinds)
 
 
 def cut(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowdeck.llm.common import first_rows, map_batches, mix, narrow, slices, table
+from rowdeck.llm.common import first_rows, lean, map_batches, mix, narrow, slices, table
 
 WORD = re.compile(r"\w+")
 HASH_BITS = 20
@@ -149,15 +149,13 @@ def keep_clean(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
         return documents
     shared = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index("text")
-    state: dict = {}
 
     def run(batches):
-        if not state:
-            state["score"] = Scorer(*shared.value)
+        scorer = Scorer(*shared.value)
         for batch in slices(batches):
-            yield batch.filter(pa.array([state["score"](text) < 0.5 for text in batch.column(place).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([scorer(text) < 0.5 for text in batch.column(place).to_pylist()], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

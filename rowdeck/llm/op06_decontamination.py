@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rowdeck.llm.common import gram_hashes, map_batches, narrow, slices, table
+from rowdeck.llm.common import gram_hashes, lean, map_batches, narrow, slices, table
 
 WORD = re.compile(r"\w+")
 LEAST = 5
@@ -180,19 +180,17 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, coverage: float = COV
 
 def _without(documents: DataFrame, place: int, ids: list[int], items: list[np.ndarray], coverage: float, least: int) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast((ids, items))
-    state: dict = {}
 
-    def clean(text: str | None) -> bool:
-        found = candidates(word_codes(text), state["block"], coverage, least)
-        return all(sum(length for _, _, length in tiles(words, state["block"].items[k], least)) < coverage * len(state["block"].items[k]) for k, words in found)
+    def clean(text: str | None, block: Block) -> bool:
+        found = candidates(word_codes(text), block, coverage, least)
+        return all(sum(length for _, _, length in tiles(words, block.items[k], least)) < coverage * len(block.items[k]) for k, words in found)
 
     def run(batches):
-        if not state:
-            state["block"] = Block(*shared.value, least)
+        block = Block(*shared.value, least)
         for batch in slices(batches):
-            yield batch.filter(pa.array([clean(text) for text in batch.column(place).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([clean(text, block) for text in batch.column(place).to_pylist()], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def candidates(codes: np.ndarray, block: Block, coverage: float, least: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -27,16 +27,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowdeck.llm.common import map_batches, mix, narrow, shingle_set, signed, table
+from rowdeck.llm.common import lean, map_batches, mix, narrow, shingle_set, signed, slices, table
 from rowdeck.llm.components import components
 from rowdeck.llm.shelf import Shelf
 
 KEPT = 1 << 18  # common shingles whose counts are known everywhere
 TOLD = 1 << 15  # common shingles a task tells of at most
 HELD = 1 << 21  # shingles a task holds before it counts them
-CELL_BITS, SLICES = 20, 16  # hash cells whose counts order the shingles that are not common
+CELL_BITS, SLICE_CELLS = 20, 1 << 12  # hash cells whose counts order the shingles that are not common; cells in a row
+ADDERS = 16  # tasks that add up the slices of all tasks
 HOT_SHARE, HOT_ROWS, SALTS = 1024, 1000, 64  # a shingle in more than one of so many documents is hot
 SIGNATURE_BITS = 1024
+PAIRS = 64  # pairs of sets held as Python objects at once
 LARGE = 64  # classes of a tile above which bitmaps are compared inside the join
 
 
@@ -83,27 +85,52 @@ class Common:
 
     def __init__(self):
         self.hashes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.held: list[np.ndarray] = []
+        self.held = np.empty(HELD, np.uint64)  # the system gives the pages as they fill
         self.size = 0
 
     def add(self, found: np.ndarray) -> None:
-        self.held.append(found)
-        self.size += len(found)
-        if self.size > HELD:
-            self.settle()
+        while len(found):
+            part = found[: HELD - self.size]
+            self.held[self.size : self.size + len(part)] = part
+            self.size += len(part)
+            found = found[len(part) :]
+            if self.size == HELD:
+                self.settle()
 
     def settle(self) -> None:
-        found, times = np.unique(np.concatenate([self.hashes[:0], *self.held]), return_counts=True)
-        hashes, place = np.unique(np.concatenate([self.hashes, found]), return_inverse=True)
-        counts = np.zeros(len(hashes), np.int64)
-        np.add.at(counts, place, np.concatenate([self.counts, times]))
-        self.hashes, self.counts, self.held, self.size = hashes, counts, [], 0
+        """Count what is held, sorted where it lies: copies of it would take several times its memory."""
+        held = self.held[: self.size]
+        held.sort()
+        self.size = 0
+        if not len(held):
+            return
+        self.counts += np.searchsorted(held, self.hashes, "right") - np.searchsorted(held, self.hashes, "left")
+        first, last = np.ones(len(held), bool), np.ones(len(held), bool)
+        np.not_equal(held[1:], held[:-1], out=first[1:])
+        last[:-1] = first[1:]
+        places = np.nonzero(first & ~last)[0]
+        self._learn(held[places], np.nonzero(last & ~first)[0] - places + 1)
+        first &= last
+        if len(self.hashes) + np.count_nonzero(first) <= HELD // 2:  # else those that came up once are forgotten anyway
+            once = held[first]
+            self._learn(once, np.ones(len(once), np.int64))
+        elif len(self.hashes):
+            keep = self.counts > 1
+            self.hashes, self.counts = self.hashes[keep], self.counts[keep]
         least = 1
         while len(self.hashes) > HELD // 4:
             least += 1
             keep = self.counts >= least
             self.hashes, self.counts = self.hashes[keep], self.counts[keep]
 
+    def _learn(self, found: np.ndarray, times: np.ndarray) -> None:
+        """Take in those of the sorted ``found`` that are not known yet."""
+        place = np.searchsorted(self.hashes, found)
+        new = np.ones(len(found), bool)
+        inside = place < len(self.hashes)
+        new[inside] = self.hashes[place[inside]] != found[inside]
+        self.hashes, self.counts = np.insert(self.hashes, place[new], found[new]), np.insert(self.counts, place[new], times[new])
+
     def most(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """At most ``size`` of those that came up twice or more."""
         self.settle()
@@ -137,14 +164,15 @@ def _digests(docs: DataFrame, n: int, cell_bits: int) -> DataFrame:
         if len(hashes):
             yield filled(len(hashes), shingle=signed(hashes), times=counts)
         if cells.any():
-            parts = np.split(np.minimum(cells, 255).astype(np.uint8), SLICES)
-            yield filled(SLICES, slice=range(SLICES), counts=[part.tobytes() for part in parts])
+            parts = np.minimum(cells, 255).astype(np.uint8).reshape(-1, min(SLICE_CELLS, len(cells)))
+            yield filled(len(parts), slice=range(len(parts)), counts=[part.tobytes() for part in parts])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, shingle long, times long, slice int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, shingle long, times long, slice int, counts binary")
 
 
 def _cells(digests: DataFrame, cell_bits: int) -> np.ndarray:
-    """The cells of all tasks added up: 2^cell_bits numbers, whatever the input."""
+    """The cells of all tasks added up: 2^cell_bits numbers, whatever the input. A row has few cells, so that
+    an Arrow batch of rows of very many tasks stays small."""
 
     def add_all(kind):
         def run(batches):
@@ -159,10 +187,10 @@ def _cells(digests: DataFrame, cell_bits: int) -> np.ndarray:
         return run
 
     told = "slice int, counts binary"
-    tables = digests.where("slice is not null").select("slice", "counts").mapInArrow(add_all(np.uint8), told)
-    rows = tables.repartition(SLICES, "slice").mapInArrow(add_all(np.uint32), told).collect()
+    tables = digests.where("slice is not null").select("slice", "counts").mapInArrow(lean(add_all(np.uint8)), told)
+    rows = tables.repartition(ADDERS, "slice").mapInArrow(lean(add_all(np.uint32)), told).collect()
     total = np.zeros(1 << cell_bits, np.uint32)
-    width = len(total) // SLICES
+    width = min(SLICE_CELLS, len(total))
     for row in rows:
         total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.uint32)
     return total
@@ -318,12 +346,13 @@ def _verified(docs: DataFrame, bits: DataFrame, pairs: DataFrame, n: int, percen
 
     def over(batch):
         kept: dict[str, list] = {"a": [], "b": []}
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            if 100 * common >= percent * (len(p) + len(q) - common):
-                kept["a"].append(a)
-                kept["b"].append(b)
+        for part in slices(iter([batch]), PAIRS):
+            for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * common >= percent * (len(p) + len(q) - common):
+                    kept["a"].append(a)
+                    kept["b"].append(b)
         yield kept
 
     left = sets.select(F.col("doc").alias("a"), F.col("s").alias("x"))

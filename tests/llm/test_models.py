@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -328,6 +329,42 @@ def test_pipeline_holds_few_texts_at_once(spark, monkeypatch):
     assert {type(x) for x in encoder.cache.values()} == {bytes}
 
 
+def test_pipeline_stages_give_memory_back(spark, monkeypatch):
+    """Before the first batch of a task and after its last one, by when the task's own tables are gone."""
+    calls, alive = [], []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(sum(ref() is not None for ref in alive)))
+    docs = pa.RecordBatch.from_pydict({"doc_id": range(3), "text": ["some words", "", None]})
+    table = Captured(spark)
+    benchmark = spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(60)))], "item_id long, text string")
+    for module, name in ((toxicity, "Scorer"), (leaks, "Block")):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, made=made: alive.append(weakref.ref(x := made(*a))) or x)
+    clean = toxicity.keep_clean(table, (np.array([1]), np.array([0.0]), -1.0))
+    for stage in (pii.masked(table, pii.Tagger()), clean, leaks.keep_clean(table, benchmark)):
+        calls.clear()
+        assert sum(batch.num_rows for batch in stage(iter([docs]))) == 3
+        assert calls == [0, 0]
+    assert len(alive) == 2
+    for frame in (common.map_batches(table, lambda batch: iter([{"doc_id": batch.column("doc_id")}]), "doc_id long"),):
+        calls.clear()
+        assert [batch.num_rows for batch in frame(iter([docs]))] == [3]
+        assert len(calls) == 2
+
+
+def test_memory_is_given_back():
+    def held():
+        return int(re.search(r"Private_Dirty:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+    common.give_back()
+    before = held()
+    parts = [np.ones(1 << 13) for _ in range(2000)]  # 64 KB each, from the allocator's own stretches
+    edge = np.ones(1 << 13)
+    del parts
+    kept = held() - before
+    common.give_back()
+    assert edge[0] == 1.0 and kept > 100 and held() - before < 30
+
+
 def test_pipeline_bounds_arrow_batches(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = spark.conf.get(common.ARROW_ROWS)

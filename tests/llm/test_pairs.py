@@ -1,6 +1,7 @@
 """Operators 7, 10 and 6 against plain versions, and their edge cases."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 from rowdeck.llm import catalog, op06_decontamination as leaks, op07_jaccard as pairs, op10_paragraphs as passages
+from rowdeck.llm.common import shingle_set
 from rowdeck.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -92,6 +94,36 @@ def test_hot_shingles_and_few_counts(spark, monkeypatch):
         assert got == plain_groups(texts, 3, 90)
 
 
+def test_common_shingles_are_counted_in_place():
+    """Counting must not hold several copies of the shingles of a task."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 62, 1 << 16).astype(np.uint64)) for _ in range(40)]
+    sets += [np.arange(1000, dtype=np.uint64) for _ in range(5)]
+    tracemalloc.start()
+    try:
+        common = pairs.Common()
+        for found in sets:
+            common.add(found)
+        hashes, times = common.most(1 << 15)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert hashes.tolist() == list(range(1000)) and set(times.tolist()) == {5}
+    assert peak < 4 * 8 * pairs.HELD
+
+
+def test_counts_of_cells_come_in_small_rows(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(50))) for k in range(40)], "doc_id long, text string")
+    digests = pairs._digests(docs, 3, pairs.CELL_BITS).cache()
+    sizes = [len(row.counts) for row in digests.where("slice is not null").select("counts").collect()]
+    assert max(sizes) <= 1 << 12
+    cells = pairs._cells(digests, pairs.CELL_BITS)
+    wanted = np.zeros(1 << pairs.CELL_BITS, np.uint32)
+    for row in docs.collect():
+        np.add.at(wanted, (shingle_set(row.text, 3) >> np.uint64(64 - pairs.CELL_BITS)).astype(np.int64), 1)
+    assert np.array_equal(cells, wanted)
+
+
 def test_common_shingles(monkeypatch):
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.zipf(1.3, 200)).astype(np.uint64) for _ in range(300)]
